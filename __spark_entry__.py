@@ -162,13 +162,27 @@ def _answer_sql() -> str:
       ELSE {obj(p_ok, summ, ents, a_ok)} END"""
 
 
+def _text_answer_sql() -> str:
+    lg = "coalesce(lang, '')"
+    pri = "CASE WHEN n > 5000 THEN 'Medium' ELSE 'Low' END"
+    return (f"""'{{"priority": "' || {pri} || '", "summary": "Message ' || CAST(uid AS VARCHAR) || ' in ' || {lg} """
+            f"""|| '", "key_entities": ["lang:' || {lg} || '"], "action_required": false}}'""")
+
+
 RESPONSES = f"""
+rep AS (
+  SELECT content_hash, uid, length(body) AS n, uid - 1 AS doc_id,
+         row_number() OVER (PARTITION BY content_hash ORDER BY uid) AS rn
+  FROM fp),
 lab AS (
-  SELECT l.doc_id, l.quality, l.toxic, d.lang, f.uid, f.content_hash,
-         row_number() OVER (PARTITION BY f.content_hash ORDER BY f.uid) AS rn
-  FROM labels l JOIN documents d ON d.doc_id = l.doc_id JOIN fp f ON f.uid = l.doc_id + 1),
+  SELECT r.content_hash, r.uid, r.n, r.doc_id, d.lang, l.quality, l.toxic,
+         (l.quality IS NOT NULL OR l.toxic IS NOT NULL) AS labelled
+  FROM rep r LEFT JOIN documents d ON d.doc_id = r.doc_id LEFT JOIN labels l ON l.doc_id = r.doc_id
+  WHERE r.rn = 1),
 responses AS (
-  SELECT content_hash, '{MODEL}' AS model_version, {_answer_sql()} AS raw_json FROM lab WHERE rn = 1)"""
+  SELECT content_hash, '{MODEL}' AS model_version,
+         CASE WHEN labelled THEN {_answer_sql()} ELSE {_text_answer_sql()} END AS raw_json
+  FROM lab WHERE labelled OR doc_id % 16 <> 5)"""
 
 
 def validate_cte(name: str, src: str, raw: str = "raw_json") -> str:
@@ -494,8 +508,9 @@ def oracle_sql() -> dict[str, str]:
                         ["fetched", "llm_calls", "cache_hits", "errors", "pending", "held_back", "emitted"])
             + " FROM plan LEFT JOIN per ON per.account_id = plan.account_id"),
         "query_page": (
-            f"{w} SELECT {page_cols} FROM store WHERE id > 0 AND account_id = 'acct_src3' AND priority = 'High' "
-            "AND sent_at >= TIMESTAMP '2024-01-15 00:00:00' ORDER BY id LIMIT 1000"),
+            f"{w} SELECT {page_cols} FROM store WHERE id > 0 AND account_id = {q(catalog.PAGE_FILTERS['account_id'])} "
+            f"AND priority = {q(catalog.PAGE_FILTERS['priority'])} "
+            f"AND sent_at >= TIMESTAMP '{catalog.PAGE_FILTERS['since']} 00:00:00' ORDER BY id LIMIT 1000"),
         "query_meta": (
             f"{w}, page AS (SELECT * FROM store WHERE id > 5 AND account_id = 'acct_src7' ORDER BY id LIMIT 3) "
             "SELECT count(*) AS count, coalesce(max(id), 5) AS max_id, count(*) = 3 AS has_more FROM page"),

@@ -162,7 +162,7 @@ def q_incremental_source(spark, sf):
 
 def q_high_water(spark, sf):
     w = World(spark, sf)
-    return I.account_stats(w.plan, w.batch, w.outcome[0])
+    return I.account_stats(w.plan, w.outcome[0])
 
 
 # --- cache / enrichment -------------------------------------------------------
@@ -245,14 +245,14 @@ def q_emails_append(spark, sf):
 def q_cursor_upsert(spark, sf):
     from ..sinks.tables import merge_cursors
     w = World(spark, sf)
-    stats = I.account_stats(w.plan, w.batch, w.outcome[0])
+    stats = I.account_stats(w.plan, w.outcome[0])
     new = merge_cursors(w.cursors, I.cursor_moves(stats, w.opts))
     return new.select("account_id", "last_uid", ts_text("updated_at").alias("updated_at"))
 
 
 def q_audit_rows(spark, sf):
     w = World(spark, sf)
-    stats = I.account_stats(w.plan, w.batch, w.outcome[0])
+    stats = I.account_stats(w.plan, w.outcome[0])
     a = I.audit_rows(stats, w.opts)
     return a.select("audit_id", "run_id", "account_id", ts_text("timestamp").alias("timestamp"),
                     "before_uid", "after_uid", "emails_processed", "status", "error_msg")
@@ -265,7 +265,7 @@ def q_run_summary(spark, sf):
 
 # --- query layer -------------------------------------------------------------------
 
-PAGE_FILTERS = dict(account_id="acct_src3", priority="High", since="2024-01-15")
+PAGE_FILTERS = dict(account_id="acct_src7", priority="High", since="2024-01-15")
 
 
 def _page_cols(df):

@@ -127,10 +127,11 @@ def with_ids(rows: DataFrame, base: int | Column = 0) -> DataFrame:
     return assign_dense_ids(rows, ["account_id", "uid"], base, "id")
 
 
-def account_stats(plan: DataFrame, batch: DataFrame, out: DataFrame) -> DataFrame:
+def account_stats(plan: DataFrame, out: DataFrame) -> DataFrame:
     """A1/A2/A7 per processed account: fetched count/min/max, emitted count,
-    the new high-water mark and whether the cursor moves."""
-    fetched = batch.groupBy("account_id").agg(
+    the new high-water mark and whether the cursor moves (``out`` has one
+    row per fetched message)."""
+    fetched = out.groupBy("account_id").agg(
         F.count(F.lit(1)).alias("fetched"), F.min("uid").alias("min_uid"), F.max("uid").alias("max_uid"))
     em = out.filter(~F.col("held") & (F.col("outcome") != "pending"))
     emitted = em.groupBy("account_id").agg(F.count(F.lit(1)).alias("emitted"), F.max("uid").alias("max_emitted"))

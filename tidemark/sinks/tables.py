@@ -93,6 +93,17 @@ def append_store(rows_with_ids: DataFrame, layout: Layout) -> None:
         .partitionBy("run_id", "batch_id").parquet(layout.emails))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_store_batch(spark: SparkSession, layout: Layout, run_id: str, batch_id: int) -> None:
+    """Remove one (run_id, batch_id) partition (rollback after a failed emit)."""
+    _delete(spark, os.path.join(layout.emails, f"run_id={run_id}", f"batch_id={batch_id}"))
+
+
 # --- cursors (K2, S5, S6) ---------------------------------------------------
 
 def read_cursors(spark: SparkSession, layout: Layout) -> DataFrame:

@@ -106,25 +106,35 @@ def _answer_json(doc_id, uid, lang, quality, toxic):
     )
 
 
+def _text_answer_json(uid, lang, n):
+    """Answer for an unlabelled message: priority from its length."""
+    lang = F.coalesce(lang, F.lit(""))
+    pri = F.when(n > 5000, F.lit("Medium")).otherwise(F.lit("Low"))
+    uid_s = uid.cast("string")
+    return F.concat(F.lit('{"priority": "'), pri, F.lit('", "summary": "Message '), uid_s, F.lit(" in "), lang,
+                    F.lit('", "key_entities": ["lang:'), lang, F.lit('"], "action_required": false}'))
+
+
 def responses(spark: SparkSession, sf_dir: str, msgs: DataFrame | None = None) -> DataFrame:
-    """Model answers per (content_hash, model_version), from ``labels``.
+    """Model answers per (content_hash, model_version).
 
-    The answer for a fingerprint is the one for its lowest labelled uid.
-    Unlabelled fingerprints have no answer (pending).
+    The answer for a fingerprint is the one for its lowest uid: built from
+    ``labels`` when that document is labelled (with malformed answers mixed
+    in), else from the text; every sixteenth unlabelled document has no
+    answer yet (pending).
     """
     msgs = msgs if msgs is not None else messages(spark, sf_dir)
     lab = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     docs = table(spark, sf_dir, "documents", "doc_id", "lang")
-    m = msgs.select("uid", fingerprint().alias("content_hash"))
-    j = (lab.join(docs, "doc_id").join(m, F.col("uid") == F.col("doc_id") + 1)
-         .groupBy("content_hash")
-         .agg(F.min_by(F.struct("doc_id", "uid", "lang", "quality", "toxic"), F.col("uid")).alias("r")))
-    r = F.col("r")
-    return j.select(
-        "content_hash",
-        F.lit(FIXTURE_MODEL).alias("model_version"),
-        _answer_json(r["doc_id"], r["uid"], r["lang"], r["quality"], r["toxic"]).alias("raw_json"),
-    )
+    m = msgs.select("uid", fingerprint().alias("content_hash"), F.length("body").alias("n"))
+    rep = (m.groupBy("content_hash").agg(F.min_by(F.struct("uid", "n"), F.col("uid")).alias("r"))
+            .select("content_hash", "r.uid", "r.n", (F.col("r.uid") - 1).alias("doc_id")))
+    j = rep.join(docs, "doc_id", "left").join(lab, "doc_id", "left")
+    labelled = F.col("quality").isNotNull() | F.col("toxic").isNotNull()
+    j = j.filter(labelled | (F.col("doc_id") % 16 != 5))
+    raw = F.when(labelled, _answer_json(F.col("doc_id"), F.col("uid"), F.col("lang"), F.col("quality"), F.col("toxic")))
+    raw = raw.otherwise(_text_answer_json(F.col("uid"), F.col("lang"), F.col("n")))
+    return j.select("content_hash", F.lit(FIXTURE_MODEL).alias("model_version"), raw.alias("raw_json"))
 
 
 def cache(msgs: DataFrame, curs: DataFrame) -> DataFrame:

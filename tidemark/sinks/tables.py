@@ -25,6 +25,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..session import scratch_path
@@ -62,12 +63,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _read(spark: SparkSession, path: str, schema, extra_cols=()) -> DataFrame:
+    """Read a table with its declared schema (so no file listing is needed
+    to infer it, and an empty or missing table reads as empty)."""
+    full = T.StructType(list(schema.fields) + [T.StructField(n, T._parse_datatype_string(t)) for n, t in extra_cols])
     if _exists(spark, path):
-        return spark.read.parquet(path)
-    empty = spark.createDataFrame([], schema)
-    for name, typ in extra_cols:
-        empty = empty.withColumn(name, F.lit(None).cast(typ))
-    return empty
+        return spark.read.schema(full).parquet(path)
+    return spark.createDataFrame([], full)
 
 
 # --- emails (K1, S4) --------------------------------------------------------
@@ -86,9 +87,14 @@ def next_id_base(spark: SparkSession, layout: Layout, run_id: str, batch_id: int
 
 
 def append_store(rows_with_ids: DataFrame, layout: Layout) -> None:
+    """The rows arrive range-partitioned in id order (from the id operator),
+    so every task writes one file holding a contiguous id range: parallel
+    writes, and row-group min/max on id lets ``id > after_id`` skip files.
+    (Repartitioning by the partition columns would funnel the whole batch,
+    which has one run_id/batch_id, through a single task.)"""
     cols = [f.name for f in S.EMAILS.fields]
     (rows_with_ids.select(*cols)
-        .repartition("run_id", "batch_id").sortWithinPartitions("id")
+        .sortWithinPartitions("id")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id", "batch_id").parquet(layout.emails))
 
@@ -106,12 +112,26 @@ def drop_store_batch(spark: SparkSession, layout: Layout, run_id: str, batch_id:
 
 # --- cursors (K2, S5, S6) ---------------------------------------------------
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Committed version folders ``v=N`` (those with a _SUCCESS marker)."""
+    if not _exists(spark, path):
+        return []
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append(int(name[2:]))
+    return sorted(out)
+
+
 def read_cursors(spark: SparkSession, layout: Layout) -> DataFrame:
-    if not _exists(spark, layout.cursors):
+    vs = _versions(spark, layout.cursors)
+    if not vs:
         return spark.createDataFrame([], S.CURSORS)
-    allv = spark.read.parquet(layout.cursors)
-    latest = allv.agg(F.max("v")).first()[0]
-    return allv.filter(F.col("v") == latest).drop("v")
+    return spark.read.schema(S.CURSORS).parquet(os.path.join(layout.cursors, f"v={vs[-1]}"))
 
 
 def merge_cursors(current: DataFrame, moves: DataFrame) -> DataFrame:
@@ -124,14 +144,11 @@ def merge_cursors(current: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def upsert_cursors(spark: SparkSession, layout: Layout, moves: DataFrame) -> None:
-    """K2 on the table: a new version folder holding the merged cursors."""
-    if _exists(spark, layout.cursors):
-        allv = spark.read.parquet(layout.cursors)
-        version = int(allv.agg(F.max("v")).first()[0]) + 1
-        cur = allv.filter(F.col("v") == version - 1).drop("v")
-    else:
-        version, cur = 1, spark.createDataFrame([], S.CURSORS)
-    out = merge_cursors(cur, moves)
+    """K2 on the table: a new version folder holding the merged cursors.
+    The cursor table is one row per account (a dimension), so one file."""
+    vs = _versions(spark, layout.cursors)
+    version = (vs[-1] + 1) if vs else 1
+    out = merge_cursors(read_cursors(spark, layout), moves)
     out.coalesce(1).write.mode("overwrite").parquet(os.path.join(layout.cursors, f"v={version}"))
 
 
@@ -154,8 +171,9 @@ def bucket_of(col="content_hash", buckets: int = CACHE_BUCKETS):
     return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
 
 
-def read_cache(spark: SparkSession, layout: Layout) -> DataFrame:
-    return _read(spark, layout.cache, S.CACHE, [("bucket", "int")]).select(*[f.name for f in S.CACHE.fields])
+def read_cache(spark: SparkSession, layout: Layout, with_bucket: bool = False) -> DataFrame:
+    df = _read(spark, layout.cache, S.CACHE, [("bucket", "int")])
+    return df if with_bucket else df.select(*[f.name for f in S.CACHE.fields])
 
 
 def merge_cache(current: DataFrame, writes: DataFrame) -> DataFrame:
@@ -175,23 +193,22 @@ def upsert_cache(spark: SparkSession, layout: Layout, writes: DataFrame) -> None
     touched = [r[0] for r in w.select("bucket").distinct().collect()]   # <= bucket count
     if not touched:
         return
-    cur = read_cache(spark, layout).withColumn("bucket", bucket_of("content_hash", b))
-    cur = cur.filter(F.col("bucket").isin(touched))
+    cur = read_cache(spark, layout, with_bucket=True).filter(F.col("bucket").isin(touched))   # partition pruning
     merged = merge_cache(cur.drop("bucket"), w.drop("bucket")).withColumn("bucket", bucket_of("content_hash", b))
     stage = scratch_path(spark, "cache")
-    merged.repartition("bucket").write.partitionBy("bucket").parquet(stage)
-    (spark.read.parquet(stage).repartition("bucket").write.mode("overwrite")
+    merged.repartition(b, "bucket").write.partitionBy("bucket").parquet(stage)
+    (_read(spark, stage, S.CACHE, [("bucket", "int")]).repartition(b, "bucket").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(layout.cache))
 
 
 def invalidate_cache(spark: SparkSession, layout: Layout, account_id: str | None = None) -> int:
     """K5: drop rows whose stored account_id matches (all rows when the
     account is falsy); returns how many rows were removed (A8)."""
-    cur = read_cache(spark, layout).withColumn("bucket", bucket_of("content_hash", layout.cache_buckets))
+    cur = read_cache(spark, layout, with_bucket=True)
     if not account_id:
         n = cur.count()
         if n:
-            spark.createDataFrame([], S.CACHE).write.mode("overwrite").parquet(layout.cache)
+            _delete(spark, layout.cache)
         return n
     gone = cur.filter(F.col("account_id") == account_id)
     touched = [r[0] for r in gone.select("bucket").distinct().collect()]
@@ -201,17 +218,13 @@ def invalidate_cache(spark: SparkSession, layout: Layout, account_id: str | None
     keep = cur.filter(F.col("bucket").isin(touched) & (F.col("account_id") != account_id))
     stage = scratch_path(spark, "cache-inv")
     keep.write.partitionBy("bucket").parquet(stage)
-    kept = spark.read.parquet(stage) if _exists(spark, stage) else None
-    # Buckets left empty must be cleared explicitly: dynamic overwrite only
+    kept = _read(spark, stage, S.CACHE, [("bucket", "int")])
+    kept_buckets = {r[0] for r in kept.select("bucket").distinct().collect()}
+    # Buckets left empty are cleared explicitly: dynamic overwrite only
     # replaces partitions that receive rows.
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    kept_buckets = set(r[0] for r in kept.select("bucket").distinct().collect()) if kept is not None else set()
-    for bkt in touched:
-        if bkt not in kept_buckets:
-            p = jvm.org.apache.hadoop.fs.Path(os.path.join(layout.cache, f"bucket={bkt}"))
-            p.getFileSystem(conf).delete(p, True)
-    if kept is not None and kept_buckets:
+    for bkt in set(touched) - kept_buckets:
+        _delete(spark, os.path.join(layout.cache, f"bucket={bkt}"))
+    if kept_buckets:
         (kept.repartition("bucket").write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(layout.cache))
     return n

@@ -22,6 +22,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .common import let
 
 ERR_NOT_OBJECT = "response is not a JSON object"
 ERR_PRIORITY = "priority: input should be 'High', 'Medium', 'Low', 'Spam' or 'Error'"
@@ -36,47 +37,49 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _field(v: Column, key: str):
-    fv = F.try_variant_get(v, f"$.{key}", "variant")
-    return fv, F.schema_of_variant(fv)
-
-
 def validate_answer(raw="raw_json") -> Column:
-    """STRUCT<ok, priority, summary, key_entities, action_required, error>."""
-    v = F.try_parse_json(_c(raw))
-    is_obj = v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT<")
-
-    p, pt = _field(v, "priority")
-    s, st = _field(v, "summary")
-    e, et = _field(v, "key_entities")
-    a, at = _field(v, "action_required")
-
-    p_str = F.try_variant_get(p, "$", "string")
-    p_ok = p.isNull() | ((pt == "STRING") & p_str.isin(*K.PRIORITIES))
-
-    s_ok = s.isNull() | (st == "STRING")
-
-    e_arr = F.try_variant_get(e, "$", "array<string>")
-    e_ok = e.isNull() | (
-        et.isin("ARRAY<STRING>", "ARRAY<VOID>")
-        & e_arr.isNotNull()
-        & ~F.exists(e_arr, lambda x: x.isNull())
-    )
-
-    a_str = F.lower(F.try_variant_get(a, "$", "string"))
-    a_num = F.try_variant_get(a, "$", "double")
+    """STRUCT<ok, priority, summary, key_entities, action_required, error>.
+
+    The answer is parsed once and every per-field value is extracted once
+    (one-element ``transform`` bindings), however often the rules use it.
+    """
+    return let(F.try_parse_json(_c(raw)), _fields)
+
+
+def _fields(v: Column) -> Column:
+    def get(key):
+        return F.try_variant_get(v, f"$.{key}", "variant")
+
+    p, s, e, a = get("priority"), get("summary"), get("key_entities"), get("action_required")
+    return let(F.struct(
+        (v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT<")).alias("is_obj"),
+        p.isNotNull().alias("p_has"), F.schema_of_variant(p).alias("pt"), F.try_variant_get(p, "$", "string").alias("p_str"),
+        s.isNotNull().alias("s_has"), F.schema_of_variant(s).alias("st"), F.try_variant_get(s, "$", "string").alias("s_str"),
+        e.isNotNull().alias("e_has"), F.schema_of_variant(e).alias("et"), F.try_variant_get(e, "$", "array<string>").alias("e_arr"),
+        a.isNotNull().alias("a_has"), F.schema_of_variant(a).alias("at"),
+        F.lower(F.try_variant_get(a, "$", "string")).alias("a_str"), F.try_variant_get(a, "$", "double").alias("a_num"),
+        F.try_variant_get(a, "$", "boolean").alias("a_bool"),
+    ), _rules)
+
+
+def _rules(f: Column) -> Column:
+    at = f["at"]
+    p_ok = ~f["p_has"] | ((f["pt"] == "STRING") & f["p_str"].isin(*K.PRIORITIES))
+    s_ok = ~f["s_has"] | (f["st"] == "STRING")
+    e_arr = f["e_arr"]
+    e_ok = ~f["e_has"] | (
+        f["et"].isin("ARRAY<STRING>", "ARRAY<VOID>") & e_arr.isNotNull() & ~F.exists(e_arr, lambda x: x.isNull()))
     a_is_num = at.isin(*_INT_TYPES) | at.startswith("DECIMAL") | at.isin("DOUBLE", "FLOAT")
     a_val = (
-        F.when(at == "BOOLEAN", F.try_variant_get(a, "$", "boolean"))
-        .when(a_is_num & (a_num == 1.0), F.lit(True))
-        .when(a_is_num & (a_num == 0.0), F.lit(False))
-        .when((at == "STRING") & a_str.isin(*K.BOOL_TRUE_STRINGS), F.lit(True))
-        .when((at == "STRING") & a_str.isin(*K.BOOL_FALSE_STRINGS), F.lit(False))
+        F.when(at == "BOOLEAN", f["a_bool"])
+        .when(a_is_num & (f["a_num"] == 1.0), F.lit(True))
+        .when(a_is_num & (f["a_num"] == 0.0), F.lit(False))
+        .when((at == "STRING") & f["a_str"].isin(*K.BOOL_TRUE_STRINGS), F.lit(True))
+        .when((at == "STRING") & f["a_str"].isin(*K.BOOL_FALSE_STRINGS), F.lit(False))
     )
-    a_ok = a.isNull() | a_val.isNotNull()
-
+    a_ok = ~f["a_has"] | a_val.isNotNull()
     error = (
-        F.when(~F.coalesce(is_obj, F.lit(False)), F.lit(ERR_NOT_OBJECT))
+        F.when(~F.coalesce(f["is_obj"], F.lit(False)), F.lit(ERR_NOT_OBJECT))
         .when(~p_ok, F.lit(ERR_PRIORITY))
         .when(~s_ok, F.lit(ERR_SUMMARY))
         .when(~e_ok, F.lit(ERR_ENTITIES))
@@ -85,8 +88,8 @@ def validate_answer(raw="raw_json") -> Column:
     ok = error.isNull()
     return F.struct(
         ok.alias("ok"),
-        F.when(ok, F.coalesce(p_str, F.lit(K.DEFAULT_PRIORITY))).alias("priority"),
-        F.when(ok, F.coalesce(F.try_variant_get(s, "$", "string"), F.lit(K.DEFAULT_SUMMARY))).alias("summary"),
+        F.when(ok, F.coalesce(f["p_str"], F.lit(K.DEFAULT_PRIORITY))).alias("priority"),
+        F.when(ok, F.coalesce(f["s_str"], F.lit(K.DEFAULT_SUMMARY))).alias("summary"),
         F.when(ok, F.coalesce(e_arr, F.array().cast("array<string>"))).alias("key_entities"),
         F.when(ok, F.coalesce(a_val, F.lit(False))).alias("action_required"),
         F.when(~ok, F.concat(F.lit(K.QUARANTINE_ERROR_PREFIX), error)).alias("error"),

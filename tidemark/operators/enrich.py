@@ -81,17 +81,17 @@ def attach(batch: DataFrame, decisions: DataFrame, force: bool = False) -> DataF
                 .when(~ans["ok"], F.lit("quarantined"))
                 .when(F.lit(force) | is_leader, F.lit("fresh"))
                 .otherwise(F.lit("hit")))
+    j = j.withColumn("outcome", outcome)          # computed once, referenced below
+    o = F.col("outcome")
     restamped = cached.withField("original_uid", F.col("uid"))           # C7: own uid
-    result = (F.when(outcome == "pending", F.lit(None))
+    result = (F.when(o == "pending", F.lit(None))
                .when(cached.isNotNull(), restamped)
-               .when(outcome == "quarantined", R.quarantine_result("uid", ans["error"]))
-               .when(outcome == "fresh", R.answer_result(ans, "uid", "is_truncated"))
+               .when(o == "quarantined", R.quarantine_result("uid", ans["error"]))
+               .when(o == "fresh", R.answer_result(ans, "uid", "is_truncated"))
                .otherwise(R.answer_result(ans, "uid", leader["is_truncated"])))
-    called = (outcome == "fresh") | (outcome == "quarantined")
-    return (j.withColumn("outcome", outcome)
-             .withColumn("result", result)
-             .withColumn("error", F.when(outcome == "quarantined", ans["error"]))
-             .withColumn("called", called)
+    return (j.withColumn("result", result)
+             .withColumn("error", F.when(o == "quarantined", ans["error"]))
+             .withColumn("called", (o == "fresh") | (o == "quarantined"))
              .drop("cached", "answer", "leader", "last"))
 
 

@@ -19,6 +19,7 @@ from ..functions.results import flatten_result
 from ..functions.text import body_preview, is_truncated
 from ..operators import enrich as E
 from ..operators.ids import assign_dense_ids
+from ..session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -86,25 +87,48 @@ def run_plan(accounts: DataFrame, cursors: DataFrame, opts: IngestOptions) -> Da
 
 def fetch(messages: DataFrame, plan: DataFrame, opts: IngestOptions) -> DataFrame:
     """Messages above each account's start uid (and on/after the
-    init date), with fingerprint, clip flag, preview and parsed send time."""
+    init date), with fingerprint, clip flag and parsed send time.
+
+    After the fingerprint and the clip flag are taken, ``body`` keeps only
+    the characters any later step reads (the stored preview and the model
+    request clip), so full bodies never enter a shuffle."""
     go = plan.filter("guard_ok").select("account_id", "start_uid")
     b = messages.join(go, "account_id").filter(F.col("uid") >= F.col("start_uid")).drop("start_uid")
     b = b.withColumn("sent_at", parse_sent_at("date"))
     if opts.init_start_date:
         b = b.filter(F.col("sent_at") >= day_start(opts.init_start_date))
+    keep = max(K.BODY_PREVIEW_CHARS, opts.max_content_length)
     return (b.withColumn("content_hash", fingerprint())
-             .withColumn("is_truncated", is_truncated("body", opts.max_content_length)))
+             .withColumn("is_truncated", is_truncated("body", opts.max_content_length))
+             .withColumn("body", F.substring(F.coalesce(F.col("body"), F.lit("")), 1, keep)))
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Materialise once with a reliable checkpoint (shared folder named by
+    ``spark.checkpoint.dir``): later steps that read the frame several times
+    see one snapshot, and a lost executor recomputes from the checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def outcomes(batch: DataFrame, cache: DataFrame | None, responses: DataFrame | None,
-             opts: IngestOptions) -> tuple[DataFrame, DataFrame | None]:
-    """O2 enrichment: (rows with outcome/result/held, cache writes or None)."""
+             opts: IngestOptions, staged: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """O2 enrichment: (rows with outcome/result/held, cache writes or None).
+
+    The batch feeds the per-fingerprint aggregate, the fan-out join and the
+    hold-back step, so with ``staged`` it is materialised once first (and the
+    fanned-out rows once more before the per-account hold-back)."""
     if opts.mode in ("skip", "dry"):
         out = E.non_calling(batch, opts.mode).withColumn("held", F.lit(False))
         return out, None
+    if staged:
+        batch = stage(batch)
     dec = E.decide(batch, cache, responses, opts.model, opts.force_reprocess)
     out = E.attach(batch, dec, opts.force_reprocess)
-    out = E.hold_back_pending(out) if opts.hold_pending else out.withColumn("held", F.lit(False))
+    if opts.hold_pending:
+        out = E.hold_back_pending(stage(out) if staged else out)
+    else:
+        out = out.withColumn("held", F.lit(False))
     writes = E.cache_writes(dec, opts.model or "", opts.created_at_col(), opts.force_reprocess)
     return out, writes
 

@@ -24,7 +24,6 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..operators import enrich as E
 from ..session import ensure_checkpoint_dir
 from ..sinks import tables as T
@@ -65,7 +64,7 @@ def run_ingest(spark: SparkSession, layout: T.Layout, messages: DataFrame, accou
         responses = _stage(enricher(req))
 
     out, writes = I.outcomes(batch, cache, responses, opts)
-    out = _stage(out.withColumn("body", F.substring(F.coalesce("body", F.lit("")), 1, K.BODY_PREVIEW_CHARS)))
+    out = _stage(out)
     writes = _stage(writes) if writes is not None else None
 
     if not dry and writes is not None:

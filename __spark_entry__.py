@@ -445,6 +445,13 @@ def oracle_sql() -> dict[str, str]:
             f"THEN {plain} WHEN {strip_sql("coalesce(html, '')")} <> '' "
             f"THEN {html_to_text_sql('html')} ELSE '' END AS body "
             "FROM pages p LEFT JOIN documents d ON p.page_id = d.doc_id"),
+        "eml_roundtrip": (
+            f"WITH {MESSAGES.strip()} SELECT uid, coalesce(subject, '') AS subject, coalesce(sender, '') AS sender, "
+            f"coalesce(date, '') AS date, CASE WHEN {strip_sql('coalesce(body, ' + chr(39) * 2 + ')')} <> '' "
+            "THEN body ELSE '' END AS body FROM messages"),
+        "eml_html": (
+            f"SELECT page_id, coalesce(url, '') AS subject, CASE WHEN {strip_sql('coalesce(html, ' + chr(39) * 2 + ')')} "
+            f"<> '' THEN {html_to_text_sql('html')} ELSE '' END AS body FROM pages"),
         "run_plan": f"{world(init=None)} SELECT * FROM plan",
         "incremental_source": f"{w} SELECT account_id, uid, content_hash, {ts('sent_at')} AS sent_at, is_truncated FROM batch",
         "high_water": (
@@ -485,6 +492,7 @@ def oracle_sql() -> dict[str, str]:
             f"{w} SELECT id, run_id, batch_id, account_id, uid, content_hash, subject, sender, date, "
             f"{ts('sent_at')} AS sent_at, CAST(length(body_preview) AS BIGINT) AS preview_len, priority, summary, "
             f"key_entities, action_required, is_truncated, model_version, {ts('created_at')} AS created_at FROM store"),
+        "stream_once": None,
         "cursor_upsert": (
             f"{w}, moves AS (SELECT account_id, after_uid AS last_uid, {CREATED} AS updated_at FROM stats "
             "WHERE after_uid >= start_uid AND emitted > 0), "
@@ -543,4 +551,5 @@ def oracle_sql() -> dict[str, str]:
             f"UNION ALL SELECT CAST({(1 << 62) + 1} AS BIGINT), CAST(cnt AS VARCHAR) || ' results | max_id=' || "
             "CAST(max_id AS VARCHAR) || ' | has_more=' || CASE WHEN has_more THEN 'True' ELSE 'False' END FROM meta WHERE cnt > 0"),
     }
+    out["stream_once"] = out["emails_append"]
     return out

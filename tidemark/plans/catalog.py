@@ -148,6 +148,24 @@ def q_body_select(spark, sf):
     return j.select("page_id", select_body(plain, F.col("html")).alias("body"))
 
 
+def q_eml_roundtrip(spark, sf):
+    """Every message rendered to RFC 822 bytes and parsed back by
+    the MIME job (RFC 2047 subject, base64 UTF-8 body)."""
+    from ..sources.mime import parse_raw, render_plain
+    m = World(spark, sf).messages
+    raw = m.select("uid", render_plain().alias("content"))
+    return parse_raw(raw, keep=["uid"]).select("uid", "subject", "sender", "date", "body")
+
+
+def q_eml_html(spark, sf):
+    """Every page as a multipart message whose plain part is blank and
+    whose attachment is skipped, so the body comes from the HTML part."""
+    from ..sources.mime import parse_raw, render_html_only
+    p = TB.table(spark, sf, "pages", "page_id", "url", "html")
+    raw = p.select("page_id", render_html_only("url", "html").alias("content"))
+    return parse_raw(raw, keep=["page_id"]).select("page_id", "subject", "body")
+
+
 # --- plan / source ---------------------------------------------------------------
 
 def q_run_plan(spark, sf):
@@ -234,7 +252,10 @@ def q_pacing_plan(spark, sf):
 # --- store writes -------------------------------------------------------------------
 
 def q_emails_append(spark, sf):
-    s = World(spark, sf).store
+    return _store_cols(World(spark, sf).store)
+
+
+def _store_cols(s):
     return s.select("id", "run_id", "batch_id", "account_id", "uid", "content_hash", "subject", "sender",
                     "date", ts_text("sent_at").alias("sent_at"),
                     F.length("body_preview").cast("bigint").alias("preview_len"),
@@ -263,6 +284,26 @@ def q_run_summary(spark, sf):
     return I.run_summary(w.plan, w.outcome[0])
 
 
+def q_stream_once(spark, sf):
+    """The flagship run as a run-once stream over the landed documents
+    file, committing through foreachBatch into a fresh store seeded with the
+    fixture cursors and cache; returns what the store then holds."""
+    import os
+    from ..session import scratch_path
+    from ..sinks import tables as T
+    from ..streaming.stream import ingest_stream
+    w = World(spark, sf)
+    root = scratch_path(spark, "stream")
+    lay = T.Layout(os.path.join(root, "store"), 8)
+    T.upsert_cursors(spark, lay, w.cursors)
+    T.upsert_cache(spark, lay, w.cache)
+    docs_schema = spark.read.parquet(os.path.join(sf, "documents.parquet")).schema
+    src = spark.readStream.schema(docs_schema).parquet(os.path.join(sf, "documents*.parquet"))
+    ingest_stream(spark, src, lay, w.accounts, w.opts, os.path.join(root, "checkpoint"),
+                  responses=w.responses, to_messages=TB.messages_from_documents)
+    return _store_cols(T.read_store(spark, lay))
+
+
 # --- query layer -------------------------------------------------------------------
 
 PAGE_FILTERS = dict(account_id="acct_src7", priority="High", since="2024-01-15")
@@ -331,6 +372,8 @@ QUERIES = {
     "response_validate": q_response_validate,
     "html_to_text": q_html_to_text,
     "body_select": q_body_select,
+    "eml_roundtrip": q_eml_roundtrip,
+    "eml_html": q_eml_html,
     "run_plan": q_run_plan,
     "incremental_source": q_incremental_source,
     "high_water": q_high_water,
@@ -346,6 +389,7 @@ QUERIES = {
     "cache_invalidate": q_cache_invalidate,
     "pacing_plan": q_pacing_plan,
     "emails_append": q_emails_append,
+    "stream_once": q_stream_once,
     "cursor_upsert": q_cursor_upsert,
     "audit_rows": q_audit_rows,
     "run_summary": q_run_summary,

@@ -50,7 +50,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     sender and date derive from the text length, so exact copies share a
     fingerprint (the cross-account duplicates the cache exists for).
     """
-    d = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    return messages_from_documents(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+
+
+def messages_from_documents(d: DataFrame) -> DataFrame:
+    """The ``messages`` mapping on any frame of documents (batch or stream)."""
     n = F.length("text")
     return d.select(
         F.concat(F.lit("acct_"), F.col("source")).alias("account_id"),

@@ -161,3 +161,23 @@ def test_dry_run_writes_nothing(spark, tmp_root):
                      sink=lambda df, b: seen.append(df.count()))
     assert s["emitted"] == seen[0] == 200
     assert T.read_store(spark, lay).count() == 0 and T.read_cursors(spark, lay).count() == 0
+
+
+def test_hot_fingerprint_split_matches_plain_join(spark):
+    m, resp = _world(spark)
+    acc = m.select("account_id").distinct()
+    base = dict(run_id="r", model="m1", init_start_date="2024-01-01")
+    plan = I.run_plan(acc, spark.createDataFrame([], S.CURSORS), I.IngestOptions(**base))
+
+    def run(hot):
+        opts = I.IngestOptions(**base, hot_rows=hot)
+        out, _ = I.outcomes(I.fetch(m, plan, opts), spark.createDataFrame([], S.CACHE), resp, opts)
+        return sorted((r.account_id, r.uid, r.outcome, r.held, str(r.result)) for r in out.collect())
+
+    assert run(2) == run(10 ** 9)                   # hashes with >= 2 copies take the broadcast path
+    from tidemark.operators.joins import join_hot_split
+    big = spark.createDataFrame([("h", i) for i in range(10)] + [("c", 1)], "k string, v long")
+    per = spark.createDataFrame([("h", 10, "H"), ("c", 1, "C")], "k string, n long, d string")
+    got = join_hot_split(big, per, "k", "n", hot_rows=5)
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.k, r.d) for r in got.collect()) == sorted([("h", "H")] * 10 + [("c", "C")])

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions import results as R
 from ..functions.text import clipped_body, request_text
+from .joins import broadcast_if_small, join_hot_split
 
 RESULT_DDL = ("struct<original_uid:bigint,priority:string,summary:string,"
               "key_entities:array<string>,action_required:boolean,is_truncated:boolean>")
@@ -71,9 +72,13 @@ def decide(batch: DataFrame, cache: DataFrame | None, responses: DataFrame | Non
     return keys.withColumn("answer", answer).drop("raw_json")
 
 
-def attach(batch: DataFrame, decisions: DataFrame, force: bool = False) -> DataFrame:
-    """J5 fan-out: every row gets its outcome and result from its fingerprint."""
-    j = batch.join(decisions.drop("copies"), "content_hash", "inner")
+def attach(batch: DataFrame, decisions: DataFrame, force: bool = False, hot_rows: int | None = None) -> DataFrame:
+    """J5 fan-out: every row gets its outcome and result from its fingerprint.
+
+    Fingerprints with at least ``hot_rows`` copies are attached by a checked
+    broadcast of their decisions; the rest by a shuffle join (join_hot_split).
+    """
+    j = join_hot_split(batch, decisions, "content_hash", "copies", hot_rows).drop("copies")
     ans, cached, leader = F.col("answer"), F.col("cached"), F.col("leader")
     is_leader = (F.col("account_id") == leader["account_id"]) & (F.col("uid") == leader["uid"])
     outcome = (F.when(cached.isNotNull(), F.lit("hit"))
@@ -125,10 +130,14 @@ def non_calling(batch: DataFrame, mode: str) -> DataFrame:
 def requests(batch: DataFrame, decisions: DataFrame, model: str, max_len: int, force: bool = False) -> DataFrame:
     """The model requests this batch needs, one per fingerprint to call
     (every copy under force), with the clipped body and the prompt text."""
-    need = decisions.filter(F.col("cached").isNull()).select("content_hash", "leader")
-    j = batch.join(need, "content_hash")
-    if not force:
-        j = j.filter((F.col("account_id") == F.col("leader")["account_id"]) & (F.col("uid") == F.col("leader")["uid"]))
+    need = decisions.filter(F.col("cached").isNull())
+    if force:
+        j = join_hot_split(batch, need.select("content_hash", "copies"), "content_hash", "copies")
+    else:
+        # only the leader row calls: join on its full key, unique on both sides
+        leaders = need.select("content_hash", F.col("leader")["account_id"].alias("account_id"),
+                              F.col("leader")["uid"].alias("uid"))
+        j = batch.join(leaders, ["content_hash", "account_id", "uid"])
     clipped = clipped_body("body", max_len)
     return j.select(
         "content_hash", F.lit(model).alias("model_version"), "account_id", "uid",
@@ -142,6 +151,6 @@ def hold_back_pending(out: DataFrame) -> DataFrame:
     not append a row twice. Adds ``held BOOLEAN``."""
     floor = (out.filter(F.col("outcome") == "pending")
                 .groupBy("account_id").agg(F.min("uid").alias("_pending_floor")))
-    j = out.join(floor, "account_id", "left")
+    j = out.join(broadcast_if_small(floor), "account_id", "left")   # one row per account
     held = F.coalesce(F.col("uid") >= F.col("_pending_floor"), F.lit(False))
     return j.withColumn("held", held).drop("_pending_floor")

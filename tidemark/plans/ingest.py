@@ -19,6 +19,7 @@ from ..functions.results import flatten_result
 from ..functions.text import body_preview, is_truncated
 from ..operators import enrich as E
 from ..operators.ids import assign_dense_ids
+from ..operators.joins import broadcast_if_small
 from ..session import ensure_checkpoint_dir
 
 
@@ -36,6 +37,7 @@ class IngestOptions:
     target_account: str | None = None
     created_at: str | None = None      # fixed timestamp text; None -> current_timestamp()
     hold_pending: bool = True
+    hot_rows: int | None = None        # copies that make a fingerprint "hot" (skew split)
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
@@ -92,7 +94,7 @@ def fetch(messages: DataFrame, plan: DataFrame, opts: IngestOptions) -> DataFram
     After the fingerprint and the clip flag are taken, ``body`` keeps only
     the characters any later step reads (the stored preview and the model
     request clip), so full bodies never enter a shuffle."""
-    go = plan.filter("guard_ok").select("account_id", "start_uid")
+    go = broadcast_if_small(plan.filter("guard_ok").select("account_id", "start_uid"))   # per account
     b = messages.join(go, "account_id").filter(F.col("uid") >= F.col("start_uid")).drop("start_uid")
     b = b.withColumn("sent_at", parse_sent_at("date"))
     if opts.init_start_date:
@@ -124,7 +126,9 @@ def outcomes(batch: DataFrame, cache: DataFrame | None, responses: DataFrame | N
     if staged:
         batch = stage(batch)
     dec = E.decide(batch, cache, responses, opts.model, opts.force_reprocess)
-    out = E.attach(batch, dec, opts.force_reprocess)
+    if staged:
+        dec = stage(dec)          # read by the hot-key check, the fan-out and the cache writes
+    out = E.attach(batch, dec, opts.force_reprocess, opts.hot_rows)
     if opts.hold_pending:
         out = E.hold_back_pending(stage(out) if staged else out)
     else:

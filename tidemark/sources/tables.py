@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.fingerprint import fingerprint
 from ..functions.results import result_struct
 from ..functions.text import is_truncated
+from ..operators.joins import broadcast_if_small
 
 # fixed values of the fixture world (parameters, never clocks or random ids)
 FIXTURE_MODEL = "m1"
@@ -146,7 +147,7 @@ def cache(msgs: DataFrame, curs: DataFrame) -> DataFrame:
     at or below its account's cursor, alternately under the current and an
     older model; the last writer (highest uid) per fingerprint is kept."""
     prios = F.array(*[F.lit(p) for p in ["High", "Medium", "Low", "Spam"]])
-    src = (msgs.join(curs.select("account_id", "last_uid"), "account_id")
+    src = (msgs.join(broadcast_if_small(curs.select("account_id", "last_uid")), "account_id")
                .filter(F.col("uid") <= F.col("last_uid"))
                .select("account_id", "uid", fingerprint().alias("content_hash"),
                        is_truncated("body").alias("trunc")))

@@ -326,6 +326,24 @@ stats AS (
     return "WITH " + ",".join(c.strip("\n") for c in ctes)
 
 
+def events_world(init: str = "2024-01-10") -> str:
+    return f"""WITH emsg AS (
+  SELECT 'user_' || CAST(user_id AS VARCHAR) AS account_id, event_id + 1 AS uid, event_type AS subject,
+         'user' || CAST(user_id AS VARCHAR) || '@events.example' AS sender,
+         strftime(ts, '%Y-%m-%dT%H:%M:%S') AS date, props AS body
+  FROM events),
+efp AS (SELECT m.*, {fingerprint_sql()} AS content_hash, {sent_at_sql('date')} AS sent_at FROM emsg m),
+ecur AS (
+  SELECT account_id, CAST((min(uid) + max(uid)) // 2 AS BIGINT) AS last_uid
+  FROM emsg GROUP BY account_id HAVING max(uid) % 4 <> 0),
+eplan AS (
+  SELECT a.account_id, CAST(coalesce(c.last_uid, 0) AS BIGINT) + 1 AS start_uid
+  FROM (SELECT DISTINCT account_id FROM emsg) a LEFT JOIN ecur c ON c.account_id = a.account_id),
+ebatch AS (
+  SELECT f.* FROM efp f JOIN eplan p ON p.account_id = f.account_id
+  WHERE f.uid >= p.start_uid AND f.sent_at >= TIMESTAMP '{init} 00:00:00')"""
+
+
 def ts(col: str) -> str:
     return f"strftime({col}, '%Y-%m-%d %H:%M:%S')"
 
@@ -452,6 +470,21 @@ def oracle_sql() -> dict[str, str]:
         "eml_html": (
             f"SELECT page_id, coalesce(url, '') AS subject, CASE WHEN {strip_sql('coalesce(html, ' + chr(39) * 2 + ')')} "
             f"<> '' THEN {html_to_text_sql('html')} ELSE '' END AS body FROM pages"),
+        "events_incremental": (
+            f"{events_world()} SELECT account_id, uid, content_hash, {ts('sent_at')} AS sent_at FROM ebatch"),
+        "fetch_stats": (
+            f"{events_world()} SELECT account_id, count(*) AS fetched, min(uid) AS min_uid, max(uid) AS max_uid "
+            "FROM ebatch GROUP BY account_id"),
+        "conversation_latest": (
+            "SELECT conv_id, turn, role, CAST(length(text) AS BIGINT) AS text_len FROM (SELECT *, row_number() "
+            "OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rk FROM conversations) WHERE rk = 1"),
+        "conversation_requests": (
+            "SELECT conv_id, turn, chr(10) || '        Subject: ' || coalesce('conversation ' || CAST(conv_id AS VARCHAR), "
+            "'None') || chr(10) || '        Sender: ' || coalesce(role, 'None') || chr(10) || '        Date: None' || "
+            "chr(10) || '        ' || chr(10) || '        Body:' || chr(10) || '        ' || "
+            f"(CASE WHEN length(text) > {K.MAX_CONTENT_LENGTH} THEN substr(text, 1, {K.MAX_CONTENT_LENGTH}) "
+            "ELSE coalesce(text, '') END) || chr(10) || '        ' AS prompt FROM (SELECT *, row_number() OVER "
+            "(PARTITION BY conv_id ORDER BY turn DESC) AS rk FROM conversations WHERE role = 'user') WHERE rk = 1"),
         "run_plan": f"{world(init=None)} SELECT * FROM plan",
         "incremental_source": f"{w} SELECT account_id, uid, content_hash, {ts('sent_at')} AS sent_at, is_truncated FROM batch",
         "high_water": (
@@ -483,6 +516,17 @@ def oracle_sql() -> dict[str, str]:
         "cache_invalidate": (
             f"WITH {MESSAGES.strip()},{FP.strip()},{CURSORS.strip()},{CACHE.strip()} "
             "SELECT content_hash, account_id, uid, model_version FROM cache WHERE account_id <> 'acct_src3'"),
+        "cache_invalidate_count": (
+            f"WITH {MESSAGES.strip()},{FP.strip()},{CURSORS.strip()},{CACHE.strip()} "
+            "SELECT count(*) FILTER (WHERE account_id = 'acct_src3') AS removed_account, count(*) AS removed_all FROM cache"),
+        "cursor_listing": (
+            f"WITH {MESSAGES.strip()},{CURSORS.strip()} SELECT account_id, last_uid, {ts('updated_at')} AS updated_at "
+            "FROM cursors ORDER BY account_id"),
+        "pacing_summary": (
+            f"{w}, req AS (SELECT b.uid FROM batch b JOIN dec0 d ON d.d_hash = b.content_hash "
+            "WHERE NOT d.is_cached AND b.account_id = d.l_acc AND b.uid = d.l_uid) "
+            f"SELECT count(*) AS calls, CAST(CASE WHEN count(*) > 0 THEN (count(*) - 1) * {60.0 / K.DEFAULT_RATE_LIMIT_RPM} "
+            "ELSE 0.0 END AS DOUBLE) AS min_seconds FROM req"),
         "pacing_plan": (
             f"{w}, req AS (SELECT b.content_hash, b.account_id, b.uid FROM batch b JOIN dec0 d ON d.d_hash = b.content_hash "
             "WHERE NOT d.is_cached AND b.account_id = d.l_acc AND b.uid = d.l_uid) "

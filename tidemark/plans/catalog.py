@@ -183,6 +183,43 @@ def q_high_water(spark, sf):
     return I.account_stats(w.plan, w.outcome[0])
 
 
+def q_events_incremental(spark, sf):
+    """S1/S2 on the events stream: rows above each user's cursor, on or
+    after the date floor."""
+    m = TB.event_messages(spark, sf)
+    opts = I.IngestOptions(run_id=RUN, model=MODEL, init_start_date="2024-01-10")
+    plan = I.run_plan(TB.accounts(m), TB.cursors(m), opts)
+    b = I.fetch(m, plan, opts)
+    return b.select("account_id", "uid", "content_hash", ts_text("sent_at").alias("sent_at"))
+
+
+def q_fetch_stats(spark, sf):
+    """A1/A2 on the events stream: per-account count, min and max uid fetched."""
+    m = TB.event_messages(spark, sf)
+    opts = I.IngestOptions(run_id=RUN, model=MODEL, init_start_date="2024-01-10")
+    b = I.fetch(m, I.run_plan(TB.accounts(m), TB.cursors(m), opts), opts)
+    return b.groupBy("account_id").agg(F.count(F.lit(1)).alias("fetched"), F.min("uid").alias("min_uid"),
+                                       F.max("uid").alias("max_uid"))
+
+
+def q_conversation_latest(spark, sf):
+    """W2 on conversations: the latest turn of every conversation."""
+    from ..operators.latest import latest_per_key
+    c = TB.table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    return latest_per_key(c, ["conv_id"], "turn").select(
+        "conv_id", "turn", "role", F.length("text").cast("bigint").alias("text_len"))
+
+
+def q_conversation_requests(spark, sf):
+    """P8 on conversations: a request for the latest user turn of each one."""
+    from ..operators.latest import latest_per_key
+    c = TB.table(spark, sf, "conversations", "conv_id", "turn", "role", "text").filter(F.col("role") == "user")
+    last = latest_per_key(c, ["conv_id"], "turn")
+    subj = F.concat(F.lit("conversation "), F.col("conv_id").cast("string"))
+    return last.select("conv_id", "turn", request_text(subj, F.col("role"), F.lit(None).cast("string"),
+                                                       clipped_body("text")).alias("prompt"))
+
+
 # --- cache / enrichment -------------------------------------------------------
 
 def q_cache_probe(spark, sf):
@@ -237,6 +274,27 @@ def q_cache_upsert(spark, sf):
                          ts_text("created_at").alias("created_at"))
 
 
+def q_cache_invalidate_count(spark, sf):
+    """Rows an invalidation removes (one account, and everything)."""
+    c = World(spark, sf).cache
+    return c.agg(F.count_if(F.col("account_id") == "acct_src3").alias("removed_account"),
+                 F.count(F.lit(1)).alias("removed_all"))
+
+
+def q_cursor_listing(spark, sf):
+    """The cursor table ordered by account."""
+    return ST.cursor_listing(World(spark, sf).cursors).select(
+        "account_id", "last_uid", ts_text("updated_at").alias("updated_at"))
+
+
+def q_pacing_summary(spark, sf):
+    """Calls this run makes and the minimum wall time pacing imposes."""
+    from ..operators.pacing import min_run_seconds
+    w = World(spark, sf)
+    req = E.requests(w.batch, w.decisions, MODEL, w.opts.max_content_length)
+    return min_run_seconds(req, K.DEFAULT_RATE_LIMIT_RPM)
+
+
 def q_cache_invalidate(spark, sf):
     w = World(spark, sf)
     return remaining_after_invalidate(w.cache, "acct_src3").select("content_hash", "account_id", "uid", "model_version")
@@ -374,6 +432,10 @@ QUERIES = {
     "body_select": q_body_select,
     "eml_roundtrip": q_eml_roundtrip,
     "eml_html": q_eml_html,
+    "events_incremental": q_events_incremental,
+    "fetch_stats": q_fetch_stats,
+    "conversation_latest": q_conversation_latest,
+    "conversation_requests": q_conversation_requests,
     "run_plan": q_run_plan,
     "incremental_source": q_incremental_source,
     "high_water": q_high_water,
@@ -387,6 +449,9 @@ QUERIES = {
     "dry_run_rows": q_dry_run_rows,
     "cache_upsert": q_cache_upsert,
     "cache_invalidate": q_cache_invalidate,
+    "cache_invalidate_count": q_cache_invalidate_count,
+    "cursor_listing": q_cursor_listing,
+    "pacing_summary": q_pacing_summary,
     "pacing_plan": q_pacing_plan,
     "emails_append": q_emails_append,
     "stream_once": q_stream_once,

@@ -19,6 +19,7 @@ from .. import constants as K
 from ..functions.dates import day_start
 from ..functions.render import TABLE_HEADER, TABLE_RULE, table_footer, table_line
 from ..operators.ids import dense_rank_pages
+from ..operators.latest import latest_per_key
 
 
 def predicates(after_id: int = 0, account_id: str | None = None, run_id: str | None = None,
@@ -84,9 +85,7 @@ def export_pages(store: DataFrame, page_size: int, after_id: int = 0, **filters)
 def latest_per_hash(store: DataFrame) -> DataFrame:
     """The most recent row (max id) per content_hash, as a partial
     aggregation (a hot fingerprint is pre-reduced on the map side)."""
-    cols = store.columns
-    agg = store.groupBy("content_hash").agg(F.max_by(F.struct(*cols), F.col("id")).alias("r"))
-    return agg.select("r.*")
+    return latest_per_key(store, ["content_hash"], "id").select(*store.columns)
 
 
 def priority_by_run(store: DataFrame) -> DataFrame:

@@ -67,6 +67,20 @@ def messages_from_documents(d: DataFrame) -> DataFrame:
     )
 
 
+def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a second landed message stream: one account per user,
+    uid = event_id + 1, the event type as subject and props as body."""
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
+    return e.select(
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("account_id"),
+        (F.col("event_id") + 1).alias("uid"),
+        F.col("event_type").alias("subject"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@events.example")).alias("sender"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
+        F.col("props").alias("body"),
+    )
+
+
 def accounts(msgs: DataFrame) -> DataFrame:
     """Account dimension (config order = account_id order)."""
     return msgs.select("account_id").distinct()

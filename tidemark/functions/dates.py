@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import let
+
 # fixed values: English month abbreviations used by mail date headers
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
@@ -31,28 +33,40 @@ def _int(s: Column) -> Column:
     return F.when(s == "", F.lit(None)).otherwise(s).try_cast("int")
 
 
+_SEP = "\u0001"
+
+
+def _groups(d: Column, pattern: str, n: int) -> Column:
+    """One regex pass: a full match becomes SEP g1 SEP g2 ... (unmatched
+    optional groups are empty); no match leaves the text unchanged."""
+    return F.regexp_replace(d, pattern, _SEP + _SEP.join(f"${k}" for k in range(1, n + 1)))
+
+
 def parse_sent_at(date="date") -> Column:
     d = _c(date)
+    return let(F.struct(_groups(d, MAIL_RE, 9).alias("m"), _groups(d, ISO_RE, 6).alias("i")), _assemble)
+
+
+def _assemble(s: Column) -> Column:
+    return let(F.struct(
+        s["m"].startswith(_SEP).alias("mm"), F.split(s["m"], _SEP).alias("mg"),
+        s["i"].startswith(_SEP).alias("im"), F.split(s["i"], _SEP).alias("ig"),
+    ), _timestamp)
 
-    def g(pattern, i):
-        return F.regexp_extract(d, pattern, i)
 
+def _timestamp(p: Column) -> Column:
+    g, h = p["mg"], p["ig"]
     months = F.array(*[F.lit(m) for m in MONTHS])
-    mon = F.array_position(months, F.initcap(g(MAIL_RE, 2))).cast("int")
+    mon = F.array_position(months, F.initcap(g[2])).cast("int")
     mail_local = F.try_make_timestamp_ntz(
-        _int(g(MAIL_RE, 3)), F.when(mon > 0, mon), _int(g(MAIL_RE, 1)),
-        _int(g(MAIL_RE, 4)), _int(g(MAIL_RE, 5)), F.coalesce(_int(g(MAIL_RE, 6)), F.lit(0)),
-    )
-    sign = F.when(g(MAIL_RE, 7) == "-", F.lit(-1)).otherwise(F.lit(1))
-    off_min = sign * (F.coalesce(_int(g(MAIL_RE, 8)), F.lit(0)) * 60 + F.coalesce(_int(g(MAIL_RE, 9)), F.lit(0)))
+        _int(g[3]), F.when(mon > 0, mon), _int(g[1]), _int(g[4]), _int(g[5]), F.coalesce(_int(g[6]), F.lit(0)))
+    sign = F.when(g[7] == "-", F.lit(-1)).otherwise(F.lit(1))
+    off_min = sign * (F.coalesce(_int(g[8]), F.lit(0)) * 60 + F.coalesce(_int(g[9]), F.lit(0)))
     mail_utc = mail_local - F.make_dt_interval(F.lit(0), F.lit(0), off_min, F.lit(0))
     iso = F.try_make_timestamp_ntz(
-        _int(g(ISO_RE, 1)), _int(g(ISO_RE, 2)), _int(g(ISO_RE, 3)),
-        F.coalesce(_int(g(ISO_RE, 4)), F.lit(0)), F.coalesce(_int(g(ISO_RE, 5)), F.lit(0)),
-        F.coalesce(_int(g(ISO_RE, 6)), F.lit(0)),
-    )
-    return (F.when(d.rlike(MAIL_RE), mail_utc)
-             .when(d.rlike(ISO_RE), iso))
+        _int(h[1]), _int(h[2]), _int(h[3]), F.coalesce(_int(h[4]), F.lit(0)),
+        F.coalesce(_int(h[5]), F.lit(0)), F.coalesce(_int(h[6]), F.lit(0)))
+    return F.when(p["mm"], mail_utc).when(p["im"], iso)
 
 
 def day_start(day: str) -> Column:

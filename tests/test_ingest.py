@@ -181,3 +181,26 @@ def test_hot_fingerprint_split_matches_plain_join(spark):
     got = join_hot_split(big, per, "k", "n", hot_rows=5)
     assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.k, r.d) for r in got.collect()) == sorted([("h", "H")] * 10 + [("c", "C")])
+
+
+def test_crash_after_store_append_is_recovered(spark, tmp_root):
+    lay = T.Layout(tmp_root, 4)
+    m = TB.messages(spark, SF)
+    acc, resp = TB.accounts(m), TB.responses(spark, SF, m)
+    opts = I.IngestOptions(run_id="c1", model="m1", init_start_date="2024-01-01")
+    # simulate a crash: ids reserved and rows appended, nothing after that
+    plan = I.run_plan(acc, T.read_cursors(spark, lay), opts)
+    out, _ = I.outcomes(I.fetch(m, plan, opts), T.read_cache(spark, lay), resp, opts)
+    rows = I.store_rows(out, opts)
+    base = T.reserve_ids(spark, lay, "c1", 0, rows.count())
+    T.append_store(I.with_ids(rows, base), lay)
+    n = T.read_store(spark, lay).count()
+    assert n > 0 and T.read_cursors(spark, lay).count() == 0
+    # the next run (new run id) removes the orphan and appends the batch once
+    s = R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="c2", model="m1", init_start_date="2024-01-01"),
+                     responses=resp)
+    st = T.read_store(spark, lay)
+    assert st.count() == s["emitted"] == n
+    assert {r.run_id for r in st.select("run_id").distinct().collect()} == {"c2"}
+    ids = sorted(r.id for r in st.select("id").collect())
+    assert ids == list(range(n + 1, 2 * n + 1))          # the aborted range is never reused

@@ -7,14 +7,17 @@ Order of effects for one batch:
    reliable checkpoint, so every later step sees the same rows and a lost
    executor recomputes from the checkpoint, not from the model;
 2. cache writes (a memo: writing it early only makes a replay cheaper);
-3. store append into this batch's own (run_id, batch_id) partition;
+3. an id range is reserved in the batch manifest, then the store append
+   goes into this batch's own (run_id, batch_id) partition;
 4. sink delivery; on failure the batch's store partition is removed again,
    the cursor stays, and FAIL audit rows are written;
-5. cursor versions advance; 6. audit rows.
+5. cursor versions advance; 6. audit rows; 7. the manifest entry is marked
+   committed.
 
-A crash anywhere before 5 leaves the cursor where it was, so the next run
-fetches the same messages, finds their answers in the cache, and rewrites
-the same store partition when it reuses the run and batch ids.
+A crash anywhere before 7 leaves the batch uncommitted: the next run first
+removes store partitions of uncommitted batches (``recover_orphans``), and
+since the cursor did not pass their messages they are fetched again, with
+their answers now in the cache.
 """
 
 from __future__ import annotations
@@ -47,6 +50,8 @@ def run_ingest(spark: SparkSession, layout: T.Layout, messages: DataFrame, accou
     """Run one batch end to end; returns the run summary as a dict."""
     ensure_checkpoint_dir(spark)
     dry = opts.dry_run
+    if not dry:
+        T.recover_orphans(spark, layout)
     cursors = T.read_cursors(spark, layout)
     if opts.reset_cursor and not dry:
         sel = I.select_accounts(accounts, opts)
@@ -72,7 +77,7 @@ def run_ingest(spark: SparkSession, layout: T.Layout, messages: DataFrame, accou
 
     rows = I.store_rows(out, opts)
     if not dry:
-        base = T.next_id_base(spark, layout, opts.run_id, opts.batch_id)
+        base = T.reserve_ids(spark, layout, opts.run_id, opts.batch_id, rows.count())
         T.append_store(I.with_ids(rows, base), layout)
 
     emit_ok, emit_error = True, None
@@ -89,6 +94,8 @@ def run_ingest(spark: SparkSession, layout: T.Layout, messages: DataFrame, accou
         if emit_ok:
             T.upsert_cursors(spark, layout, I.cursor_moves(stats, opts))
         T.append_audit(I.audit_rows(stats, opts, emit_ok), layout)
+        if emit_ok:
+            T.mark_committed(spark, layout, opts.run_id, opts.batch_id)
 
     summary = I.run_summary(plan, out).first().asDict()
     summary.update(emit_ok=emit_ok, emit_error=emit_error, run_id=opts.run_id, batch_id=opts.batch_id)

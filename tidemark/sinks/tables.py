@@ -6,6 +6,7 @@ Layout under ``root``:
   cursors/v=N/                    cursor table, one immutable version per commit
   audit/run_id=../                audit rows
   cache/bucket=B/                 result cache, hash-bucketed
+  manifest/run_id=../batch_id=../ id range reserved per batch (+ _COMMITTED marker)
 
 Plain Parquet has no MERGE/DELETE, so upserts are "read current, union,
 latest per key, write", and nothing is ever overwritten while it is read:
@@ -54,6 +55,10 @@ class Layout:
     def cache(self):
         return os.path.join(self.root, "cache")
 
+    @property
+    def manifest(self):
+        return os.path.join(self.root, "manifest")
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -77,13 +82,81 @@ def read_store(spark: SparkSession, layout: Layout) -> DataFrame:
     return _read(spark, layout.emails, S.EMAILS).select(*[f.name for f in S.EMAILS.fields])
 
 
-def next_id_base(spark: SparkSession, layout: Layout, run_id: str, batch_id: int) -> int:
-    """Current max id, ignoring this batch's own partition (so a replay gets
-    the same ids). Max over the id column only; with
-    ``spark.sql.parquet.aggregatePushdown`` it is answered from footers."""
-    store = read_store(spark, layout)
-    other = store.filter(~((F.col("run_id") == run_id) & (F.col("batch_id") == batch_id)))
-    return int(other.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
+MANIFEST = T.StructType([
+    T.StructField("run_id", T.StringType(), False),
+    T.StructField("batch_id", T.LongType(), False),
+    T.StructField("first_id", T.LongType(), False),
+    T.StructField("rows", T.LongType(), False),
+])
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _manifest_dir(layout: Layout, run_id: str, batch_id: int) -> str:
+    return os.path.join(layout.manifest, f"run_id={run_id}", f"batch_id={batch_id}")
+
+
+def read_manifest(spark: SparkSession, layout: Layout) -> DataFrame:
+    return _read(spark, layout.manifest, MANIFEST).select(*[f.name for f in MANIFEST.fields])
+
+
+def reserve_ids(spark: SparkSession, layout: Layout, run_id: str, batch_id: int, n: int) -> int:
+    """L4 across batches: reserve ids [base+1, base+n] for (run_id, batch_id)
+    in the manifest (one row per batch, so this never scans the store) and
+    return ``base``. A replay of a batch that fits its earlier reservation
+    reuses it (same ids); otherwise a new range is taken at the end. Ranges
+    of aborted batches are never handed out again (ids are never reused)."""
+    man = read_manifest(spark, layout)
+    own = (man.filter((F.col("run_id") == run_id) & (F.col("batch_id") == batch_id))
+              .agg(F.max("first_id").alias("f"), F.max("rows").alias("r")).first())
+    if own["f"] is not None and n <= own["r"]:
+        # in flight again: an earlier abort no longer applies
+        p, fs = _fs(spark, os.path.join(_manifest_dir(layout, run_id, batch_id), "_ABORTED"))
+        fs.delete(p, False)
+        return int(own["f"]) - 1
+    base = int(man.agg(F.coalesce(F.max(F.col("first_id") + F.col("rows") - 1), F.lit(0))).first()[0])
+    row = spark.createDataFrame([(run_id, int(batch_id), base + 1, int(n))], MANIFEST)
+    (row.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_id", "batch_id").parquet(layout.manifest))
+    return base
+
+
+def mark_committed(spark: SparkSession, layout: Layout, run_id: str, batch_id: int) -> None:
+    """Last step of a batch: its store partition is now final."""
+    p, fs = _fs(spark, os.path.join(_manifest_dir(layout, run_id, batch_id), "_COMMITTED"))
+    fs.create(p, True).close()
+
+
+def recover_orphans(spark: SparkSession, layout: Layout) -> list[tuple[str, int]]:
+    """Remove store partitions of batches that reserved ids but never
+    committed (a crash between the store append and the audit): their
+    messages were not passed by the cursor and will be fetched again."""
+    root, fs = _fs(spark, layout.manifest)
+    if not fs.exists(root):
+        return []
+    jvm = spark.sparkContext._jvm
+    removed = []
+    for run_dir in fs.listStatus(root):
+        if not run_dir.isDirectory() or not run_dir.getPath().getName().startswith("run_id="):
+            continue
+        for b_dir in fs.listStatus(run_dir.getPath()):
+            name = b_dir.getPath().getName()
+            if not name.startswith("batch_id="):
+                continue
+            done = jvm.org.apache.hadoop.fs.Path(b_dir.getPath(), "_COMMITTED")
+            aborted = jvm.org.apache.hadoop.fs.Path(b_dir.getPath(), "_ABORTED")
+            if fs.exists(done) or fs.exists(aborted):
+                continue
+            run_id = run_dir.getPath().getName()[len("run_id="):]
+            batch_id = int(name[len("batch_id="):])
+            drop_store_batch(spark, layout, run_id, batch_id)
+            fs.create(aborted, True).close()
+            removed.append((run_id, batch_id))
+    return removed
 
 
 def append_store(rows_with_ids: DataFrame, layout: Layout) -> None:

@@ -584,6 +584,10 @@ def oracle_sql() -> dict[str, str]:
             "strftime(updated_at, '%Y-%m-%dT%H:%M:%S')) ORDER BY account_id), []), "
             f"'db_path', {q(catalog.STORE_PATH)}) AS VARCHAR) AS status FROM cursors"),
         "report_text": f"{w} SELECT account_id, uid, {report_sql()} AS report FROM emitted",
+        "json_results": (
+            f"{w} SELECT account_id, uid, CAST(json_object('original_uid', r_original_uid, 'priority', r_priority, "
+            "'summary', r_summary, 'key_entities', r_key_entities, 'action_required', r_action_required, "
+            "'is_truncated', r_is_truncated) AS VARCHAR) AS json FROM emitted"),
         "table_lines": (
             f"{w}, page AS (SELECT * FROM store WHERE id > 0 AND priority = 'Low' ORDER BY id LIMIT 40), "
             "meta AS (SELECT count(*) AS cnt, coalesce(max(id), 0) AS max_id, count(*) = 40 AS has_more FROM page) "

@@ -7,9 +7,9 @@
    ranges because the key includes the uid) and sort within partitions;
 2. tag each row with its partition id and in-partition position
    (``monotonically_increasing_id`` = partition << 33 | position);
-3. materialise once with a reliable checkpoint, so the range bounds (which
-   come from sampling) cannot differ between the counting and numbering
-   passes, and a lost executor only recomputes from the checkpoint;
+3. materialise once as a table in the checkpoint folder, so the range
+   bounds (which come from sampling) cannot differ between the counting and
+   numbering passes, and a lost executor re-reads the table;
 4. count rows per partition (one small number per partition), turn the
    counts into offsets on the driver (bounded by the partition count, not
    the data), and number each row as base + offset[pid] + position + 1.
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stage_table
 
 
 def _num_partitions(df: DataFrame) -> int:
@@ -37,7 +37,7 @@ def assign_dense_ids(df: DataFrame, order: list[str | Column], base: int | Colum
     tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    staged = tagged.checkpoint(eager=True)
+    staged = stage_table(tagged, "ids")
     counts = {r["_pid"]: r["n"] for r in staged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, acc = [], 0
     for pid in range(n):

@@ -416,6 +416,14 @@ def q_report_text(spark, sf):
     return emitted.select("account_id", "uid", report_text("result").alias("report"))
 
 
+def q_json_results(spark, sf):
+    """K9: every emitted result as a JSON object (the fallback rendering)."""
+    from ..functions.render import json_text
+    out = World(spark, sf).outcome[0]
+    emitted = out.filter(~F.col("held") & (F.col("outcome") != "pending"))
+    return emitted.select("account_id", "uid", json_text("result").alias("json"))
+
+
 def q_table_lines(spark, sf):
     s = World(spark, sf).store
     page = Q.query_page(s, 0, 40, priority="Low")
@@ -468,4 +476,5 @@ QUERIES = {
     "status": q_status,
     "report_text": q_report_text,
     "table_lines": q_table_lines,
+    "json_results": q_json_results,
 }

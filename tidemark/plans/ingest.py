@@ -20,7 +20,7 @@ from ..functions.text import body_preview, is_truncated
 from ..operators import enrich as E
 from ..operators.ids import assign_dense_ids
 from ..operators.joins import broadcast_if_small
-from ..session import ensure_checkpoint_dir
+from ..session import stage_table
 
 
 @dataclass
@@ -105,12 +105,12 @@ def fetch(messages: DataFrame, plan: DataFrame, opts: IngestOptions) -> DataFram
              .withColumn("body", F.substring(F.coalesce(F.col("body"), F.lit("")), 1, keep)))
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Materialise once with a reliable checkpoint (shared folder named by
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise once as a table in the shared checkpoint folder (named by
     ``spark.checkpoint.dir``): later steps that read the frame several times
-    see one snapshot, and a lost executor recomputes from the checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    see one snapshot, read only the columns they need, and a lost executor
+    re-reads the table instead of recomputing the plan."""
+    return stage_table(df, name)
 
 
 def outcomes(batch: DataFrame, cache: DataFrame | None, responses: DataFrame | None,
@@ -124,13 +124,13 @@ def outcomes(batch: DataFrame, cache: DataFrame | None, responses: DataFrame | N
         out = E.non_calling(batch, opts.mode).withColumn("held", F.lit(False))
         return out, None
     if staged:
-        batch = stage(batch)
+        batch = stage(batch, "batch")
     dec = E.decide(batch, cache, responses, opts.model, opts.force_reprocess)
     if staged:
-        dec = stage(dec)          # read by the hot-key check, the fan-out and the cache writes
+        dec = stage(dec, "decisions")   # read by the hot-key check, the fan-out and the cache writes
     out = E.attach(batch, dec, opts.force_reprocess, opts.hot_rows)
     if opts.hold_pending:
-        out = E.hold_back_pending(stage(out) if staged else out)
+        out = E.hold_back_pending(stage(out, "fanout") if staged else out)
     else:
         out = out.withColumn("held", F.lit(False))
     writes = E.cache_writes(dec, opts.model or "", opts.created_at_col(), opts.force_reprocess)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import enrich as E
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stage_table
 from ..sinks import tables as T
 from ..sinks.emit import Sink, null_sink
 from . import ingest as I
@@ -36,8 +36,8 @@ from . import ingest as I
 Enricher = Callable[[DataFrame], DataFrame]
 
 
-def _stage(df: DataFrame) -> DataFrame:
-    return df.checkpoint(eager=True)
+def _stage(df: DataFrame, name: str = "run") -> DataFrame:
+    return stage_table(df, name)
 
 
 def emitted_results(out: DataFrame) -> DataFrame:

@@ -62,3 +62,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for staged tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"stage-{name}-{uuid.uuid4().hex[:12]}")
+
+
+def stage_table(df, name: str = "stage"):
+    """Materialise ``df`` once as a Parquet table in the checkpoint folder and
+    return a reader over it.
+
+    Like a reliable checkpoint this cuts lineage (a lost executor re-reads
+    the table instead of recomputing the plan) and gives every later reader
+    one snapshot; unlike an RDD checkpoint, later readers get column pruning
+    and pushed-down filters on the staged data, and writing it is cheaper.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

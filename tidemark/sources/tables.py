@@ -60,7 +60,7 @@ def messages_from_documents(d: DataFrame) -> DataFrame:
     return d.select(
         F.concat(F.lit("acct_"), F.col("source")).alias("account_id"),
         (F.col("doc_id") + 1).alias("uid"),
-        F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 80).alias("subject"),
+        F.substring(F.substring_index(F.col("text"), "\n", 1), 1, 80).alias("subject"),
         F.concat(F.lit("u"), (n % 50).cast("string"), F.lit("@example.com")).alias("sender"),
         _date_header(n, F.col("lang")).alias("date"),
         F.col("text").alias("body"),

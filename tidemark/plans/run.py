@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import enrich as E
-from ..session import ensure_checkpoint_dir, stage_table
+from ..session import drop_staged, ensure_checkpoint_dir, stage_table, staged_mark
 from ..sinks import tables as T
 from ..sinks.emit import Sink, null_sink
 from . import ingest as I
@@ -47,8 +47,17 @@ def emitted_results(out: DataFrame) -> DataFrame:
 def run_ingest(spark: SparkSession, layout: T.Layout, messages: DataFrame, accounts: DataFrame,
                opts: I.IngestOptions, responses: DataFrame | None = None, enricher: Enricher | None = None,
                sink: Sink = null_sink) -> dict:
-    """Run one batch end to end; returns the run summary as a dict."""
+    """Run one batch end to end; returns the run summary as a dict.
+    The run's staged tables are removed when it returns (or fails)."""
     ensure_checkpoint_dir(spark)
+    mark = staged_mark()
+    try:
+        return _run(spark, layout, messages, accounts, opts, responses, enricher, sink)
+    finally:
+        drop_staged(spark, mark)
+
+
+def _run(spark, layout, messages, accounts, opts, responses, enricher, sink) -> dict:
     dry = opts.dry_run
     if not dry:
         T.recover_orphans(spark, layout)

@@ -76,4 +76,26 @@ def stage_table(df, name: str = "stage"):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    _STAGED.append(path)
     return spark.read.parquet(path)
+
+
+_STAGED: list[str] = []
+
+
+def staged_mark() -> int:
+    """Position in the list of staged folders (see ``drop_staged``)."""
+    return len(_STAGED)
+
+
+def drop_staged(spark: SparkSession, since: int) -> int:
+    """Delete the folders staged after ``since`` (a job's own scratch, once
+    nothing reads it any more); returns how many were removed."""
+    paths = _STAGED[since:]
+    del _STAGED[since:]
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        hp.getFileSystem(conf).delete(hp, True)
+    return len(paths)

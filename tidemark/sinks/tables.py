@@ -272,6 +272,7 @@ def upsert_cache(spark: SparkSession, layout: Layout, writes: DataFrame) -> None
     merged.repartition(b, "bucket").write.partitionBy("bucket").parquet(stage)
     (_read(spark, stage, S.CACHE, [("bucket", "int")]).repartition(b, "bucket").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(layout.cache))
+    _delete(spark, stage)
 
 
 def invalidate_cache(spark: SparkSession, layout: Layout, account_id: str | None = None) -> int:
@@ -300,6 +301,7 @@ def invalidate_cache(spark: SparkSession, layout: Layout, account_id: str | None
     if kept_buckets:
         (kept.repartition("bucket").write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(layout.cache))
+    _delete(spark, stage)
     return n
 
 

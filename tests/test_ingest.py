@@ -204,3 +204,14 @@ def test_crash_after_store_append_is_recovered(spark, tmp_root):
     assert {r.run_id for r in st.select("run_id").distinct().collect()} == {"c2"}
     ids = sorted(r.id for r in st.select("id").collect())
     assert ids == list(range(n + 1, 2 * n + 1))          # the aborted range is never reused
+
+
+def test_empty_batch_skips_sink_and_run_id_format(spark, tmp_root):
+    lay = T.Layout(tmp_root, 4)
+    m = TB.messages(spark, SF)
+    called = []
+    s = R.run_ingest(spark, lay, m, TB.accounts(m), I.IngestOptions(run_id=R.new_run_id(), model="m1"),
+                     sink=lambda df, b: called.append(b))     # first run without a date: nothing fetched
+    assert called == [] and s["emit_ok"] is True and s["elapsed_sec"] >= 0
+    rid = R.new_run_id()
+    assert len(rid) == 8 and all(c in "0123456789abcdef" for c in rid)

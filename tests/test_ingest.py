@@ -215,3 +215,15 @@ def test_empty_batch_skips_sink_and_run_id_format(spark, tmp_root):
     assert called == [] and s["emit_ok"] is True and s["elapsed_sec"] >= 0
     rid = R.new_run_id()
     assert len(rid) == 8 and all(c in "0123456789abcdef" for c in rid)
+
+
+def test_fetch_pushes_global_uid_floor_into_scan(spark, tmp_root):
+    spark.range(0, 3000).selectExpr("id + 1 as uid", "concat('a', id % 3) as account_id", "'s' as subject",
+                                    "'x@y' as sender", "'2024-01-05' as date", "'b' as body").write.parquet(tmp_root + "/m")
+    m = spark.read.parquet(tmp_root + "/m")
+    cur = spark.createDataFrame([("a0", 2000, None), ("a1", 2500, None), ("a2", 2200, None)], S.CURSORS)
+    opts = I.IngestOptions(run_id="r", model="m1")
+    b = I.fetch(m, I.run_plan(m.select("account_id").distinct(), cur, opts), opts)
+    assert "GreaterThanOrEqual(uid,2001)" in b._jdf.queryExecution().executedPlan().toString()
+    want = sum(1 for i in range(3000) if i + 1 > {0: 2000, 1: 2500, 2: 2200}[i % 3])
+    assert b.count() == want

@@ -93,9 +93,16 @@ def fetch(messages: DataFrame, plan: DataFrame, opts: IngestOptions) -> DataFram
 
     After the fingerprint and the clip flag are taken, ``body`` keeps only
     the characters any later step reads (the stored preview and the model
-    request clip), so full bodies never enter a shuffle."""
+    request clip), so full bodies never enter a shuffle.
+
+    The smallest start uid over all accounts (one number from the small
+    plan) is also applied as a literal ``uid >=`` filter: it reaches the
+    Parquet scan as a pushed filter, so row groups holding only uids below
+    every cursor are skipped instead of read and joined away."""
     go = broadcast_if_small(plan.filter("guard_ok").select("account_id", "start_uid"))   # per account
-    b = messages.join(go, "account_id").filter(F.col("uid") >= F.col("start_uid")).drop("start_uid")
+    lo = go.agg(F.min("start_uid")).first()[0]
+    src = messages.filter(F.col("uid") >= F.lit(int(lo))) if lo is not None else messages.filter(F.lit(False))
+    b = src.join(go, "account_id").filter(F.col("uid") >= F.col("start_uid")).drop("start_uid")
     b = b.withColumn("sent_at", parse_sent_at("date"))
     if opts.init_start_date:
         b = b.filter(F.col("sent_at") >= day_start(opts.init_start_date))

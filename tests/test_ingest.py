@@ -227,3 +227,25 @@ def test_fetch_pushes_global_uid_floor_into_scan(spark, tmp_root):
     assert "GreaterThanOrEqual(uid,2001)" in b._jdf.queryExecution().executedPlan().toString()
     want = sum(1 for i in range(3000) if i + 1 > {0: 2000, 1: 2500, 2: 2200}[i % 3])
     assert b.count() == want
+
+
+def test_crash_after_cursor_move_keeps_rows_and_batches_keep_audit(spark, tmp_root):
+    lay = T.Layout(tmp_root, 4)
+    m = TB.messages(spark, SF)
+    acc, resp = TB.accounts(m), TB.responses(spark, SF, m)
+    opts = I.IngestOptions(run_id="k1", model="m1", init_start_date="2024-01-01")
+    # steps up to the cursor move, then a crash (no audit, no marker)
+    plan = I.run_plan(acc, T.read_cursors(spark, lay), opts)
+    out, _ = I.outcomes(I.fetch(m, plan, opts), T.read_cache(spark, lay), resp, opts)
+    rows = I.store_rows(out, opts)
+    T.append_store(I.with_ids(rows, T.reserve_ids(spark, lay, "k1", 0, rows.count())), lay)
+    T.upsert_cursors(spark, lay, I.cursor_moves(I.account_stats(plan, out), opts), "k1:0")
+    n = T.read_store(spark, lay).count()
+    # next run: the batch is rolled forward, not removed
+    R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="k2", model="m1"), responses=resp)
+    assert T.read_store(spark, lay).filter("run_id = 'k1'").count() == n
+    # two batches of one run keep both batches' audit rows
+    R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="k3", model="m1", batch_id=0), responses=resp)
+    R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="k3", model="m1", batch_id=1), responses=resp)
+    got = {r.batch_id for r in T.read_audit(spark, lay).filter("run_id = 'k3'").collect()}
+    assert got == {0, 1}

@@ -202,7 +202,8 @@ def audit_rows(stats: DataFrame, opts: IngestOptions, emit_ok: bool = True) -> D
         msg = F.when(nothing, F.lit(K.AUDIT_NO_NEW)).otherwise(F.lit(K.AUDIT_EMIT_FAILED))
     return s.select(
         F.concat(F.lit(opts.run_id + ":" + str(opts.batch_id) + ":"), F.col("account_id")).alias("audit_id"),
-        F.lit(opts.run_id).alias("run_id"), "account_id", ts.alias("timestamp"),
+        F.lit(opts.run_id).alias("run_id"), F.lit(opts.batch_id).cast("bigint").alias("batch_id"),
+        "account_id", ts.alias("timestamp"),
         F.col("before_uid").cast("bigint").alias("before_uid"), after.cast("bigint").alias("after_uid"),
         n.cast("bigint").alias("emails_processed"), status.alias("status"), msg.alias("error_msg"),
     )

@@ -11,13 +11,14 @@ Order of effects for one batch:
    goes into this batch's own (run_id, batch_id) partition;
 4. sink delivery; on failure the batch's store partition is removed again,
    the cursor stays, and FAIL audit rows are written;
-5. cursor versions advance; 6. audit rows; 7. the manifest entry is marked
-   committed.
-
-A crash anywhere before 7 leaves the batch uncommitted: the next run first
-removes store partitions of uncommitted batches (``recover_orphans``), and
-since the cursor did not pass their messages they are fetched again, with
-their answers now in the cache.
+5. a new cursor version, tagged with (run, batch): this is the commit point;
+6. audit rows; 7. the manifest entry is marked committed.
+
+A crash before 5 leaves the batch uncommitted: the next run first removes
+store partitions of uncommitted batches (``recover_orphans``), and since the
+cursor did not pass their messages they are fetched again, with their
+answers now in the cache. A crash after 5 is rolled forward: the newest
+cursor version carries the batch's tag, so its rows are kept.
 """
 
 from __future__ import annotations
@@ -110,7 +111,8 @@ def _run(spark, layout, messages, accounts, opts, responses, enricher, sink) ->
     stats = I.account_stats(plan, out)
     if not dry:
         if emit_ok:
-            T.upsert_cursors(spark, layout, I.cursor_moves(stats, opts))
+            # the cursor version is the batch's commit point (tagged run:batch)
+            T.upsert_cursors(spark, layout, I.cursor_moves(stats, opts), f"{opts.run_id}:{opts.batch_id}")
         T.append_audit(I.audit_rows(stats, opts, emit_ok), layout)
         if emit_ok:
             T.mark_committed(spark, layout, opts.run_id, opts.batch_id)

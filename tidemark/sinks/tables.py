@@ -133,12 +133,18 @@ def mark_committed(spark: SparkSession, layout: Layout, run_id: str, batch_id: i
 
 def recover_orphans(spark: SparkSession, layout: Layout) -> list[tuple[str, int]]:
     """Remove store partitions of batches that reserved ids but never
-    committed (a crash between the store append and the audit): their
-    messages were not passed by the cursor and will be fetched again."""
+    committed (a crash between the store append and the cursor move): their
+    messages were not passed by the cursor and will be fetched again.
+
+    A batch whose cursor version was written (its tag is on the newest
+    cursor version; recovery runs before every batch, so a crashed batch's
+    version is still the newest) is committed: it is rolled forward (marked)
+    rather than removed, because the cursor has already passed its rows."""
     root, fs = _fs(spark, layout.manifest)
     if not fs.exists(root):
         return []
     jvm = spark.sparkContext._jvm
+    committed_tag = latest_commit_tag(spark, layout)
     removed = []
     for run_dir in fs.listStatus(root):
         if not run_dir.isDirectory() or not run_dir.getPath().getName().startswith("run_id="):
@@ -153,6 +159,9 @@ def recover_orphans(spark: SparkSession, layout: Layout) -> list[tuple[str, int]
                 continue
             run_id = run_dir.getPath().getName()[len("run_id="):]
             batch_id = int(name[len("batch_id="):])
+            if committed_tag == f"{run_id}:{batch_id}":
+                fs.create(done, True).close()
+                continue
             drop_store_batch(spark, layout, run_id, batch_id)
             fs.create(aborted, True).close()
             removed.append((run_id, batch_id))
@@ -207,6 +216,16 @@ def read_cursors(spark: SparkSession, layout: Layout) -> DataFrame:
     return spark.read.schema(S.CURSORS).parquet(os.path.join(layout.cursors, f"v={vs[-1]}"))
 
 
+def latest_commit_tag(spark: SparkSession, layout: Layout) -> str | None:
+    """The batch committed by the newest cursor version (None if untagged)."""
+    vs = _versions(spark, layout.cursors)
+    if not vs:
+        return None
+    tag_schema = T.StructType([T.StructField("commit_tag", T.StringType())])
+    row = spark.read.schema(tag_schema).parquet(os.path.join(layout.cursors, f"v={vs[-1]}")).limit(1).collect()
+    return row[0]["commit_tag"] if row else None
+
+
 def merge_cursors(current: DataFrame, moves: DataFrame) -> DataFrame:
     """K2 semantics: last value wins per account (may move backwards on
     force/reset, as the original upsert did)."""
@@ -216,12 +235,14 @@ def merge_cursors(current: DataFrame, moves: DataFrame) -> DataFrame:
     return latest.select("account_id", "r.last_uid", "r.updated_at")
 
 
-def upsert_cursors(spark: SparkSession, layout: Layout, moves: DataFrame) -> None:
+def upsert_cursors(spark: SparkSession, layout: Layout, moves: DataFrame, commit_tag: str | None = None) -> None:
     """K2 on the table: a new version folder holding the merged cursors.
-    The cursor table is one row per account (a dimension), so one file."""
+    The cursor table is one row per account (a dimension), so one file.
+    ``commit_tag`` ("run:batch") is stored with the version: the cursor move
+    is the commit point of a batch, and recovery reads the tag back."""
     vs = _versions(spark, layout.cursors)
     version = (vs[-1] + 1) if vs else 1
-    out = merge_cursors(read_cursors(spark, layout), moves)
+    out = merge_cursors(read_cursors(spark, layout), moves).withColumn("commit_tag", F.lit(commit_tag).cast("string"))
     out.coalesce(1).write.mode("overwrite").parquet(os.path.join(layout.cursors, f"v={version}"))
 
 
@@ -232,10 +253,11 @@ def read_audit(spark: SparkSession, layout: Layout) -> DataFrame:
 
 
 def append_audit(rows: DataFrame, layout: Layout) -> None:
-    """Keyed by audit_id (run:batch:account): a replay replaces its rows."""
+    """Keyed by audit_id (run:batch:account); one partition per (run, batch),
+    so a replay replaces its own rows and other batches of the run stay."""
     cols = [f.name for f in S.AUDIT.fields]
     (rows.select(*cols).coalesce(1).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(layout.audit))
+        .option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch_id").parquet(layout.audit))
 
 
 # --- cache (K4, K5) -----------------------------------------------------------

@@ -29,8 +29,13 @@ def _conf_int(df: DataFrame, key: str, default: int) -> int:
         return default
 
 
+def broadcast_limit(df: DataFrame) -> int:
+    """Row bound under which a per-key side may be broadcast."""
+    return _conf_int(df, "tidemark.broadcast.maxRows", DEFAULT_BROADCAST_ROWS)
+
+
 def broadcast_if_small(small: DataFrame, max_rows: int | None = None) -> DataFrame:
-    limit = max_rows or _conf_int(small, "tidemark.broadcast.maxRows", DEFAULT_BROADCAST_ROWS)
+    limit = max_rows or broadcast_limit(small)
     n = small.limit(limit + 1).count()
     return F.broadcast(small) if n <= limit else small
 

@@ -19,7 +19,7 @@ from ..functions.results import flatten_result
 from ..functions.text import body_preview, is_truncated
 from ..operators import enrich as E
 from ..operators.ids import assign_dense_ids
-from ..operators.joins import broadcast_if_small
+from ..operators.joins import broadcast_limit
 from ..session import stage_table
 
 
@@ -99,8 +99,11 @@ def fetch(messages: DataFrame, plan: DataFrame, opts: IngestOptions) -> DataFram
     plan) is also applied as a literal ``uid >=`` filter: it reaches the
     Parquet scan as a pushed filter, so row groups holding only uids below
     every cursor are skipped instead of read and joined away."""
-    go = broadcast_if_small(plan.filter("guard_ok").select("account_id", "start_uid"))   # per account
-    lo = go.agg(F.min("start_uid")).first()[0]
+    go = plan.filter("guard_ok").select("account_id", "start_uid")
+    # one small job on the per-account plan: its size (checked bound for the
+    # broadcast) and the lowest start uid
+    n, lo = go.agg(F.count(F.lit(1)), F.min("start_uid")).first()
+    go = F.broadcast(go) if n <= broadcast_limit(go) else go
     src = messages.filter(F.col("uid") >= F.lit(int(lo))) if lo is not None else messages.filter(F.lit(False))
     b = src.join(go, "account_id").filter(F.col("uid") >= F.col("start_uid")).drop("start_uid")
     b = b.withColumn("sent_at", parse_sent_at("date"))

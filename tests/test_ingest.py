@@ -249,3 +249,28 @@ def test_crash_after_cursor_move_keeps_rows_and_batches_keep_audit(spark, tmp_ro
     R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="k3", model="m1", batch_id=1), responses=resp)
     got = {r.batch_id for r in T.read_audit(spark, lay).filter("run_id = 'k3'").collect()}
     assert got == {0, 1}
+
+
+def test_enricher_callable_is_called_once_per_needed_fingerprint(spark, tmp_root):
+    lay = T.Layout(tmp_root, 4)
+    m, _ = _world(spark)
+    acc = m.select("account_id").distinct()
+    seen = []
+
+    def enricher(req):
+        # a stand-in model: answers every request from its prompt text
+        seen.append(req.count())
+        return req.select("content_hash", "model_version", F.concat(
+            F.lit('{"priority": "'), F.when(F.col("prompt").contains("bad"), F.lit("Spam")).otherwise(F.lit("Low")),
+            F.lit('", "summary": "auto"}')).alias("raw_json"))
+
+    s = R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="e1", model="m1", init_start_date="2024-01-01"),
+                     enricher=enricher)
+    assert seen == [4]                      # 4 distinct fingerprints among 6 messages
+    assert s["llm_calls"] == 4 and s["cache_hits"] == 2 and s["pending"] == 0
+    pri = {(r.account_id, r.uid): r.priority for r in T.read_store(spark, lay).collect()}
+    assert pri[("a", 2)] == pri[("b", 2)] == "Spam" and pri[("a", 1)] == "Low"
+    # second run: everything is cached, the enricher gets nothing to answer
+    seen.clear()
+    s2 = R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="e2", model="m1", force_from_uid=1), enricher=enricher)
+    assert seen in ([], [0]) and s2["cache_hits"] == 6 and s2["llm_calls"] == 0

@@ -93,7 +93,9 @@ def sent_at_sql(col: str = "date") -> str:
     mon = f"list_position({lst(D.MONTHS)}, upper(substr({mon_txt}, 1, 1)) || lower(substr({mon_txt}, 2)))"
     sign = f"(CASE WHEN {g(m, 7)} = '-' THEN -1 ELSE 1 END)"
     off = f"{sign} * (coalesce({_int(g(m, 8))}, 0) * 60 + coalesce({_int(g(m, 9))}, 0))"
-    mail = (f"make_timestamp({_int(g(m, 3))}, {mon}, {_int(g(m, 1))}, {_int(g(m, 4))}, {_int(g(m, 5))}, "
+    y = _int(g(m, 3))
+    year = f"(CASE WHEN length({g(m, 3)}) = 2 THEN (CASE WHEN {y} < 50 THEN {y} + 2000 ELSE {y} + 1900 END) ELSE {y} END)"
+    mail = (f"make_timestamp({year}, {mon}, {_int(g(m, 1))}, {_int(g(m, 4))}, {_int(g(m, 5))}, "
             f"CAST(coalesce({_int(g(m, 6))}, 0) AS DOUBLE)) - to_minutes(CAST({off} AS BIGINT))")
     iso = (f"make_timestamp({_int(g(i, 1))}, {_int(g(i, 2))}, {_int(g(i, 3))}, coalesce({_int(g(i, 4))}, 0), "
            f"coalesce({_int(g(i, 5))}, 0), CAST(coalesce({_int(g(i, 6))}, 0) AS DOUBLE))")

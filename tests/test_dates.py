@@ -42,3 +42,9 @@ def test_bad_init_date_fails_early():
     with pytest.raises(ValueError):
         check_day("2024-13-01")
     assert check_day(None) is None and check_day("") is None
+
+
+def test_two_digit_years(spark):
+    df = spark.createDataFrame([("Fri, 21 Nov 97 09:55:06 -0600",), ("1 Jan 05 00:00 GMT",)], "date string")
+    got = [r[0] for r in df.select(parse_sent_at("date")).collect()]
+    assert got == [dt.datetime(1997, 11, 21, 15, 55, 6), dt.datetime(2005, 1, 1, 0, 0)]

@@ -4,7 +4,7 @@
 it does not depend on the session time zone. Two forms are read:
 
 * mail form: ``[Wkd, ]d Mon yyyy HH:mm[:ss] [+hhmm|-hhmm|GMT|UT|UTC|Z] [(comment)]``
-  (no zone means UTC);
+  (no zone means UTC; an obsolete two-digit year yy is 20yy below 50, else 19yy);
 * ISO form: ``yyyy-mm-dd[( |T)HH:mm[:ss]]``.
 
 Anything else, or an impossible calendar value, gives null.
@@ -20,7 +20,7 @@ from .common import let
 # fixed values: English month abbreviations used by mail date headers
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
-MAIL_RE = (r"^\s*(?:[A-Za-z]{3},\s*)?(\d{1,2})\s+([A-Za-z]{3})\s+(\d{4})\s+(\d{1,2}):(\d{2})"
+MAIL_RE = (r"^\s*(?:[A-Za-z]{3},\s*)?(\d{1,2})\s+([A-Za-z]{3})\s+(\d{4}|\d{2})\s+(\d{1,2}):(\d{2})"
            r"(?::(\d{2}))?\s*(?:([+-])(\d{2})(\d{2})|GMT|UTC|UT|Z)?\s*(?:\([^)]*\))?\s*$")
 ISO_RE = r"^\s*(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2}))?)?\s*$"
 
@@ -58,8 +58,10 @@ def _timestamp(p: Column) -> Column:
     g, h = p["mg"], p["ig"]
     months = F.array(*[F.lit(m) for m in MONTHS])
     mon = F.array_position(months, F.initcap(g[2])).cast("int")
+    y = _int(g[3])
+    year = F.when(F.length(g[3]) == 2, F.when(y < 50, y + 2000).otherwise(y + 1900)).otherwise(y)
     mail_local = F.try_make_timestamp_ntz(
-        _int(g[3]), F.when(mon > 0, mon), _int(g[1]), _int(g[4]), _int(g[5]), F.coalesce(_int(g[6]), F.lit(0)))
+        year, F.when(mon > 0, mon), _int(g[1]), _int(g[4]), _int(g[5]), F.coalesce(_int(g[6]), F.lit(0)))
     sign = F.when(g[7] == "-", F.lit(-1)).otherwise(F.lit(1))
     off_min = sign * (F.coalesce(_int(g[8]), F.lit(0)) * 60 + F.coalesce(_int(g[9]), F.lit(0)))
     mail_utc = mail_local - F.make_dt_interval(F.lit(0), F.lit(0), off_min, F.lit(0))

@@ -274,3 +274,23 @@ def test_enricher_callable_is_called_once_per_needed_fingerprint(spark, tmp_root
     seen.clear()
     s2 = R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="e2", model="m1", force_from_uid=1), enricher=enricher)
     assert seen in ([], [0]) and s2["cache_hits"] == 6 and s2["llm_calls"] == 0
+
+
+def test_compact_history_keeps_ids_and_cursors(spark, tmp_root):
+    lay = T.Layout(tmp_root, 4)
+    m = TB.messages(spark, SF)
+    acc, resp = TB.accounts(m), TB.responses(spark, SF, m)
+    R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="h1", model="m1", init_start_date="2024-01-01"),
+                 responses=resp)
+    R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="h2", model="m1"), responses=resp)
+    R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="h3", model="m1"), responses=resp)
+    before = {r.account_id: r.last_uid for r in T.read_cursors(spark, lay).collect()}
+    top = T.read_store(spark, lay).agg(F.max("id")).first()[0]
+    got = T.compact_history(spark, lay, keep_cursor_versions=2)
+    assert got["cursor_versions_removed"] >= 1 and got["manifest_entries_folded"] >= 1
+    assert {r.account_id: r.last_uid for r in T.read_cursors(spark, lay).collect()} == before
+    assert len(T._versions(spark, lay.cursors)) == 2
+    # a replay from uid 1 gets ids after everything reserved before compaction
+    R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="h4", model="m1", force_from_uid=1), responses=resp)
+    new_ids = [r.id for r in T.read_store(spark, lay).filter("run_id = 'h4'").select("id").collect()]
+    assert new_ids and min(new_ids) > top

@@ -332,3 +332,52 @@ def remaining_after_invalidate(cache: DataFrame, account_id: str | None) -> Data
     if not account_id:
         return cache.filter(F.lit(False))
     return cache.filter(F.col("account_id") != account_id)
+
+
+# --- history compaction ------------------------------------------------------------
+
+FLOOR_RUN = "_floor"
+
+
+def compact_history(spark: SparkSession, layout: Layout, keep_cursor_versions: int = 2) -> dict:
+    """Bound the small per-batch folders a long-running deployment gathers.
+
+    * cursor versions older than the newest ``keep_cursor_versions`` are
+      removed (recovery only reads the newest version's commit tag);
+    * finalised manifest entries (committed or aborted) are folded into one
+      floor row that keeps the highest reserved id, so ids are still never
+      reused; in-flight entries are left alone.
+    """
+    removed_versions = 0
+    vs = _versions(spark, layout.cursors)
+    for v in vs[:max(0, len(vs) - max(1, keep_cursor_versions))]:
+        _delete(spark, os.path.join(layout.cursors, f"v={v}"))
+        removed_versions += 1
+
+    root, fs = _fs(spark, layout.manifest)
+    if not fs.exists(root):
+        return {"cursor_versions_removed": removed_versions, "manifest_entries_folded": 0}
+    jvm = spark.sparkContext._jvm
+    final = []
+    for run_dir in fs.listStatus(root):
+        rname = run_dir.getPath().getName()
+        if not run_dir.isDirectory() or not rname.startswith("run_id=") or rname == f"run_id={FLOOR_RUN}":
+            continue
+        for b_dir in fs.listStatus(run_dir.getPath()):
+            if not b_dir.getPath().getName().startswith("batch_id="):
+                continue
+            done = fs.exists(jvm.org.apache.hadoop.fs.Path(b_dir.getPath(), "_COMMITTED"))
+            aborted = fs.exists(jvm.org.apache.hadoop.fs.Path(b_dir.getPath(), "_ABORTED"))
+            if done or aborted:
+                final.append(b_dir.getPath().toString())
+    if not final:
+        return {"cursor_versions_removed": removed_versions, "manifest_entries_folded": 0}
+    top = int(read_manifest(spark, layout).agg(
+        F.coalesce(F.max(F.col("first_id") + F.col("rows") - 1), F.lit(0))).first()[0])
+    floor = spark.createDataFrame([(FLOOR_RUN, 0, top, 1)], MANIFEST)     # covers ids up to top
+    (floor.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_id", "batch_id").parquet(layout.manifest))
+    mark_committed(spark, layout, FLOOR_RUN, 0)
+    for path in final:
+        _delete(spark, path)
+    return {"cursor_versions_removed": removed_versions, "manifest_entries_folded": len(final)}

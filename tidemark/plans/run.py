@@ -54,18 +54,20 @@ def emitted_results(out: DataFrame) -> DataFrame:
 
 def run_ingest(spark: SparkSession, layout: T.Layout, messages: DataFrame, accounts: DataFrame,
                opts: I.IngestOptions, responses: DataFrame | None = None, enricher: Enricher | None = None,
-               sink: Sink = null_sink) -> dict:
+               sink: Sink = null_sink, keep_backlog: bool = False) -> dict:
     """Run one batch end to end; returns the run summary as a dict.
-    The run's staged tables are removed when it returns (or fails)."""
+    The run's staged tables are removed when it returns (or fails).
+    ``keep_backlog`` (streaming): held-back rows are kept in a backlog table
+    for the next micro-batch, since a file source never re-delivers them."""
     ensure_checkpoint_dir(spark)
     mark = staged_mark()
     try:
-        return _run(spark, layout, messages, accounts, opts, responses, enricher, sink)
+        return _run(spark, layout, messages, accounts, opts, responses, enricher, sink, keep_backlog)
     finally:
         drop_staged(spark, mark)
 
 
-def _run(spark, layout, messages, accounts, opts, responses, enricher, sink) -> dict:
+def _run(spark, layout, messages, accounts, opts, responses, enricher, sink, keep_backlog=False) -> dict:
     t0 = time.monotonic()
     dry = opts.dry_run
     if not dry:
@@ -115,6 +117,8 @@ def _run(spark, layout, messages, accounts, opts, responses, enricher, sink) ->
             T.upsert_cursors(spark, layout, I.cursor_moves(stats, opts), f"{opts.run_id}:{opts.batch_id}")
         T.append_audit(I.audit_rows(stats, opts, emit_ok), layout)
         if emit_ok:
+            if keep_backlog:
+                T.write_backlog(out, layout)
             T.mark_committed(spark, layout, opts.run_id, opts.batch_id)
 
     summary = I.run_summary(plan, out).first().asDict()

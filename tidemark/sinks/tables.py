@@ -55,6 +55,10 @@ class Layout:
     def cache(self):
         return os.path.join(self.root, "cache")
 
+    @property
+    def backlog(self):
+        return os.path.join(self.root, "backlog")
+
     @property
     def manifest(self):
         return os.path.join(self.root, "manifest")
@@ -381,3 +385,17 @@ def compact_history(spark: SparkSession, layout: Layout, keep_cursor_versions: i
     for path in final:
         _delete(spark, path)
     return {"cursor_versions_removed": removed_versions, "manifest_entries_folded": len(final)}
+
+
+# --- held-back messages for streaming runs -------------------------------------------
+
+def read_backlog(spark: SparkSession, layout: Layout) -> DataFrame:
+    """Messages held back by earlier micro-batches (pending answers)."""
+    return _read(spark, layout.backlog, S.MESSAGE).select(*[f.name for f in S.MESSAGE.fields])
+
+
+def write_backlog(out: DataFrame, layout: Layout) -> None:
+    """Replace the backlog with this batch's held rows (their bodies are the
+    trimmed ones, which give identical fingerprints, flags and previews)."""
+    cols = [f.name for f in S.MESSAGE.fields]
+    out.filter(F.col("held")).select(*cols).write.mode("overwrite").parquet(layout.backlog)

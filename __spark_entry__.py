@@ -28,6 +28,12 @@ from tidemark.plans import catalog  # noqa: E402
 from tidemark.session import ensure_checkpoint_dir  # noqa: E402
 from tidemark.sources import tables as TB  # noqa: E402
 
+try:  # the training-data operators and their pipeline are an optional part
+    import corpus_pipeline
+    from tidemark.llm import queries as llm_queries
+except ImportError:
+    corpus_pipeline = llm_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -45,7 +51,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             return fn(spark, sf_dir)
         run.__name__ = fn.__name__
         return run
-    return {k: wrap(v) for k, v in catalog.QUERIES.items()}
+    optional = {**llm_queries.QUERIES, "pipeline": corpus_pipeline.run} if llm_queries else {}
+    return {k: wrap(v) for k, v in (catalog.QUERIES | optional).items()}
 
 
 # ---------------------------------------------------------------------------
@@ -602,4 +609,8 @@ def oracle_sql() -> dict[str, str]:
             "CAST(max_id AS VARCHAR) || ' | has_more=' || CASE WHEN has_more THEN 'True' ELSE 'False' END FROM meta WHERE cnt > 0"),
     }
     out["stream_once"] = out["emails_append"]
+    if llm_queries:
+        out |= llm_queries.ORACLES
+        if corpus_pipeline.ORACLE_SQL:
+            out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out

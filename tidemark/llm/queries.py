@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, exact_dedup, packing, substring_dedup
+from tidemark.llm import byte_bpe, chat_format, exact_dedup, near_dedup, packing, substring_dedup
 from tidemark.llm.common import table, text_of
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -22,6 +22,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component at 85 % of three-word shingles."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated 200-byte strings."""
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -83,5 +88,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_suffix_dedup, op8_pack_power_of_two, op9_exact_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_minhash_forest, op4_suffix_dedup, op8_pack_power_of_two, op9_exact_dedup, op10_chat_format)}
 ORACLES = {"op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}

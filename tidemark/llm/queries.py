@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, exact_dedup, near_dedup, packing, quality, substring_dedup
+from tidemark.llm import byte_bpe, chat_format, exact_dedup, near_dedup, packing, pii, quality, substring_dedup
 from tidemark.llm.common import table, text_of
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -34,6 +34,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, count="n_entities")
+
+
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its weight, sample key and decision."""
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -93,5 +99,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_minhash_forest, op4_suffix_dedup, op7_importance_resampling, op8_pack_power_of_two, op9_exact_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_minhash_forest, op4_suffix_dedup, op5_surrogates, op7_importance_resampling, op8_pack_power_of_two, op9_exact_dedup, op10_chat_format)}
 ORACLES = {"op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}

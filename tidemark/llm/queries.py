@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, exact_dedup, near_dedup, packing, pii, quality, substring_dedup
+from tidemark.llm import byte_bpe, chat_format, exact_dedup, fingerprint, near_dedup, packing, pii, quality, substring_dedup
 from tidemark.llm.common import table, text_of
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -22,6 +22,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint against its edited text and its successor."""
+    out = fingerprint.compare_edited(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", "edited_sha256", fingerprint.as_text(F.col("samples")).alias("fingerprint"),
+                      fingerprint.as_text(F.col("edited_samples")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component at 85 % of three-word shingles."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
@@ -99,5 +106,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_minhash_forest, op4_suffix_dedup, op5_surrogates, op7_importance_resampling, op8_pack_power_of_two, op9_exact_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_weighted_sampling, op3_minhash_forest, op4_suffix_dedup, op5_surrogates, op7_importance_resampling, op8_pack_power_of_two, op9_exact_dedup, op10_chat_format)}
 ORACLES = {"op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}

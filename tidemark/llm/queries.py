@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, exact_dedup, fingerprint, near_dedup, packing, pii, quality, substring_dedup
+from tidemark.llm import byte_bpe, chat_format, exact_dedup, fingerprint, html_extract, near_dedup, packing, pii, quality, substring_dedup
 from tidemark.llm.common import table, text_of
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -47,6 +47,12 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, count="n_entities")
 
 
+def op6_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    out = html_extract.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its weight, sample key and decision."""
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -106,5 +112,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_weighted_sampling, op3_minhash_forest, op4_suffix_dedup, op5_surrogates, op7_importance_resampling, op8_pack_power_of_two, op9_exact_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_weighted_sampling, op3_minhash_forest, op4_suffix_dedup, op5_surrogates, op6_style_tree, op7_importance_resampling, op8_pack_power_of_two, op9_exact_dedup, op10_chat_format)}
 ORACLES = {"op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}

@@ -376,6 +376,18 @@ def _codepoint(n: str) -> str:
             f"THEN chr(CAST({n} AS INTEGER)) ELSE chr(65533) END)")
 
 
+# The oracle's own spelling of the rules, in the RE2 dialect.
+_ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+_DROP = [r"(?s)<!--.*?(-->|\z)", r"(?is)<head[\s>].*?</head\s*>", r"(?is)<script[\s>].*?(</script\s*>|\z)",
+         r"(?is)<style[\s>].*?(</style\s*>|\z)"]
+_LINK = (r"""(?is)<a(?:\s+[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?)*?"""
+         r"""\s+href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""" + _ATTRS + ">")
+_LINK_END = r"(?i)</a\s*>"
+_ANY_TAG = r"</?[A-Za-z!?]" + _ATTRS + ">"
+_REFERENCE = r"&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]{0,31};|[^&]+|&"
+_SPACE = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def decode_sql(x: str) -> str:
     hexn = "TRY_CAST('0x' || substr(t, 4, length(t) - 4) AS BIGINT)"
     decn = "TRY_CAST(substr(t, 3, length(t) - 3) AS BIGINT)"
@@ -383,30 +395,30 @@ def decode_sql(x: str) -> str:
            f"WHEN starts_with(t, '&#') THEN {_codepoint(decn)} "
            f"WHEN starts_with(t, '&') AND ends_with(t, ';') THEN {_entity_case('t')} ELSE t END")
     return (f"(CASE WHEN contains({x}, '&') THEN array_to_string(list_transform("
-            f"regexp_extract_all({x}, {q(H.ENTITY_TOKEN_RE)}), lambda t: {tok}), '') ELSE {x} END)")
+            f"regexp_extract_all({x}, {q(_REFERENCE)}), lambda t: {tok}), '') ELSE {x} END)")
 
 
 def strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, {q(H.STRIP_RE)}, '', 'g')"
+    return f"regexp_replace({x}, {q('^' + _SPACE + '+|' + _SPACE + '+$')}, '', 'g')"
 
 
 def html_to_text_sql(col: str) -> str:
     s = col
-    for pat in (H.COMMENT_RE, H.HEAD_RE, H.SCRIPT_RE, H.STYLE_RE):
+    for pat in _DROP:
         s = f"regexp_replace({s}, {q(pat)}, chr(1), 'g')"
-    s = f"regexp_replace({s}, {q(H.A_OPEN_RE)}, chr(2) || '\\1\\2\\3' || chr(3), 'g')"
-    s = f"regexp_replace({s}, {q(H.A_CLOSE_RE)}, chr(4), 'g')"
+    s = f"regexp_replace({s}, {q(_LINK)}, chr(2) || '\\1\\2\\3' || chr(3), 'g')"
+    s = f"regexp_replace({s}, {q(_LINK_END)}, chr(4), 'g')"
     href = "split_part(seg, chr(3), 1)"
     after = f"substr(seg, length({href}) + 2)"
     content = f"split_part({after}, chr(4), 1)"
     rest = f"substr({after}, length({content}) + 2)"
-    text = decode_sql(f"regexp_replace({content}, {q(H.TAG_RE)}, '', 'g')")
+    text = decode_sql(f"regexp_replace({content}, {q(_ANY_TAG)}, '', 'g')")
     href_t = decode_sql(href)
     rep = f"(CASE WHEN {strip_sql(text)} <> '' THEN {text} || ' (' || {href_t} || ')' ELSE {href_t} END)"
     anchor = f"chr(1) || replace({rep}, '&', chr(6)) || chr(1) || {rest}"
     s = (f"(SELECT segs[1] || array_to_string(list_transform(segs[2:], lambda seg: {anchor}), '') "
          f"FROM (SELECT string_split({s}, chr(2)) AS segs))")
-    s = f"regexp_replace({s}, {q(H.TAG_RE + '|' + H.A_CLOSE)}, chr(1), 'g')"
+    s = f"regexp_replace({s}, {q(_ANY_TAG + '|' + chr(4))}, chr(1), 'g')"
     nodes = f"list_filter(list_transform(string_split({s}, chr(1)), lambda n: {strip_sql(decode_sql('n'))}), lambda n: n <> '')"
     return f"(CASE WHEN {col} IS NULL THEN NULL ELSE replace(array_to_string({nodes}, chr(10)), chr(6), '&') END)"
 

@@ -37,11 +37,19 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Memo, text_of
 
 #: Words and pieces that a worker remembers (about 200 bytes each).
-CACHE_WORDS, CACHE_PIECES = 400_000, 1_200_000
+CACHE_WORDS, CACHE_PIECES = 200_000, 500_000
 #: Bytes of ids in one output batch.
 OUT_BYTES = 8_000_000
 
 
+@lru_cache(maxsize=2)
+def tokens(path: str) -> dict[int, bytes]:
+    """The bytes of each id of a rank file."""
+    with open(path, "rb") as f:
+        pairs = [line.split() for line in f if line.strip()]
+    return {int(b): base64.b64decode(a) for a, b in pairs}
+
+
 class Vocabulary:
     """The ranks of one file, with the encoder built on them."""
 
@@ -49,10 +57,8 @@ class Vocabulary:
         import ahocorasick
         import regex
 
-        with open(path, "rb") as f:
-            pairs = [line.split() for line in f if line.strip()]
-        self.rank = {base64.b64decode(a): int(b) for a, b in pairs}
-        self.token = {b: a for a, b in self.rank.items()}
+        self.token = tokens(path)
+        self.rank = {t: i for i, t in self.token.items()}
         self.split = regex.compile(pattern).findall
         # last merge of each token (None for a single byte); tokens that merging never reaches get no entry
         self.merge: dict[int, tuple[int, int] | None] = {}
@@ -143,10 +149,6 @@ class Vocabulary:
             return b"".join(map(self.piece_ids.__getitem__, self.split(text)))
         return b"".join(map(self.piece_ids.__getitem__, self.split(first))) + b"".join(parts)
 
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes that ``ids`` stand for."""
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 def _merge_below(data: bytes, rank: dict[bytes, int], limit: int) -> list[int]:
     """``data`` merged by all ranks under ``limit``, as ids."""
@@ -179,40 +181,29 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
         yield pa.record_batch([pa.array(keys, schema[0].type), pa.array(values, schema[1].type)], schema=schema)
 
 
-def _map(df: DataFrame, value: str, path: str, pattern: str, method: str, out: str) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), (out, pa.binary())])
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``docs`` (doc_id, text) as doc_id, ids (little-endian unsigned 32-bit)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apply = getattr(vocabulary(path, pattern), method)
+        encoder = vocabulary(path, pattern)
+        rows = ((i.as_py(), encoder.encode(t.as_py())) for b in batches for i, t in zip(b.column("doc_id"), b.column("text"), strict=True))
+        yield from _batches(rows, schema)
 
-        def rows():
-            for batch in batches:
-                ids, values = batch.column("doc_id"), batch.column(value)
-                for i in range(batch.num_rows):
-                    yield ids[i].as_py(), apply(values[i].as_py())
-
-        yield from _batches(rows(), schema)
-
-    return df.mapInArrow(run, f"doc_id long, {out} binary")
-
-
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``docs`` (doc_id, text) as doc_id, ids (little-endian unsigned 32-bit)."""
-    return _map(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")), "text", path, pattern, "encode", "ids")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` (doc_id, ids) as doc_id, ids, decoded (bytes)."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back = vocabulary(path, pattern).decode
+        token = tokens(path).__getitem__
         for batch in batches:
-            ids = batch.column("ids")
             step = max(1, int(batch.num_rows * OUT_BYTES / max(batch.nbytes, 1)))
             for at in range(0, batch.num_rows, step):
-                part = ids.slice(at, step)
-                texts = pa.array([back(x.as_py() or b"") for x in part], pa.binary())
-                yield pa.record_batch([batch.column("doc_id").slice(at, step), part, texts], schema=schema)
+                part = batch.slice(at, step)
+                texts = [b"".join(map(token, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in part.column("ids")]
+                yield pa.record_batch([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.binary())], schema=schema)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")

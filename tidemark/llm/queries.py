@@ -17,7 +17,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again."""
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode(encoded, BYTE_BPE, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(encoded, BYTE_BPE)
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                           F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -6,9 +6,11 @@ counts labelled good documents, the *raw* model counts every document. A
 document's weight is the mean log ratio of its n-grams under the two models.
 Documents are sampled without replacement by Gumbel top-k: each one's key is
 ``weight / TEMPERATURE`` plus keyed Gumbel noise, and the ``k`` largest keys
-stay. ``k`` is the number of documents whose weight reaches the weight that
-``KEEP_TARGET`` of the held-out good labels reach, so the classifier drops
-what looks unlike the target and the noise only decides near that line.
+stay. ``k`` is the number of documents whose weight reaches a line: the weight
+that ``KEEP_TARGET`` of the held-out good rows reach, lowered half way to
+where ``DROP_BAD`` of the bad ones end, if that is further down. So the
+classifier drops what looks unlike the target, leaves a margin for good
+documents, and the noise only decides near the line.
 
 * Counting is one pass that adds up per task and sends each bucket once, so
   the shuffle is at most ``BUCKETS`` rows per task.
@@ -41,8 +43,9 @@ from tidemark.llm.shingles import word_hashes
 from tidemark.session import stage_table
 
 #: Buckets of the hashed n-grams; most labelled rows used; share of held-out
-#: good rows that the line keeps; sharpness of sampling; seed of the noise.
-BUCKETS, LABELS, KEEP_TARGET, TEMPERATURE, SEED = 1 << 16, 20_000, 0.999, 0.002, 7
+#: good rows that the line keeps, and of bad ones that it aims to drop;
+#: sharpness of sampling; seed of the noise.
+BUCKETS, LABELS, KEEP_TARGET, DROP_BAD, TEMPERATURE, SEED = 1 << 16, 20_000, 0.999, 0.95, 0.002, 7
 #: Bins per pass of the selection, and keys that one last pass may sort.
 BINS, LAST = 4096, 10_000
 
@@ -124,9 +127,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if counts["target"].sum() == 0:
         return Model(np.zeros(BUCKETS), -np.inf)
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    held = texts.join(F.broadcast(sample.where("good and not fit").select("doc_id")), "doc_id")
-    weights = np.sort(weighed(held, ratio).select("__weight").toPandas()["__weight"].to_numpy())  # at most LABELS distinct ids
-    line = weights[int((1 - KEEP_TARGET) * len(weights))] if len(weights) else -np.inf
+    held = texts.join(F.broadcast(sample.where("not fit").select("doc_id", "good")), "doc_id")
+    weights = weighed(held, ratio).select("good", "__weight").toPandas()  # at most LABELS distinct ids
+    good, bad = (weights.loc[weights["good"] == x, "__weight"] for x in (True, False))
+    if good.empty:
+        return Model(ratio, -np.inf)
+    line = good.quantile(1 - KEEP_TARGET, "lower")
+    if not bad.empty:  # half way down to the bad rows, where they leave a gap
+        line = min(line, (line + bad.quantile(DROP_BAD, "higher")) / 2)
     return Model(ratio, float(line))
 
 

@@ -16,7 +16,8 @@ def results(spark):
     rows = [("acc1", 1, (1, "High", "Sum one", ["Order 7", "Paris"], True, False)),
             ("acc1", 2, (2, "Error", "bad", [], True, True)),
             ("acc2", 3, (3, "Spam", None, None, False, None))]
-    return spark.createDataFrame(rows, f"account_id string, uid long, result {S.RESULT.simpleString()}")
+    df = spark.createDataFrame(rows, f"account_id string, uid long, result {S.RESULT.simpleString()}")
+    return df.withColumn("run_id", F.lit("r1"))
 
 
 def expected_block(uid, pri, summary, ents, action, trunc):
@@ -36,23 +37,26 @@ def test_report_text_blocks(spark):
     assert got[3] == expected_block(3, "Spam", "None", [], False, False)
 
 
-def test_json_file_sink_partitions_by_account(spark, tmp_root):
+def written(out):
+    files = glob.glob(os.path.join(out, "run_id=r1", "batch_id=*", "account_id=*", "*.txt"))
+    return [(f.split(os.sep)[-3], f.split(os.sep)[-2], json.loads(line)["original_uid"]) for f in files for line in open(f, encoding="utf-8")]
+
+
+def test_json_file_sink_keeps_batches_apart(spark, tmp_root):
     out = os.path.join(tmp_root, "json")
     json_file_sink(out)(results(spark), 0)
-    files = glob.glob(os.path.join(out, "account_id=*", "*.txt"))
-    docs = [json.loads(line) for f in files for line in open(f, encoding="utf-8")]
-    assert sorted(d["original_uid"] for d in docs) == [1, 2, 3]
-    assert {os.path.basename(os.path.dirname(f)) for f in files} == {"account_id=acc1", "account_id=acc2"}
-    # a replay for acc1 replaces acc1's folder only
-    json_file_sink(out)(results(spark).filter("account_id = 'acc1' AND uid = 1"), 1)
-    docs = [json.loads(line) for f in glob.glob(os.path.join(out, "account_id=*", "*.txt")) for line in open(f)]
-    assert sorted(d["original_uid"] for d in docs) == [1, 3]
+    first = [("batch_id=0", "account_id=acc1", 1), ("batch_id=0", "account_id=acc1", 2), ("batch_id=0", "account_id=acc2", 3)]
+    assert sorted(written(out)) == first
+    one = results(spark).filter("account_id = 'acc1' AND uid = 1")
+    json_file_sink(out)(one, 1)                # a later batch adds to the first
+    json_file_sink(out)(one, 1)                # and its replay replaces only itself
+    assert sorted(written(out)) == first + [("batch_id=1", "account_id=acc1", 1)]
 
 
 def test_report_sink_and_json_text(spark, tmp_root):
     out = os.path.join(tmp_root, "rep")
     report_sink(out)(results(spark), 0)
-    text = "".join(open(f, encoding="utf-8").read() for f in glob.glob(os.path.join(out, "account_id=acc2", "*.txt")))
+    text = "".join(open(f, encoding="utf-8").read() for f in glob.glob(os.path.join(out, "run_id=r1", "batch_id=0", "account_id=acc2", "*.txt")))
     assert K.REPORT_BANNER_SPAM in text
     j = json.loads(results(spark).filter("uid = 1").select(json_text("result")).first()[0])
     assert j == {"original_uid": 1, "priority": "High", "summary": "Sum one", "key_entities": ["Order 7", "Paris"],

@@ -3,7 +3,7 @@
 ``sent_at`` is a TIMESTAMP_NTZ holding the UTC wall clock of the header, so
 it does not depend on the session time zone. Two forms are read:
 
-* mail form: ``[Wkd, ]d Mon yyyy HH:mm[:ss] [+hhmm|-hhmm|GMT|UT|UTC|Z] [(comment)]``
+* mail form: ``[Wkd, ]d Mon yyyy HH:mm[:ss] [+hhmm|-hhmm|GMT|UT|UTC|Z|EST..PDT] [(comment)]``
   (no zone means UTC; an obsolete two-digit year yy is 20yy below 50, else 19yy);
 * ISO form: ``yyyy-mm-dd[( |T)HH:mm[:ss]]``.
 
@@ -21,7 +21,9 @@ from .common import let
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 MAIL_RE = (r"^\s*(?:[A-Za-z]{3},\s*)?(\d{1,2})\s+([A-Za-z]{3})\s+(\d{4}|\d{2})\s+(\d{1,2}):(\d{2})"
-           r"(?::(\d{2}))?\s*(?:([+-])(\d{2})(\d{2})|GMT|UTC|UT|Z)?\s*(?:\([^)]*\))?\s*$")
+           r"(?::(\d{2}))?\s*(?:([+-])(\d{2})(\d{2})|GMT|UTC|UT|Z|([ECMP])([SD])T)?\s*(?:\([^)]*\))?\s*$")
+# fixed values: hours west of UTC of the obsolete North American zones, standard time
+ZONES = {"E": 5, "C": 6, "M": 7, "P": 8}
 ISO_RE = r"^\s*(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2}))?)?\s*$"
 
 
@@ -44,7 +46,7 @@ def _groups(d: Column, pattern: str, n: int) -> Column:
 
 def parse_sent_at(date="date") -> Column:
     d = _c(date)
-    return let(F.struct(_groups(d, MAIL_RE, 9).alias("m"), _groups(d, ISO_RE, 6).alias("i")), _assemble)
+    return let(F.struct(_groups(d, MAIL_RE, 11).alias("m"), _groups(d, ISO_RE, 6).alias("i")), _assemble)
 
 
 def _assemble(s: Column) -> Column:
@@ -64,6 +66,8 @@ def _timestamp(p: Column) -> Column:
         year, F.when(mon > 0, mon), _int(g[1]), _int(g[4]), _int(g[5]), F.coalesce(_int(g[6]), F.lit(0)))
     sign = F.when(g[7] == "-", F.lit(-1)).otherwise(F.lit(1))
     off_min = sign * (F.coalesce(_int(g[8]), F.lit(0)) * 60 + F.coalesce(_int(g[9]), F.lit(0)))
+    west = F.coalesce(*[F.when(g[10] == z, F.lit(h)) for z, h in ZONES.items()], F.lit(0))
+    off_min = off_min - 60 * (west - F.when(g[11] == "D", F.lit(1)).otherwise(F.lit(0)))
     mail_utc = mail_local - F.make_dt_interval(F.lit(0), F.lit(0), off_min, F.lit(0))
     iso = F.try_make_timestamp_ntz(
         _int(h[1]), _int(h[2]), _int(h[3]), F.coalesce(_int(h[4]), F.lit(0)),

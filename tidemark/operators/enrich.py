@@ -32,8 +32,6 @@ from .joins import broadcast_if_small, join_hot_split
 RESULT_DDL = ("struct<original_uid:bigint,priority:string,summary:string,"
               "key_entities:array<string>,action_required:boolean,is_truncated:boolean>")
 
-OUTCOMES = ["hit", "fresh", "quarantined", "pending", "skipped", "dry"]
-
 
 def per_fingerprint(batch: DataFrame) -> DataFrame:
     """One row per content_hash with its first and last copy."""
@@ -47,10 +45,20 @@ def probe_cache(keys: DataFrame, cache: DataFrame, model: str | None) -> DataFra
 
     ``model`` None/'' ignores the model, as the original lookup did.
     """
-    c = cache.select("content_hash", F.col("result").alias("cached"), F.col("model_version").alias("cached_model"))
-    if model:
-        c = c.filter(F.col("cached_model") == model)
-    return keys.join(c.select("content_hash", "cached"), "content_hash", "left")
+    c = cache.filter(F.col("model_version") == model) if model else cache
+    return keys.join(c.select("content_hash", F.col("result").alias("cached")), "content_hash", "left")
+
+
+def one_answer(responses: DataFrame, model: str | None) -> DataFrame:
+    """One answer per fingerprint: of the given model, or of the last model by
+    name; of several answers (every copy is asked under force) the last
+    copy's where the answers carry it, else the greatest. ``error`` tells of a
+    call that failed."""
+    r = responses.filter(F.col("model_version") == model) if model else responses
+    error = F.col("error") if "error" in r.columns else F.lit(None).cast("string")
+    place = [c for c in ("model_version", "account_id", "uid", "raw_json") if c in r.columns]
+    return (r.groupBy("content_hash").agg(F.max_by(F.struct("raw_json", error.alias("error")), F.struct(*place)).alias("a"))
+             .select("content_hash", "a.raw_json", F.col("a.error").alias("call_error")))
 
 
 def decide(batch: DataFrame, cache: DataFrame | None, responses: DataFrame | None,
@@ -62,14 +70,15 @@ def decide(batch: DataFrame, cache: DataFrame | None, responses: DataFrame | Non
     else:
         keys = probe_cache(keys, cache, model)
     if responses is not None:
-        r = responses
-        if model:
-            r = r.filter(F.col("model_version") == model)
-        keys = keys.join(r.select("content_hash", "raw_json"), "content_hash", "left")
+        keys = keys.join(one_answer(responses, model), "content_hash", "left")
     else:
-        keys = keys.withColumn("raw_json", F.lit(None).cast("string"))
+        null = F.lit(None).cast("string")
+        keys = keys.withColumns({"raw_json": null, "call_error": null})
+    failed = F.col("call_error").isNotNull()
+    keys = keys.withColumn("raw_json", F.when(failed, F.lit("")).otherwise(F.col("raw_json")))
     answer = F.when(F.col("cached").isNull() & F.col("raw_json").isNotNull(), R.validate_answer("raw_json"))
-    return keys.withColumn("answer", answer).drop("raw_json")
+    answer = answer.withField("ok", answer["ok"] & ~failed).withField("error", F.coalesce("call_error", answer["error"]))
+    return keys.withColumn("answer", answer).drop("raw_json", "call_error")
 
 
 def attach(batch: DataFrame, decisions: DataFrame, force: bool = False, hot_rows: int | None = None) -> DataFrame:

@@ -10,15 +10,17 @@
 3. materialise once as a table in the checkpoint folder, so the range
    bounds (which come from sampling) cannot differ between the counting and
    numbering passes, and a lost executor re-reads the table;
-4. count rows per partition (one small number per partition), turn the
-   counts into offsets on the driver (bounded by the partition count, not
-   the data), and number each row as base + offset[pid] + position + 1.
+4. count rows per partition (one row per partition, the bound of what the
+   driver sees), join the running sums back by partition, and number each
+   row as base + offset + position + 1.
 
 The result equals a global ``row_number`` over the same key plus ``base``.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +40,12 @@ def assign_dense_ids(df: DataFrame, order: list[str | Column], base: int | Colum
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
     staged = stage_table(tagged, "ids")
-    counts = {r["_pid"]: r["n"] for r in staged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, acc = [], 0
-    for pid in range(n):
-        offsets.append(acc)
-        acc += counts.get(pid, 0)
+    counts = staged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).orderBy("_pid").collect()   # one row per partition
+    offsets = df.sparkSession.createDataFrame(
+        [(r["_pid"], end - r["n"]) for r, end in zip(counts, accumulate(r["n"] for r in counts))], "_pid int, _off long")
     base_col = base if isinstance(base, Column) else F.lit(int(base))
-    off = F.element_at(F.array(*[F.lit(o) for o in offsets]).cast("array<bigint>"), F.col("_pid") + 1)
-    return staged.withColumn(id_col, (base_col + off + F.col("_pos") + 1).cast("bigint")).drop("_pid", "_pos")
+    return (staged.join(F.broadcast(offsets), "_pid")
+            .withColumn(id_col, (base_col + F.col("_off") + F.col("_pos") + 1).cast("bigint")).drop("_pid", "_pos", "_off"))
 
 
 def dense_rank_pages(df: DataFrame, order: list[str | Column], page_size: int,

@@ -7,7 +7,7 @@ the writes in replay-safe order.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ from ..session import stage_table
 class IngestOptions:
     run_id: str
     model: str | None = None
-    batch_id: int = 0
+    batch_id: int | None = None        # None: the run's next free one (0 in plans that write nothing)
     mode: str = "normal"               # normal | skip | dry
     force_reprocess: bool = False
     max_content_length: int = K.MAX_CONTENT_LENGTH
@@ -38,7 +38,6 @@ class IngestOptions:
     created_at: str | None = None      # fixed timestamp text; None -> current_timestamp()
     hold_pending: bool = True
     hot_rows: int | None = None        # copies that make a fingerprint "hot" (skew split)
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
         check_day(self.init_start_date)   # C12: a bad date fails before any work
@@ -108,7 +107,9 @@ def fetch(messages: DataFrame, plan: DataFrame, opts: IngestOptions) -> DataFram
     b = src.join(go, "account_id").filter(F.col("uid") >= F.col("start_uid")).drop("start_uid")
     b = b.withColumn("sent_at", parse_sent_at("date"))
     if opts.init_start_date:
-        b = b.filter(F.col("sent_at") >= day_start(opts.init_start_date))
+        # the landed receive date decides where there is one, else the header's; an undatable message is kept
+        at = F.coalesce(F.col("received_date").cast("timestamp_ntz"), F.col("sent_at")) if "received_date" in b.columns else F.col("sent_at")
+        b = b.filter(at.isNull() | (at >= day_start(opts.init_start_date)))
     keep = max(K.BODY_PREVIEW_CHARS, opts.max_content_length)
     return (b.withColumn("content_hash", fingerprint())
              .withColumn("is_truncated", is_truncated("body", opts.max_content_length))
@@ -152,7 +153,7 @@ def store_rows(out: DataFrame, opts: IngestOptions) -> DataFrame:
     emitted = out.filter(~F.col("held") & (F.col("outcome") != "pending"))
     model = F.lit(None).cast("string") if opts.mode == "skip" else F.lit(opts.model).cast("string")
     return emitted.select(
-        F.lit(opts.run_id).alias("run_id"), F.lit(opts.batch_id).cast("bigint").alias("batch_id"),
+        F.lit(opts.run_id).alias("run_id"), F.lit(opts.batch_id or 0).cast("bigint").alias("batch_id"),
         "account_id", "uid", "content_hash", "subject", "sender", "date", "sent_at",
         body_preview("body").alias("body_preview"),
         *flatten_result("result"),
@@ -204,8 +205,8 @@ def audit_rows(stats: DataFrame, opts: IngestOptions, emit_ok: bool = True) -> D
         status = F.when(nothing, F.lit(K.AUDIT_SUCCESS)).otherwise(F.lit(K.AUDIT_FAIL))
         msg = F.when(nothing, F.lit(K.AUDIT_NO_NEW)).otherwise(F.lit(K.AUDIT_EMIT_FAILED))
     return s.select(
-        F.concat(F.lit(opts.run_id + ":" + str(opts.batch_id) + ":"), F.col("account_id")).alias("audit_id"),
-        F.lit(opts.run_id).alias("run_id"), F.lit(opts.batch_id).cast("bigint").alias("batch_id"),
+        F.concat(F.lit(opts.run_id + ":" + str(opts.batch_id or 0) + ":"), F.col("account_id")).alias("audit_id"),
+        F.lit(opts.run_id).alias("run_id"), F.lit(opts.batch_id or 0).cast("bigint").alias("batch_id"),
         "account_id", ts.alias("timestamp"),
         F.col("before_uid").cast("bigint").alias("before_uid"), after.cast("bigint").alias("after_uid"),
         n.cast("bigint").alias("emails_processed"), status.alias("status"), msg.alias("error_msg"),

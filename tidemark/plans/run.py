@@ -10,7 +10,8 @@ Order of effects for one batch:
 3. an id range is reserved in the batch manifest, then the store append
    goes into this batch's own (run_id, batch_id) partition;
 4. sink delivery; on failure the batch's store partition is removed again,
-   the cursor stays, and FAIL audit rows are written;
+   the cursors stay, and FAIL audit rows are written; where only some accounts
+   failed, this holds for them alone;
 5. a new cursor version, tagged with (run, batch): this is the commit point;
 6. audit rows; 7. the manifest entry is marked committed.
 
@@ -25,13 +26,14 @@ from __future__ import annotations
 
 import time
 import uuid
+from dataclasses import replace
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import enrich as E
-from ..session import drop_staged, ensure_checkpoint_dir, stage_table, staged_mark
+from ..session import ensure_checkpoint_dir, stage_table, staging_scope
 from ..sinks import tables as T
 from ..sinks.emit import Sink, null_sink
 from . import ingest as I
@@ -48,8 +50,9 @@ def _stage(df: DataFrame, name: str = "run") -> DataFrame:
     return stage_table(df, name)
 
 
-def emitted_results(out: DataFrame) -> DataFrame:
-    return out.filter(~F.col("held") & (F.col("outcome") != "pending")).select("account_id", "uid", "result")
+def emitted_results(out: DataFrame, run_id: str) -> DataFrame:
+    return out.filter(~F.col("held") & (F.col("outcome") != "pending")).select(
+        F.lit(run_id).alias("run_id"), "account_id", "uid", "result")
 
 
 def run_ingest(spark: SparkSession, layout: T.Layout, messages: DataFrame, accounts: DataFrame,
@@ -57,21 +60,50 @@ def run_ingest(spark: SparkSession, layout: T.Layout, messages: DataFrame, accou
                sink: Sink = null_sink, keep_backlog: bool = False) -> dict:
     """Run one batch end to end; returns the run summary as a dict.
     The run's staged tables are removed when it returns (or fails).
-    ``keep_backlog`` (streaming): held-back rows are kept in a backlog table
-    for the next micro-batch, since a file source never re-delivers them."""
+
+    Without a ``batch_id`` the batch takes the run's next free number; a given
+    (run, batch) that is already committed is left as it is (``replayed``).
+    ``keep_backlog`` (streaming): rows that cannot be stored yet go to a
+    backlog for the next micro-batch, since a file source never re-delivers
+    them, and rows below a cursor are stored if they were not before."""
     ensure_checkpoint_dir(spark)
-    mark = staged_mark()
-    try:
+    with staging_scope(spark):
         return _run(spark, layout, messages, accounts, opts, responses, enricher, sink, keep_backlog)
-    finally:
-        drop_staged(spark, mark)
+
+
+def _stream_batch(spark, layout, messages, plan, opts) -> DataFrame:
+    """What a stream still has to store: every row above the cursor its
+    account had when the stream began, but for those already stored."""
+    floors = T.stream_floors(spark, layout, plan)
+    start = F.coalesce(F.col("floor_uid") + 1, F.col("start_uid"))
+    wide = plan.withColumnRenamed("start_uid", "cursor_uid").withColumn("start_uid", F.col("cursor_uid"))
+    wide = wide.join(floors, "account_id", "left").withColumn("start_uid", start)
+    batch = I.fetch(messages, wide.drop("floor_uid", "cursor_uid"), opts)
+    stored = T.read_store(spark, layout).select("account_id", "uid")
+    return batch.join(stored, ["account_id", "uid"], "left_anti")
+
+
+def _unplaced(messages, plan, out, failed) -> DataFrame:
+    """Rows that a stream must see again: of accounts that the plan leaves out
+    or whose delivery failed, and rows held behind a pending answer."""
+    live = plan.filter("guard_ok").select("account_id")
+    held = out.filter(F.col("held") | (F.col("outcome") == "pending") | F.col("account_id").isin(failed)).select("account_id", "uid")
+    return messages.join(live, "account_id", "left_anti").select(messages.columns).unionByName(
+        messages.join(held, ["account_id", "uid"], "left_semi").select(messages.columns))
 
 
 def _run(spark, layout, messages, accounts, opts, responses, enricher, sink, keep_backlog=False) -> dict:
     t0 = time.monotonic()
     dry = opts.dry_run
+    if opts.batch_id is None:
+        opts = replace(opts, batch_id=T.next_batch_id(spark, layout, opts.run_id))
+    elif not dry and T.is_committed(spark, layout, opts.run_id, opts.batch_id):
+        none = dict.fromkeys(["accounts", "rejected", "fetched", "llm_calls", "cache_hits", "errors", "pending", "held_back", "emitted"], 0)
+        return none | {"emit_ok": True, "emit_error": None, "replayed": True, "run_id": opts.run_id, "batch_id": opts.batch_id,
+                       "elapsed_sec": 0.0}
+    tag = f"{opts.run_id}:{opts.batch_id}"
     if not dry:
-        T.recover_orphans(spark, layout)
+        T.recover_orphans(spark, layout, opts.run_id)
     cursors = T.read_cursors(spark, layout)
     if opts.reset_cursor and not dry:
         sel = I.select_accounts(accounts, opts)
@@ -81,7 +113,7 @@ def _run(spark, layout, messages, accounts, opts, responses, enricher, sink, kee
     cache = T.read_cache(spark, layout)
 
     plan = _stage(I.run_plan(accounts, cursors, opts))
-    batch = I.fetch(messages, plan, opts)
+    batch = _stream_batch(spark, layout, messages, plan, opts) if keep_backlog else I.fetch(messages, plan, opts)
 
     if opts.mode == "normal" and responses is None and enricher is not None:
         dec = E.decide(batch, cache, None, opts.model, opts.force_reprocess)
@@ -95,33 +127,41 @@ def _run(spark, layout, messages, accounts, opts, responses, enricher, sink, kee
     if not dry and writes is not None:
         T.upsert_cache(spark, layout, writes)
 
-    rows = I.store_rows(out, opts)
+    numbered = None
     if not dry:
+        rows = I.store_rows(out, opts)
         base = T.reserve_ids(spark, layout, opts.run_id, opts.batch_id, rows.count())
-        T.append_store(I.with_ids(rows, base), layout)
-
-    emit_ok, emit_error = True, None
-    results = emitted_results(out)
-    try:
-        if not results.isEmpty():          # K6: an empty batch is delivered trivially
-            sink(results, opts.batch_id)
-    except Exception as exc:  # noqa: BLE001 - any sink failure holds the cursor
-        emit_ok, emit_error = False, f"{type(exc).__name__}: {exc}"
-        if not dry:
+        numbered = I.with_ids(rows, base)
+        T.append_store(numbered, layout)
+
+    emit_error, failed = None, []
+    results = emitted_results(out, opts.run_id)
+    if not dry:                                # a dry run delivers nothing
+        try:
+            if not results.isEmpty():          # K6: an empty batch is delivered trivially
+                failed = sorted(sink(results, opts.batch_id) or [])
+        except Exception as exc:  # noqa: BLE001 - any sink failure holds the cursors
+            emit_error = f"{type(exc).__name__}: {exc}"
+        if emit_error or failed:
             T.drop_store_batch(spark, layout, opts.run_id, opts.batch_id)
+        if failed:
+            T.append_store(numbered.filter(~F.col("account_id").isin(failed)), layout)
+    emit_ok = emit_error is None
 
     stats = I.account_stats(plan, out)
     if not dry:
+        bad = F.col("account_id").isin(failed)
         if emit_ok:
+            if keep_backlog:
+                T.write_backlog(_unplaced(messages, plan, out, failed), layout, tag)
             # the cursor version is the batch's commit point (tagged run:batch)
-            T.upsert_cursors(spark, layout, I.cursor_moves(stats, opts), f"{opts.run_id}:{opts.batch_id}")
-        T.append_audit(I.audit_rows(stats, opts, emit_ok), layout)
+            T.upsert_cursors(spark, layout, I.cursor_moves(stats.filter(~bad), opts), tag)
+        T.append_audit(I.audit_rows(stats.filter(~bad), opts, emit_ok).unionByName(
+            I.audit_rows(stats.filter(bad), opts, False)), layout)
         if emit_ok:
-            if keep_backlog:
-                T.write_backlog(out, layout)
             T.mark_committed(spark, layout, opts.run_id, opts.batch_id)
 
     summary = I.run_summary(plan, out).first().asDict()
-    summary.update(emit_ok=emit_ok, emit_error=emit_error, run_id=opts.run_id, batch_id=opts.batch_id,
+    summary.update(emit_ok=emit_ok, emit_error=emit_error, failed_accounts=failed, run_id=opts.run_id, batch_id=opts.batch_id,
                    elapsed_sec=round(time.monotonic() - t0, 3))
     return summary

@@ -73,9 +73,5 @@ RESPONSES = T.StructType([
     T.StructField("content_hash", T.StringType(), False),
     T.StructField("model_version", T.StringType(), False),
     T.StructField("raw_json", T.StringType()),
-])
-
-RAW_MESSAGE = T.StructType([
-    T.StructField("path", T.StringType()),
-    T.StructField("content", T.BinaryType()),
+    T.StructField("error", T.StringType()),          # set when the call failed
 ])

@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -53,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tidemark-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -76,26 +80,27 @@ def stage_table(df, name: str = "stage"):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    _STAGED.append(path)
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
     return spark.read.parquet(path)
 
 
-_STAGED: list[str] = []
-
-
-def staged_mark() -> int:
-    """Position in the list of staged folders (see ``drop_staged``)."""
-    return len(_STAGED)
-
-
-def drop_staged(spark: SparkSession, since: int) -> int:
-    """Delete the folders staged after ``since`` (a job's own scratch, once
-    nothing reads it any more); returns how many were removed."""
-    paths = _STAGED[since:]
-    del _STAGED[since:]
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        hp.getFileSystem(conf).delete(hp, True)
-    return len(paths)
+#: The staged folders of the job that runs in this thread.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def staging_scope(spark: SparkSession):
+    """Within it, ``stage_table`` folders belong to this job alone and are
+    deleted at its end (once nothing reads them any more)."""
+    mine: list[str] = []
+    token = _SCOPE.set(mine)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in mine:
+            hp = jvm.org.apache.hadoop.fs.Path(path)
+            hp.getFileSystem(conf).delete(hp, True)

@@ -1,15 +1,17 @@
 """K6 batch sink contract and the built-in sinks (K7 JSON files, K8 report
 text, K9 JSON fallback, K10 user partition sinks with retries).
 
-A sink is ``callable(results: DataFrame, batch_id: int) -> None``; returning
-normally means the batch was delivered (the cursor may advance); raising
-means it was not. ``results`` holds ``account_id, uid, result`` plus the
-rendered columns. An empty batch is delivered trivially.
+A sink is ``callable(results: DataFrame, batch_id: int)``. ``results`` holds
+``run_id, account_id, uid, result``. Returning nothing means that the whole
+batch was delivered; returning account ids means that these were not (their
+cursors stay); raising means that nothing was. Dry runs call no sink, and an
+empty batch is delivered trivially.
 """
 
 from __future__ import annotations
 
 import time
+from itertools import islice
 from typing import Callable, Iterable
 
 from pyspark.sql import DataFrame
@@ -17,50 +19,57 @@ from pyspark.sql import functions as F
 
 from ..functions.render import json_text, report_text
 
-Sink = Callable[[DataFrame, int], None]
+Sink = Callable[[DataFrame, int], Iterable[str] | None]
 
 
 def null_sink(results: DataFrame, batch_id: int) -> None:
-    """Delivers nothing (for dry runs and benchmarks that time the rest)."""
+    """Delivers nothing (for benchmarks that time the rest)."""
+
+
+#: Tasks that write one account's results.
+SPREAD = 16
+
+
+def _write_text(rows: DataFrame, batch_id: int, path: str) -> None:
+    """``rows`` (run_id, account_id, uid, value) under run, batch and account;
+    a replayed batch replaces its own folders, another batch adds to them. A
+    large account is spread over several tasks and files."""
+    (rows.withColumn("batch_id", F.lit(int(batch_id)))
+        .repartition("account_id", F.pmod(F.xxhash64("uid"), F.lit(SPREAD))).sortWithinPartitions("account_id", "uid")
+        .select("run_id", "batch_id", "account_id", "value").write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch_id", "account_id").text(path))
 
 
 def json_file_sink(path: str) -> Sink:
-    """K7: one JSON object per result, one folder per account (a later
-    account no longer overwrites an earlier one); a replayed batch replaces
-    the folders of the accounts it contains."""
+    """K7: one JSON object per result."""
     def sink(results: DataFrame, batch_id: int) -> None:
-        (results.select("account_id", json_text("result").alias("value"))
-            .repartition("account_id").write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("account_id").text(path))
+        _write_text(results.select("run_id", "account_id", "uid", json_text("result").alias("value")), batch_id, path)
     return sink
 
 
 def report_sink(path: str) -> Sink:
-    """K8: the console report blocks, written as text per account."""
+    """K8: the console report blocks, in uid order within a file."""
     def sink(results: DataFrame, batch_id: int) -> None:
-        (results.select("account_id", "uid", report_text("result").alias("value"))
-            .repartition("account_id").sortWithinPartitions("account_id", "uid").drop("uid")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("account_id").text(path))
+        _write_text(results.select("run_id", "account_id", "uid", report_text("result").alias("value")), batch_id, path)
     return sink
 
 
-def partition_sink(deliver: Callable[[Iterable], None], retries: int = 3, backoff_s: float = 1.0) -> Sink:
-    """Run a user delivery function on every partition of results on the
-    executors (e.g. an HTTP post per partition), retrying each partition up
-    to ``retries`` times; a partition that still fails fails the batch."""
+def partition_sink(deliver: Callable[[Iterable], None], retries: int = 3, backoff_s: float = 1.0, chunk: int = 1000) -> Sink:
+    """Run a user delivery function on the executors (e.g. an HTTP post),
+    on ``chunk`` rows at a time. Each chunk is tried up to ``retries`` times;
+    one that still fails fails the batch."""
     def sink(results: DataFrame, batch_id: int) -> None:
         rows = results.select("account_id", "uid", F.to_json("result").alias("result_json"))
 
         def run(it):
-            batch = list(it)
-            for attempt in range(retries):
-                try:
-                    deliver(batch)
-                    return
-                except Exception:
-                    if attempt == retries - 1:
-                        raise
-                    time.sleep(backoff_s * (attempt + 1))
+            while batch := list(islice(it, chunk)):
+                for attempt in range(retries):
+                    try:
+                        deliver(batch)
+                        break
+                    except Exception:
+                        if attempt == retries - 1:
+                            raise
+                        time.sleep(backoff_s * (attempt + 1))
         rows.foreachPartition(run)
     return sink

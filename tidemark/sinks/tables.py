@@ -23,6 +23,7 @@ latest per key, write", and nothing is ever overwritten while it is read:
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,14 @@ class Layout:
     def backlog(self):
         return os.path.join(self.root, "backlog")
 
+    @property
+    def commits(self):
+        return os.path.join(self.root, "commits")
+
+    @property
+    def floors(self):
+        return os.path.join(self.root, "floors")
+
     @property
     def manifest(self):
         return os.path.join(self.root, "manifest")
@@ -82,8 +91,25 @@ def _read(spark: SparkSession, path: str, schema, extra_cols=()) -> DataFrame:
 
 # --- emails (K1, S4) --------------------------------------------------------
 
+COMMITS = T.StructType([T.StructField("run_id", T.StringType(), False), T.StructField("batch_id", T.LongType(), False)])
+
+
 def read_store(spark: SparkSession, layout: Layout) -> DataFrame:
-    return _read(spark, layout.emails, S.EMAILS).select(*[f.name for f in S.EMAILS.fields])
+    """The rows of committed batches. Both columns are partition columns, so
+    partitions of batches in flight or given up are pruned."""
+    rows = _read(spark, layout.emails, S.EMAILS).select(*[f.name for f in S.EMAILS.fields])
+    return rows.join(_read(spark, layout.commits, COMMITS).distinct(), ["run_id", "batch_id"], "left_semi").select(rows.columns)
+
+
+def is_committed(spark: SparkSession, layout: Layout, run_id: str, batch_id: int) -> bool:
+    done = _read(spark, layout.commits, COMMITS)
+    return not done.filter((F.col("run_id") == run_id) & (F.col("batch_id") == batch_id)).isEmpty()
+
+
+def next_batch_id(spark: SparkSession, layout: Layout, run_id: str) -> int:
+    """The first batch number that a run of this id has not used."""
+    used = read_manifest(spark, layout).filter(F.col("run_id") == run_id).agg(F.max("batch_id")).first()[0]
+    return 0 if used is None else int(used) + 1
 
 
 MANIFEST = T.StructType([
@@ -122,23 +148,33 @@ def reserve_ids(spark: SparkSession, layout: Layout, run_id: str, batch_id: int,
         p, fs = _fs(spark, os.path.join(_manifest_dir(layout, run_id, batch_id), "_ABORTED"))
         fs.delete(p, False)
         return int(own["f"]) - 1
-    base = int(man.agg(F.coalesce(F.max(F.col("first_id") + F.col("rows") - 1), F.lit(0))).first()[0])
-    row = spark.createDataFrame([(run_id, int(batch_id), base + 1, int(n))], MANIFEST)
-    (row.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id", "batch_id").parquet(layout.manifest))
-    return base
+    while True:
+        base = int(read_manifest(spark, layout).agg(F.coalesce(F.max(F.col("first_id") + F.col("rows") - 1), F.lit(0))).first()[0])
+        row = spark.createDataFrame([(run_id, int(batch_id), base + 1, int(n))], MANIFEST)
+        (row.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("run_id", "batch_id").parquet(layout.manifest))
+        # of two writers that took the same range at once, the later by name takes another
+        rival = read_manifest(spark, layout).filter(
+            (F.col("first_id") < base + 1 + n) & (F.col("first_id") + F.col("rows") > base + 1)
+            & (F.struct("run_id", "batch_id") < F.struct(F.lit(run_id).alias("run_id"), F.lit(int(batch_id)).cast("long").alias("batch_id"))))
+        if n == 0 or rival.isEmpty():
+            return base
 
 
 def mark_committed(spark: SparkSession, layout: Layout, run_id: str, batch_id: int) -> None:
     """Last step of a batch: its store partition is now final."""
+    if not is_committed(spark, layout, run_id, batch_id):
+        spark.createDataFrame([(run_id, int(batch_id))], COMMITS).coalesce(1).write.mode("append").parquet(layout.commits)
     p, fs = _fs(spark, os.path.join(_manifest_dir(layout, run_id, batch_id), "_COMMITTED"))
     fs.create(p, True).close()
 
 
-def recover_orphans(spark: SparkSession, layout: Layout) -> list[tuple[str, int]]:
+def recover_orphans(spark: SparkSession, layout: Layout, only_run: str | None = None) -> list[tuple[str, int]]:
     """Remove store partitions of batches that reserved ids but never
     committed (a crash between the store append and the cursor move): their
-    messages were not passed by the cursor and will be fetched again.
+    messages were not passed by the cursor and will be fetched again. With
+    ``only_run`` other runs' batches, which may be live, are left alone;
+    readers never see uncommitted batches anyway.
 
     A batch whose cursor version was written (its tag is on the newest
     cursor version; recovery runs before every batch, so a crashed batch's
@@ -164,7 +200,9 @@ def recover_orphans(spark: SparkSession, layout: Layout) -> list[tuple[str, int]
             run_id = run_dir.getPath().getName()[len("run_id="):]
             batch_id = int(name[len("batch_id="):])
             if committed_tag == f"{run_id}:{batch_id}":
-                fs.create(done, True).close()
+                mark_committed(spark, layout, run_id, batch_id)
+                continue
+            if only_run is not None and run_id != only_run:
                 continue
             drop_store_batch(spark, layout, run_id, batch_id)
             fs.create(aborted, True).close()
@@ -241,13 +279,19 @@ def merge_cursors(current: DataFrame, moves: DataFrame) -> DataFrame:
 
 def upsert_cursors(spark: SparkSession, layout: Layout, moves: DataFrame, commit_tag: str | None = None) -> None:
     """K2 on the table: a new version folder holding the merged cursors.
-    The cursor table is one row per account (a dimension), so one file.
     ``commit_tag`` ("run:batch") is stored with the version: the cursor move
     is the commit point of a batch, and recovery reads the tag back."""
-    vs = _versions(spark, layout.cursors)
-    version = (vs[-1] + 1) if vs else 1
-    out = merge_cursors(read_cursors(spark, layout), moves).withColumn("commit_tag", F.lit(commit_tag).cast("string"))
-    out.coalesce(1).write.mode("overwrite").parquet(os.path.join(layout.cursors, f"v={version}"))
+    while True:
+        vs = _versions(spark, layout.cursors)
+        version = (vs[-1] + 1) if vs else 1
+        out = merge_cursors(read_cursors(spark, layout), moves).withColumn("commit_tag", F.lit(commit_tag).cast("string"))
+        made = os.path.join(layout.cursors, f"_next-{uuid.uuid4().hex}")
+        out.write.parquet(made)
+        source, fs = _fs(spark, made)
+        target, _ = _fs(spark, os.path.join(layout.cursors, f"v={version}"))
+        if not fs.exists(target) and fs.rename(source, target):
+            return
+        fs.delete(source, True)               # another run committed this version meanwhile: merge onto it
 
 
 # --- audit (K3) ---------------------------------------------------------------
@@ -260,7 +304,7 @@ def append_audit(rows: DataFrame, layout: Layout) -> None:
     """Keyed by audit_id (run:batch:account); one partition per (run, batch),
     so a replay replaces its own rows and other batches of the run stay."""
     cols = [f.name for f in S.AUDIT.fields]
-    (rows.select(*cols).coalesce(1).write.mode("overwrite")
+    (rows.select(*cols).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch_id").parquet(layout.audit))
 
 
@@ -286,8 +330,19 @@ def merge_cache(current: DataFrame, writes: DataFrame) -> DataFrame:
     return latest.select("content_hash", "r.*")
 
 
+def _check_buckets(spark: SparkSession, layout: Layout) -> None:
+    """The bucket count belongs to the table: refuse to mix two."""
+    p, fs = _fs(spark, layout.cache)
+    if not fs.exists(p):
+        return
+    marks = [st.getPath().getName() for st in fs.listStatus(p) if st.getPath().getName().startswith("_buckets=")]
+    if marks and marks[0] != f"_buckets={layout.cache_buckets}":
+        raise ValueError(f"the cache was written with {marks[0][1:]}, not {layout.cache_buckets}")
+
+
 def upsert_cache(spark: SparkSession, layout: Layout, writes: DataFrame) -> None:
     b = layout.cache_buckets
+    _check_buckets(spark, layout)
     w = writes.withColumn("bucket", bucket_of("content_hash", b))
     touched = [r[0] for r in w.select("bucket").distinct().collect()]   # <= bucket count
     if not touched:
@@ -298,6 +353,8 @@ def upsert_cache(spark: SparkSession, layout: Layout, writes: DataFrame) -> None
     merged.repartition(b, "bucket").write.partitionBy("bucket").parquet(stage)
     (_read(spark, stage, S.CACHE, [("bucket", "int")]).repartition(b, "bucket").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(layout.cache))
+    p, fs = _fs(spark, os.path.join(layout.cache, f"_buckets={b}"))
+    fs.create(p, True).close()
     _delete(spark, stage)
 
 
@@ -389,13 +446,49 @@ def compact_history(spark: SparkSession, layout: Layout, keep_cursor_versions: i
 
 # --- held-back messages for streaming runs -------------------------------------------
 
-def read_backlog(spark: SparkSession, layout: Layout) -> DataFrame:
-    """Messages held back by earlier micro-batches (pending answers)."""
-    return _read(spark, layout.backlog, S.MESSAGE).select(*[f.name for f in S.MESSAGE.fields])
+def _backlog_versions(spark: SparkSession, layout: Layout, tag: str) -> tuple[list[int], int]:
+    """Versions written by other batches, and the one that batch ``tag`` writes."""
+    vs = _versions(spark, layout.backlog)
+    if vs:
+        newest = spark.read.parquet(os.path.join(layout.backlog, f"v={vs[-1]}", "tag")).first()
+        if newest and newest["tag"] == tag:         # a replay: its own earlier try does not count
+            return vs[:-1], vs[-1]
+    return vs, (vs[-1] + 1 if vs else 1)
+
+
+def read_backlog(spark: SparkSession, layout: Layout, tag: str = "") -> DataFrame:
+    """Messages that earlier micro-batches held back or could not place."""
+    before, _ = _backlog_versions(spark, layout, tag)
+    if not before:
+        return spark.createDataFrame([], S.MESSAGE)
+    return spark.read.schema(S.MESSAGE).parquet(os.path.join(layout.backlog, f"v={before[-1]}", "rows"))
+
+
+def write_backlog(rows: DataFrame, layout: Layout, tag: str) -> None:
+    """The backlog after batch ``tag``, as a new version with whole bodies;
+    written before the batch commits, so a crash loses neither version."""
+    spark = rows.sparkSession
+    before, version = _backlog_versions(spark, layout, tag)
+    base = os.path.join(layout.backlog, f"v={version}")
+    rows.select(*[f.name for f in S.MESSAGE.fields]).write.mode("overwrite").parquet(os.path.join(base, "rows"))
+    spark.createDataFrame([(tag,)], "tag string").coalesce(1).write.mode("overwrite").parquet(os.path.join(base, "tag"))
+    p, fs = _fs(spark, os.path.join(base, "_SUCCESS"))
+    fs.create(p, True).close()
+    for v in before[:-2]:
+        _delete(spark, os.path.join(layout.backlog, f"v={v}"))
+
+
+# --- where a stream began ------------------------------------------------------------
+
+FLOORS = T.StructType([T.StructField("account_id", T.StringType()), T.StructField("floor_uid", T.LongType())])
 
 
-def write_backlog(out: DataFrame, layout: Layout) -> None:
-    """Replace the backlog with this batch's held rows (their bodies are the
-    trimmed ones, which give identical fingerprints, flags and previews)."""
-    cols = [f.name for f in S.MESSAGE.fields]
-    out.filter(F.col("held")).select(*cols).write.mode("overwrite").parquet(layout.backlog)
+def stream_floors(spark: SparkSession, layout: Layout, plan: DataFrame) -> DataFrame:
+    """Each account's cursor as the stream first saw it (kept for good): all
+    later uids are the stream's to store, in whatever order files bring them."""
+    known = _read(spark, layout.floors, FLOORS)
+    new = (plan.filter("guard_ok").select("account_id", F.col("before_uid").alias("floor_uid"))
+           .join(known, "account_id", "left_anti"))
+    if not new.isEmpty():
+        new.write.mode("append").parquet(layout.floors)
+    return _read(spark, layout.floors, FLOORS).groupBy("account_id").agg(F.min("floor_uid").alias("floor_uid"))

@@ -91,7 +91,7 @@ def _int(expr: str) -> str:
 def sent_at_sql(col: str = "date") -> str:
     # the oracle's own spelling of the two date forms
     m = (r"^\s*(?:[A-Za-z][A-Za-z][A-Za-z],\s*)?([0-9]{1,2})\s+([A-Za-z]{3})\s+([0-9]{2}|[0-9]{4})\s+([0-9]{1,2}):([0-9]{2})"
-         r"(?::([0-9]{2}))?\s*(?:([+-])([0-9]{2})([0-9]{2})|GMT|UT|UTC|Z|([A-Z][A-Z]T))?\s*(?:\([^)]*\))?\s*$")
+         r"(?::([0-9]{2}))?\s*(?:([+-])([0-9]{2})([0-9]{2})|GMT|UT|UTC|Z|[ECMP][SD]T)?\s*(?:\([^)]*\))?\s*$")
     i = r"^\s*([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[ T]([0-9]{2}):([0-9]{2})(?::([0-9]{2}))?)?\s*$"
     months = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
     zones = "MAP {'EST': 300, 'EDT': 240, 'CST': 360, 'CDT': 300, 'MST': 420, 'MDT': 360, 'PST': 480, 'PDT': 420}"
@@ -103,7 +103,7 @@ def sent_at_sql(col: str = "date") -> str:
     mon = f"list_position({lst(months)}, upper(substr({mon_txt}, 1, 1)) || lower(substr({mon_txt}, 2)))"
     sign = f"(CASE WHEN {g(m, 7)} = '-' THEN -1 ELSE 1 END)"
     off = f"{sign} * (coalesce({_int(g(m, 8))}, 0) * 60 + coalesce({_int(g(m, 9))}, 0))"
-    off = f"({off} - coalesce({zones}[{g(m, 10)}], 0))"
+    off = f"({off} - coalesce({zones}[regexp_extract({col}, '([ECMP][SD]T)', 1)], 0))"
     y = _int(g(m, 3))
     year = f"(CASE WHEN length({g(m, 3)}) = 2 THEN (CASE WHEN {y} < 50 THEN {y} + 2000 ELSE {y} + 1900 END) ELSE {y} END)"
     mail = (f"make_timestamp({year}, {mon}, {_int(g(m, 1))}, {_int(g(m, 4))}, {_int(g(m, 5))}, "

@@ -52,9 +52,9 @@ def _world(spark):
     ])
     hashes = {r.body: r.h for r in m.select("body", TB.fingerprint().alias("h")).collect()}
     resp = spark.createDataFrame([
-        (hashes["same body"], "m1", '{"priority": "High", "summary": "ok", "key_entities": ["k"], "action_required": "yes"}'),
-        (hashes["bad answer"], "m1", '{"priority": "URGENT"}'),
-        (hashes["after pending"], "m1", '{"summary": "later"}'),
+        (hashes["same body"], "m1", '{"priority": "High", "summary": "ok", "key_entities": ["k"], "action_required": "yes"}', None),
+        (hashes["bad answer"], "m1", '{"priority": "URGENT"}', None),
+        (hashes["after pending"], "m1", '{"summary": "later"}', None),
     ], S.RESPONSES)
     return m, resp
 
@@ -136,14 +136,14 @@ def test_run_ingest_commit_protocol(spark, tmp_root):
     fails = T.read_audit(spark, lay).filter("run_id = 'r2'").collect()
     assert fails and all(r.status == "FAIL" and r.after_uid == r.before_uid for r in fails)
 
-    # replaying the same run/batch ids rewrites the same partition with the same ids
-    s3 = R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="r1", model="m1", init_start_date="2024-01-01",
+    # replaying a committed (run, batch) changes nothing; without a batch id the run takes its next one
+    s3 = R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="r1", batch_id=0, model="m1", init_start_date="2024-01-01",
                                                           force_from_uid=1), responses=resp)
+    assert s3["replayed"] and T.read_store(spark, lay).count() == n1
     s3b = R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="r1", model="m1", init_start_date="2024-01-01",
                                                            force_from_uid=1), responses=resp)
     st = T.read_store(spark, lay)
-    assert st.count() == s3b["emitted"] == s3["emitted"]
-    assert st.select(F.max("id")).first()[0] == st.count()
+    assert s3b["batch_id"] == 1 and st.count() == 2 * s3b["emitted"] == 2 * n1
 
     # nothing new: SUCCESS audit with "No new emails"
     s4 = R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="r4", model="m1"), responses=resp)

@@ -166,3 +166,17 @@ def test_runs_on_different_accounts_at_once(spark, tmp_root):
     assert stored(spark, lay) == [(x, u) for x in "ab" for u in range(1, 6)]
     assert len({r.id for r in T.read_store(spark, lay).collect()}) == 10
     assert {r.account_id: r.last_uid for r in T.read_cursors(spark, lay).collect()} == {"a": 5, "b": 5}
+
+
+def test_files_hold_disjoint_id_ranges(spark, tmp_root):
+    lay, m = T.Layout(tmp_root, 4), mail(spark, [("a", u) for u in range(1, 1001)])
+    rows = I.store_rows(I.outcomes(I.fetch(m, I.run_plan(accounts(spark, "a"), spark.createDataFrame([], S.CURSORS), opts("r")), opts("r")),
+                                   None, answers(m), opts("r"), staged=False)[0], opts("r"))
+    from tidemark.operators.ids import assign_dense_ids
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        T.append_store(assign_dense_ids(rows, ["account_id", "uid"], num_partitions=64), lay)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = spark.read.parquet(lay.emails).groupBy(F.input_file_name()).agg(F.min("id").alias("a"), F.max("id").alias("b")).orderBy("a").collect()
+    assert len(files) > 1 and all(x.b < y.a for x, y in zip(files, files[1:]))

@@ -211,14 +211,13 @@ def recover_orphans(spark: SparkSession, layout: Layout, only_run: str | None =
 
 
 def append_store(rows_with_ids: DataFrame, layout: Layout) -> None:
-    """The rows arrive range-partitioned in id order (from the id operator),
-    so every task writes one file holding a contiguous id range: parallel
-    writes, and row-group min/max on id lets ``id > after_id`` skip files.
-    (Repartitioning by the partition columns would funnel the whole batch,
-    which has one run_id/batch_id, through a single task.)"""
+    """Range-partitioned by id, so that every task writes one file of a
+    contiguous id range, disjoint from the others', and row-group min/max on id
+    lets ``id > after_id`` skip files. (The partition columns alone would
+    funnel the whole batch, which has one run_id/batch_id, through one task.)"""
     cols = [f.name for f in S.EMAILS.fields]
     (rows_with_ids.select(*cols)
-        .sortWithinPartitions("id")
+        .repartitionByRange("id").sortWithinPartitions("id")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id", "batch_id").parquet(layout.emails))
 

@@ -624,7 +624,26 @@ def oracle_sql() -> dict[str, str]:
             f"UNION ALL SELECT CAST({(1 << 62) + 1} AS BIGINT), CAST(cnt AS VARCHAR) || ' results | max_id=' || "
             "CAST(max_id AS VARCHAR) || ' | has_more=' || CASE WHEN has_more THEN 'True' ELSE 'False' END FROM meta WHERE cnt > 0"),
     }
-    out["stream_once"] = out["emails_append"]
+    out["stream_once"] = out["replay_partial"] = out["emails_append"]
+    out["stream_two_batches"] = f"{w} SELECT account_id, uid, content_hash, priority FROM store"
+    out["delivery_failure"] = (
+        f"{w}, n AS (SELECT account_id, count(*) AS n FROM store GROUP BY account_id), "
+        "f AS (SELECT account_id, count(*) AS f FROM batch GROUP BY account_id) "
+        "SELECT account_id, CASE WHEN account_id = 'acct_src0' AND f IS NOT NULL THEN 'FAIL' ELSE 'SUCCESS' END AS status, "
+        "CASE WHEN account_id = 'acct_src0' THEN 0 ELSE coalesce(n, 0) END AS emails_processed, "
+        "CASE WHEN account_id = 'acct_src0' THEN 0 ELSE coalesce(n, 0) END AS stored "
+        "FROM plan LEFT JOIN n USING (account_id) LEFT JOIN f USING (account_id) WHERE guard_ok AND (f IS NULL OR n > 0)")
+    out["json_sink"] = f"SELECT account_id, json FROM ({out['json_results']})"
+    out["date_floor"] = (
+        f"{world(init='2023-12-20')}, dated AS (SELECT m.account_id, m.uid, m.uid % 28 AS d, CASE m.uid % 5 "
+        "WHEN 0 THEN TIMESTAMP '2023-12-02 04:30:00' + to_days(CAST(m.uid % 28 AS INTEGER)) "
+        "WHEN 2 THEN TIMESTAMP '2024-02-01 15:15:00' + to_days(CAST(m.uid % 28 AS INTEGER)) "
+        "WHEN 3 THEN TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(m.uid % 28 AS INTEGER)) END AS sent_at "
+        "FROM messages m JOIN plan USING (account_id) WHERE guard_ok AND m.uid >= start_uid) "
+        f"SELECT account_id, uid, {ts('sent_at')} AS sent_at FROM dated "
+        "WHERE sent_at IS NULL OR sent_at >= TIMESTAMP '2023-12-20'")
+    out["target_account"] = f"{world()} SELECT * FROM plan WHERE account_id = 'acct_src3'"
+    out["store_by_run"] = f"{w} SELECT {page_cols} FROM store"
     if llm_queries:
         out |= llm_queries.ORACLES
         if corpus_pipeline.ORACLE_SQL:

@@ -22,7 +22,7 @@ from ..functions.text import body_preview, clipped_body, is_truncated, request_t
 from ..operators import enrich as E
 from ..operators.ids import assign_dense_ids
 from ..operators.pacing import pacing_plan
-from ..sinks.tables import merge_cache, remaining_after_invalidate
+from ..sinks.tables import merge_cache
 from ..sources import tables as TB
 from . import ingest as I
 from . import query as Q
@@ -275,10 +275,24 @@ def q_cache_upsert(spark, sf):
 
 
 def q_cache_invalidate_count(spark, sf):
-    """Rows an invalidation removes (one account, and everything)."""
-    c = World(spark, sf).cache
-    return c.agg(F.count_if(F.col("account_id") == "acct_src3").alias("removed_account"),
-                 F.count(F.lit(1)).alias("removed_all"))
+    """What the table's own invalidation reports (one account, then the rest)."""
+    from ..sinks import tables as T
+    lay = _fresh_layout(spark, World(spark, sf))
+    one = T.invalidate_cache(spark, lay, "acct_src3")
+    return spark.range(1).select(F.lit(one).cast("long").alias("removed_account"),
+                                 F.lit(one + T.invalidate_cache(spark, lay)).cast("long").alias("removed_all"))
+
+
+def _fresh_layout(spark, w):
+    """A store in the checkpoint folder, with the fixture cursors and cache
+    written by the table writers."""
+    import os
+    from ..session import scratch_path
+    from ..sinks import tables as T
+    lay = T.Layout(os.path.join(scratch_path(spark, "world"), "store"), 8)
+    T.upsert_cursors(spark, lay, w.cursors)
+    T.upsert_cache(spark, lay, w.cache)
+    return lay
 
 
 def q_cursor_listing(spark, sf):
@@ -296,8 +310,11 @@ def q_pacing_summary(spark, sf):
 
 
 def q_cache_invalidate(spark, sf):
-    w = World(spark, sf)
-    return remaining_after_invalidate(w.cache, "acct_src3").select("content_hash", "account_id", "uid", "model_version")
+    """K5 on the written table."""
+    from ..sinks import tables as T
+    lay = _fresh_layout(spark, World(spark, sf))
+    T.invalidate_cache(spark, lay, "acct_src3")
+    return T.read_cache(spark, lay).select("content_hash", "account_id", "uid", "model_version")
 
 
 def q_pacing_plan(spark, sf):
@@ -362,6 +379,77 @@ def q_stream_once(spark, sf):
     return _store_cols(T.read_store(spark, lay))
 
 
+def q_stream_two_batches(spark, sf):
+    """The same stream over two files, one per micro-batch."""
+    import os
+    from ..session import scratch_path
+    from ..sinks import tables as T
+    from ..streaming.stream import ingest_stream, landed_messages
+    w = World(spark, sf)
+    lay, land = _fresh_layout(spark, w), scratch_path(spark, "landed")
+    middle = w.messages.agg(F.expr("percentile_approx(uid, 0.5)")).first()[0]
+    w.messages.filter(F.col("uid") <= middle).coalesce(1).write.parquet(os.path.join(land, "first"))
+    w.messages.filter(F.col("uid") > middle).coalesce(1).write.parquet(os.path.join(land, "second"))
+    ingest_stream(spark, landed_messages(spark, os.path.join(land, "*"), max_files=1), lay, w.accounts, w.opts,
+                  scratch_path(spark, "stream"), responses=w.responses)
+    return T.read_store(spark, lay).select("account_id", "uid", "content_hash", "priority")
+
+
+def q_replay_partial(spark, sf):
+    """T4/K1: a committed batch, replayed with the same ids, changes nothing."""
+    from dataclasses import replace
+    from ..sinks import tables as T
+    from . import run as R
+    w = World(spark, sf)
+    lay, opts = _fresh_layout(spark, w), replace(w.opts, batch_id=0)
+    for _ in range(2):
+        R.run_ingest(spark, lay, w.messages, w.accounts, opts, responses=w.responses)
+    return _store_cols(T.read_store(spark, lay))
+
+
+def q_delivery_failure(spark, sf):
+    """One account's delivery fails: only it is held, with a FAIL row."""
+    from ..sinks import tables as T
+    from . import run as R
+    w = World(spark, sf)
+    lay = _fresh_layout(spark, w)
+    R.run_ingest(spark, lay, w.messages, w.accounts, w.opts, responses=w.responses, sink=lambda df, b: ["acct_src0"])
+    stored = T.read_store(spark, lay).groupBy("account_id").agg(F.count(F.lit(1)).alias("stored"))
+    return (T.read_audit(spark, lay).join(stored, "account_id", "left")
+            .select("account_id", "status", "emails_processed", F.coalesce("stored", F.lit(0)).alias("stored")))
+
+
+def q_json_sink(spark, sf):
+    """K7: the JSON files of a delivered batch, read back."""
+    from ..session import scratch_path
+    from ..sinks.emit import json_file_sink
+    from . import run as R
+    w, path = World(spark, sf), scratch_path(spark, "json")
+    json_file_sink(path)(R.emitted_results(w.outcome[0], RUN), 0)
+    return spark.read.text(path).select("account_id", F.col("value").alias("json"))
+
+
+def q_date_floor(spark, sf):
+    """Messages with zoned, undatable, missing and ISO dates against the floor."""
+    k = F.col("uid") % 5
+    day = F.format_string("%02d", (F.col("uid") % 28 + 1).cast("int"))
+    date = (F.when(k == 0, F.concat(day, F.lit(" Dec 2023 23:30:00 EST"))).when(k == 1, F.lit("soon"))
+            .when(k == 2, F.concat(F.lit("Thu, "), day, F.lit(" Feb 2024 08:15 PDT"))).when(k == 3, F.concat(F.lit("2024-01-"), day)))
+    w = World(spark, sf, init_start_date="2023-12-20")
+    batch = I.fetch(w.messages.withColumn("date", date), w.plan, w.opts)
+    return batch.select("account_id", "uid", ts_text("sent_at").alias("sent_at"))
+
+
+def q_target_account(spark, sf):
+    """F8: the plan of one account's run."""
+    return World(spark, sf, target_account="acct_src3").plan
+
+
+def q_store_by_run(spark, sf):
+    """the rows of one run, by id."""
+    return _page_cols(Q.query_page(World(spark, sf).store, 0, -1, run_id=RUN))
+
+
 # --- query layer -------------------------------------------------------------------
 
 PAGE_FILTERS = dict(account_id="acct_src7", priority="High", since="2024-01-15")
@@ -477,4 +565,11 @@ QUERIES = {
     "report_text": q_report_text,
     "table_lines": q_table_lines,
     "json_results": q_json_results,
+    "stream_two_batches": q_stream_two_batches,
+    "replay_partial": q_replay_partial,
+    "delivery_failure": q_delivery_failure,
+    "json_sink": q_json_sink,
+    "date_floor": q_date_floor,
+    "target_account": q_target_account,
+    "store_by_run": q_store_by_run,
 }

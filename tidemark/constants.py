@@ -60,3 +60,12 @@ REPORT_NO_ENTITIES = "  (No key entities found)"
 
 # --- fixed values: fixed-width table output ------------------------------
 TABLE_EMPTY = "No results."
+TABLE_HEADER = "     ID    PRI | DATE             | SENDER                         | SUBJECT"
+TABLE_RULE = "----------------------------------------------------------------------------"
+
+# --- fixed values: layout of a model request (each line indented) ----------
+REQUEST_INDENT = "\n        "
+REQUEST_LABELS = ["Subject: ", "Sender: ", "Date: ", "Body:"]
+
+# --- fixed values: cursor movement in the run report -----------------------
+MOVEMENT = [" -> ", " (+", " emails)"]

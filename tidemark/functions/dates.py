@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import col as _c
 from .common import let
 
 # fixed values: English month abbreviations used by mail date headers
@@ -27,10 +28,6 @@ ZONES = {"E": 5, "C": 6, "M": 7, "P": 8}
 ISO_RE = r"^\s*(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2}))?)?\s*$"
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
 def _int(s: Column) -> Column:
     return F.when(s == "", F.lit(None)).otherwise(s).try_cast("int")
 

@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import col as _c
 from ..constants import FINGERPRINT_BODY_CHARS, FINGERPRINT_HEX_CHARS
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
 def fingerprint(sender="sender", date="date", subject="subject", body="body") -> Column:
     """First 16 hex chars of sha256("sender|date|subject|body[:2000]").
 
@@ -25,7 +22,3 @@ def fingerprint(sender="sender", date="date", subject="subject", body="body") ->
         F.substring(F.coalesce(_c(body), F.lit("")), 1, FINGERPRINT_BODY_CHARS),
     )
     return F.substring(F.sha2(canonical, 256), 1, FINGERPRINT_HEX_CHARS)
-
-
-def with_fingerprint(df, name: str = "content_hash"):
-    return df.withColumn(name, fingerprint())

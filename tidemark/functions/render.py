@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import col as _c
 from .. import constants as K
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
 def report_text(result="result") -> Column:
     """One console block per result (same text the console template renders).
 
@@ -68,8 +65,7 @@ def table_line(id_col="id", priority="priority", date="date", sender="sender", s
     )
 
 
-TABLE_HEADER = f"{'ID':>7} {'PRI':>6} | {'DATE':16} | {'SENDER':30} | SUBJECT"
-TABLE_RULE = "-" * len(TABLE_HEADER)
+TABLE_HEADER, TABLE_RULE = K.TABLE_HEADER, K.TABLE_RULE
 
 
 def table_footer(count="count", max_id="max_id", has_more="has_more") -> Column:

@@ -22,6 +22,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .common import col as _c
 from .common import let
 
 ERR_NOT_OBJECT = "response is not a JSON object"
@@ -33,10 +34,6 @@ ERR_ACTION = "action_required: input should be a valid boolean"
 _INT_TYPES = ["TINYINT", "SMALLINT", "INT", "BIGINT"]
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
 def validate_answer(raw="raw_json") -> Column:
     """STRUCT<ok, priority, summary, key_entities, action_required, error>.
 

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import col as _c
+from .. import constants as K
 from ..constants import BODY_PREVIEW_CHARS, MAX_CONTENT_LENGTH
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
 def clipped_body(body="body", limit: int = MAX_CONTENT_LENGTH) -> Column:
     """Body cut to ``limit`` characters; null body -> ''."""
     b = _c(body)
@@ -29,15 +27,11 @@ def body_preview(body="body", limit: int = BODY_PREVIEW_CHARS) -> Column:
 
 def request_text(subject="subject", sender="sender", date="date", clipped="clipped_body") -> Column:
     """User prompt sent with a model request; a null field renders as 'None'."""
-    ind = "\n        "
-
     def val(x):
         return F.coalesce(_c(x), F.lit("None"))
 
+    ind, (on, by, at, what) = K.REQUEST_INDENT, K.REQUEST_LABELS
     return F.concat(
-        F.lit(ind + "Subject: "), val(subject),
-        F.lit(ind + "Sender: "), val(sender),
-        F.lit(ind + "Date: "), val(date),
-        F.lit(ind + ind + "Body:" + ind), F.coalesce(_c(clipped), F.lit("")),
-        F.lit(ind),
+        F.lit(ind + on), val(subject), F.lit(ind + by), val(sender), F.lit(ind + at), val(date),
+        F.lit(ind + ind + what + ind), F.coalesce(_c(clipped), F.lit("")), F.lit(ind),
     )

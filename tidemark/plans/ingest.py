@@ -184,8 +184,8 @@ def account_stats(plan: DataFrame, out: DataFrame) -> DataFrame:
         fetched_n.alias("fetched"), F.col("min_uid"), F.col("max_uid"),
         emitted_n.alias("emitted"), after.alias("after_uid"),
         (after >= F.col("start_uid")).alias("advances"),
-        F.concat(F.col("before_uid").cast("string"), F.lit(" -> "), after.cast("string"),
-                 F.lit(" (+"), (after - F.col("start_uid") + 1).cast("string"), F.lit(" emails)")).alias("movement"),
+        F.concat(F.col("before_uid").cast("string"), F.lit(K.MOVEMENT[0]), after.cast("string"),
+                 F.lit(K.MOVEMENT[1]), (after - F.col("start_uid") + 1).cast("string"), F.lit(K.MOVEMENT[2])).alias("movement"),
     )
 
 

@@ -34,8 +34,3 @@ def status_json(cursors: DataFrame, db_path: str) -> DataFrame:
     """The status document as one JSON text column ``status``."""
     p = status_payload(cursors, db_path)
     return p.select(F.to_json(F.struct("initialized", "accounts", "db_path")).alias("status"))
-
-
-def report_blocks(out: DataFrame) -> DataFrame:
-    """K8: one console block per emitted result, keyed by account and uid."""
-    return out.select("account_id", "uid", report_text("result").alias("report"))

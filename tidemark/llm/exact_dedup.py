@@ -52,8 +52,9 @@ def refine(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     The result is staged, so every later read sees the same row ranks.
     """
     narrow = docs.select("doc_id", "text")
-    keys = (_keyed(narrow).groupBy("__len", "__head").agg(F.count(F.lit(1)).alias("__n"))
-            .where("__n > 1").select("__len", "__head", F.lit(True).alias("ambiguous")))
+    # staged, so that the join knows its size, and where it is large splits its hot keys
+    keys = stage_table(_keyed(narrow).groupBy("__len", "__head").agg(F.count(F.lit(1)).alias("__n"))
+                       .where("__n > 1").select("__len", "__head", F.lit(True).alias("ambiguous")), "keys")
     rows = _keyed(narrow).join(keys, ["__len", "__head"], "left")
     full = F.sha2(without_white_space(text_of()), 256)
     ambiguous = F.coalesce("ambiguous", F.lit(False))
@@ -70,11 +71,12 @@ def exact_groups(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     rows = refine(docs, digest_all)
     rank = F.struct("n_chars", F.col("doc_id").isNotNull().alias("has_id"), (-F.col("doc_id")).alias("neg_id"),
                     (-F.col("row_rank")).alias("neg_rank"))
-    groups = (rows.where("ambiguous").groupBy("digest")
+    found = (rows.where("ambiguous").groupBy("digest")
               .agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("n"))
               .where("n > 1")
               .select(F.col("digest").alias("__digest"), (-F.col("best.neg_id")).alias("__keep"),
                       (-F.col("best.neg_rank")).alias("__rank"), F.col("n").alias("__n")))
+    groups = stage_table(found, "groups")
     joined = rows.join(groups, F.col("ambiguous") & (F.col("digest") == F.col("__digest")), "left")
     alone = F.col("__n").isNull()
     return joined.select(

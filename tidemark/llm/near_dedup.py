@@ -157,10 +157,11 @@ def clusters(nodes: DataFrame, agree: int) -> DataFrame:
     turned = F.substring("signature", 16 * F.col("tree") + 1, 16)
     leaves = (nodes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
               .withColumn("rotated", turned).select("node", path(3).alias("k3"), path(4).alias("k4")))
-    count3 = leaves.groupBy("k3").agg(F.count(F.lit(1)).alias("c3")).where("c3 > 1")
+    # counts are staged, so that both sides of the joins are plain shuffles, whose hot prefixes AQE splits
+    count3 = stage_table(leaves.groupBy("k3").agg(F.count(F.lit(1)).alias("c3")).where("c3 > 1"), "prefixes")
     shared = stage_table(leaves.join(count3, "k3"), "leaves")
     dense = shared.where(F.col("c3") > REGION)
-    count4 = dense.groupBy("k4").agg(F.count(F.lit(1)).alias("c4"), F.min("node").alias("least")).where("c4 > 1")
+    count4 = stage_table(dense.groupBy("k4").agg(F.count(F.lit(1)).alias("c4"), F.min("node").alias("least")).where("c4 > 1"), "deeper")
     deep = dense.join(count4, "k4")
     chained = deep.where((F.col("c4") > REGION) & (F.col("node") != F.col("least"))).select(F.col("node").alias("u"), F.col("least").alias("v"))
     regions = shared.where(F.col("c3") <= REGION).select(F.col("k3").alias("region"), "node").unionByName(

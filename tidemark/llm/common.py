@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +52,37 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
+
+
+class Recent:
+    """Values of the keys asked for most recently, about ``most`` of them."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most // 2, {}, {}
+
+    def recall(self, keys: Iterable) -> dict:
+        """Each key with its value, or None."""
+        young, old = self.young, self.old
+        return {k: young[k] if k in young else old.get(k) for k in keys}
+
+    def keep(self, values: dict) -> None:
+        """Remember ``values``."""
+        self.young.update(values)
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[str]]]:
+    """(doc_ids, texts) of neighbouring rows of at most about ``most``
+    characters together; a longer text is a slice of its own."""
+    for batch in batches:
+        keys, texts, size = [], [], 0
+        for key, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+            keys.append(key.as_py())
+            texts.append(text.as_py())
+            size += len(texts[-1])
+            if size >= most:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+        if keys:
+            yield keys, texts

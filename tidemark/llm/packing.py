@@ -8,9 +8,10 @@ no padding (its length is a power of two) and batches from one bucket are
 rectangular. Cutting is local to a document, so packing needs no shuffle, no
 global state and no document's ids ever leave its row's task.
 
-Tokenising is one ``mapInArrow`` pass. The tokenizer never joins characters
-across a blank, and takes letters and punctuation apart, so ids are cached
-for blank-separated words and for their letter stems.
+Tokenising is one ``mapInArrow`` pass over slices of bounded size. The
+tokenizer never joins characters across a blank, and takes letters and
+punctuation apart, so each distinct word of a slice is looked up once, and
+only letter stems that no recent slice had are tokenised, all at once.
 
 Defined results: a null or empty text is the separator alone; a document of
 any length is cut whole; repeated rows are packed each, with sequence ids of
@@ -26,24 +27,25 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, text_of
+from tidemark.llm.common import Recent, slices, text_of
 
 #: Most ids in a sequence, the id that ends a document, and the id that pads.
 LIMIT, SEPARATOR = 4096, 2
 #: Words and stems that a worker remembers (about 200 bytes each).
-CACHE_WORDS, CACHE_STEMS = 400_000, 1_200_000
-#: Bytes of ids in one output batch.
-OUT_BYTES = 8_000_000
+CACHE_WORDS, CACHE_STEMS = 500_000, 900_000
+#: Characters of text that are tokenised together.
+SLICE = 2_000_000
 
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
 class WordTokenizer:
-    """Ids of whole texts, from cached ids of their words."""
+    """Ids of whole texts, from remembered ids of their words."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -51,25 +53,45 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.stems = Memo(self._ids, CACHE_STEMS)
-        self.words = Memo(self._word, CACHE_WORDS)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.words, self.stems = Recent(CACHE_WORDS), Recent(CACHE_STEMS)
 
     def _ids(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: str) -> bytes:
-        stem = word.rstrip(string.punctuation)
-        if not stem.isalpha():
-            return self._ids(word)
-        tail = word[len(stem):]
-        if stem.isascii():
-            stem = stem.lower()
-        return self.stems[stem] + (self.stems[tail] if tail else b"")
-
-    def encode(self, text: str) -> bytes:
-        """The ids of ``text``, little-endian unsigned 32-bit."""
-        return b"".join([self.words[w] for w in text.split(" ")])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _stem_ids(self, stems: list[str]) -> Iterator[bytes]:
+        """Ids of words of letters only, each of which ends with its only
+        word-ending token, from one pass over them all."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(stems):
+            return map(self._ids, stems)
+        data = ids.tobytes()
+        return (data[4 * a:4 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian unsigned 32-bit."""
+        split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
+        known = self.words.recall(set().union(*split))
+        parts = {}
+        for word in [w for w, ids in known.items() if ids is None]:
+            stem = word.rstrip(string.punctuation)
+            if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):  # lower case may add a mark
+                parts[word] = (stem.lower() if stem.isascii() else stem, word[len(stem):])
+            else:
+                known[word] = self._ids(word)
+        stems = self.stems.recall({stem for stem, _ in parts.values()})
+        new = [stem for stem, ids in stems.items() if ids is None]
+        if new:
+            stems.update(zip(new, self._stem_ids(new), strict=True))
+            self.stems.keep(stems)
+        tails = {tail: self._ids(tail) if tail else b"" for tail in {tail for _, tail in parts.values()}}
+        for word, (stem, tail) in parts.items():
+            known[word] = stems[stem] + tails[tail]
+        self.words.keep(known)
+        return [b"".join([known[w] for w in words]) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -102,17 +124,12 @@ def pack(docs: DataFrame, path: str, limit: int = LIMIT, separator: int = SEPARA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_tokenizer(path).encode, struct.pack("<I", separator)
-        rows, size = [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                ids = encode(text.as_py()) + end
-                n, key = len(ids) // 4, doc_id.as_py()
+        for keys, texts in slices(batches, SLICE):
+            rows = []
+            for key, body in zip(keys, encode(texts), strict=True):
+                ids = body + end
+                n = len(ids) // 4
                 rows += [(key, s, k, ids[4 * s:4 * (s + k)], n) for s, k in cuts(n, limit)]
-                size += len(ids)
-                if size >= OUT_BYTES:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                    rows, size = [], 0
-        if rows:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, _SCHEMA)

@@ -13,9 +13,11 @@ drawn again with the next attempt number for all but the first of them, until
 none is left. Only units with an attempt above 0 (a small share) are joined to
 the documents that hold them; all other surrogates are computed in place.
 
-Everything is built-in column functions. Units are aggregated by value with
-map-side combine, so a unit that occurs in a third of all rows is one row per
-task; texts are shuffled only if the exceptions are too many to broadcast.
+Everything is built-in column functions. Texts that no detector can match are
+told by one cheap pattern and pass through; the others are searched once and
+staged. Units are aggregated by value with map-side combine, so a unit that
+occurs in a third of all rows is one row per task; only staged texts are ever
+joined.
 
 Defined results: null text stays null; a text without entities is returned as
 it is; repeated rows are treated alike; other columns pass through, and a
@@ -29,7 +31,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep_columns, text_of
 from tidemark.session import stage_table
 
 #: Key of the surrogates unless the caller gives one.
@@ -212,18 +213,19 @@ def _render(key: str, e: Column, bumps: Column) -> Column:
             .otherwise(first))
 
 
-def exceptions(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """(mark, attempt) of the units whose first surrogate is not distinct."""
-    found = docs.select(F.explode(entities(text_of())).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
-    each = found.select(F.explode(units(F.col("e"))).alias("u")).select("u.*").distinct()
+def exceptions(found: DataFrame, key: str = KEY) -> DataFrame:
+    """(mark, attempt) of the units whose first surrogate is not distinct;
+    ``found``: rows with ``__found``, the entities of a text."""
+    once = found.select(F.explode("__found").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
+    each = once.select(F.explode(units(F.col("e"))).alias("u")).select("u.*").distinct()
     now = stage_table(each.withColumn("attempt", F.lit(0)), "units")
     while True:
         drawn = now.withColumn("s", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt")))
         # a first draw keeps its place before later draws; then the smaller value does
         first = drawn.groupBy("kind", "s").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count(F.lit(1)).alias("n"))
-        real = now.select("kind", F.col("norm").alias("s"), F.lit(True).alias("real"))
+        real = now.select("kind", F.col("norm").alias("low"), F.lit(True).alias("real"))
         marked = (drawn.join(first.where("n > 1").drop("n"), ["kind", "s"], "left")
-                  .withColumn("low", F.lower("s")).join(real.withColumnRenamed("s", "low"), ["kind", "low"], "left"))
+                  .withColumn("low", F.lower("s")).join(real, ["kind", "low"], "left"))
         again = (F.col("first").isNotNull() & (F.struct("attempt", "norm") != F.col("first"))) | F.coalesce("real", F.lit(False))
         after = stage_table(marked.select("kind", "norm", "attempt", again.alias("again")), "units")
         if after.where("again").isEmpty():
@@ -234,26 +236,24 @@ def exceptions(docs: DataFrame, key: str = KEY) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: str = KEY, count: str | None = None) -> DataFrame:
     """``docs`` with ``text`` replaced; ``count`` names a further column with
     the number of entities."""
-    odd = stage_table(exceptions(docs, key), "exceptions")
-    marked = docs.withColumns({"__row": F.xxhash64(F.col("doc_id"), text_of()), "__found": entities(text_of())})
+    hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
+    # texts that may hold entities (a small share) are searched once and staged; all others never move
+    found = stage_table(docs.where(hinted).withColumns({"__row": F.xxhash64("doc_id", "text"), "__found": entities(F.col("text"))}), "found")
+    odd = exceptions(found, key)
+    marks = F.flatten(F.transform("__found", lambda e: F.transform(units(e), lambda u: _mark(u["kind"], u["norm"]))))
+    bumps = (found.select("__row", F.explode(F.array_distinct(marks)).alias("mark")).distinct().join(odd, "mark")
+             .groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("mark", "attempt"))).alias("__bumps")))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
-    if odd.isEmpty():
-        marked = marked.withColumn("__bumps", none)
-    else:
-        marks = F.flatten(F.transform("__found", lambda e: F.transform(units(e), lambda u: _mark(u["kind"], u["norm"]))))
-        bumped = (marked.where(F.size("__found") > 0).select("__row", F.explode(F.array_distinct(marks)).alias("mark")).distinct()
-                  .join(odd, "mark").groupBy("__row")
-                  .agg(F.map_from_entries(F.collect_list(F.struct("mark", "attempt"))).alias("__bumps")))
-        marked = marked.join(bumped, "__row", "left").withColumn("__bumps", F.coalesce("__bumps", none))
+    marked = found.join(bumps, "__row", "left").withColumn("__bumps", F.coalesce("__bumps", none))
     drawn = F.transform("__found", lambda e: _render(key, e, F.col("__bumps")))
-    between = F.split(text_of(), PATTERN)
+    between = F.split("text", PATTERN)
     # split() and regexp_extract_all() see the same matches, so piece i stands before surrogate i
     woven = F.array_join(F.transform(between, lambda p, i: F.concat(p, F.coalesce(F.get(drawn, i), F.lit("")))), "")
-    text = F.when(F.size("__found") > 0, woven).otherwise(F.col("text"))
-    names = [f.name for f in docs.schema]
-    out = marked.withColumn("text", text)
-    if "n_chars" in names:
+    out = marked.withColumn("text", F.when(F.size("__found") > 0, woven).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
         kept = F.when(F.size("__found") > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", kept.cast(docs.schema["n_chars"].dataType))
-    extra = [F.size("__found").cast("long").alias(count)] if count else []
-    return out.select(*[F.col(f"`{c}`") for c in names], *extra) if extra else keep_columns(docs, out)
+    rest = docs.where(~hinted)
+    if count:
+        out, rest = out.withColumn(count, F.size("__found").cast("long")), rest.withColumn(count, F.lit(0).cast("long"))
+    return rest.unionByName(out.drop("__row", "__found", "__bumps"))

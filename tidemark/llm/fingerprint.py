@@ -102,14 +102,13 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     before = predecessors(ids.select("doc_id", "half"))
     heads = rows.join(before, "doc_id").select(
         F.col("prev_id").alias("doc_id"), F.col("doc_id").alias("next_id"), F.substr("text", F.lit(1), F.col("prev_half").cast("int")).alias("head"))
-    own = rows.withColumn("row", F.xxhash64("text"))
-    times = F.lit(1)
+    own, times = rows, F.lit(1)  # the same columns as above, so that both joins share one shuffle of the texts
     if repeated:
         heads = heads.groupBy("doc_id").agg(F.min("next_id").alias("next_id"), F.min("head").alias("head"))
-        own = own.groupBy("doc_id", "row").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
+        own = own.groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
         times = F.col("times")
     both = own.join(heads, "doc_id").select(
-        "doc_id", "row", "next_id", times.alias("times"), F.length("text").cast("long").alias("n_chars"), "text",
+        "doc_id", F.xxhash64("text").alias("row"), "next_id", times.alias("times"), F.length("text").cast("long").alias("n_chars"), "text",
         F.concat(F.substr("text", F.lit(1), (F.length("text") - half).cast("int")),
                  F.substr("head", F.lit(1), half.cast("int"))).alias("edited"))
     facts = both.select("doc_id", "row", "next_id", "times", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))

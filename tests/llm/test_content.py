@@ -109,6 +109,19 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_copies_do_not_empty_a_host(spark):
+    page = lambda i: f"<html><body><div class=top>Welcome</div><div class=body><p>Story {i}</p></div></body></html>"
+    rows = [(i, "https://copies.example/", page(0)) for i in range(60)] + [(100 + i, "https://copies.example/", page(i)) for i in range(1, 4)]
+    rows += [(200 + i, "https://five.example/", page(0)) for i in range(5)]
+    rows += [(300 + i, "https://mixed.example/", page(max(i - 90, 0))) for i in range(100)]
+    same = "<html><body><div class=a>One</div><div class=b>Two</div></body></html>"
+    rows += [(400, "https://mixed.example/", "<html><body><div class=top>Welcome</div></body></html>"), (401, "https://mixed.example/", same)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == "Welcome Story 0" for i in (0, 59, 200, 204)) and out[101] == "Welcome Story 1"
+    assert out[300] == "Story 0" and out[399] == "Story 9" and out[400] == "Welcome" and out[401] == "One Two"
+    assert html_extract.main_text(same, ["html", "html/body", "html/body/div.b", "html/body/div.a"]) == "One"
+
+
 def corpus(n=400):
     rng = np.random.default_rng(1)
     rows, labels = [], []

@@ -4,30 +4,35 @@ The DOMs of a host's pages are merged into one style tree: a node is a path
 of element labels (tag and class), and counts, over the pages that have it,
 how often it holds which children (presentation) and which text (content).
 A node's importance is the entropy of these two distributions, 1 where every
-page differs and 0 where all pages say the same. Branches whose importance is
-low over enough pages are site furniture and are removed from each page.
+page differs and 0 where all pages say the same. Pages of one host with the
+same content count once, so that copies lower no importance. Branches whose
+importance is low over enough pages are site furniture and are removed from
+each page, the least important first, but never ``html``, ``body`` or a branch
+that holds all the text that is left of a page.
 
 Landmarks speak before statistics, for a menu may well differ on every page:
 elements that are furniture by tag, role or class have importance 0, and
 where a page marks its article (``article``, ``main``) that branch has
 importance 1 and is the main text, whatever its paragraphs share with others.
 
-A page is parsed within its row's task, in one pass over its tags. The tree is
-an aggregation of (host, path, hash) with map-side combine; it sends back, per
+A page is parsed within its row's task, in one pass over its tags. Its nodes
+are one row, made distinct with map-side combine; the tree is an aggregation
+of their (host, path, hash), also with map-side combine; it sends back, per
 host, the paths to remove, a small table that the planner broadcasts if its
 measured size allows, and otherwise joins with its skewed hosts split.
 
 Defined results: null html gives the empty text; white space is Unicode white
 space; an unclosed comment, script or tag runs to the end of the page; pages
 without a host (null or odd url) only follow landmarks; hosts with fewer than
-``MIN_PAGES`` pages at a node keep it; repeated rows are treated alike.
+``MIN_PAGES`` distinct pages at a node keep it; repeated rows are treated alike.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import text_of
 from tidemark.session import stage_table
 
-#: Pages a node must have before it can be judged; importance under which it
+#: Distinct pages a node must have before it can be judged; importance under which it
 #: goes; weight of presentation against content.
 MIN_PAGES, LOW, PRESENTATION = 5, 0.2, 0.1
 
@@ -174,16 +179,30 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def main_text(page: str, low: set[str]) -> str:
-    """The main text of a page, given its host's low paths."""
+def main_text(page: str, low: Collection[str]) -> str:
+    """The main text of a page, given its host's low paths, the lowest first."""
     found = blocks(page)
     if any(b.article for b in found):
         found = [b for b in found if b.article]
     elif low:
-        found = [b for b in found if not any("/".join(b.path[:i + 1]) in low for i in range(len(b.path)))]
+        found = _without(found, low)
     return " ".join(b.text for b in found)
 
 
+def _without(found: list[Block], low: Collection[str]) -> list[Block]:
+    """The blocks that are left when the low branches go, one by one."""
+    branches: dict[str, set[int]] = {}
+    for at, block in enumerate(found):
+        for i, label in enumerate(block.path):
+            if label.split(".")[0] not in ("html", "body"):
+                branches.setdefault("/".join(block.path[:i + 1]), set()).add(at)
+    left = set(range(len(found)))
+    for path in low:
+        if not left <= branches.get(path, set()):
+            left -= branches.get(path, set())
+    return [b for at, b in enumerate(found) if at in left]
+
+
 def _nodes(page: str) -> Iterator[tuple[str, int, int]]:
     """(path, presentation, content) of a page's nodes without furniture."""
     from xxhash import xxh64_intdigest
@@ -203,11 +222,12 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, 1000):
             part = batch.slice(begin, 1000)
-            rows = [(host, *node) for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True)
-                    for node in _nodes(page)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)],
-                                  ["host", "path", "presentation", "content"])
+            pages = [list(_nodes(page)) for page in part.column("html").to_pylist()]
+            columns = list(zip(*(node for nodes in pages for node in nodes), strict=True)) or [[]] * 3
+            nodes = pa.StructArray.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "presentation", "content"])
+            ends = pa.array([0, *accumulate(map(len, pages))], pa.int32())
+            yield pa.record_batch([part.column("host"), pa.ListArray.from_arrays(ends, nodes)], ["host", "nodes"])
 
 
 def _entropy(rows: DataFrame, name: str) -> DataFrame:
@@ -225,9 +245,12 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``pages`` (host, html) as (host, path, pages, importance)."""
-    rows = stage_table(pages.where("host is not null").select("host", "html")
-                       .mapInArrow(_tree_rows, "host string, path string, presentation long, content long"), "nodes")
+    """``pages`` (host, html) as (host, path, pages, importance), over the
+    distinct contents of a host's pages."""
+    once = stage_table(pages.where("host is not null").select("host", "html")
+                       .mapInArrow(_tree_rows, "host string, nodes array<struct<path: string, presentation: long, content: long>>")
+                       .distinct(), "nodes")
+    rows = once.select("host", F.inline("nodes"))
     both = _entropy(rows, "content").join(_entropy(rows, "presentation").drop("pages"), ["host", "path"])
     importance = PRESENTATION * F.col("presentation") + (1 - PRESENTATION) * F.col("content")
     return both.select("host", "path", "pages", importance.alias("importance"))
@@ -237,7 +260,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, 1000):
             part = batch.slice(begin, 1000)
-            texts = [main_text(page, set(low or ())) for page, low in
+            texts = [main_text(page, low or ()) for page, low in
                      zip(part.column("html").to_pylist(), part.column("low").to_pylist(), strict=True)]
             yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
@@ -246,6 +269,6 @@ def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) as page_id, url, text: one row each."""
     rows = pages.select("page_id", "url", text_of("html").alias("html"), host_of(F.col("url")).alias("host"))
     low = (style_tree(rows).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW))
-           .groupBy("host").agg(F.collect_list("path").alias("low")))
+           .groupBy("host").agg(F.sort_array(F.collect_list(F.struct("importance", "path")))["path"].alias("low")))
     return rows.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(
         _extract, "page_id long, url string, text string")

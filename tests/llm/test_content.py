@@ -99,6 +99,18 @@ def test_main_text(page, text):
     assert html_extract.main_text(page, set()) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<div class='content has-sidebar'><article><p>a</p></article></div>", "a"), ("<div class='no-sidebar with-menu'><p>a</p></div>", "a"),
+    ("<main class=no-comments>m</main>", "m"), ("<article class='post share-enabled'>a</article>", "a"),
+    ("<div id=search-results><p>x</p><article>a</article></div>", "a"), ("<div id=search><div class=menu>n</div><main>m</main></div>", "m"),
+    ("<div class=sidebar>s</div><article class='post hidden'>a</article>", "a"), ("<main><div class=widget>w<article>a</article></div></main>", "w a"),
+    ("<p>one <span class=share>s</span> two</p>", "one two"),
+    ("<article>a<div class='x comments'><article>c</article></div></article>", "a"), ("<div class=menu>n</div><p>t", "t"),
+    ("<div class=promo><div hidden><article>h</article></div>p</div><p>t", "t"), ("<div class='Menu x' id=site-menu>n</div><p>t", "t")])
+def test_marks_spare_articles(page, text):
+    assert html_extract.main_text(page, set()) == text
+
+
 def test_style_tree_drops_what_a_site_repeats(spark):
     page = lambda i: f"<body><div class=top>Welcome to the site</div><div class=body><p>Story {i} of many</p><p>Part {i}</p></div></body>"
     rows = [(i, f"https://Site.example:80/p{i}", page(i)) for i in range(8)] + [

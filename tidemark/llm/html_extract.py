@@ -11,8 +11,10 @@ each page, the least important first, but never ``html``, ``body`` or a branch
 that holds all the text that is left of a page.
 
 Landmarks speak before statistics, for a menu may well differ on every page:
-elements that are furniture by tag, role or class have importance 0, and
-where a page marks its article (``article``, ``main``) that branch has
+elements that are furniture by tag, role or class have importance 0 (a class,
+id or role counts as a whole, so that ``has-sidebar`` says nothing; one that is
+or holds an article does not count, unless within another article), and where a
+page marks its article (``article``, ``main``) that branch has
 importance 1 and is the main text, whatever its paragraphs share with others.
 
 A page is parsed within its row's task, in one pass over its tags. Its nodes
@@ -49,7 +51,7 @@ MIN_PAGES, LOW, PRESENTATION = 5, 0.2, 0.1
 #: Elements that never hold main text, and those that mark it.
 FURNITURE = frozenset("head nav footer aside form script style noscript template iframe button select textarea svg canvas object menu dialog".split())
 ARTICLE = frozenset(("article", "main"))
-#: Words of class, id or role that mark furniture.
+#: Classes, ids or roles that mark furniture.
 MARKS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice alert popup modal menu nav navbar "
     "navigation breadcrumb breadcrumbs sidebar footer comment comments reply replies disqus share sharing social related newsletter "
@@ -70,7 +72,6 @@ SCOPE = frozenset("html body table td th div section article main aside nav head
 _OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
 _TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
 
 
 class Block(NamedTuple):
@@ -85,37 +86,40 @@ class _Element(NamedTuple):
     tag: str
     label: str
     furniture: bool
+    marks: tuple[int, ...]  # the marked elements around it and itself, by number
     article: bool
+    nested: bool  # is or is in an ``article``
 
 
-def _element(tag: str, attributes: str, parent: _Element | None) -> _Element:
-    inside = bool(parent and parent.article)
+def _element(tag: str, attributes: str, parent: _Element | None, number: int) -> _Element:
+    inside, nested = bool(parent and parent.article), bool(parent and parent.nested)
     furniture = bool(parent and parent.furniture) or tag in FURNITURE or (tag in OUTER and not inside)
-    label = tag
+    label, marks = tag, parent.marks if parent else ()
     if attributes and not furniture:
+        words: set[str] = set()
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "class" and value:
                 label += "." + ".".join(value.split())
-            marks = {"hidden"} if name == "hidden" else set(_WORD.findall(value)) if name in ("class", "id", "role") else set()
-            if name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-                marks = {"hidden"}
-            if marks & MARKS and tag not in ("html", "body") or marks & OUTER and not inside and tag not in ("html", "body"):
-                furniture = True
-    return _Element(tag, label, furniture, inside or tag in ARTICLE)
+            if name in ("class", "id", "role"):
+                words.update(value.split())
+            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+                furniture = furniture or tag not in ("html", "body")
+        if (words & MARKS or words & OUTER and not inside) and tag not in ("html", "body") and (nested or tag not in ARTICLE):
+            marks += (number,)
+    return _Element(tag, label, furniture, marks, inside or tag in ARTICLE, nested or tag == "article")
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, without furniture."""
     stack: list[_Element] = []
-    out: list[Block] = []
-    line: list[str] = []
+    out: list[tuple[tuple[str, ...], bool, list[tuple[str, tuple[int, ...]]]]] = []
+    line: list[tuple[str, tuple[int, ...]]] = []  # pieces of text and the marked elements around them
+    holds: set[int] = set()  # marked elements that hold an article
 
     def close_block() -> None:
         if line:
-            if text := " ".join("".join(line).split()):
-                path = [e.label for e in stack if e.tag not in INLINE]
-                out.append(Block(tuple(path), text, bool(stack and stack[-1].article)))
+            out.append((tuple(e.label for e in stack if e.tag not in INLINE), bool(stack and stack[-1].article), line.copy()))
             line.clear()
 
     def pop_to(at: int) -> None:
@@ -128,7 +132,7 @@ def blocks(page: str) -> list[Block]:
         mark = _OPEN.search(page, at)
         end = mark.start() if mark else size
         if end > at and not (stack and stack[-1].furniture):
-            line.append(entities.unescape(page[at:end]))
+            line.append((entities.unescape(page[at:end]), stack[-1].marks if stack else ()))
         if not mark:
             break
         at = end
@@ -149,7 +153,7 @@ def blocks(page: str) -> list[Block]:
                     break
             continue
         if tag == "br":
-            line.append("\n")
+            line.append(("\n", ()))
             continue
         if tag not in INLINE:
             for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
@@ -174,9 +178,13 @@ def blocks(page: str) -> list[Block]:
             stop = page.find(">", at)
             at = size if stop < 0 else stop + 1
             continue
-        stack.append(_element(tag, found[2], stack[-1] if stack else None))
+        around = stack[-1] if stack else None
+        stack.append(_element(tag, found[2], around, at))
+        if tag in ARTICLE and around and not around.nested and not stack[-1].furniture:
+            holds.update(around.marks)
     close_block()
-    return out
+    spoken = ((path, " ".join("".join(piece for piece, marks in pieces if holds.issuperset(marks)).split()), article) for path, article, pieces in out)
+    return [Block(*block) for block in spoken if block[1]]
 
 
 def main_text(page: str, low: Collection[str]) -> str:

@@ -121,6 +121,17 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_style_tree_judges_branches_of_articles(spark):
+    page = lambda i: (f"<body><div class=lead>Out {i}</div><article><h1>Title {i}</h1><p>Story {i}</p><div class=box>Read our letter</div>"
+                      "<div class=box2><p>Same</p></div></article></body>")
+    rows = [(i, "https://site.example/", page(i)) for i in range(8)] + [(9, "https://few.example/", page(9))]
+    rows += [(20 + i, "https://main.example/", f"<main><article>All alike</article><p>Part {i}</p><div class=box>Box</div></main>") for i in range(8)]
+    rows += [(30, "https://main.example/", "<main><div class=box>Box</div></main>")]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"Title {i} Story {i}" and out[20 + i] == f"All alike Part {i}" for i in range(8))
+    assert out[9] == "Title 9 Story 9 Read our letter Same" and out[30] == "Box"
+
+
 def test_copies_do_not_empty_a_host(spark):
     page = lambda i: f"<html><body><div class=top>Welcome</div><div class=body><p>Story {i}</p></div></body></html>"
     rows = [(i, "https://copies.example/", page(0)) for i in range(60)] + [(100 + i, "https://copies.example/", page(i)) for i in range(1, 4)]

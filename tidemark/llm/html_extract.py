@@ -7,8 +7,8 @@ A node's importance is the entropy of these two distributions, 1 where every
 page differs and 0 where all pages say the same. Pages of one host with the
 same content count once, so that copies lower no importance. Branches whose
 importance is low over enough pages are site furniture and are removed from
-each page, the least important first, but never ``html``, ``body`` or a branch
-that holds all the text that is left of a page.
+each page, the least important first, but never ``html``, ``body``, what leads
+to an article, or a branch that holds all the text that is left of a page.
 
 Landmarks speak before statistics, for a menu may well differ on every page:
 elements that are furniture by tag, role or class have importance 0 (a class,
@@ -75,11 +75,11 @@ _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?
 
 
 class Block(NamedTuple):
-    """A block of text, the labels of the elements around it, and whether an
-    article is among them."""
+    """A block of text, the labels of the elements around it, and how many of
+    them lead to its article (0 without one)."""
     path: tuple[str, ...]
     text: str
-    article: bool
+    article: int
 
 
 class _Element(NamedTuple):
@@ -113,13 +113,16 @@ def _element(tag: str, attributes: str, parent: _Element | None, number: int) ->
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, without furniture."""
     stack: list[_Element] = []
-    out: list[tuple[tuple[str, ...], bool, list[tuple[str, tuple[int, ...]]]]] = []
+    out: list[tuple[tuple[str, ...], int, list[tuple[str, tuple[int, ...]]]]] = []
     line: list[tuple[str, tuple[int, ...]]] = []  # pieces of text and the marked elements around them
     holds: set[int] = set()  # marked elements that hold an article
 
     def close_block() -> None:
         if line:
-            out.append((tuple(e.label for e in stack if e.tag not in INLINE), bool(stack and stack[-1].article), line.copy()))
+            around = [e for e in stack if e.tag not in INLINE]
+            # the outermost <article>, or else the innermost <main>
+            article = max((i for i, e in enumerate(around, 1) if e.tag in ARTICLE and not (i > 1 and around[i - 2].nested)), default=0)
+            out.append((tuple(e.label for e in around), article, line.copy()))
             line.clear()
 
     def pop_to(at: int) -> None:
@@ -192,7 +195,7 @@ def main_text(page: str, low: Collection[str]) -> str:
     found = blocks(page)
     if any(b.article for b in found):
         found = [b for b in found if b.article]
-    elif low:
+    if low:
         found = _without(found, low)
     return " ".join(b.text for b in found)
 
@@ -202,7 +205,7 @@ def _without(found: list[Block], low: Collection[str]) -> list[Block]:
     branches: dict[str, set[int]] = {}
     for at, block in enumerate(found):
         for i, label in enumerate(block.path):
-            if label.split(".")[0] not in ("html", "body"):
+            if i >= block.article and label.split(".")[0] not in ("html", "body"):
                 branches.setdefault("/".join(block.path[:i + 1]), set()).add(at)
     left = set(range(len(found)))
     for path in low:

@@ -77,6 +77,13 @@ def test_surrogates_stay_distinct(docs):
     assert len({re.search(r"Mr \S+ (\S+)", t).group(1) for t in out.values()}) == 1
 
 
+def test_short_addresses_of_one_domain_stay_distinct(docs):
+    rows = [(i, f"{c}@x.com") for i, c in enumerate("abcdefghijklmnopqrstuvwxyzéüöñ")]
+    out = [r.text for r in pii.pseudonymise(docs(rows)).collect()]
+    assert len(set(out)) == 30 and all(re.fullmatch(r"[a-p]+@[a-p]{8}\.example", t) for t in out)
+    assert len({t.split("@")[1] for t in out}) == 1
+
+
 def test_surrogates_pass_other_columns(spark, odd):
     rows = [(i, t, 5, "z") for i, t in odd] + [(11, "me@x.org", 8, "z")]
     out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, n_chars int, mark string"))

@@ -5,7 +5,8 @@ card, a given name, ...). A unit's surrogate is drawn from a keyed SHA-256 of
 its kind and its normalised value, so it is the same wherever the unit occurs
 (coreference), and keeps the kind's form: separators, lengths, letter case,
 country codes, the validity of card check digits, a name's gender (from its
-title) and script.
+title) and script. Names and the local parts of addresses grow with each
+attempt; the other forms have 1e8 values or more.
 
 Collision checks keep units distinct: over the table of distinct units, a
 surrogate that two units share, or that is itself a unit of the corpus, is
@@ -174,6 +175,8 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     check = F.pmod(_luhn(body) + F.when(was_valid, 0).otherwise(1 + F.pmod(_nibble(h, 63), F.lit(9))), F.lit(10))
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     site = F.translate(F.substring(_hash(key, F.lit("domain"), domain, F.lit(0)), 1, 8), "0123456789", "ghijklmnop")
+    filler = F.when(_script(local) == "cyrillic", "а").when(_script(local) == "greek", "α").otherwise("a")
+    wider = F.concat(local, F.repeat(filler, attempt))  # one more letter for each attempt, so that short locals never run out
     octet = lambda j: F.conv(F.substring(h, 1 + 2 * j, 2), 16, 10).cast("int")
     address = F.concat_ws(".", (1 + F.pmod(octet(0), F.lit(223))).cast("string"), *[octet(j).cast("string") for j in (1, 2, 3)])
     hexes = F.concat(h, _hash(key, kind, norm, attempt, "+"))
@@ -181,7 +184,7 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     secret = F.when(norm.rlike("^[0-9a-f]+$"), long).otherwise(F.translate(long, "0123456789abcdef", "aK7qW3xZ9rB2m5Td"))
     access = F.concat(norm.substr(F.lit(1), F.lit(4)), F.translate(F.substring(h, 1, 16), "0123456789abcdef", "K7QW3XZ9RB2M5TDH"))
     country, digits = F.substring_index(norm, "|", 1), F.substring_index(norm, "|", -1)
-    out = (F.when(kind == "email", F.concat(_spell(local, h), F.lit("@"), site, F.lit(".example")))
+    out = (F.when(kind == "email", F.concat(_spell(wider, h), F.lit("@"), site, F.lit(".example")))
            .when(kind == "phone", F.concat(country, F.lit("|"), _digits(h).substr(F.lit(1), F.length(digits))))
            .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_digits(h), 1, 8)))
            .when(kind == "card", F.concat(body, check.cast("string"))).when(kind == "ip", address)

@@ -84,6 +84,25 @@ def test_short_addresses_of_one_domain_stay_distinct(docs):
     assert len({t.split("@")[1] for t in out}) == 1
 
 
+def test_surrogates_of_further_forms(docs):
+    texts = ["Mr. J. Smith came. Later Smith's friend left, and Smithson too.", "Mr John Paul Smith or Mr. John F. Kennedy, Dr Mary Jones",
+             "Prof. Dr. Karl Meier-Lenz and Mr J.R.R. Tolkien; Meier-Lenz, Tolkien.", "+33 1 23 45 67 89, 415 555 1234, +49 (0)30 123456, 01 23 45 67 89.",
+             "card 3782 822463 10005", "2001:db8::1 is 2001:0DB8:0:0:0:0:0:1, fe80::a1 ::ffff:1.2.3.4 at 12:30:45 std::a1", "Mr J. Mrs O'Brien's"]
+    out = [r.text for r in pii.pseudonymise(docs(list(enumerate(texts)))).orderBy("doc_id").collect()]
+    first = re.fullmatch(r"Mr\. [A-P]\. ([\w-]+) came\. Later ([\w-]+)'s friend left, and Smithson too\.", out[0])
+    assert first.group(1) == first.group(2) != "Smith"
+    names = re.fullmatch(r"Mr ([\w-]+) ([\w-]+) ([\w-]+) or Mr\. ([\w-]+) [A-P]\. ([\w-]+), Dr ([\w-]+) ([\w-]+)", out[1]).groups()
+    assert names[0] == names[3] and names[2] == first.group(1) and not {"John", "Paul", "Smith", "Kennedy", "Jones"} & set(names)
+    meier, tolkien, *again = re.fullmatch(r"Prof\. Dr\. [\w-]+ ([\w-]+) and Mr [A-P]\.[A-P]\.[A-P]\. ([\w-]+); ([\w-]+), ([\w-]+)\.", out[2]).groups()
+    assert again == [meier, tolkien] and meier != tolkien
+    assert re.fullmatch(r"\+33 \d( \d\d){4}, \d{3} \d{3} \d{4}, \+49 \(\d\)\d\d \d{6}, \d\d( \d\d){4}\.", out[3])
+    assert not re.search("23 45|555 1234|30 123456", out[3])
+    assert re.fullmatch(r"card \d{4} \d{6} \d{5}", out[4]) and "822463" not in out[4]
+    one, two, tail = re.fullmatch(r"((?:[0-9a-f]{4}:){7}[0-9a-f]{4}) is (\S+), (.*)", out[5]).groups()
+    assert one == two and "fe80" not in tail and "1.2.3.4" not in tail and tail.endswith("at 12:30:45 std::a1")
+    assert re.fullmatch(r"Mr [A-P]\. Mrs \w+'s", out[6])
+
+
 def test_surrogates_pass_other_columns(spark, odd):
     rows = [(i, t, 5, "z") for i, t in odd] + [(11, "me@x.org", 8, "z")]
     out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, n_chars int, mark string"))

@@ -37,11 +37,15 @@ from tidemark.session import stage_table
 #: Key of the surrogates unless the caller gives one.
 KEY = "surrogates-1"
 
-#: Titles by gender.
+#: Titles by gender, and those of any.
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir", "г-н", "господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Lady", "г-жа", "госпожа"]
-_TITLE = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
-_WORD = r"\p{Lu}[\p{L}'’-]+"
+NEUTRAL = ["Dr", "Dra", "Prof", "Profa", "Doctor", "Professor", "Doktor", "Docteur", "Professeur", "Rev", "Mx", "д-р", "доктор", "профессор", "Δρ"]
+_TITLE = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
+#: A part of a name: a word without the possessive, or an initial.
+_NAME = (rf"(?!(?:{_TITLE})\.? )(?:\p{{Lu}}(?:\p{{L}}|['’-](?=\p{{L}})(?!s(?!\p{{L}})))+"
+         r"|\p{Lu}(?:\.|(?= \p{Lu}[\p{L}.])))")
+_GROUP = "[0-9A-Fa-f]{1,4}"
 
 #: Detectors, tried in this order where two begin at one place.
 DETECTORS = {
@@ -49,11 +53,14 @@ DETECTORS = {
     "access_key": r"(?<![\p{L}\d])A(?:KIA|SIA)[A-Z0-9]{16}(?![\p{L}\d])",
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
+    "ip6": rf"(?<![\p{{L}}\d:.])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?=[A-Fa-f:]*\d)(?:(?:{_GROUP}:){{1,7}}:(?:{_GROUP}(?::{_GROUP}){{0,5}})?"
+           rf"|::{_GROUP}(?::{_GROUP}){{0,6}}))(?![\p{{L}}\d:]|\.\d)",
     "ip": r"(?<![\p{L}\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "ssn": r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\p{L}\d-])",
-    "card": r"(?<![\p{L}\d.+-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?![\p{L}\d])",
-    "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4})(?!\d)",
-    "person": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_WORD}(?: {_WORD})?",
+    "card": r"(?<![\p{L}\d.+-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\p{L}\d])",
+    "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+             r"|\+\d{1,3}(?=(?:[ .()-]{0,2}\d){8,12}(?!\d))(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,8}){1,6}|0\d(?:[ .-]\d{2}){4})(?!\d)",
+    "person": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? )+{_NAME}(?:(?: |(?<=\.)){_NAME})*",
 }
 PATTERN = "|".join(DETECTORS.values())
 #: What a text needs for any detector to match.
@@ -68,6 +75,7 @@ GIVEN = {
     "m_greek": ["Άρης", "Βασίλης", "Γιώργος", "Δήμος", "Ηλίας", "Θωμάς", "Ιάσων", "Κώστας", "Λουκάς", "Μάρκος", "Νίκος", "Ορέστης", "Πέτρος", "Σπύρος", "Τάσος", "Φώτης"],
     "f_greek": ["Άννα", "Βάσω", "Γιώτα", "Δάφνη", "Ελένη", "Ζωή", "Ηρώ", "Θάλεια", "Ιωάννα", "Κλειώ", "Λίνα", "Μαρία", "Νίκη", "Ξένια", "Όλγα", "Πόπη"],
 }
+GIVEN |= {f"n_{script}": GIVEN[f"m_{script}"][::2] + GIVEN[f"f_{script}"][1::2] for script in ("latin", "cyrillic", "greek")}
 SYLLABLE = {
     "latin": ["ba", "den", "fer", "gor", "hal", "jun", "ker", "lin", "mon", "nar", "pel", "ros", "sten", "tor", "vel", "win"],
     "cyrillic": ["ба", "вел", "гор", "дан", "жур", "зим", "кор", "лов", "мир", "нев", "пет", "рос", "сел", "тур", "фед", "чер"],
@@ -82,10 +90,10 @@ def entities(text: Column) -> Column:
 
 def _kind(e: Column) -> Column:
     """The kind of one entity, by its form."""
-    return (F.when(e.contains("@"), "email").when(e.rlike(rf"^(?:{_TITLE})\.? "), "person")
+    return (F.when(e.contains("@"), "email").when(e.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ip6").when(e.rlike(rf"^(?:{_TITLE})\.? "), "person")
             .when(e.rlike(r"^A[KS]IA[A-Z0-9]{16}$"), "access_key").when(e.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
-            .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(e.rlike(r"^\+|^\(|^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone")
-            .when(e.rlike(r"^\d{13,19}$|^\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}$"), "card")
+            .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(e.rlike(r"^\+|^\(|^\d{3}[ .-]\d{3}[ .-]\d{4}$|^0\d(?:[ .-]\d{2}){4}$"), "phone")
+            .when(e.rlike(r"^\d{13,19}$|^\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}$|^\d{4}[ -]\d{6}[ -]\d{4,5}$"), "card")
             .when(e.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]{12,}$"), "iban").otherwise("secret"))
 
 
@@ -93,21 +101,44 @@ def _script(word: Column) -> Column:
     return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
+def _name(e: Column) -> Column:
+    """A person's words in order: array<struct<kind, norm, form>>; the last
+    word that is no initial is the surname, the others are given names."""
+    words = F.split(F.regexp_replace(e, rf"^(?:(?:{_TITLE})\.? )+", ""), r" |(?<=\.)(?=\p{Lu})")
+    of = lambda titles: e.rlike(rf"^(?:(?:{_TITLE})\.? )*(?:{'|'.join(titles)})\.? ")
+    gender = F.when(of(FEMALE), "f_").when(of(MALE), "m_").otherwise("n_")
+    initial = lambda w: w.rlike(r"^\p{Lu}\.?$")
+    part = lambda w, i, n: F.struct(
+        F.when(initial(w), F.concat(F.lit("initial_"), _script(w))).when(i + 1 == n, F.concat(F.lit("surname_"), _script(w)))
+        .otherwise(F.concat(F.lit("given_"), gender, _script(w))).alias("kind"), F.lower(w).alias("norm"), w.alias("form"))
+    last = F.aggregate(words, F.struct(F.lit(0).alias("i"), F.lit(0).alias("n")), lambda a, w: F.struct(
+        (a["i"] + 1).alias("i"), F.when(initial(w), a["n"]).otherwise(a["i"] + 1).alias("n")))["n"]
+    return F.flatten(F.transform(F.array(F.struct(words.alias("w"), last.alias("n"))), lambda x: F.transform(x["w"], lambda w, i: part(w, i, x["n"]))))
+
+
+def _full_ip6(e: Column) -> Column:
+    """An IPv6 address in lower case with all its digits."""
+    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    head, tail = groups(F.substring_index(F.lower(e), "::", 1)), F.when(e.contains("::"), groups(F.substring_index(F.lower(e), "::", -1))).otherwise(
+        F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), 8 - F.size(head) - F.size(tail))
+    return F.array_join(F.transform(F.concat(head, zeros, tail), lambda g: F.lpad(g, 4, "0")), ":")
+
+
+def _proper(names: Column) -> Column:
+    """``_name`` without initials, which are too few to be distinct."""
+    return F.filter(names, lambda p: ~p["kind"].startswith("initial"))
+
+
 def units(e: Column) -> Column:
     """An entity's units: array<struct<kind, norm>>."""
     kind = _kind(e)
     one = lambda k, n: F.struct(k.alias("kind"), n.alias("norm"))
     digits = F.regexp_replace(e, r"\D", "")
-    norm = (F.when(kind == "email", F.lower(e)).when(kind.isin("ssn", "card"), digits)
+    norm = (F.when(kind == "email", F.lower(e)).when(kind.isin("ssn", "card"), digits).when(kind == "ip6", _full_ip6(e))
             .when(kind == "phone", F.concat(_country(e), F.lit("|"), F.regexp_replace(_national(e), r"\D", "")))
             .when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).otherwise(e))
-    words = F.split(F.regexp_replace(e, rf"^(?:{_TITLE})\.? ", ""), " ")
-    gender = F.when(e.rlike(rf"^(?:{'|'.join(FEMALE)})\.? "), "f").otherwise("m")
-    last = F.element_at(words, -1)
-    names = F.concat(
-        F.when(F.size(words) > 1, F.array(one(F.concat(F.lit("given_"), gender, F.lit("_"), _script(words[0])), F.lower(words[0]))))
-        .otherwise(F.array().cast("array<struct<kind:string,norm:string>>")),
-        F.array(one(F.concat(F.lit("surname_"), _script(last)), F.lower(last))))
+    names = F.transform(_proper(_name(e)), lambda p: one(p["kind"], p["norm"]))
     return F.when(kind == "person", names).otherwise(F.array(one(kind, norm)))
 
 
@@ -188,7 +219,8 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
            .when(kind == "phone", F.concat(country, F.lit("|"), _digits(h).substr(F.lit(1), F.length(digits))))
            .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_digits(h), 1, 8)))
            .when(kind == "card", F.concat(body, check.cast("string"))).when(kind == "ip", address)
-           .when(kind == "access_key", access)
+           .when(kind == "access_key", access).when(kind == "ip6", F.regexp_replace(F.substring(h, 1, 32), "(.{4})(?=.)", "$1:"))
+           .when(kind.startswith("initial"), F.upper(_spell(norm, h)))
            .when(kind == "iban", F.concat(norm.substr(F.lit(1), F.lit(2)), F.upper(_spell(F.lower(F.substr(norm, F.lit(3))), h))))
            .when(kind == "secret", secret))
     for name, given in GIVEN.items():  # one more part for each attempt, so that names never run out
@@ -203,19 +235,41 @@ def _mark(kind: Column, norm: Column) -> Column:
     return F.concat(kind, F.lit("\x1f"), norm)
 
 
-def _render(key: str, e: Column, bumps: Column) -> Column:
-    """The replacement of one entity; ``bumps`` maps units to their attempts."""
-    drawn = F.transform(units(e), lambda u: surrogate(
+def _draw(key: str, parts: Column, bumps: Column) -> Column:
+    """The surrogates of units; ``bumps`` maps units to their attempts."""
+    return F.transform(parts, lambda u: surrogate(
         key, u["kind"], u["norm"], F.coalesce(F.element_at(bumps, _mark(u["kind"], u["norm"])), F.lit(0))))
-    kind, first = _kind(e), drawn[0]
-    title = F.regexp_extract(e, rf"^(?:{_TITLE})\.? ", 0)
-    return (F.when(kind == "person", F.concat(title, F.array_join(drawn, " ")))
+
+
+def _render(key: str, e: Column, bumps: Column) -> Column:
+    """The replacement of one entity."""
+    kind, first = _kind(e), F.get(_draw(key, units(e), bumps), F.lit(0))
+    name = F.array_join(_draw(key, _name(e), bumps), " ")
+    name = F.when(e.rlike(r"\.\p{Lu}"), F.regexp_replace(name, r"(?<=\.) (?=\p{Lu}\.)", "")).otherwise(name)
+    title = F.regexp_extract(e, rf"^(?:(?:{_TITLE})\.? )+", 0)
+    return (F.when(kind == "person", F.concat(title, name))
             .when(kind == "phone", F.concat(F.substring_index(first, "|", 1), _fill(_national(e), F.substring_index(first, "|", -1))))
             .when(kind.isin("card", "ssn"), _fill(e, first))
             .when(kind == "iban", F.when(e.contains(" "), F.trim(F.regexp_replace(first, "(.{4})", "$1 "))).otherwise(first))
             .otherwise(first))
 
 
+def _mentions(key: str, pieces: Column, found: Column, bumps: Column) -> Column:
+    """``pieces`` of a text with the names of its persons replaced where they
+    stand without a title; a word with two roles follows the first."""
+    names = F.flatten(F.transform(F.filter(found, lambda e: _kind(e) == "person"), lambda e: _proper(_name(e))))
+    known = F.zip_with(names, _draw(key, names, bumps), lambda p, s: F.struct(p["form"].alias("form"), s.alias("s")))
+    # descending, so that a longer name comes before its beginning
+    words = F.array_join(F.sort_array(F.array_distinct(F.transform(names, lambda p: p["form"])), False), "|")
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), words, F.lit(r")(?!\p{L})"))
+    said = lambda piece, x: F.array_join(F.zip_with(
+        F.split(piece, x["pattern"]), F.regexp_extract_all(piece, x["pattern"], F.lit(0)),
+        lambda between, word: F.concat(between, F.coalesce(F.get(F.filter(x["known"], lambda n: n["form"] == word), F.lit(0))["s"], F.lit("")))), "")
+    once = F.array(F.struct(known.alias("known"), pattern.alias("pattern")))  # bound, so that each is computed once a text
+    return F.when(F.exists(found, lambda e: (_kind(e) == "person") & (F.size(units(e)) > 0)),
+                  F.flatten(F.transform(once, lambda x: F.transform(pieces, lambda piece: said(piece, x))))).otherwise(pieces)
+
+
 def exceptions(found: DataFrame, key: str = KEY) -> DataFrame:
     """(mark, attempt) of the units whose first surrogate is not distinct;
     ``found``: rows with ``__found``, the entities of a text."""
@@ -249,9 +303,9 @@ def pseudonymise(docs: DataFrame, key: str = KEY, count: str | None = None) -> D
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
     marked = found.join(bumps, "__row", "left").withColumn("__bumps", F.coalesce("__bumps", none))
     drawn = F.transform("__found", lambda e: _render(key, e, F.col("__bumps")))
-    between = F.split("text", PATTERN)
+    between = _mentions(key, F.split("text", PATTERN), F.col("__found"), F.col("__bumps"))
     # split() and regexp_extract_all() see the same matches, so piece i stands before surrogate i
-    woven = F.array_join(F.transform(between, lambda p, i: F.concat(p, F.coalesce(F.get(drawn, i), F.lit("")))), "")
+    woven = F.array_join(F.zip_with(between, drawn, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
     out = marked.withColumn("text", F.when(F.size("__found") > 0, woven).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kept = F.when(F.size("__found") > 0, F.length("text")).otherwise(F.col("n_chars"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import scratch_path
+
 #: The white space of the contracts: ``[\x20\x09-\x0D]``.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 
@@ -29,6 +33,30 @@ def without_white_space(text: Column) -> Column:
     return text
 
 
+def hashed_sample(df: DataFrame, key: Column, rows: int, most: int) -> DataFrame:
+    """The rows of ``df`` (which has ``rows``) with the least hashes ``key``
+    (64 bits): about ``most`` of them, all where there are no more."""
+    if rows <= most:
+        return df
+    return df.where(F.shiftrightunsigned(key, 1) < F.lit(int((1 << 63) * (most / rows))))
+
+
+@contextmanager
+def bucketed_table(df: DataFrame, key: str, buckets: int, name: str) -> Iterator[DataFrame]:
+    """``df`` as a Parquet table in the checkpoint folder, dealt to ``buckets``
+    by ``key``: joins on it leave its rows where they are. Dropped at the end."""
+    spark = df.sparkSession
+    path, table_name = scratch_path(spark, name), f"{name}_{uuid.uuid4().hex[:12]}"
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+     .option("path", path).format("parquet").saveAsTable(table_name))
+    try:
+        yield spark.table(table_name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table_name}")
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def keep_columns(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """``decided`` narrowed to the columns of ``docs``, in their order."""
     return decided.select(*[F.col(f"`{c}`") for c in docs.columns])

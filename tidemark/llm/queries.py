@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, exact_dedup, fingerprint, html_extract, near_dedup, packing, pii, quality, substring_dedup
+from tidemark.llm import byte_bpe, chat_format, exact_dedup, fingerprint, html_extract, near_dedup, packing, pii, quality, substring_dedup, va_clustering
 from tidemark.llm.common import table, text_of
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -112,5 +112,40 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_weighted_sampling, op3_minhash_forest, op4_suffix_dedup, op5_surrogates, op6_style_tree, op7_importance_resampling, op8_pack_power_of_two, op9_exact_dedup, op10_chat_format)}
-ORACLES = {"op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
+def op11_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its cluster after ten rounds of eight centroids."""
+    out = va_clustering.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed="3:")
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                      va_clustering.centroid_digest(F.col("centroid")).alias("centroid_sha256"))
+
+
+def _op11_sql(rounds: int = 10) -> str:
+    """The rounds one after another, each as an assignment and its means."""
+    sql = ["""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+p AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m
+  FROM (SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM e ORDER BY 1, 2 LIMIT 8))"""]
+    for i in range(rounds + 1):
+        sql.append(f"""
+a{i} AS MATERIALIZED (SELECT r, min(d * 16 + c) // 16 AS d, min(d * 16 + c) % 16 AS c
+  FROM (SELECT r, c, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM e, c{i}) GROUP BY r)""")
+        if i < rounds:
+            sql.append(f"""
+c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.m, o.m) AS m FROM c{i} o LEFT JOIN (
+  SELECT c, list(q ORDER BY i) AS m FROM (
+    SELECT c, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS q FROM a{i} JOIN p USING (r) GROUP BY c, i) GROUP BY c) n ON o.c = n.c)""")
+    return ",".join(sql) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN e USING (r) JOIN c{rounds} USING (c)"""
+
+
+OP11_SQL = _op11_sql()
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_weighted_sampling, op3_minhash_forest, op4_suffix_dedup, op5_surrogates, op6_style_tree, op7_importance_resampling, op8_pack_power_of_two, op9_exact_dedup, op10_chat_format, op11_va_file)}
+ORACLES = {"op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL, "op11_va_file": OP11_SQL}

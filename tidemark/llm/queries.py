@@ -7,10 +7,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, exact_dedup, fingerprint, html_extract, near_dedup, packing, pii, quality, substring_dedup, va_clustering
+from tidemark.llm import byte_bpe, chat_format, exact_dedup, fingerprint, html_extract, near_dedup, packing, pii, quality, substring_dedup, token_alignment, va_clustering
 from tidemark.llm.common import table, text_of
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -147,5 +149,11 @@ FROM a{rounds} JOIN e USING (r) JOIN c{rounds} USING (c)"""
 
 OP11_SQL = _op11_sql()
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_weighted_sampling, op3_minhash_forest, op4_suffix_dedup, op5_surrogates, op6_style_tree, op7_importance_resampling, op8_pack_power_of_two, op9_exact_dedup, op10_chat_format, op11_va_file)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its links between the tokens of two tokenizers."""
+    documents, _ = token_alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE_JSON, PIECE_BPE)
+    return documents.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_weighted_sampling, op3_minhash_forest, op4_suffix_dedup, op5_surrogates, op6_style_tree, op7_importance_resampling, op8_pack_power_of_two, op9_exact_dedup, op10_chat_format, op11_va_file, op13_token_alignment)}
 ORACLES = {"op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL, "op11_va_file": OP11_SQL}

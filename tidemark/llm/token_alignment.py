@@ -18,7 +18,11 @@ count of an id pair is the number of documents that hold it linked.
   (at most ``FREQUENT`` rows, whatever the corpus), and, for the pairs left
   over, by a join on the pair. No pair of that join is frequent, so none is hot.
 
-Each text is tokenised once; what a document keeps is staged as arrays.
+Each text is read once. At a blank between two characters that are not white
+space a token of both begins, so texts are cut there and each distinct segment
+of a slice is tokenised and aligned once (a B model with pieces across such
+blanks, or that rewrites characters, gets whole texts). What a document keeps
+is staged as arrays.
 
 Defined results: texts that are null, empty, or whose joined A or B bytes are
 not the blank and the text (B replaces U+2581, say) have no tokens; special
@@ -30,8 +34,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +51,10 @@ from tidemark.session import stage_table
 
 #: Most rows of the table of frequent pairs (16 bytes each).
 FREQUENT = 200_000
-#: Characters that are tokenised together.
-SLICE = 1_000_000
+#: Characters whose distinct segments are tokenised once, and segments tokenised in a call.
+SLICE, BATCH = 3_000_000, 5_000
+
+_CUT = re.compile(r"(?<=\S) (?=\S)").split
 
 _KEPT = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
          "same array<int>, same_links array<long>, pairs array<long>, pair_links array<long>")
@@ -81,6 +90,9 @@ class Aligner:
         self.length_b = np.array([len(t) for t in self.bytes_b], np.int64)
         first = {t: i for i, t in reversed(list(enumerate(self.bytes_b)))}  # the smallest id, where bytes repeat
         self.same = np.array([first.get(t, -1) for t in self.bytes_a], np.int64)
+        # no piece goes on from a character to a blank, nor changes one on the way: texts may be cut there
+        self.separable = (not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.size_b))
+                          and b"\n\x08identity" in self.b.serialized_model_proto())
         # decimal ids with each sign that may follow them
         self.words = ([f"{i}{sign}".encode() for sign in ",|" for i in range(self.size_a)]
                       + [f"{i}{sign}".encode() for sign in (",", ";", "") for i in range(self.size_b)])
@@ -89,20 +101,58 @@ class Aligner:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> tuple[list[int], list[list[int]], list[list[int]]]:
-        """Places of the texts that both cover, and their ids."""
-        places = [i for i, t in enumerate(texts) if t]
-        sources = [" " + texts[i] for i in places]
-        ids_a = [e.ids for e in self.a.encode_batch_fast(sources, add_special_tokens=False)]
-        ids_b = self.b.encode([texts[i] for i in places], num_threads=1) if places else []
-        out = [(i, a, b) for i, text, a, b in zip(places, sources, ids_a, ids_b, strict=True)
-               if (raw := text.encode()) == b"".join(map(self.bytes_a.__getitem__, a))
-               and raw == b"".join(map(self.bytes_b.__getitem__, b))]
-        return [x[0] for x in out], [x[1] for x in out], [x[2] for x in out]
-
-    def digests(self, a: np.ndarray, ga: np.ndarray, b: np.ndarray, gb: np.ndarray, last: np.ndarray) -> Iterator[str]:
-        """The SHA-256 of each document's groups, written out; ``last``: the
-        number of each document's last group."""
+    def segments(self, text: str) -> list[str]:
+        """Parts that tokenise alike wherever they stand: a blank between two
+        characters that are not white space begins a token of both."""
+        if not text:
+            return []
+        return _CUT(text) if self.separable else [text]
+
+    def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of a text, or None where they do not cover it."""
+        ids_a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        ids_b = self.b.encode(text)
+        raw = b" " + text.encode()
+        if raw != b"".join(map(self.bytes_a.__getitem__, ids_a)) or raw != b"".join(map(self.bytes_b.__getitem__, ids_b)):
+            return None
+        return np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+
+    def _together(self, texts: list[str]) -> tuple[np.ndarray, ...] | None:
+        """Ids of segments joined by blanks, and how many of them each has;
+        None where they do not cover it or do not break at the blanks."""
+        ids = self._ids(" ".join(texts))
+        ends = np.cumsum([len(t.encode()) + 1 for t in texts])
+        if ids is None:
+            return None
+        count = []
+        for part, length in zip(ids, (self.length_a, self.length_b), strict=True):
+            reach = np.cumsum(length[part])
+            upto = np.searchsorted(reach, ends)
+            if (reach[upto] != ends).any():
+                return None
+            count.append(np.diff(upto, prepend=-1))
+        return *ids, *count
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Places of the texts that both tokenizers cover, all their ids, and
+        how many of them each text has. Texts that begin and end with other
+        than white space are tokenised together."""
+        plain = [i for i, t in enumerate(texts) if self.separable and not (t[0].isspace() or t[-1].isspace() or "▁" in t)]
+        alone = [[i] for i in sorted(set(range(len(texts))).difference(plain))]
+        found = []
+        for group in [plain[at:at + BATCH] for at in range(0, len(plain), BATCH)] + alone:
+            ids = self._together([texts[i] for i in group])
+            if ids is not None:
+                found.append((group, *ids))
+            elif len(group) > 1:
+                alone = [(i, self._together([texts[i]])) for i in group]
+                found += [([i], *ids) for i, ids in alone if ids is not None]
+        return tuple(np.concatenate([np.array(x[k], np.int64) for x in found]) if found else np.empty(0, np.int64)
+                     for k in range(5))
+
+    def _written(self, a: np.ndarray, ga: np.ndarray, b: np.ndarray, gb: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """Each text's groups, written out; ``last``: the number of each text's
+        last group."""
         more_a = np.append(ga[1:] == ga[:-1], False)
         more_b = np.append(gb[1:] == gb[:-1], False)
         ends = np.isin(gb, last)
@@ -110,52 +160,70 @@ class Aligner:
         word_b = 2 * self.size_a + b + np.where(more_b, 0, np.where(ends, 2, 1) * self.size_b)
         order = np.argsort(np.concatenate((2 * ga, 2 * gb + 1)), kind="stable")
         words = np.concatenate((word_a, word_b))[order]
-        cut = np.concatenate(([0], np.searchsorted(ga, last, "right") + np.searchsorted(gb, last, "right")))
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            yield hashlib.sha256(b"".join(map(self.words.__getitem__, words[lo:hi].tolist()))).hexdigest()
+        cut = np.concatenate(([0], np.searchsorted(ga, last, "right") + np.searchsorted(gb, last, "right"))).tolist()
+        words = [self.words[i] for i in words.tolist()]
+        return [b"".join(words[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
 
-    def align(self, keys: list, texts: list[str]) -> pa.RecordBatch:
-        """What each document keeps; see ``_KEPT``."""
+    def table(self, texts: list[str]) -> "Segments":
+        """Groups and links of some segments."""
         n = len(texts)
-        places, ids_a, ids_b = self.encode(texts)
-        doc = np.array(places, np.int64)
-        a = np.concatenate([np.array(x, np.int64) for x in ids_a]) if doc.size else np.empty(0, np.int64)
-        b = np.concatenate([np.array(x, np.int64) for x in ids_b]) if doc.size else np.empty(0, np.int64)
+        at, a, b, size_a, size_b = self._encode(texts)
+        good = np.zeros(n, bool)
+        good[at] = True
         count = np.zeros((4, n), np.int64)  # n_a, n_b, n_groups, n_links
-        count[0, doc], count[1, doc] = [len(x) for x in ids_a], [len(x) for x in ids_b]
+        count[0, at], count[1, at] = size_a, size_b
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         seam = np.intersect1d(end_a, end_b, assume_unique=True)
         ga, gb = np.searchsorted(seam, end_a), np.searchsorted(seam, end_b)
         na, nb = np.bincount(ga, minlength=len(seam)), np.bincount(gb, minlength=len(seam))
-        last = ga[np.cumsum(count[0, doc]) - 1] if doc.size else ga  # both end with the text
-        owner = doc[np.searchsorted(last, np.arange(len(seam)))] if doc.size else doc
+        last = ga[np.cumsum(size_a) - 1]  # tokens of both end with the text
+        owner = at[np.searchsorted(last, np.arange(len(seam)))]
         count[2] = np.bincount(owner, minlength=n)
         np.add.at(count[3], owner, na * nb)
-        digest = [""] * n
-        for i, value in zip(places, self.digests(a, ga, b, gb, last), strict=True):
-            digest[i] = value
+        written = [b""] * n
+        for i, value in zip(at.tolist(), self._written(a, ga, b, gb, last), strict=True):
+            written[i] = value
 
         single = (na == 1) & (nb == 1)
         fast_a, fast_b, fast_owner = a[single[ga]], b[single[gb]], owner[single]
         equal = self.same[fast_a] == fast_b
-        same_key, same_links = np.unique(fast_owner[equal] * self.size_a + fast_a[equal], return_counts=True)
         odd = ~single
         odd[np.flatnonzero(single)[~equal]] = True
-        pair_key, pair_links = self._pairs(a[odd[ga]], ga[odd[ga]], b[odd[gb]], gb[odd[gb]], owner)
+        (of, x, y), links = self._pairs(a[odd[ga]], ga[odd[ga]], b[odd[gb]], gb[odd[gb]], owner)
         # identity pairs within other groups count with the identity pairs
-        at, x, y = pair_key
         known = self.same[x] == y
-        same_key, same_links = _summed(np.concatenate((same_key, at[known] * self.size_a + x[known])),
-                                       np.concatenate((same_links, pair_links[known])))
-        at, pair, pair_links = at[~known], x[~known] * self.size_b + y[~known], pair_links[~known]
-        same_at = np.searchsorted(same_key // self.size_a, np.arange(n + 1)).astype(np.int32)
-        pair_at = np.searchsorted(at, np.arange(n + 1)).astype(np.int32)
-        lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-        return pa.record_batch(
-            [pa.array(keys, pa.int64()), *map(pa.array, count), pa.array(digest, pa.string()),
-             lists(same_at, (same_key % self.size_a).astype(np.int32)), lists(same_at, same_links),
-             lists(pair_at, pair), lists(pair_at, pair_links)],
-            ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "same", "same_links", "pairs", "pair_links"])
+        same_of = np.concatenate((fast_owner[equal], of[known]))
+        order = np.argsort(same_of, kind="stable")
+        same, same_links = (np.concatenate(v)[order] for v in ((fast_a[equal], x[known]), (np.ones(int(equal.sum()), np.int64), links[known])))
+        edges = np.arange(n + 1)
+        return Segments(good, count, written, np.searchsorted(same_of[order], edges), same, same_links,
+                        np.searchsorted(of[~known], edges), x[~known] * self.size_b + y[~known], links[~known])
+
+    def align(self, keys: list, texts: list[str]) -> pa.RecordBatch:
+        """What each document keeps; see ``_KEPT``."""
+        n = len(texts)
+        split = [self.segments(t) for t in texts]
+        sizes = np.array([len(x) for x in split], np.int64)
+        parts = list(chain.from_iterable(split))
+        number = {part: i for i, part in enumerate(dict.fromkeys(parts))}
+        segments = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+        owner, table = np.repeat(np.arange(n), sizes), self.table(list(number))
+        good = np.ones(n, bool)
+        good[owner[~table.good[segments]]] = False
+        segments, owner = segments[good[owner]], owner[good[owner]]
+        count = [np.bincount(owner, c[segments], n).astype(np.int64) for c in table.count]
+        digest, edges = [""] * n, np.searchsorted(owner, np.arange(n + 1))
+        for i in np.flatnonzero(np.diff(edges)).tolist():
+            groups = map(table.written.__getitem__, segments[edges[i]:edges[i + 1]].tolist())
+            digest[i] = hashlib.sha256(b";".join(groups)).hexdigest()
+        columns = [pa.array(keys, pa.int64()), *map(pa.array, count), pa.array(digest, pa.string())]
+        for at, values, links, most, kind in ((table.same_at, table.same, table.same_links, self.size_a, np.int32),
+                                              (table.pair_at, table.pairs, table.pair_links, self.size_a * self.size_b, np.int64)):
+            place, run = _runs(at, segments)
+            key, total = _summed(owner[run] * most + values[place], links[place])
+            offsets = pa.array(np.searchsorted(key // most, np.arange(n + 1)).astype(np.int32))
+            columns += [pa.ListArray.from_arrays(offsets, pa.array((key % most).astype(kind))), pa.ListArray.from_arrays(offsets, pa.array(total))]
+        return pa.record_batch(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "same", "same_links", "pairs", "pair_links"])
 
     def _pairs(self, a, ga, b, gb, owner):
         """((document, A id, B id), links) of some groups, ascending."""
@@ -171,6 +239,29 @@ class Aligner:
         return (pair // (self.size_a * self.size_b), pair // self.size_b % self.size_a, pair % self.size_b), links
 
 
+class Segments(NamedTuple):
+    """Distinct segments: whether both tokenizers cover them; their counts and
+    groups written out; runs of identity pairs and of others, with links."""
+
+    good: np.ndarray
+    count: np.ndarray
+    written: list[bytes]
+    same_at: np.ndarray
+    same: np.ndarray
+    same_links: np.ndarray
+    pair_at: np.ndarray
+    pairs: np.ndarray
+    pair_links: np.ndarray
+
+
+def _runs(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the runs ``at[r]:at[r + 1]`` one after another, and which of
+    ``rows`` each belongs to."""
+    first, size = at[rows], at[rows + 1] - at[rows]
+    run = np.repeat(np.arange(len(rows)), size)
+    return np.arange(len(run)) - np.repeat(np.cumsum(size) - size - first, size), run
+
+
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, with the sums of their values."""
     keys, where = np.unique(keys, return_inverse=True)

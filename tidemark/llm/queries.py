@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, exact_dedup, fingerprint, html_extract, near_dedup, packing, pii, quality, substring_dedup, token_alignment, va_clustering
+from tidemark.llm import byte_bpe, chat_format, embedding_dedup, exact_dedup, fingerprint, html_extract, near_dedup, packing, pii, quality, substring_dedup, token_alignment, va_clustering
 from tidemark.llm.common import table, text_of
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -149,11 +149,29 @@ FROM a{rounds} JOIN e USING (r) JOIN c{rounds} USING (c)"""
 
 OP11_SQL = _op11_sql()
 
+def op12_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links and component at a cosine of 0.93."""
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+OP12_SQL = """
+WITH RECURSIVE e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS MATERIALIZED (SELECT * FROM e WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = len(v)
+                   AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.r AS u, b.r AS w FROM g a JOIN g b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+                   WHERE list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= 0.93),
+reach(r, s) AS (SELECT r, r FROM e UNION SELECT reach.r, l.w FROM reach JOIN l ON reach.s = l.u),
+c AS (SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN e o ON reach.s = o.r GROUP BY reach.r)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.u = e.r) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM e JOIN c USING (r)
+"""
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its links between the tokens of two tokenizers."""
     documents, _ = token_alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE_JSON, PIECE_BPE)
     return documents.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_weighted_sampling, op3_minhash_forest, op4_suffix_dedup, op5_surrogates, op6_style_tree, op7_importance_resampling, op8_pack_power_of_two, op9_exact_dedup, op10_chat_format, op11_va_file, op13_token_alignment)}
-ORACLES = {"op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL, "op11_va_file": OP11_SQL}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_weighted_sampling, op3_minhash_forest, op4_suffix_dedup, op5_surrogates, op6_style_tree, op7_importance_resampling, op8_pack_power_of_two, op9_exact_dedup, op10_chat_format, op11_va_file, op12_product_quantisation, op13_token_alignment)}
+ORACLES = {"op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL, "op11_va_file": OP11_SQL, "op12_product_quantisation": OP12_SQL}

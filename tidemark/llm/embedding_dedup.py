@@ -3,7 +3,8 @@
 Rows alike in label and vector are one *node*, so exact copies meet once.
 
 * **Index.** Coarse centroids (unit vectors, about the square root of the
-  number of rows, 8,192 at most) and, for the residuals, 256 codewords in each
+  number of rows, 8,192 at most, none within twice the threshold's angle of
+  another) and, for the residuals, 256 codewords in each
   of 8 subspaces. Both are fitted on at most ``SAMPLE`` rows; every node is
   indexed: its *home* is the list of its nearest centroid.
 * **Probes.** A code (8 bytes, with its home and its bound) is posted to the
@@ -90,10 +91,22 @@ def _fitted(points: np.ndarray, k: int, random: np.random.Generator, unit: bool)
     return centres
 
 
+def _apart(centroids: np.ndarray, share: float) -> np.ndarray:
+    """Centroids over twice the threshold's angle from all before them: no
+    border between lists runs through a group of linked vectors."""
+    kept = np.zeros_like(centroids)
+    n = 0
+    for c in centroids:
+        if n == 0 or (kept[:n] @ c).max() < 2 * share * share - 1:
+            kept[n] = c
+            n += 1
+    return kept[:n]
+
+
 def fit(sample: np.ndarray, lists: int, share: float) -> Index:
     """The index of some unit vectors (float32, their length a multiple of ``PARTS``)."""
     random = np.random.Generator(np.random.PCG64(12))
-    centroids = _fitted(sample, lists, random, True)
+    centroids = _apart(_fitted(sample, lists, random, True), share)
     some = sample[:16_384]
     rest = some - centroids[(some @ centroids.T).argmax(1)]
     parts = rest.reshape(len(rest), PARTS, -1)

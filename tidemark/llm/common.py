@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,22 +83,12 @@ class Memo(dict):
         return value
 
 
-class Recent:
-    """Values of the keys asked for most recently, about ``most`` of them."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most // 2, {}, {}
-
-    def recall(self, keys: Iterable) -> dict:
-        """Each key with its value, or None."""
-        young, old = self.young, self.old
-        return {k: young[k] if k in young else old.get(k) for k in keys}
-
-    def keep(self, values: dict) -> None:
-        """Remember ``values``."""
-        self.young.update(values)
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
+def runs(first: np.ndarray, size: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the runs of ``rows``, which begin at ``first``, one after
+    another, and which of ``rows`` each belongs to."""
+    first, size = first[rows], size[rows]
+    run = np.repeat(np.arange(len(rows)), size)
+    return np.arange(len(run)) - np.repeat(np.cumsum(size) - size - first, size), run
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[str]]]:

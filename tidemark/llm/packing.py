@@ -9,9 +9,12 @@ rectangular. Cutting is local to a document, so packing needs no shuffle, no
 global state and no document's ids ever leave its row's task.
 
 Tokenising is one ``mapInArrow`` pass over slices of bounded size. The
-tokenizer never joins characters across a blank, and takes letters and
-punctuation apart, so each distinct word of a slice is looked up once, and
-only letter stems that no recent slice had are tokenised, all at once.
+tokenizer never joins characters across white space, and takes letters and
+punctuation apart. So a worker numbers the words it meets; the new ones of a
+slice are tokenised together, as letter stems and tails, into one pool of ids,
+and a text's ids are gathered from the pool by its words' numbers, without work
+per word in Python. The pool is given up when it passes ``CACHE_BYTES``.
+Special tokens in a text are what the library makes of them.
 
 Defined results: a null or empty text is the separator alone; a document of
 any length is cut whole; repeated rows are packed each, with sequence ids of
@@ -22,76 +25,130 @@ partitioning.
 from __future__ import annotations
 
 import os
+import re
 import string
-import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Recent, slices, text_of
+from tidemark.llm.common import runs, slices, text_of
 
 #: Most ids in a sequence, the id that ends a document, and the id that pads.
 LIMIT, SEPARATOR = 4096, 2
-#: Words and stems that a worker remembers (about 200 bytes each).
-CACHE_WORDS, CACHE_STEMS = 500_000, 900_000
+#: Bytes of words and ids that a worker remembers, about, and of one word besides its text.
+CACHE_BYTES, WORD_BYTES = 200_000_000, 160
 #: Characters of text that are tokenised together.
 SLICE = 2_000_000
 
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
+#: ASCII that the tokenizer does not count as white space, but Python does.
+_CONTROL = re.compile("[\x1c-\x1f]").search
+
+
+class Numbers(dict):
+    """Words numbered in the order in which they are first asked for; ``fresh``
+    lists the latest."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
 
 
 class WordTokenizer:
-    """Ids of whole texts, from remembered ids of their words."""
+    """Ids of whole texts, gathered from the ids of their words."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.words, self.stems = Recent(CACHE_WORDS), Recent(CACHE_STEMS)
+        self.folds = self._list("A Bc") == self._list("a bc")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number, self.pool, self.bytes = Numbers(), np.empty(0, np.uint32), 0
+        self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)  # of each word's ids in the pool
+
+    def _list(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _words(self, text: str) -> list[str]:
+        if any(t in text for t in self.special):
+            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        if text.isascii() and not _CONTROL(text):
+            return (text.lower() if self.folds and "<" not in text else text).split()
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
-    def _stem_ids(self, stems: list[str]) -> Iterator[bytes]:
+    def _stem_ids(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of letters only, each of which ends with its only
-        word-ending token, from one pass over them all."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(stems):
-            return map(self._ids, stems)
-        data = ids.tobytes()
-        return (data[4 * a:4 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, little-endian unsigned 32-bit."""
-        split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
-        known = self.words.recall(set().union(*split))
-        parts = {}
-        for word in [w for w, ids in known.items() if ids is None]:
+        word-ending token, from one pass over them all, and how many each has."""
+        ids = np.array(self._list(" ".join(stems)), np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(stems):
+            return ids, np.diff(ends, prepend=0)
+        lists = [self._list(s) for s in stems]
+        return np.array(list(chain.from_iterable(lists)), np.uint32), np.array([len(x) for x in lists], np.int64)
+
+    def _learn(self) -> None:
+        """The ids of the words numbered since the last time, and of their stems."""
+        number, whole, halves, stems, alone = self.number, [], [], [], []
+        base, fresh, number.fresh = len(self.size), number.fresh, []
+        for i, word in enumerate(fresh):
             stem = word.rstrip(string.punctuation)
-            if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):  # lower case may add a mark
-                parts[word] = (stem.lower() if stem.isascii() else stem, word[len(stem):])
+            if not stem.isalpha() or not (stem.isascii() or stem.lower().isalpha()):  # lower case may add a mark
+                alone.append(i)
+            elif len(stem) == len(word):
+                stems.append(i)
             else:
-                known[word] = self._ids(word)
-        stems = self.stems.recall({stem for stem, _ in parts.values()})
-        new = [stem for stem, ids in stems.items() if ids is None]
-        if new:
-            stems.update(zip(new, self._stem_ids(new), strict=True))
-            self.stems.keep(stems)
-        tails = {tail: self._ids(tail) if tail else b"" for tail in {tail for _, tail in parts.values()}}
-        for word, (stem, tail) in parts.items():
-            known[word] = stems[stem] + tails[tail]
-        self.words.keep(known)
-        return [b"".join([known[w] for w in words]) for words in split]
+                whole.append(i)
+                halves += (number[stem], number[word[len(stem):]])
+        more, number.fresh = number.fresh, []
+        for i, word in enumerate(more, len(fresh)):
+            (stems if word[0].isalpha() else alone).append(i)
+        words = fresh + more
+        ids, sizes = self._stem_ids([words[i] for i in stems]) if stems else (self.pool[:0], np.empty(0, np.int64))
+        lists = [self._list(words[i]) for i in alone]
+        self._put(base, len(words), stems, sizes, ids)
+        self._put(base, len(words), alone, [len(x) for x in lists], np.array(list(chain.from_iterable(lists)), np.uint32))
+        place, run = runs(self.first, self.size, np.array(halves, np.int64))
+        self._put(base, len(words), whole, np.bincount(run // 2, minlength=len(whole)), self.pool[place])
+        self.bytes += sum(map(len, words)) + len(words) * WORD_BYTES
+
+    def _put(self, base: int, n: int, which: list[int], sizes, ids: np.ndarray) -> None:
+        """Into the pool: the ids of ``which`` of the ``n`` words from ``base`` on."""
+        grow = base + n - len(self.size)
+        self.first, self.size = (np.concatenate((x, np.zeros(grow, np.int64))) for x in (self.first, self.size))
+        sizes, which = np.asarray(sizes, np.int64), np.array(which, np.int64) + base
+        self.first[which], self.size[which] = len(self.pool) + np.cumsum(sizes) - sizes, sizes
+        self.pool = np.concatenate((self.pool, ids))
+        self.bytes += 4 * len(ids)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has."""
+        if self.bytes > CACHE_BYTES:
+            self._forget()
+        split = [self._words(text) for text in texts]
+        sizes = np.array([len(x) for x in split])
+        words = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        if self.number.fresh:
+            self._learn()
+        place, _ = runs(self.first, self.size, words)
+        upto = np.concatenate(([0], np.cumsum(self.size[words])))[np.cumsum(sizes)]
+        return self.pool[place], np.diff(upto, prepend=0)
 
 
 @lru_cache(maxsize=2)
@@ -100,16 +157,20 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def cuts(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of ``n`` ids, all lengths powers of two."""
-    out = [(at, limit) for at in range(0, n - n % limit, limit)]
-    at, bit = n - n % limit, limit >> 1
+def cuts(sizes: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
+    """Which document, and length, of the pieces of documents of ``sizes``
+    ids, in order; all lengths are powers of two."""
+    full = sizes // limit
+    owner, length = [np.repeat(np.arange(len(sizes)), full)], [np.full(int(full.sum()), limit)]
+    bit = limit >> 1
     while bit:
-        if n & bit:
-            out.append((at, bit))
-            at += bit
+        some = np.flatnonzero(sizes & bit)
+        owner.append(some)
+        length.append(np.full(len(some), bit))
         bit >>= 1
-    return out
+    owner, length = np.concatenate(owner), np.concatenate(length)
+    order = np.argsort(owner, kind="stable")  # the longest pieces of a document come first already
+    return owner[order], length[order]
 
 
 def pack(docs: DataFrame, path: str, limit: int = LIMIT, separator: int = SEPARATOR) -> DataFrame:
@@ -119,18 +180,20 @@ def pack(docs: DataFrame, path: str, limit: int = LIMIT, separator: int = SEPARA
     ``limit`` must be a power of two."""
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
-                        ("doc_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_tokenizer(path).encode, struct.pack("<I", separator)
+        tokenizer = word_tokenizer(path)
         for keys, texts in slices(batches, SLICE):
-            rows = []
-            for key, body in zip(keys, encode(texts), strict=True):
-                ids = body + end
-                n = len(ids) // 4
-                rows += [(key, s, k, ids[4 * s:4 * (s + k)], n) for s, k in cuts(n, limit)]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            ids, sizes = tokenizer.encode(texts)
+            ids = np.insert(ids, np.cumsum(sizes), separator).astype("<u4")
+            sizes = sizes + 1
+            owner, length = cuts(sizes, limit)
+            ends = np.cumsum(length)
+            first = np.cumsum(sizes) - sizes  # of each document
+            offsets = np.concatenate(([0], 4 * ends)).astype(np.int32)
+            pieces = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            yield pa.record_batch([pa.array(keys, pa.int64()).take(pa.array(owner)), pa.array(ends - length - first[owner]), pa.array(length, pa.int64()),
+                                   pieces, pa.array(sizes[owner])], ["doc_id", "start", "length", "ids", "doc_tokens"])
 
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, _SCHEMA)
     return pieces.select("*", F.col("length").alias("bucket"), F.monotonically_increasing_id().alias("sequence_id"),

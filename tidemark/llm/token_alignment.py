@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, text_of
+from tidemark.llm.common import runs, slices, text_of
 from tidemark.session import stage_table
 
 #: Most rows of the table of frequent pairs (16 bytes each).
@@ -219,7 +219,7 @@ class Aligner:
         columns = [pa.array(keys, pa.int64()), *map(pa.array, count), pa.array(digest, pa.string())]
         for at, values, links, most, kind in ((table.same_at, table.same, table.same_links, self.size_a, np.int32),
                                               (table.pair_at, table.pairs, table.pair_links, self.size_a * self.size_b, np.int64)):
-            place, run = _runs(at, segments)
+            place, run = runs(at[:-1], np.diff(at), segments)
             key, total = _summed(owner[run] * most + values[place], links[place])
             offsets = pa.array(np.searchsorted(key // most, np.arange(n + 1)).astype(np.int32))
             columns += [pa.ListArray.from_arrays(offsets, pa.array((key % most).astype(kind))), pa.ListArray.from_arrays(offsets, pa.array(total))]
@@ -254,14 +254,6 @@ class Segments(NamedTuple):
     pair_links: np.ndarray
 
 
-def _runs(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the runs ``at[r]:at[r + 1]`` one after another, and which of
-    ``rows`` each belongs to."""
-    first, size = at[rows], at[rows + 1] - at[rows]
-    run = np.repeat(np.arange(len(rows)), size)
-    return np.arange(len(run)) - np.repeat(np.cumsum(size) - size - first, size), run
-
-
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, with the sums of their values."""
     keys, where = np.unique(keys, return_inverse=True)

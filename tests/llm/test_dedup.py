@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from tidemark.llm import exact_dedup, near_dedup, substring_dedup
+from tidemark.llm import exact_dedup, near_dedup, queries, substring_dedup
 from tidemark.llm.components import components
 
 
@@ -103,6 +103,36 @@ def test_near_odd_rows(wide, odd):
     assert near_dedup.near_duplicates(wide([])).collect() == []
 
 
+def test_near_repeated_and_null_ids_with_different_texts(wide):
+    """Of rows with one id, near copies of others go and unique texts stay."""
+    r = random.Random(9)
+    rows, unique = [], set()
+    for i in (1, 2, 3, 4, 5, None):
+        base = words(r, 80)
+        own = " ".join(words(r, 80))
+        near = [*base[:40], "changed", *base[41:]]
+        rows += [((i or 0) + 100, " ".join(base)), (i, own), (i, " ".join(near))]
+        unique |= {(i, own)} | ({(i, " ".join(near))} if i is None or i < 100 else set())
+    kept = {(x.doc_id, x.text) for x in near_dedup.drop_near_copies(wide(rows)).collect()}
+    assert kept == unique
+
+
+def test_near_crowded_regions_go_deeper(docs, monkeypatch):
+    """Many texts about one template, most of them not alike: regions crowd at
+    depth three, and links are still those of all pairs."""
+    monkeypatch.setattr(near_dedup, "REGION", 4)
+    r = random.Random(12)
+    template = words(r, 120)
+    rows = [(i, " ".join([*template[:100 - i % 40], *words(r, 20 + i % 40, 10 ** 6)])) for i in range(60)]
+    rows += [(100 + i, t + " more") for i, t in rows]
+    assert {tuple(x) for x in near_dedup.near_duplicates(docs(rows), 3, 85, 100).collect()} == brute_near(rows, 3, 85, 100)
+
+
+def test_op3_query_on_a_whole_table(spark):
+    rows = [tuple(x) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    assert {tuple(x) for x in queries.op3_minhash_forest(spark, "/root/testdata/sf0.001").collect()} == brute_near(rows, 3, 85, 100)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 140)]

@@ -90,25 +90,25 @@ def _labelled(labels: DataFrame) -> DataFrame:
             .select("doc_id", "good", (F.col("good") & (F.pmod(order, F.lit(2)) == 0)).alias("fit")))
 
 
-def _weigh(ratio: np.ndarray):
-    """Adds ``weight`` to batches with a column ``__text``."""
+def _weigh(ratio: np.ndarray, keep: list[str]):
+    """The columns ``keep`` of batches and the weight of their ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = (ngrams(t.as_py()) for t in batch.column("__text"))
+            found = (ngrams(t.as_py() or "") for t in batch.column("text"))
             weight = [float(ratio[x].mean()) if len(x) else 0.0 for x in found]
-            at = batch.schema.names.index("__text")
-            yield pa.record_batch([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(weight, pa.float64())],
-                                  [*(n for n in batch.schema.names if n != "__text"), "__weight"])
+            yield pa.record_batch([*(batch.column(n) for n in keep), pa.array(weight, pa.float64())], [*keep, "__weight"])
 
     return run
 
 
-def weighed(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``docs`` with ``__weight`` and the Gumbel ``__key``."""
-    noised = docs.withColumn("__u", F.xxhash64(F.lit(SEED), F.col("doc_id"), text_of())).withColumn("__text", text_of())
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in noised.schema if f.name != "__text"]
-    out = noised.mapInArrow(_weigh(ratio), ", ".join([*fields, "__weight double"]))
+def weighed(docs: DataFrame, ratio: np.ndarray, *drop: str) -> DataFrame:
+    """``docs`` without the columns ``drop``, with ``__weight`` and the Gumbel
+    ``__key``; each text goes to Python once."""
+    noised = docs.withColumn("__u", F.xxhash64(F.lit(SEED), F.col("doc_id"), text_of()))
+    fields = [f for f in noised.schema if f.name not in drop]
+    out = noised.mapInArrow(_weigh(ratio, [f.name for f in fields]),
+                            ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "__weight double"]))
     uniform = (F.shiftrightunsigned("__u", 11) + 0.5) / float(1 << 53)
     return out.withColumn("__key", F.col("__weight") / TEMPERATURE - F.log(-F.log(uniform))).drop("__u")
 
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(np.zeros(BUCKETS), -np.inf)
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
     held = texts.join(F.broadcast(sample.where("not fit").select("doc_id", "good")), "doc_id")
-    weights = weighed(held, ratio).select("good", "__weight").toPandas()  # at most LABELS distinct ids
+    weights = weighed(held, ratio, "text").select("good", "__weight").toPandas()  # at most LABELS distinct ids
     good, bad = (weights.loc[weights["good"] == x, "__weight"] for x in (True, False))
     if good.empty:
         return Model(ratio, -np.inf)
@@ -164,7 +164,7 @@ def kth_largest(keys: DataFrame, name: str, k: int) -> float:
 
 def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model, float]:
     model = fit(docs, labels)
-    scores = stage_table(weighed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model.ratio).drop("text"), "weights")
+    scores = stage_table(weighed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model.ratio, "text"), "weights")
     k = scores.where(F.col("__weight") >= model.line).count()
     return scores, model, kth_largest(scores, "__key", k)
 

@@ -10,11 +10,10 @@ numbers of their own; ids and texts that repeat do not mix them up.
   region is found by its prefix, which comes to the same as sorting the order
   and cutting it where the common prefix of neighbours falls below the depth.)
 * **Adaptive depth.** Every node starts at depth three in ``TREES`` orders. A
-  region of over ``REGION`` nodes is not compared: its nodes go one value
-  deeper, in as many more orders as independent ones would need to keep the
+  region of over ``REGION`` nodes is not compared: its nodes go deeper, in as many more orders as independent ones would need to keep the
   probability that a pair meets in none (1e-5 at 0.8, 2e-7 at 0.85). Depth
-  grows only for them, up to ``DEEPEST``; nodes that still crowd a region
-  there are chained.
+  grows only for them, along ``DEPTHS``; nodes that still crowd a region at the
+  last are chained.
 * **Regions to clusters.** Within a region, nodes whose signatures agree in
   enough places (five standard deviations below the threshold) are chained.
   Chaining too much costs time and never a link. Clusters are the components.
@@ -53,8 +52,8 @@ from tidemark.llm.shingles import shingle_sets
 from tidemark.session import stage_table
 
 HASHES, TREES, REGION = 64, 16, 512
-#: Values of a prefix in all orders, and in the most crowded regions.
-DEPTH, DEEPEST = 3, 8
+#: Values of a prefix in all orders, and in crowded regions one after another.
+DEPTHS = (3, 5, 8)
 #: Nodes and shingles of a block, and rows of sets that enter Python at once.
 BLOCK, BLOCK_SHINGLES, ROWS = 512, 500_000, 500
 #: Bytes of text hashed at once.
@@ -184,8 +183,8 @@ def _region_links(agree: int):
 
 
 def orders(depth: int, share: float) -> int:
-    """Orders in which pairs meet at ``depth`` as surely as in ``TREES`` at ``DEPTH``."""
-    return math.ceil(TREES * math.log(1 - share ** DEPTH) / math.log(1 - share ** depth))
+    """Orders in which pairs meet at ``depth`` as surely as in ``TREES`` at the first."""
+    return math.ceil(TREES * math.log(1 - share ** DEPTHS[0]) / math.log(1 - share ** depth))
 
 
 def _leaves(nodes: DataFrame, depth: int, share: float) -> DataFrame:
@@ -203,7 +202,7 @@ def clusters(nodes: DataFrame, agree: int, share: float) -> DataFrame:
     """(node, root) of the nodes that share a cluster with another;
     ``nodes``: node, signature."""
     links, now = [], nodes
-    for depth in range(DEPTH, DEEPEST + 1):
+    for depth in DEPTHS:
         leaves = _leaves(now, depth, share)
         # counts are staged, so that both sides of the join are plain shuffles, whose hot prefixes AQE splits
         counts = stage_table(leaves.groupBy("region").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("least")).where("c > 1"), "prefixes")
@@ -214,7 +213,7 @@ def clusters(nodes: DataFrame, agree: int, share: float) -> DataFrame:
         crowded = shared.where(F.col("c") > REGION)
         if crowded.isEmpty():
             break
-        if depth == DEEPEST:
+        if depth == DEPTHS[-1]:
             links.append(crowded.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
         now = stage_table(crowded.select("node").distinct().join(nodes, "node"), "crowded")
     return components(reduce(DataFrame.unionByName, links), "clusters")

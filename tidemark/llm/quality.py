@@ -120,21 +120,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     marked = texts.join(F.broadcast(sample.select("doc_id", "fit")), "doc_id", "left").select(
         "text", F.coalesce("fit", F.lit(False)).alias("fit"))
     counts = (marked.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket")
-              .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas())
+              .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow())
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
-    raw[counts["bucket"]] += counts["raw"]
-    target[counts["bucket"]] += counts["target"]
-    if counts["target"].sum() == 0:
+    bucket = counts["bucket"].to_numpy()
+    raw[bucket] += counts["raw"].to_numpy()
+    target[bucket] += counts["target"].to_numpy()
+    if target.sum() == BUCKETS:
         return Model(np.zeros(BUCKETS), -np.inf)
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
     held = texts.join(F.broadcast(sample.where("not fit").select("doc_id", "good")), "doc_id")
-    weights = weighed(held, ratio, "text").select("good", "__weight").toPandas()  # at most LABELS distinct ids
-    good, bad = (weights.loc[weights["good"] == x, "__weight"] for x in (True, False))
-    if good.empty:
+    weights = weighed(held, ratio, "text").select("good", "__weight").toArrow()  # at most LABELS distinct ids
+    marks, weight = weights["good"].to_numpy(), weights["__weight"].to_numpy()
+    good, bad = weight[marks], weight[~marks]
+    if not len(good):
         return Model(ratio, -np.inf)
-    line = good.quantile(1 - KEEP_TARGET, "lower")
-    if not bad.empty:  # half way down to the bad rows, where they leave a gap
-        line = min(line, (line + bad.quantile(DROP_BAD, "higher")) / 2)
+    line = np.quantile(good, 1 - KEEP_TARGET, method="lower")
+    if len(bad):  # half way down to the bad rows, where they leave a gap
+        line = min(line, (line + np.quantile(bad, DROP_BAD, method="higher")) / 2)
     return Model(ratio, float(line))
 
 

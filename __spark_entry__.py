@@ -22,7 +22,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tidemark import constants as K  # noqa: E402
 from tidemark.functions import render as RD  # noqa: E402
 from tidemark.functions import results as RS  # noqa: E402
-from tidemark.plans import catalog  # noqa: E402
+from tidemark.plans import catalog, catalog_store  # noqa: E402
 from tidemark.session import ensure_checkpoint_dir  # noqa: E402
 from tidemark.sources import tables as TB  # noqa: E402
 
@@ -50,7 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         run.__name__ = fn.__name__
         return run
     optional = {**llm_queries.QUERIES, "pipeline": corpus_pipeline.run} if llm_queries else {}
-    return {k: wrap(v) for k, v in (catalog.QUERIES | optional).items()}
+    return {k: wrap(v) for k, v in (catalog.QUERIES | catalog_store.QUERIES | optional).items()}
 
 
 # ---------------------------------------------------------------------------
@@ -626,6 +626,22 @@ def oracle_sql() -> dict[str, str]:
     }
     out["stream_once"] = out["replay_partial"] = out["emails_append"]
     out["stream_two_batches"] = f"{w} SELECT account_id, uid, content_hash, priority FROM store"
+    out["cache_probe_stored"] = out["cache_probe"]
+    out["cache_upsert_stored"] = out["cache_upsert"]
+    out["cursor_upsert_stored"] = out["cursor_upsert"]
+    out["consumer_commits"] = out["stream_two_batches"]
+    out["eml_stream"] = out["eml_roundtrip"]
+    out["incremental_pruned"] = (
+        f"WITH {MESSAGES.strip()},{FP.strip()},{CURSORS.strip()} SELECT f.account_id, f.uid, f.content_hash, f.is_truncated FROM fp f "
+        "LEFT JOIN cursors c ON c.account_id = f.account_id WHERE f.uid > coalesce(c.last_uid, 0) "
+        # a message without a landing day is judged by its own date
+        f"AND (f.uid % 97 <> 0 OR f.sent_at IS NULL OR f.sent_at >= TIMESTAMP '{catalog.INIT_DATE} 00:00:00')")
+    out["stored_page"] = (
+        f"{w} SELECT id, account_id, uid, priority, date, {ts('sent_at')} AS sent_at FROM store WHERE id > 20 AND priority = 'Low' "
+        "AND sent_at >= TIMESTAMP '2024-01-10 00:00:00' ORDER BY id LIMIT 1000")
+    out["dense_ids_after_commits"] = (
+        f"{world(force_from_uid=1)} SELECT CAST(b AS BIGINT) AS batch_id, CAST(1 AS BIGINT) AS step, CAST(0 AS BIGINT) AS missing, "
+        "(SELECT count(*) FROM store) AS ids FROM range(2) t(b)")
     out["delivery_failure"] = (
         f"{w}, n AS (SELECT account_id, count(*) AS n FROM store GROUP BY account_id), "
         "f AS (SELECT account_id, count(*) AS f FROM batch GROUP BY account_id) "

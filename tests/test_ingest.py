@@ -1,5 +1,6 @@
 """O1/O2 run plan, guard, force/reset, enrichment outcomes, quarantine,
 emit failure, replay and audit (behaviour the original left untested)."""
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schemas as S
@@ -183,27 +184,68 @@ def test_hot_fingerprint_split_matches_plain_join(spark):
     assert sorted((r.k, r.d) for r in got.collect()) == sorted([("h", "H")] * 10 + [("c", "C")])
 
 
-def test_crash_after_store_append_is_recovered(spark, tmp_root):
+def _crash(monkeypatch, at):
+    """The next run dies where it calls ``at`` of the tables."""
+    def die(*a, **k):
+        raise RuntimeError("died")
+    monkeypatch.setattr(T, at, die)
+
+
+def test_a_crash_before_the_commit_leaves_nothing(spark, tmp_root, monkeypatch):
     lay = T.Layout(tmp_root, 4)
     m = TB.messages(spark, SF)
     acc, resp = TB.accounts(m), TB.responses(spark, SF, m)
-    opts = I.IngestOptions(run_id="c1", model="m1", init_start_date="2024-01-01")
-    # simulate a crash: ids reserved and rows appended, nothing after that
-    plan = I.run_plan(acc, T.read_cursors(spark, lay), opts)
-    out, _ = I.outcomes(I.fetch(m, plan, opts), T.read_cache(spark, lay), resp, opts)
-    rows = I.store_rows(out, opts)
-    base = T.reserve_ids(spark, lay, "c1", 0, rows.count())
-    T.append_store(I.with_ids(rows, base), lay)
-    n = spark.read.parquet(lay.emails).count()
-    assert n > 0 and T.read_store(spark, lay).count() == 0 and T.read_cursors(spark, lay).count() == 0
-    # the next run (new run id) leaves the orphan unseen and appends the batch once
-    s = R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="c2", model="m1", init_start_date="2024-01-01"),
-                     responses=resp)
+    for at in ("write_moves", "commit"):
+        with monkeypatch.context() as patch, pytest.raises(RuntimeError, match="died"):
+            _crash(patch, at)
+            R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="c1", model="m1", init_start_date="2024-01-01"), responses=resp)
+        assert spark.read.parquet(lay.emails).count() > 0
+        assert T.read_store(spark, lay).count() == 0 and T.read_cursors(spark, lay).count() == 0
+    # other runs leave it unseen, append the batch once and number from 1
+    s = R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="c2", model="m1", init_start_date="2024-01-01"), responses=resp)
     st = T.read_store(spark, lay)
-    assert st.count() == s["emitted"] == n
+    assert sorted(r.id for r in st.collect()) == list(range(1, s["emitted"] + 1))
     assert {r.run_id for r in st.select("run_id").distinct().collect()} == {"c2"}
-    ids = sorted(r.id for r in st.select("id").collect())
-    assert ids == list(range(n + 1, 2 * n + 1))          # the aborted range is never reused
+    T.vacuum(spark, lay, "c1")
+    assert {r.run_id for r in spark.read.parquet(lay.emails).select("run_id").distinct().collect()} == {"c2"}
+    # the same run with nothing new replaces what its crash left
+    R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="c1", model="m1"), responses=resp)
+    assert T.read_store(spark, lay).count() == s["emitted"]
+
+
+def test_a_crash_between_two_runs_of_other_accounts_loses_nothing(spark, tmp_root, monkeypatch):
+    """Run b is in its sink while run a writes everything but its commit and dies."""
+    lay = T.Layout(tmp_root, 4)
+    m, resp = _world(spark)
+    acc = m.select("account_id").distinct()
+    opts = lambda run, who: I.IngestOptions(run_id=run, model="m1", init_start_date="2024-01-01", target_account=who)
+
+    def while_b_delivers(df, b):
+        with monkeypatch.context() as patch, pytest.raises(RuntimeError, match="died"):
+            _crash(patch, "commit")
+            R.run_ingest(spark, lay, m, acc, opts("a1", "a"), responses=resp)
+    R.run_ingest(spark, lay, m, acc, opts("b1", "b"), responses=resp, sink=while_b_delivers)
+    assert {r.account_id for r in T.read_cursors(spark, lay).collect()} == {"b"}
+    R.run_ingest(spark, lay, m, acc, opts("a2", "a"), responses=resp)
+    want = m.join(R.T.read_cursors(spark, lay), "account_id").filter("uid <= last_uid").select("account_id", "uid")
+    st = T.read_store(spark, lay)
+    assert sorted(map(tuple, st.select("account_id", "uid").collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(r.id for r in st.collect()) == list(range(1, st.count() + 1))
+
+
+def test_commits_of_one_moment_share_no_ids(spark, tmp_root):
+    """Both writers saw the same last number before either committed."""
+    lay = T.Layout(tmp_root, 4)
+    m, resp = _world(spark)
+    acc = m.select("account_id").distinct()
+    for run, who in (("z", "a"), ("y", "b")):
+        R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id=run, model="m1", init_start_date="2024-01-01", target_account=who), responses=resp)
+    twins = T.commits(spark, lay).withColumn("seq", F.lit(1).cast("long")).select(*T.COMMITS.fieldNames()).collect()
+    T.delete(spark, lay.commits)
+    spark.createDataFrame(twins, T.COMMITS).write.parquet(lay.commits)
+    rows = T.read_store(spark, lay).collect()
+    assert sorted(r.id for r in rows) == list(range(1, len(rows) + 1)) and {r.run_id for r in rows} == {"y", "z"}
+    assert T.read_store(spark, lay, 2).count() == len(rows) - 2
 
 
 def test_empty_batch_skips_sink_and_run_id_format(spark, tmp_root):
@@ -229,24 +271,12 @@ def test_fetch_pushes_global_uid_floor_into_scan(spark, tmp_root):
     assert b.count() == want
 
 
-def test_crash_after_cursor_move_keeps_rows_and_batches_keep_audit(spark, tmp_root):
+def test_batches_of_a_run_keep_their_audit_rows(spark, tmp_root):
     lay = T.Layout(tmp_root, 4)
     m = TB.messages(spark, SF)
     acc, resp = TB.accounts(m), TB.responses(spark, SF, m)
-    opts = I.IngestOptions(run_id="k1", model="m1", init_start_date="2024-01-01")
-    # steps up to the cursor move, then a crash (no audit, no marker)
-    plan = I.run_plan(acc, T.read_cursors(spark, lay), opts)
-    out, _ = I.outcomes(I.fetch(m, plan, opts), T.read_cache(spark, lay), resp, opts)
-    rows = I.store_rows(out, opts)
-    T.append_store(I.with_ids(rows, T.reserve_ids(spark, lay, "k1", 0, rows.count())), lay)
-    T.upsert_cursors(spark, lay, I.cursor_moves(I.account_stats(plan, out), opts), "k1:0")
-    n = spark.read.parquet(lay.emails).count()
-    # next run: the batch is rolled forward, not removed
-    R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="k2", model="m1"), responses=resp)
-    assert T.read_store(spark, lay).filter("run_id = 'k1'").count() == n
-    # two batches of one run keep both batches' audit rows
-    R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="k3", model="m1", batch_id=0), responses=resp)
-    R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="k3", model="m1", batch_id=1), responses=resp)
+    for b in (0, 1):
+        R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="k3", model="m1", init_start_date="2024-01-01", batch_id=b), responses=resp)
     got = {r.batch_id for r in T.read_audit(spark, lay).filter("run_id = 'k3'").collect()}
     assert got == {0, 1}
 
@@ -274,23 +304,3 @@ def test_enricher_callable_is_called_once_per_needed_fingerprint(spark, tmp_root
     seen.clear()
     s2 = R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="e2", model="m1", force_from_uid=1), enricher=enricher)
     assert seen in ([], [0]) and s2["cache_hits"] == 6 and s2["llm_calls"] == 0
-
-
-def test_compact_history_keeps_ids_and_cursors(spark, tmp_root):
-    lay = T.Layout(tmp_root, 4)
-    m = TB.messages(spark, SF)
-    acc, resp = TB.accounts(m), TB.responses(spark, SF, m)
-    R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="h1", model="m1", init_start_date="2024-01-01"),
-                 responses=resp)
-    R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="h2", model="m1"), responses=resp)
-    R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="h3", model="m1"), responses=resp)
-    before = {r.account_id: r.last_uid for r in T.read_cursors(spark, lay).collect()}
-    top = T.read_store(spark, lay).agg(F.max("id")).first()[0]
-    got = T.compact_history(spark, lay, keep_cursor_versions=2)
-    assert got["cursor_versions_removed"] >= 1 and got["manifest_entries_folded"] >= 1
-    assert {r.account_id: r.last_uid for r in T.read_cursors(spark, lay).collect()} == before
-    assert len(T._versions(spark, lay.cursors)) == 2
-    # a replay from uid 1 gets ids after everything reserved before compaction
-    R.run_ingest(spark, lay, m, acc, I.IngestOptions(run_id="h4", model="m1", force_from_uid=1), responses=resp)
-    new_ids = [r.id for r in T.read_store(spark, lay).filter("run_id = 'h4'").select("id").collect()]
-    assert new_ids and min(new_ids) > top

@@ -92,7 +92,7 @@ def test_replay_of_a_partly_pending_batch(spark, tmp_root):
     assert T.read_backlog(spark, lay).filter("uid = 5").select(F.length("body")).first()[0] == 15_000
     again = R.run_ingest(spark, lay, m, acc, opts("s", batch_id=0), responses=answers(m), keep_backlog=True)
     assert again["replayed"] and stored(spark, lay) == [("a", u) for u in (1, 2, 3)]
-    rest = T.read_backlog(spark, lay, "s:1")
+    rest = T.read_backlog(spark, lay)
     R.run_ingest(spark, lay, m.unionByName(rest).dropDuplicates(["account_id", "uid"]), acc, opts("s", batch_id=1), responses=answers(m), keep_backlog=True)
     assert stored(spark, lay) == [("a", u) for u in range(1, 7)] and T.read_backlog(spark, lay).count() == 0
 
@@ -136,14 +136,6 @@ def test_a_failed_call_is_quarantined_and_the_cursor_passes(spark, tmp_root):
     assert row.priority == "Error" and "503" in row.summary
 
 
-def test_cache_refuses_another_bucket_count(spark, tmp_root):
-    rows = spark.createDataFrame([(f"h{i}", "a", i, None, "m1", None) for i in range(20)], S.CACHE)
-    T.upsert_cache(spark, T.Layout(tmp_root, 64), rows)
-    with pytest.raises(ValueError):
-        T.upsert_cache(spark, T.Layout(tmp_root, 8), rows)
-    assert T.read_cache(spark, T.Layout(tmp_root, 64)).count() == 20
-
-
 def test_one_undeliverable_account_holds_only_its_own_cursor(spark, tmp_root):
     lay, acc = T.Layout(tmp_root, 4), accounts(spark, "a", "b")
     m = mail(spark, [("a", 1), ("b", 1), ("b", 2)])
@@ -175,8 +167,8 @@ def test_files_hold_disjoint_id_ranges(spark, tmp_root):
     from tidemark.operators.ids import assign_dense_ids
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        T.append_store(assign_dense_ids(rows, ["account_id", "uid"], num_partitions=64), lay)
+        T.append_store(assign_dense_ids(rows, ["account_id", "uid"], num_partitions=64), lay, "r", 0)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    files = spark.read.parquet(lay.emails).groupBy(F.input_file_name()).agg(F.min("id").alias("a"), F.max("id").alias("b")).orderBy("a").collect()
+    files = spark.read.parquet(lay.emails).groupBy(F.input_file_name()).agg(F.min("position").alias("a"), F.max("position").alias("b")).orderBy("a").collect()
     assert len(files) > 1 and all(x.b < y.a for x, y in zip(files, files[1:]))

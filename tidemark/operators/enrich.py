@@ -22,6 +22,8 @@ answer yet), ``skipped`` and ``dry`` (the two non-calling modes).
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,9 @@ from ..functions import results as R
 from ..functions.text import clipped_body, request_text
 from .joins import broadcast_if_small, join_hot_split
 
+if TYPE_CHECKING:
+    from ..sinks.cache import CacheTable
+
 RESULT_DDL = ("struct<original_uid:bigint,priority:string,summary:string,"
               "key_entities:array<string>,action_required:boolean,is_truncated:boolean>")
 
@@ -40,11 +45,14 @@ def per_fingerprint(batch: DataFrame) -> DataFrame:
                                              F.count(F.lit(1)).alias("copies"))
 
 
-def probe_cache(keys: DataFrame, cache: DataFrame, model: str | None) -> DataFrame:
-    """Attach the cached result when (hash[, model]) matches.
+def probe_cache(keys: DataFrame, cache: DataFrame | CacheTable, model: str | None) -> DataFrame:
+    """Attach the cached result when (hash[, model]) matches. A cache on
+    disk probes itself (its base stays in its buckets).
 
     ``model`` None/'' ignores the model, as the original lookup did.
     """
+    if not isinstance(cache, DataFrame):
+        return cache.probe(keys, model)
     c = cache.filter(F.col("model_version") == model) if model else cache
     return keys.join(c.select("content_hash", F.col("result").alias("cached")), "content_hash", "left")
 
@@ -61,7 +69,7 @@ def one_answer(responses: DataFrame, model: str | None) -> DataFrame:
              .select("content_hash", "a.raw_json", F.col("a.error").alias("call_error")))
 
 
-def decide(batch: DataFrame, cache: DataFrame | None, responses: DataFrame | None,
+def decide(batch: DataFrame, cache: DataFrame | CacheTable | None, responses: DataFrame | None,
            model: str | None, force: bool = False) -> DataFrame:
     """Per-fingerprint decision table for the normal (calling) mode."""
     keys = per_fingerprint(batch)

@@ -7,6 +7,7 @@ column names match the oracle SQL in ``__spark_entry__.py``.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,10 @@ class World:
         base.update(opts)
         self.opts = I.IngestOptions(**base)
 
+    def opts_of(self, **changes) -> I.IngestOptions:
+        """This world's options with some changed."""
+        return replace(self.opts, **changes)
+
     @cached_property
     def messages(self) -> DataFrame:
         return TB.messages(self.spark, self.sf_dir)
@@ -170,7 +175,7 @@ def q_eml_html(spark, sf):
 
 def q_run_plan(spark, sf):
     w = World(spark, sf, init_start_date=None)
-    return w.plan
+    return w.plan.drop("from_date")
 
 
 def q_incremental_source(spark, sf):
@@ -180,7 +185,7 @@ def q_incremental_source(spark, sf):
 
 def q_high_water(spark, sf):
     w = World(spark, sf)
-    return I.account_stats(w.plan, w.outcome[0])
+    return I.account_stats(w.plan, w.outcome[0]).drop("landed_date")
 
 
 def q_events_incremental(spark, sf):
@@ -388,20 +393,20 @@ def q_stream_two_batches(spark, sf):
     w = World(spark, sf)
     lay, land = _fresh_layout(spark, w), scratch_path(spark, "landed")
     middle = w.messages.agg(F.expr("percentile_approx(uid, 0.5)")).first()[0]
-    w.messages.filter(F.col("uid") <= middle).coalesce(1).write.parquet(os.path.join(land, "first"))
-    w.messages.filter(F.col("uid") > middle).coalesce(1).write.parquet(os.path.join(land, "second"))
-    ingest_stream(spark, landed_messages(spark, os.path.join(land, "*"), max_files=1), lay, w.accounts, w.opts,
+    halves = 8
+    w.messages.filter(F.col("uid") <= middle).repartition(halves).write.parquet(os.path.join(land, "first"))
+    w.messages.filter(F.col("uid") > middle).repartition(halves).write.parquet(os.path.join(land, "second"))
+    ingest_stream(spark, landed_messages(spark, os.path.join(land, "*"), max_files=halves), lay, w.accounts, w.opts,
                   scratch_path(spark, "stream"), responses=w.responses)
     return T.read_store(spark, lay).select("account_id", "uid", "content_hash", "priority")
 
 
 def q_replay_partial(spark, sf):
     """T4/K1: a committed batch, replayed with the same ids, changes nothing."""
-    from dataclasses import replace
     from ..sinks import tables as T
     from . import run as R
     w = World(spark, sf)
-    lay, opts = _fresh_layout(spark, w), replace(w.opts, batch_id=0)
+    lay, opts = _fresh_layout(spark, w), w.opts_of(batch_id=0)
     for _ in range(2):
         R.run_ingest(spark, lay, w.messages, w.accounts, opts, responses=w.responses)
     return _store_cols(T.read_store(spark, lay))
@@ -442,7 +447,7 @@ def q_date_floor(spark, sf):
 
 def q_target_account(spark, sf):
     """F8: the plan of one account's run."""
-    return World(spark, sf, target_account="acct_src3").plan
+    return World(spark, sf, target_account="acct_src3").plan.drop("from_date")
 
 
 def q_store_by_run(spark, sf):

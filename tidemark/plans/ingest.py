@@ -1,13 +1,14 @@
 """O1 run plan, S1/S2 incremental source, O2 ingest outcome and its
 per-account bookkeeping (A1/A2/A6/A7) and run summary (A3).
 
-Everything here is lazy and write-free; ``tidemark.sinks.commit`` performs
+Everything here is lazy and write-free; ``tidemark.plans.run`` performs
 the writes in replay-safe order.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,10 @@ from ..operators.joins import broadcast_limit
 from ..session import stage_table
 
 
+#: Days that a message may land out of the order of its account's uids.
+LANDING_SLACK = 2
+
+
 @dataclass
 class IngestOptions:
     run_id: str
@@ -71,9 +76,12 @@ def run_plan(accounts: DataFrame, cursors: DataFrame, opts: IngestOptions) -> Da
     start_uid     first uid to read (force_from_uid overrides the cursor)
     before_uid    start_uid - 1 (what the audit reports)
     guard_ok      False on a first run without force/init date (not processed)
+    from_date     the day on which the cursor's message landed, where the cursor
+                  tells it and is not overridden; older days hold nothing new
     """
     sel = select_accounts(accounts, opts)
-    p = sel.join(cursors.select("account_id", "last_uid"), "account_id", "left")
+    landed = F.col("landed_date") if "landed_date" in cursors.columns else F.lit(None).cast("date")
+    p = sel.join(cursors.select("account_id", "last_uid", landed.alias("landed_date")), "account_id", "left")
     stored = F.lit(0).cast("bigint") if opts.reset_cursor else F.coalesce(F.col("last_uid"), F.lit(0)).cast("bigint")
     start = F.lit(opts.force_from_uid).cast("bigint") if opts.force_from_uid is not None else stored + 1
     guard = ~((start == 1) & F.lit(not opts.force_from_uid) & F.lit(not opts.init_start_date))
@@ -83,9 +91,30 @@ def run_plan(accounts: DataFrame, cursors: DataFrame, opts: IngestOptions) -> Da
         start.alias("start_uid"),
         (start - 1).alias("before_uid"),
         guard.alias("guard_ok"),
+        (F.lit(None).cast("date") if opts.reset_cursor or opts.force_from_uid is not None else F.col("landed_date")).alias("from_date"),
     )
 
 
+def _landed(src: DataFrame, go: DataFrame, max_rows: int) -> DataFrame:
+    """S1/S2 on a table partitioned by ``received_date``: ``src`` with each
+    row's ``start_uid``. Accounts whose cursor tells its landing day read the
+    days from ``LANDING_SLACK`` before it on: their (account, day) pairs join
+    on the partition column, so the scan is pruned while it is planned to run.
+    New accounts, and messages without a day, are branches of their own."""
+    last = src.agg(F.max("received_date")).first()[0]
+    known = go.filter("from_date IS NOT NULL")
+    first = F.date_sub("from_date", LANDING_SLACK)
+    days = known.filter(first <= F.lit(last)).select("account_id", "start_uid", F.explode(F.sequence(first, F.lit(last))).alias("received_date"))
+    # pairs are bounded by accounts times days, and counted
+    days = F.broadcast(days) if days.limit(max_rows + 1).count() <= max_rows else days
+    rows = [src.join(days, ["account_id", "received_date"]).select(*src.columns, "start_uid"),
+            src.filter("received_date IS NULL").join(F.broadcast(known.select("account_id", "start_uid")), "account_id").select(*src.columns, "start_uid")]
+    new = go.filter("from_date IS NULL").select("account_id", "start_uid")
+    if not new.isEmpty():
+        rows.append(src.join(F.broadcast(new), "account_id").select(*src.columns, "start_uid"))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def fetch(messages: DataFrame, plan: DataFrame, opts: IngestOptions) -> DataFrame:
     """Messages above each account's start uid (and on/after the
     init date), with fingerprint, clip flag and parsed send time.
@@ -98,13 +127,17 @@ def fetch(messages: DataFrame, plan: DataFrame, opts: IngestOptions) -> DataFram
     plan) is also applied as a literal ``uid >=`` filter: it reaches the
     Parquet scan as a pushed filter, so row groups holding only uids below
     every cursor are skipped instead of read and joined away."""
-    go = plan.filter("guard_ok").select("account_id", "start_uid")
+    go = plan.filter("guard_ok").select("account_id", "start_uid", *(c for c in ["from_date"] if c in plan.columns))
     # one small job on the per-account plan: its size (checked bound for the
     # broadcast) and the lowest start uid
     n, lo = go.agg(F.count(F.lit(1)), F.min("start_uid")).first()
     go = F.broadcast(go) if n <= broadcast_limit(go) else go
     src = messages.filter(F.col("uid") >= F.lit(int(lo))) if lo is not None else messages.filter(F.lit(False))
-    b = src.join(go, "account_id").filter(F.col("uid") >= F.col("start_uid")).drop("start_uid")
+    if "received_date" in src.columns and "from_date" in go.columns:
+        b = _landed(src, go, broadcast_limit(go))
+    else:
+        b = src.join(go.drop("from_date"), "account_id")
+    b = b.filter(F.col("uid") >= F.col("start_uid")).drop("start_uid")
     b = b.withColumn("sent_at", parse_sent_at("date"))
     if opts.init_start_date:
         # the landed receive date decides where there is one, else the header's; an undatable message is kept
@@ -173,7 +206,9 @@ def account_stats(plan: DataFrame, out: DataFrame) -> DataFrame:
     fetched = out.groupBy("account_id").agg(
         F.count(F.lit(1)).alias("fetched"), F.min("uid").alias("min_uid"), F.max("uid").alias("max_uid"))
     em = out.filter(~F.col("held") & (F.col("outcome") != "pending"))
-    emitted = em.groupBy("account_id").agg(F.count(F.lit(1)).alias("emitted"), F.max("uid").alias("max_emitted"))
+    landed = F.col("received_date") if "received_date" in out.columns else F.lit(None).cast("date")
+    emitted = em.groupBy("account_id").agg(F.count(F.lit(1)).alias("emitted"), F.max("uid").alias("max_emitted"),
+                                           F.max_by(landed, "uid").alias("landed_date"))
     p = plan.filter("guard_ok").select("account_id", "before_uid", "start_uid")
     j = p.join(fetched, "account_id", "left").join(emitted, "account_id", "left")
     fetched_n = F.coalesce(F.col("fetched"), F.lit(0)).cast("bigint")
@@ -182,7 +217,7 @@ def account_stats(plan: DataFrame, out: DataFrame) -> DataFrame:
     return j.select(
         "account_id", "before_uid", "start_uid",
         fetched_n.alias("fetched"), F.col("min_uid"), F.col("max_uid"),
-        emitted_n.alias("emitted"), after.alias("after_uid"),
+        emitted_n.alias("emitted"), after.alias("after_uid"), "landed_date",
         (after >= F.col("start_uid")).alias("advances"),
         F.concat(F.col("before_uid").cast("string"), F.lit(K.MOVEMENT[0]), after.cast("string"),
                  F.lit(K.MOVEMENT[1]), (after - F.col("start_uid") + 1).cast("string"), F.lit(K.MOVEMENT[2])).alias("movement"),
@@ -217,7 +252,7 @@ def cursor_moves(stats: DataFrame, opts: IngestOptions) -> DataFrame:
     """K2 input: accounts whose cursor advances (after a successful emit)."""
     return stats.filter(F.col("advances") & (F.col("emitted") > 0)).select(
         "account_id", F.col("after_uid").cast("bigint").alias("last_uid"),
-        opts.created_at_col().alias("updated_at"))
+        opts.created_at_col().alias("updated_at"), "landed_date")
 
 
 def run_summary(plan: DataFrame, out: DataFrame) -> DataFrame:

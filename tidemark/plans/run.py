@@ -1,25 +1,19 @@
-"""O2 ingest run with commits in replay-safe order.
+"""O2 ingest run with one commit point.
 
 Order of effects for one batch:
 
 1. plan and decisions are computed; model answers (when produced by an
-   enrichment callable) and the batch outcome are materialised once with a
-   reliable checkpoint, so every later step sees the same rows and a lost
-   executor recomputes from the checkpoint, not from the model;
+   enrichment callable) and the batch outcome are staged once, so every later
+   step sees the same rows and a lost executor reads them again;
 2. cache writes (a memo: writing it early only makes a replay cheaper);
-3. an id range is reserved in the batch manifest, then the store append
-   goes into this batch's own (run_id, batch_id) partition;
-4. sink delivery; on failure the batch's store partition is removed again,
-   the cursors stay, and FAIL audit rows are written; where only some accounts
-   failed, this holds for them alone;
-5. a new cursor version, tagged with (run, batch): this is the commit point;
-6. audit rows; 7. the manifest entry is marked committed.
-
-A crash before 5 leaves the batch uncommitted: the next run first removes
-store partitions of uncommitted batches (``recover_orphans``), and since the
-cursor did not pass their messages they are fetched again, with their
-answers now in the cache. A crash after 5 is rolled forward: the newest
-cursor version carries the batch's tag, so its rows are kept.
+3. sink delivery; accounts whose delivery failed are left out of what follows,
+   and a sink that raises ends the batch with FAIL audit rows;
+4. the batch's store rows, backlog, cursor moves and audit rows, each in its
+   own (run, batch) partition, which a replay replaces;
+5. the commit row: from here on all of it is visible, before it nothing is.
+
+A crash before 5 leaves nothing that a reader sees; the cursors did not move,
+so the next run fetches the messages again, with their answers in the cache.
 """
 
 from __future__ import annotations
@@ -33,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import enrich as E
+from ..operators.joins import broadcast_if_small
 from ..session import ensure_checkpoint_dir, stage_table, staging_scope
 from ..sinks import tables as T
 from ..sinks.emit import Sink, null_sink
@@ -72,15 +67,27 @@ def run_ingest(spark: SparkSession, layout: T.Layout, messages: DataFrame, accou
 
 
 def _stream_batch(spark, layout, messages, plan, opts) -> DataFrame:
-    """What a stream still has to store: every row above the cursor its
-    account had when the stream began, but for those already stored."""
-    floors = T.stream_floors(spark, layout, plan)
-    start = F.coalesce(F.col("floor_uid") + 1, F.col("start_uid"))
-    wide = plan.withColumnRenamed("start_uid", "cursor_uid").withColumn("start_uid", F.col("cursor_uid"))
-    wide = wide.join(floors, "account_id", "left").withColumn("start_uid", start)
-    batch = I.fetch(messages, wide.drop("floor_uid", "cursor_uid"), opts)
-    stored = T.read_store(spark, layout).select("account_id", "uid")
-    return batch.join(stored, ["account_id", "uid"], "left_anti")
+    """What a stream still has to store: every row of its files above the
+    cursor that its account had when streams began. Only rows at or below the
+    present cursor can be stored already; where there are any, they are looked
+    up among the stored rows of their uids. Where the start is overridden (T2),
+    only this run's own rows count as stored."""
+    override = opts.force_from_uid is not None or opts.reset_cursor
+    if override:
+        wide = plan
+    else:
+        floors = T.stream_floors(spark, layout, plan)
+        wide = plan.withColumnRenamed("start_uid", "cursor_uid").join(floors, "account_id", "left").withColumn(
+            "start_uid", F.coalesce(F.col("floor_uid") + 1, "cursor_uid")).drop("floor_uid", "cursor_uid")
+    batch = _stage(I.fetch(messages, wide.drop("from_date"), opts), "arrived")
+    cursors = T.read_cursors(spark, layout).select("account_id", "last_uid")
+    late = batch.join(broadcast_if_small(cursors), "account_id").filter("uid <= last_uid")
+    low, high = late.agg(F.min("uid"), F.max("uid")).first()
+    if low is None:
+        return batch
+    stored = T.read_store(spark, layout).filter(F.col("uid").between(low, high))
+    stored = stored.filter(F.col("run_id") == opts.run_id) if override else stored
+    return batch.join(stored.select("account_id", "uid"), ["account_id", "uid"], "left_anti")
 
 
 def _unplaced(messages, plan, out, failed) -> DataFrame:
@@ -101,18 +108,14 @@ def _run(spark, layout, messages, accounts, opts, responses, enricher, sink, kee
         none = dict.fromkeys(["accounts", "rejected", "fetched", "llm_calls", "cache_hits", "errors", "pending", "held_back", "emitted"], 0)
         return none | {"emit_ok": True, "emit_error": None, "replayed": True, "run_id": opts.run_id, "batch_id": opts.batch_id,
                        "elapsed_sec": 0.0}
-    tag = f"{opts.run_id}:{opts.batch_id}"
-    if not dry:
-        T.recover_orphans(spark, layout, opts.run_id)
-    cursors = T.read_cursors(spark, layout)
-    if opts.reset_cursor and not dry:
+    key = (opts.run_id, opts.batch_id)
+    if opts.reset_cursor and not dry and opts.batch_id == 0:
         sel = I.select_accounts(accounts, opts)
         T.upsert_cursors(spark, layout, sel.select(
             "account_id", F.lit(0).cast("bigint").alias("last_uid"), F.current_timestamp().alias("updated_at")))
-        cursors = T.read_cursors(spark, layout)
-    cache = T.read_cache(spark, layout)
+    cache = T.open_cache(spark, layout)
 
-    plan = _stage(I.run_plan(accounts, cursors, opts))
+    plan = _stage(I.run_plan(accounts, T.read_cursors(spark, layout), opts))
     batch = _stream_batch(spark, layout, messages, plan, opts) if keep_backlog else I.fetch(messages, plan, opts)
 
     if opts.mode == "normal" and responses is None and enricher is not None:
@@ -122,18 +125,9 @@ def _run(spark, layout, messages, accounts, opts, responses, enricher, sink, kee
 
     out, writes = I.outcomes(batch, cache, responses, opts)
     out = _stage(out)
-    writes = _stage(writes) if writes is not None else None
-
     if not dry and writes is not None:
         T.upsert_cache(spark, layout, writes)
 
-    numbered = None
-    if not dry:
-        rows = I.store_rows(out, opts)
-        base = T.reserve_ids(spark, layout, opts.run_id, opts.batch_id, rows.count())
-        numbered = I.with_ids(rows, base)
-        T.append_store(numbered, layout)
-
     emit_error, failed = None, []
     results = emitted_results(out, opts.run_id)
     if not dry:                                # a dry run delivers nothing
@@ -142,24 +136,20 @@ def _run(spark, layout, messages, accounts, opts, responses, enricher, sink, kee
                 failed = sorted(sink(results, opts.batch_id) or [])
         except Exception as exc:  # noqa: BLE001 - any sink failure holds the cursors
             emit_error = f"{type(exc).__name__}: {exc}"
-        if emit_error or failed:
-            T.drop_store_batch(spark, layout, opts.run_id, opts.batch_id)
-        if failed:
-            T.append_store(numbered.filter(~F.col("account_id").isin(failed)), layout)
     emit_ok = emit_error is None
 
-    stats = I.account_stats(plan, out)
+    stats = _stage(I.account_stats(plan, out), "stats")
     if not dry:
         bad = F.col("account_id").isin(failed)
-        if emit_ok:
-            if keep_backlog:
-                T.write_backlog(_unplaced(messages, plan, out, failed), layout, tag)
-            # the cursor version is the batch's commit point (tagged run:batch)
-            T.upsert_cursors(spark, layout, I.cursor_moves(stats.filter(~bad), opts), tag)
         T.append_audit(I.audit_rows(stats.filter(~bad), opts, emit_ok).unionByName(
-            I.audit_rows(stats.filter(bad), opts, False)), layout)
+            I.audit_rows(stats.filter(bad), opts, False)), layout, *key)
         if emit_ok:
-            T.mark_committed(spark, layout, opts.run_id, opts.batch_id)
+            T.append_store(I.with_ids(I.store_rows(out.filter(~bad), opts)), layout, *key)
+            if keep_backlog:
+                T.write_backlog(_unplaced(messages, plan, out, failed), layout, *key)
+            T.write_moves(I.cursor_moves(stats.filter(~bad), opts), layout, *key)
+            rows = stats.filter(~bad).agg(F.coalesce(F.sum("emitted"), F.lit(0))).first()[0]
+            T.commit(spark, layout, *key, rows=rows, backlog=keep_backlog)
 
     summary = I.run_summary(plan, out).first().asDict()
     summary.update(emit_ok=emit_ok, emit_error=emit_error, failed_accounts=failed, run_id=opts.run_id, batch_id=opts.batch_id,

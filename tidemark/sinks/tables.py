@@ -1,23 +1,24 @@
-"""K1-K5 table writes on a root folder (Parquet, no table server).
-
-Layout under ``root``:
-
-  emails/run_id=../batch_id=../   append-only store, files sorted by id
-  cursors/v=N/                    cursor table, one immutable version per commit
-  audit/run_id=../                audit rows
-  cache/bucket=B/                 result cache, hash-bucketed
-  manifest/run_id=../batch_id=../ id range reserved per batch (+ _COMMITTED marker)
-
-Plain Parquet has no MERGE/DELETE, so upserts are "read current, union,
-latest per key, write", and nothing is ever overwritten while it is read:
-
-* emails: a (run_id, batch_id) partition is written with dynamic partition
-  overwrite, so replaying a batch replaces its own rows instead of adding a
-  second copy (fixes duplicate rows after an emit failure);
-* cursors: every commit writes a new version folder; readers take the newest
-  version, so a crash mid-write leaves the previous version intact;
-* cache: only the hash buckets touched by a batch are rebuilt; the merged
-  buckets go to a staging folder first and then replace their partitions.
+"""The store, cursors, audit and backlog on Parquet.
+
+Every batch writes its own ``run_id=../batch_id=..`` partition of each table,
+replacing whatever an earlier try left there, and then appends one row to
+``commits``. That row is the only commit point: rows, cursor moves and backlog
+of a batch exist for readers once it is there, and never before. A crash
+before it leaves a partition that nobody sees and that the next try replaces;
+there is nothing to roll forward or back.
+
+  emails/   append-only store; a row holds its position in its batch
+  moves/    cursor moves; a cursor is the last committed move (K2, T1)
+  backlog/  what a stream's batch could not place yet, as a whole
+  audit/    audit rows, of failed batches too
+  commits/  one row per batch: its number, and how many positions it uses
+  floors/   where streams began
+
+Ids (L4) come from the commits: a batch's ids follow those of all batches
+committed before it, by (number, run, batch). They are dense, never given
+twice, and need no reservation. Runs that commit at the same moment share a
+number and are told apart by name. Commits hold a row per batch, so offsets
+are a small window that is broadcast to the store's partitions.
 """
 
 from __future__ import annotations
@@ -25,469 +26,174 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
-from ..session import scratch_path
+from ..operators.joins import broadcast_if_small
+from .cache import CacheTable, invalidate_cache, merge_cache, open_cache, read_cache, remaining_after_invalidate, upsert_cache  # noqa: F401
+from .files import delete, exists, make_folder, read_parquet
 
 CACHE_BUCKETS = 64
+KEY = ["run_id", "batch_id"]
+COMMITS = T.StructType([T.StructField("run_id", T.StringType(), False), T.StructField("batch_id", T.LongType(), False),
+                        T.StructField("seq", T.LongType(), False), T.StructField("rows", T.LongType(), False),
+                        T.StructField("backlog", T.BooleanType(), False)])
+POSITIONED = T.StructType([T.StructField("position", T.LongType(), False), *S.EMAILS.fields[1:]])
+MOVES = T.StructType([*S.CURSORS.fields, T.StructField("landed_date", T.DateType()), *COMMITS.fields[:2]])
 
 
 class Layout:
+    """The folders of a store under ``root``."""
+
     def __init__(self, root: str, cache_buckets: int = CACHE_BUCKETS):
-        self.root = root
-        self.cache_buckets = cache_buckets
+        self.root, self.cache_buckets = root, cache_buckets
+        for name in ("emails", "moves", "backlog", "audit", "commits", "floors", "cache"):
+            setattr(self, name, os.path.join(root, name))
 
-    @property
-    def emails(self):
-        return os.path.join(self.root, "emails")
 
-    @property
-    def cursors(self):
-        return os.path.join(self.root, "cursors")
+def _write_batch(rows: DataFrame, base: str, run_id: str, batch_id: int) -> None:
+    """``rows`` as the whole of one batch's partition, also where they are none."""
+    name = rows.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)
+    rows.drop(*KEY).write.mode("overwrite").parquet(os.path.join(base, f"run_id={name}", f"batch_id={int(batch_id)}"))
 
-    @property
-    def audit(self):
-        return os.path.join(self.root, "audit")
 
-    @property
-    def cache(self):
-        return os.path.join(self.root, "cache")
+# --- commits (T1, L4) --------------------------------------------------------
 
-    @property
-    def backlog(self):
-        return os.path.join(self.root, "backlog")
+def commits(spark: SparkSession, layout: Layout) -> DataFrame:
+    """One row per committed batch."""
+    rows = read_parquet(spark, layout.commits, COMMITS)
+    return rows.groupBy(*KEY).agg(F.min("seq").alias("seq"), F.max("rows").alias("rows"), F.max("backlog").alias("backlog"))
 
-    @property
-    def commits(self):
-        return os.path.join(self.root, "commits")
 
-    @property
-    def floors(self):
-        return os.path.join(self.root, "floors")
+def commit(spark: SparkSession, layout: Layout, run_id: str, batch_id: int, rows: int = 0, backlog: bool = False) -> None:
+    """The last step of a batch; ``rows`` positions of the store are its own."""
+    seq = commits(spark, layout).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
+    row = spark.createDataFrame([(run_id, int(batch_id), seq, int(rows), backlog)], COMMITS)
+    row.coalesce(1).write.mode("append").parquet(layout.commits)
 
-    @property
-    def manifest(self):
-        return os.path.join(self.root, "manifest")
 
+def is_committed(spark: SparkSession, layout: Layout, run_id: str, batch_id: int) -> bool:
+    return not commits(spark, layout).filter((F.col("run_id") == run_id) & (F.col("batch_id") == batch_id)).isEmpty()
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
 
+def next_batch_id(spark: SparkSession, layout: Layout, run_id: str) -> int:
+    """The first batch number that no committed or audited batch of the run has."""
+    used = commits(spark, layout).select(*KEY).unionByName(read_audit(spark, layout).select(*KEY))
+    last = used.filter(F.col("run_id") == run_id).agg(F.max("batch_id")).first()[0]
+    return 0 if last is None else int(last) + 1
 
-def _read(spark: SparkSession, path: str, schema, extra_cols=()) -> DataFrame:
-    """Read a table with its declared schema (so no file listing is needed
-    to infer it, and an empty or missing table reads as empty)."""
-    full = T.StructType(list(schema.fields) + [T.StructField(n, T._parse_datatype_string(t)) for n, t in extra_cols])
-    if _exists(spark, path):
-        return spark.read.schema(full).parquet(path)
-    return spark.createDataFrame([], full)
 
+def offsets(spark: SparkSession, layout: Layout) -> DataFrame:
+    """run_id, batch_id, and the id before the batch's first."""
+    before = Window.orderBy("seq", *KEY).rowsBetween(Window.unboundedPreceding, -1)
+    return commits(spark, layout).select(*KEY, "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
 
-# --- emails (K1, S4) --------------------------------------------------------
 
-COMMITS = T.StructType([T.StructField("run_id", T.StringType(), False), T.StructField("batch_id", T.LongType(), False)])
+# --- the store (K1, S4) ------------------------------------------------------
 
+def append_store(numbered: DataFrame, layout: Layout, run_id: str, batch_id: int) -> None:
+    """A batch's rows, whose ``id`` counts from 1 within it. Range-partitioned,
+    so that every task writes one file of positions of its own."""
+    rows = numbered.withColumnRenamed("id", "position").select(*POSITIONED.fieldNames())
+    _write_batch(rows.repartitionByRange("position").sortWithinPartitions("position"), layout.emails, run_id, batch_id)
 
-def read_store(spark: SparkSession, layout: Layout) -> DataFrame:
-    """The rows of committed batches. Both columns are partition columns, so
-    partitions of batches in flight or given up are pruned."""
-    rows = _read(spark, layout.emails, S.EMAILS).select(*[f.name for f in S.EMAILS.fields])
-    return rows.join(_read(spark, layout.commits, COMMITS).distinct(), ["run_id", "batch_id"], "left_semi").select(rows.columns)
 
+def read_store(spark: SparkSession, layout: Layout, after_id: int = 0) -> DataFrame:
+    """The rows of committed batches, with their ids. Batches whose ids all
+    lie at or below ``after_id`` are not read: the join prunes partitions."""
+    rows = read_parquet(spark, layout.emails, POSITIONED)
+    known = offsets(spark, layout).filter(F.col("before") + F.col("rows") > after_id).select(*KEY, "before")
+    joined = rows.join(broadcast_if_small(known), KEY)
+    out = joined.withColumn("id", F.col("before") + F.col("position")).select(*S.EMAILS.fieldNames())
+    return out.filter(F.col("id") > after_id) if after_id else out
 
-def is_committed(spark: SparkSession, layout: Layout, run_id: str, batch_id: int) -> bool:
-    done = _read(spark, layout.commits, COMMITS)
-    return not done.filter((F.col("run_id") == run_id) & (F.col("batch_id") == batch_id)).isEmpty()
 
+# --- cursors (K2, S5, S6) ----------------------------------------------------
 
-def next_batch_id(spark: SparkSession, layout: Layout, run_id: str) -> int:
-    """The first batch number that a run of this id has not used."""
-    used = read_manifest(spark, layout).filter(F.col("run_id") == run_id).agg(F.max("batch_id")).first()[0]
-    return 0 if used is None else int(used) + 1
-
-
-MANIFEST = T.StructType([
-    T.StructField("run_id", T.StringType(), False),
-    T.StructField("batch_id", T.LongType(), False),
-    T.StructField("first_id", T.LongType(), False),
-    T.StructField("rows", T.LongType(), False),
-])
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _manifest_dir(layout: Layout, run_id: str, batch_id: int) -> str:
-    return os.path.join(layout.manifest, f"run_id={run_id}", f"batch_id={batch_id}")
-
-
-def read_manifest(spark: SparkSession, layout: Layout) -> DataFrame:
-    return _read(spark, layout.manifest, MANIFEST).select(*[f.name for f in MANIFEST.fields])
-
-
-def reserve_ids(spark: SparkSession, layout: Layout, run_id: str, batch_id: int, n: int) -> int:
-    """L4 across batches: reserve ids [base+1, base+n] for (run_id, batch_id)
-    in the manifest (one row per batch, so this never scans the store) and
-    return ``base``. A replay of a batch that fits its earlier reservation
-    reuses it (same ids); otherwise a new range is taken at the end. Ranges
-    of aborted batches are never handed out again (ids are never reused)."""
-    man = read_manifest(spark, layout)
-    own = (man.filter((F.col("run_id") == run_id) & (F.col("batch_id") == batch_id))
-              .agg(F.max("first_id").alias("f"), F.max("rows").alias("r")).first())
-    if own["f"] is not None and n <= own["r"]:
-        # in flight again: an earlier abort no longer applies
-        p, fs = _fs(spark, os.path.join(_manifest_dir(layout, run_id, batch_id), "_ABORTED"))
-        fs.delete(p, False)
-        return int(own["f"]) - 1
-    while True:
-        base = int(read_manifest(spark, layout).agg(F.coalesce(F.max(F.col("first_id") + F.col("rows") - 1), F.lit(0))).first()[0])
-        row = spark.createDataFrame([(run_id, int(batch_id), base + 1, int(n))], MANIFEST)
-        (row.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("run_id", "batch_id").parquet(layout.manifest))
-        # of two writers that took the same range at once, the later by name takes another
-        rival = read_manifest(spark, layout).filter(
-            (F.col("first_id") < base + 1 + n) & (F.col("first_id") + F.col("rows") > base + 1)
-            & (F.struct("run_id", "batch_id") < F.struct(F.lit(run_id).alias("run_id"), F.lit(int(batch_id)).cast("long").alias("batch_id"))))
-        if n == 0 or rival.isEmpty():
-            return base
-
-
-def mark_committed(spark: SparkSession, layout: Layout, run_id: str, batch_id: int) -> None:
-    """Last step of a batch: its store partition is now final."""
-    if not is_committed(spark, layout, run_id, batch_id):
-        spark.createDataFrame([(run_id, int(batch_id))], COMMITS).coalesce(1).write.mode("append").parquet(layout.commits)
-    p, fs = _fs(spark, os.path.join(_manifest_dir(layout, run_id, batch_id), "_COMMITTED"))
-    fs.create(p, True).close()
-
-
-def recover_orphans(spark: SparkSession, layout: Layout, only_run: str | None = None) -> list[tuple[str, int]]:
-    """Remove store partitions of batches that reserved ids but never
-    committed (a crash between the store append and the cursor move): their
-    messages were not passed by the cursor and will be fetched again. With
-    ``only_run`` other runs' batches, which may be live, are left alone;
-    readers never see uncommitted batches anyway.
-
-    A batch whose cursor version was written (its tag is on the newest
-    cursor version; recovery runs before every batch, so a crashed batch's
-    version is still the newest) is committed: it is rolled forward (marked)
-    rather than removed, because the cursor has already passed its rows."""
-    root, fs = _fs(spark, layout.manifest)
-    if not fs.exists(root):
-        return []
-    jvm = spark.sparkContext._jvm
-    committed_tag = latest_commit_tag(spark, layout)
-    removed = []
-    for run_dir in fs.listStatus(root):
-        if not run_dir.isDirectory() or not run_dir.getPath().getName().startswith("run_id="):
-            continue
-        for b_dir in fs.listStatus(run_dir.getPath()):
-            name = b_dir.getPath().getName()
-            if not name.startswith("batch_id="):
-                continue
-            done = jvm.org.apache.hadoop.fs.Path(b_dir.getPath(), "_COMMITTED")
-            aborted = jvm.org.apache.hadoop.fs.Path(b_dir.getPath(), "_ABORTED")
-            if fs.exists(done) or fs.exists(aborted):
-                continue
-            run_id = run_dir.getPath().getName()[len("run_id="):]
-            batch_id = int(name[len("batch_id="):])
-            if committed_tag == f"{run_id}:{batch_id}":
-                mark_committed(spark, layout, run_id, batch_id)
-                continue
-            if only_run is not None and run_id != only_run:
-                continue
-            drop_store_batch(spark, layout, run_id, batch_id)
-            fs.create(aborted, True).close()
-            removed.append((run_id, batch_id))
-    return removed
-
-
-def append_store(rows_with_ids: DataFrame, layout: Layout) -> None:
-    """Range-partitioned by id, so that every task writes one file of a
-    contiguous id range, disjoint from the others', and row-group min/max on id
-    lets ``id > after_id`` skip files. (The partition columns alone would
-    funnel the whole batch, which has one run_id/batch_id, through one task.)"""
-    cols = [f.name for f in S.EMAILS.fields]
-    (rows_with_ids.select(*cols)
-        .repartitionByRange("id").sortWithinPartitions("id")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id", "batch_id").parquet(layout.emails))
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def drop_store_batch(spark: SparkSession, layout: Layout, run_id: str, batch_id: int) -> None:
-    """Remove one (run_id, batch_id) partition (rollback after a failed emit)."""
-    _delete(spark, os.path.join(layout.emails, f"run_id={run_id}", f"batch_id={batch_id}"))
-
-
-# --- cursors (K2, S5, S6) ---------------------------------------------------
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Committed version folders ``v=N`` (those with a _SUCCESS marker)."""
-    if not _exists(spark, path):
-        return []
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
+def write_moves(moves: DataFrame, layout: Layout, run_id: str, batch_id: int) -> None:
+    """The cursor moves that take effect when the batch is committed."""
+    if "landed_date" not in moves.columns:
+        moves = moves.withColumn("landed_date", F.lit(None).cast("date"))
+    _write_batch(moves.select(*MOVES.fieldNames()[:4]), layout.moves, run_id, batch_id)
 
 
 def read_cursors(spark: SparkSession, layout: Layout) -> DataFrame:
-    vs = _versions(spark, layout.cursors)
-    if not vs:
-        return spark.createDataFrame([], S.CURSORS)
-    return spark.read.schema(S.CURSORS).parquet(os.path.join(layout.cursors, f"v={vs[-1]}"))
-
-
-def latest_commit_tag(spark: SparkSession, layout: Layout) -> str | None:
-    """The batch committed by the newest cursor version (None if untagged)."""
-    vs = _versions(spark, layout.cursors)
-    if not vs:
-        return None
-    tag_schema = T.StructType([T.StructField("commit_tag", T.StringType())])
-    row = spark.read.schema(tag_schema).parquet(os.path.join(layout.cursors, f"v={vs[-1]}")).limit(1).collect()
-    return row[0]["commit_tag"] if row else None
+    """The last committed move of each account (which may go backwards)."""
+    rows = read_parquet(spark, layout.moves, MOVES).join(broadcast_if_small(commits(spark, layout).select(*KEY, "seq")), KEY)
+    last = rows.groupBy("account_id").agg(
+        F.max_by(F.struct("last_uid", "updated_at", "landed_date"), F.struct("seq", *KEY)).alias("r"))
+    return last.select("account_id", "r.last_uid", "r.updated_at", "r.landed_date")
 
 
 def merge_cursors(current: DataFrame, moves: DataFrame) -> DataFrame:
-    """K2 semantics: last value wins per account (may move backwards on
-    force/reset, as the original upsert did)."""
+    """K2 as a function of two tables: the move wins over the cursor."""
     tagged = (current.select("account_id", "last_uid", "updated_at", F.lit(0).alias("_w"))
                      .unionByName(moves.select("account_id", "last_uid", "updated_at", F.lit(1).alias("_w"))))
     latest = tagged.groupBy("account_id").agg(F.max_by(F.struct("last_uid", "updated_at"), F.col("_w")).alias("r"))
     return latest.select("account_id", "r.last_uid", "r.updated_at")
 
 
-def upsert_cursors(spark: SparkSession, layout: Layout, moves: DataFrame, commit_tag: str | None = None) -> None:
-    """K2 on the table: a new version folder holding the merged cursors.
-    ``commit_tag`` ("run:batch") is stored with the version: the cursor move
-    is the commit point of a batch, and recovery reads the tag back."""
-    while True:
-        vs = _versions(spark, layout.cursors)
-        version = (vs[-1] + 1) if vs else 1
-        out = merge_cursors(read_cursors(spark, layout), moves).withColumn("commit_tag", F.lit(commit_tag).cast("string"))
-        made = os.path.join(layout.cursors, f"_next-{uuid.uuid4().hex}")
-        out.write.parquet(made)
-        source, fs = _fs(spark, made)
-        target, _ = _fs(spark, os.path.join(layout.cursors, f"v={version}"))
-        if not fs.exists(target) and fs.rename(source, target):
-            return
-        fs.delete(source, True)               # another run committed this version meanwhile: merge onto it
+def upsert_cursors(spark: SparkSession, layout: Layout, moves: DataFrame) -> None:
+    """K2 on its own (a reset, an import): a commit without rows."""
+    run_id = f"cursors-{uuid.uuid4().hex[:12]}"
+    write_moves(moves, layout, run_id, 0)
+    commit(spark, layout, run_id, 0)
 
 
-# --- audit (K3) ---------------------------------------------------------------
+# --- audit (K3) --------------------------------------------------------------
 
 def read_audit(spark: SparkSession, layout: Layout) -> DataFrame:
-    return _read(spark, layout.audit, S.AUDIT).select(*[f.name for f in S.AUDIT.fields])
-
-
-def append_audit(rows: DataFrame, layout: Layout) -> None:
-    """Keyed by audit_id (run:batch:account); one partition per (run, batch),
-    so a replay replaces its own rows and other batches of the run stay."""
-    cols = [f.name for f in S.AUDIT.fields]
-    (rows.select(*cols).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch_id").parquet(layout.audit))
-
-
-# --- cache (K4, K5) -----------------------------------------------------------
-
-def bucket_of(col="content_hash", buckets: int = CACHE_BUCKETS):
-    return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
-
-
-def read_cache(spark: SparkSession, layout: Layout, with_bucket: bool = False) -> DataFrame:
-    df = _read(spark, layout.cache, S.CACHE, [("bucket", "int")])
-    return df if with_bucket else df.select(*[f.name for f in S.CACHE.fields])
-
-
-def merge_cache(current: DataFrame, writes: DataFrame) -> DataFrame:
-    """K4 semantics (INSERT OR REPLACE by hash) as a partial aggregation:
-    new writes replace current rows; among new writes the last one wins."""
-    cols = [f.name for f in S.CACHE.fields]
-    tagged = (current.select(*cols, F.lit(0).alias("_w"), F.lit(0).cast("bigint").alias("_seq"))
-                     .unionByName(writes.select(*cols, F.lit(1).alias("_w"), F.col("uid").alias("_seq"))))
-    latest = tagged.groupBy("content_hash").agg(
-        F.max_by(F.struct(*[c for c in cols if c != "content_hash"]), F.struct("_w", "_seq")).alias("r"))
-    return latest.select("content_hash", "r.*")
-
-
-def _check_buckets(spark: SparkSession, layout: Layout) -> None:
-    """The bucket count belongs to the table: refuse to mix two."""
-    p, fs = _fs(spark, layout.cache)
-    if not fs.exists(p):
-        return
-    marks = [st.getPath().getName() for st in fs.listStatus(p) if st.getPath().getName().startswith("_buckets=")]
-    if marks and marks[0] != f"_buckets={layout.cache_buckets}":
-        raise ValueError(f"the cache was written with {marks[0][1:]}, not {layout.cache_buckets}")
-
-
-def upsert_cache(spark: SparkSession, layout: Layout, writes: DataFrame) -> None:
-    b = layout.cache_buckets
-    _check_buckets(spark, layout)
-    w = writes.withColumn("bucket", bucket_of("content_hash", b))
-    touched = [r[0] for r in w.select("bucket").distinct().collect()]   # <= bucket count
-    if not touched:
-        return
-    cur = read_cache(spark, layout, with_bucket=True).filter(F.col("bucket").isin(touched))   # partition pruning
-    merged = merge_cache(cur.drop("bucket"), w.drop("bucket")).withColumn("bucket", bucket_of("content_hash", b))
-    stage = scratch_path(spark, "cache")
-    merged.repartition(b, "bucket").write.partitionBy("bucket").parquet(stage)
-    (_read(spark, stage, S.CACHE, [("bucket", "int")]).repartition(b, "bucket").write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(layout.cache))
-    p, fs = _fs(spark, os.path.join(layout.cache, f"_buckets={b}"))
-    fs.create(p, True).close()
-    _delete(spark, stage)
-
-
-def invalidate_cache(spark: SparkSession, layout: Layout, account_id: str | None = None) -> int:
-    """K5: drop rows whose stored account_id matches (all rows when the
-    account is falsy); returns how many rows were removed (A8)."""
-    cur = read_cache(spark, layout, with_bucket=True)
-    if not account_id:
-        n = cur.count()
-        if n:
-            _delete(spark, layout.cache)
-        return n
-    gone = cur.filter(F.col("account_id") == account_id)
-    touched = [r[0] for r in gone.select("bucket").distinct().collect()]
-    n = gone.count()
-    if not n:
-        return 0
-    keep = cur.filter(F.col("bucket").isin(touched) & (F.col("account_id") != account_id))
-    stage = scratch_path(spark, "cache-inv")
-    keep.write.partitionBy("bucket").parquet(stage)
-    kept = _read(spark, stage, S.CACHE, [("bucket", "int")])
-    kept_buckets = {r[0] for r in kept.select("bucket").distinct().collect()}
-    # Buckets left empty are cleared explicitly: dynamic overwrite only
-    # replaces partitions that receive rows.
-    for bkt in set(touched) - kept_buckets:
-        _delete(spark, os.path.join(layout.cache, f"bucket={bkt}"))
-    if kept_buckets:
-        (kept.repartition("bucket").write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(layout.cache))
-    _delete(spark, stage)
-    return n
-
-
-def remaining_after_invalidate(cache: DataFrame, account_id: str | None) -> DataFrame:
-    """K5 as a pure DataFrame function (what the table holds afterwards)."""
-    if not account_id:
-        return cache.filter(F.lit(False))
-    return cache.filter(F.col("account_id") != account_id)
-
-
-# --- history compaction ------------------------------------------------------------
-
-FLOOR_RUN = "_floor"
-
-
-def compact_history(spark: SparkSession, layout: Layout, keep_cursor_versions: int = 2) -> dict:
-    """Bound the small per-batch folders a long-running deployment gathers.
-
-    * cursor versions older than the newest ``keep_cursor_versions`` are
-      removed (recovery only reads the newest version's commit tag);
-    * finalised manifest entries (committed or aborted) are folded into one
-      floor row that keeps the highest reserved id, so ids are still never
-      reused; in-flight entries are left alone.
-    """
-    removed_versions = 0
-    vs = _versions(spark, layout.cursors)
-    for v in vs[:max(0, len(vs) - max(1, keep_cursor_versions))]:
-        _delete(spark, os.path.join(layout.cursors, f"v={v}"))
-        removed_versions += 1
-
-    root, fs = _fs(spark, layout.manifest)
-    if not fs.exists(root):
-        return {"cursor_versions_removed": removed_versions, "manifest_entries_folded": 0}
-    jvm = spark.sparkContext._jvm
-    final = []
-    for run_dir in fs.listStatus(root):
-        rname = run_dir.getPath().getName()
-        if not run_dir.isDirectory() or not rname.startswith("run_id=") or rname == f"run_id={FLOOR_RUN}":
-            continue
-        for b_dir in fs.listStatus(run_dir.getPath()):
-            if not b_dir.getPath().getName().startswith("batch_id="):
-                continue
-            done = fs.exists(jvm.org.apache.hadoop.fs.Path(b_dir.getPath(), "_COMMITTED"))
-            aborted = fs.exists(jvm.org.apache.hadoop.fs.Path(b_dir.getPath(), "_ABORTED"))
-            if done or aborted:
-                final.append(b_dir.getPath().toString())
-    if not final:
-        return {"cursor_versions_removed": removed_versions, "manifest_entries_folded": 0}
-    top = int(read_manifest(spark, layout).agg(
-        F.coalesce(F.max(F.col("first_id") + F.col("rows") - 1), F.lit(0))).first()[0])
-    floor = spark.createDataFrame([(FLOOR_RUN, 0, top, 1)], MANIFEST)     # covers ids up to top
-    (floor.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id", "batch_id").parquet(layout.manifest))
-    mark_committed(spark, layout, FLOOR_RUN, 0)
-    for path in final:
-        _delete(spark, path)
-    return {"cursor_versions_removed": removed_versions, "manifest_entries_folded": len(final)}
-
-
-# --- held-back messages for streaming runs -------------------------------------------
-
-def _backlog_versions(spark: SparkSession, layout: Layout, tag: str) -> tuple[list[int], int]:
-    """Versions written by other batches, and the one that batch ``tag`` writes."""
-    vs = _versions(spark, layout.backlog)
-    if vs:
-        newest = spark.read.parquet(os.path.join(layout.backlog, f"v={vs[-1]}", "tag")).first()
-        if newest and newest["tag"] == tag:         # a replay: its own earlier try does not count
-            return vs[:-1], vs[-1]
-    return vs, (vs[-1] + 1 if vs else 1)
-
-
-def read_backlog(spark: SparkSession, layout: Layout, tag: str = "") -> DataFrame:
-    """Messages that earlier micro-batches held back or could not place."""
-    before, _ = _backlog_versions(spark, layout, tag)
-    if not before:
-        return spark.createDataFrame([], S.MESSAGE)
-    return spark.read.schema(S.MESSAGE).parquet(os.path.join(layout.backlog, f"v={before[-1]}", "rows"))
+    return read_parquet(spark, layout.audit, S.AUDIT).select(*S.AUDIT.fieldNames())
 
 
-def write_backlog(rows: DataFrame, layout: Layout, tag: str) -> None:
-    """The backlog after batch ``tag``, as a new version with whole bodies;
-    written before the batch commits, so a crash loses neither version."""
-    spark = rows.sparkSession
-    before, version = _backlog_versions(spark, layout, tag)
-    base = os.path.join(layout.backlog, f"v={version}")
-    rows.select(*[f.name for f in S.MESSAGE.fields]).write.mode("overwrite").parquet(os.path.join(base, "rows"))
-    spark.createDataFrame([(tag,)], "tag string").coalesce(1).write.mode("overwrite").parquet(os.path.join(base, "tag"))
-    p, fs = _fs(spark, os.path.join(base, "_SUCCESS"))
-    fs.create(p, True).close()
-    for v in before[:-2]:
-        _delete(spark, os.path.join(layout.backlog, f"v={v}"))
+def append_audit(rows: DataFrame, layout: Layout, run_id: str, batch_id: int) -> None:
+    """Keyed by audit_id (run:batch:account); a replay replaces its own rows."""
+    _write_batch(rows.select(*S.AUDIT.fieldNames()), layout.audit, run_id, batch_id)
 
 
-# --- where a stream began ------------------------------------------------------------
+# --- what streams keep -------------------------------------------------------
 
+BACKLOG = T.StructType([*S.MESSAGE.fields, *COMMITS.fields[:2]])
 FLOORS = T.StructType([T.StructField("account_id", T.StringType()), T.StructField("floor_uid", T.LongType())])
 
 
+def read_backlog(spark: SparkSession, layout: Layout) -> DataFrame:
+    """Messages that the last committed stream batch could not place."""
+    last = commits(spark, layout).filter("backlog").orderBy(F.desc("seq"), F.desc("run_id"), F.desc("batch_id")).first()
+    if last is None:
+        return spark.createDataFrame([], S.MESSAGE)
+    rows = read_parquet(spark, layout.backlog, BACKLOG)
+    return rows.filter((F.col("run_id") == last["run_id"]) & (F.col("batch_id") == last["batch_id"])).drop(*KEY)
+
+
+def write_backlog(rows: DataFrame, layout: Layout, run_id: str, batch_id: int) -> None:
+    """All that waits after this batch, with whole bodies."""
+    _write_batch(rows.select(*S.MESSAGE.fieldNames()), layout.backlog, run_id, batch_id)
+
+
 def stream_floors(spark: SparkSession, layout: Layout, plan: DataFrame) -> DataFrame:
-    """Each account's cursor as the stream first saw it (kept for good): all
-    later uids are the stream's to store, in whatever order files bring them."""
-    known = _read(spark, layout.floors, FLOORS)
+    """Each account's cursor as streams first saw it (kept for good): all
+    later uids are theirs to store, in whatever order files bring them."""
+    known = read_parquet(spark, layout.floors, FLOORS)
     new = (plan.filter("guard_ok").select("account_id", F.col("before_uid").alias("floor_uid"))
            .join(known, "account_id", "left_anti"))
     if not new.isEmpty():
         new.write.mode("append").parquet(layout.floors)
-    return _read(spark, layout.floors, FLOORS).groupBy("account_id").agg(F.min("floor_uid").alias("floor_uid"))
+    return read_parquet(spark, layout.floors, FLOORS).groupBy("account_id").agg(F.min("floor_uid").alias("floor_uid"))
+
+
+def commit_log(spark: SparkSession, layout: Layout) -> DataFrame:
+    """T5: the commits as a stream, for consumers."""
+    if not exists(spark, layout.commits):
+        make_folder(spark, layout.commits)
+    return spark.readStream.schema(COMMITS).parquet(layout.commits)
+
+
+def vacuum(spark: SparkSession, layout: Layout, run_id: str) -> None:
+    """Delete what uncommitted batches of a run that has ended left behind."""
+    for base in (layout.emails, layout.moves, layout.backlog):
+        rows = read_parquet(spark, base, T.StructType(COMMITS.fields[:2])).filter(F.col("run_id") == run_id).distinct()
+        for r in rows.join(commits(spark, layout), KEY, "left_anti").collect():  # batches of one run
+            delete(spark, os.path.join(base, f"run_id={r['run_id']}", f"batch_id={r['batch_id']}"))

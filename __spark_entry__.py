@@ -382,12 +382,11 @@ def _codepoint(n: str) -> str:
 
 # The oracle's own spelling of the rules, in the RE2 dialect.
 _ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
-_DROP = [r"(?s)<!--.*?(-->|\z)", r"(?is)<head[\s>].*?</head\s*>", r"(?is)<script[\s>].*?(</script\s*>|\z)",
-         r"(?is)<style[\s>].*?(</style\s*>|\z)"]
-_LINK = (r"""(?is)<a(?:\s+[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?)*?"""
+_COMMENT, _SCRIPT, _STYLE = r"<!--.*?(?:-->|\z)", *(rf"<{n}(?:[\s/]{_ATTRS})?>.*?(?:</{n}\s*>|\z)" for n in ("script", "style"))
+_HEAD = rf"<head(?:[\s/]{_ATTRS})?>(?:{_COMMENT}|{_SCRIPT}|{_STYLE}|.)*?(?:</head\s*>|\z)"
+_LINK = (r"""(<a)(?:\s+[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?)*?"""
          r"""\s+href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""" + _ATTRS + ">")
-_LINK_END = r"(?i)</a\s*>"
-_ANY_TAG = r"</?[A-Za-z!?]" + _ATTRS + ">"
+_MARKUP = "(?is)" + "|".join([_COMMENT, _HEAD, _SCRIPT, _STYLE, _LINK, r"(</a)\s*>", r"</?[A-Za-z!?]" + _ATTRS + ">"])
 _REFERENCE = r"&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]{0,31};|[^&]+|&"
 _SPACE = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -407,22 +406,24 @@ def strip_sql(x: str) -> str:
 
 
 def html_to_text_sql(col: str) -> str:
-    s = col
-    for pat in _DROP:
-        s = f"regexp_replace({s}, {q(pat)}, chr(1), 'g')"
-    s = f"regexp_replace({s}, {q(_LINK)}, chr(2) || '\\1\\2\\3' || chr(3), 'g')"
-    s = f"regexp_replace({s}, {q(_LINK_END)}, chr(4), 'g')"
+    marked = f"regexp_replace({col}, {q(_MARKUP)}, chr(1) || '\\1' || chr(3) || '\\2\\3\\4' || chr(3) || '\\5' || chr(3), 'g')"
+    part = lambda i: f"split_part(tok, chr(3), {i})"
+    text_at = f"length({part(1)}) + length({part(2)}) + length({part(3)}) + 4"
+    sign = (f"CASE WHEN {part(1)} <> '' THEN chr(2) || {part(2)} || chr(3) WHEN {part(3)} <> '' THEN chr(4) ELSE chr(1) END "
+            f"|| substr(tok, {text_at})")
+    s = (f"(SELECT toks[1] || array_to_string(list_transform(toks[2:], lambda tok: {sign}), '') "
+         f"FROM (SELECT string_split({marked}, chr(1)) AS toks))")
     href = "split_part(seg, chr(3), 1)"
     after = f"substr(seg, length({href}) + 2)"
     content = f"split_part({after}, chr(4), 1)"
     rest = f"substr({after}, length({content}) + 2)"
-    text = decode_sql(f"regexp_replace({content}, {q(_ANY_TAG)}, '', 'g')")
+    text = decode_sql(f"replace({content}, chr(1), '')")
     href_t = decode_sql(href)
     rep = f"(CASE WHEN {strip_sql(text)} <> '' THEN {text} || ' (' || {href_t} || ')' ELSE {href_t} END)"
     anchor = f"chr(1) || replace({rep}, '&', chr(6)) || chr(1) || {rest}"
     s = (f"(SELECT segs[1] || array_to_string(list_transform(segs[2:], lambda seg: {anchor}), '') "
          f"FROM (SELECT string_split({s}, chr(2)) AS segs))")
-    s = f"regexp_replace({s}, {q(_ANY_TAG + '|' + chr(4))}, chr(1), 'g')"
+    s = f"replace({s}, chr(4), chr(1))"
     nodes = f"list_filter(list_transform(string_split({s}, chr(1)), lambda n: {strip_sql(decode_sql('n'))}), lambda n: n <> '')"
     return f"(CASE WHEN {col} IS NULL THEN NULL ELSE replace(array_to_string({nodes}, chr(10)), chr(6), '&') END)"
 
@@ -626,6 +627,9 @@ def oracle_sql() -> dict[str, str]:
     }
     out["stream_once"] = out["replay_partial"] = out["emails_append"]
     out["stream_two_batches"] = f"{w} SELECT account_id, uid, content_hash, priority FROM store"
+    tangled = ("'<script>var s=' || chr(39) || '<!--' || chr(39) || ';</script><p title=\"<style>\">' || CAST(page_id AS VARCHAR) || "
+               "'</p><head-foo>k</head-foo>' || html || '<!-- <script> --><a href=/p/' || CAST(page_id AS VARCHAR) || '>open<p>v</p>'")
+    out["html_tangled"] = f"SELECT page_id, {html_to_text_sql('odd')} AS text FROM (SELECT page_id, {tangled} AS odd FROM pages)"
     out["cache_probe_stored"] = out["cache_probe"]
     out["cache_upsert_stored"] = out["cache_upsert"]
     out["cursor_upsert_stored"] = out["cursor_upsert"]

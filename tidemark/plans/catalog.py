@@ -144,6 +144,16 @@ def q_html_to_text(spark, sf):
     return p.select("page_id", html_to_text("html").alias("text"))
 
 
+def q_html_tangled(spark, sf):
+    """P5: every page between markup that stands within other markup, and an
+    anchor that never closes."""
+    p = TB.table(spark, sf, "pages", "page_id", "html")
+    no = F.col("page_id").cast("string")
+    odd = F.concat(F.lit("<script>var s='<!--';</script><p title=\"<style>\">"), no, F.lit("</p><head-foo>k</head-foo>"), F.col("html"),
+                   F.lit("<!-- <script> --><a href=/p/"), no, F.lit(">open<p>v</p>"))
+    return p.select("page_id", html_to_text(odd).alias("text"))
+
+
 def q_body_select(spark, sf):
     p = TB.table(spark, sf, "pages", "page_id", "html")
     d = TB.table(spark, sf, "documents", "doc_id", "text")
@@ -530,6 +540,7 @@ QUERIES = {
     "request_build": q_request_build,
     "response_validate": q_response_validate,
     "html_to_text": q_html_to_text,
+    "html_tangled": q_html_tangled,
     "body_select": q_body_select,
     "eml_roundtrip": q_eml_roundtrip,
     "eml_html": q_eml_html,

@@ -24,10 +24,10 @@ def ids(df):
 
 
 def test_date_range_on_iso_dates(spark):
-    s = store(spark, [(1, "a", 1, "h1", "High", "2026-03-28", "r"), (2, "a", 2, "h2", "High", "2026-03-31", "r"),
-                      (3, "a", 3, "h3", "High", "2026-04-02", "r")])
-    assert ids(Q.query_page(s, since="2026-03-30", until="2026-04-01")) == [2]
-    assert ids(Q.query_page(s, since="2026-03-30", until="2026-04-01", legacy_text_dates=True)) == [2]
+    s = store(spark, [(i, "box", i, f"h{i}", "Medium", f"2025-11-{d:02}", "r") for i, d in enumerate((3, 9, 14, 20, 27), 1)])
+    for legacy in (False, True):
+        assert ids(Q.query_page(s, since="2025-11-09", until="2025-11-21", legacy_text_dates=legacy)) == [2, 3, 4]
+        assert ids(Q.query_page(s, since="2025-11-28", legacy_text_dates=legacy)) == []
 
 
 def test_until_includes_the_whole_day_unless_legacy(spark):
@@ -45,11 +45,11 @@ def test_raw_header_dates_legacy_vs_parsed(spark):
 
 
 def test_combined_filters(spark):
-    s = store(spark, [(10, "acc1", 10, "h", "High", "2026-04-01", "r1"), (11, "acc1", 11, "h", "High", "2026-04-03", "r1"),
-                      (12, "acc2", 12, "h", "High", "2026-04-03", "r1"), (13, "acc1", 13, "h", "Low", "2026-04-03", "r1")])
-    assert ids(Q.query_page(s, account_id="acc1", priority="High", since="2026-04-02")) == [11]
-    assert ids(Q.query_page(s, run_id="r1", after_id=11)) == [12, 13]
-    assert ids(Q.query_page(s, account_id="", priority=None)) == [10, 11, 12, 13]   # falsy = absent
+    s = store(spark, [(i, f"box{i % 2}", 100 + i, "h", ("Spam", "Medium")[i % 3 == 0], f"2025-06-{i:02}", f"run{i // 5}") for i in range(1, 13)])
+    assert ids(Q.query_page(s, account_id="box1", priority="Medium")) == [3, 9]
+    assert ids(Q.query_page(s, account_id="box0", priority="Spam", since="2025-06-04", until="2025-06-09")) == [4, 8]
+    assert ids(Q.query_page(s, run_id="run1", after_id=7)) == [8, 9]
+    assert ids(Q.query_page(s, account_id="", priority=None, run_id="")) == list(range(1, 13))   # falsy = absent
 
 
 def test_limit_and_meta(spark):
@@ -118,3 +118,18 @@ def test_query_page_plan_is_top_n_with_pushed_filters(spark, tmp_root):
     assert "PushedFilters: [IsNotNull(id), GreaterThan(id,10)" in plan or "GreaterThan(id,10)" in plan
     assert "PartitionFilters: [isnotnull(run_id" in plan
     assert F is not None and dt is not None
+
+
+def test_document_of_a_page(spark):
+    import json
+
+    import pytest
+    rows = store(spark, [(i, "box", i, f"h{i}", "Low" if i > 1 else None, "2025-06-01", "r") for i in (3, 1, 2)])
+    doc = json.loads(Q.response_document(rows, 0, 2).first()[0])
+    assert [r["id"] for r in doc["results"]] == sorted(r["id"] for r in doc["results"]) and len(doc["results"]) == 2
+    assert doc["meta"] == {"count": 2, "max_id": doc["results"][-1]["id"], "has_more": True}
+    assert set(doc["results"][0]) == set(rows.columns)          # nulls are written out
+    none = json.loads(Q.response_document(rows, 10 ** 6, 5).first()[0])
+    assert none == {"results": [], "meta": {"count": 0, "max_id": 10 ** 6, "has_more": False}}
+    with pytest.raises(ValueError):
+        Q.response_document(rows, 0, -1)

@@ -115,3 +115,11 @@ def test_skip_and_dry_run_results(spark):
     assert dr[1].summary == "Dry-run simulated summary for No Subject"
     assert list(dr[0].key_entities) == ["DryRunEntity"] and dr[0].is_truncated is True
     assert F is not None
+
+
+def test_priorities_in_any_case_when_asked(spark):
+    raw = ['{"priority": "HIGH"}', '{"priority": "low"}', '{"priority": "Spam"}', '{"priority": "urgent"}', '{"priority": 1}', '{}']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw_json string")
+    out = sorted(df.select("i", validate_answer("raw_json", normalize_case=True).alias("a"), validate_answer("raw_json").alias("s")).collect())
+    assert [r.a.priority for r in out] == ["High", "Low", "Spam", None, None, "Low"]
+    assert [r.s.ok for r in out] == [False, False, True, False, False, True]

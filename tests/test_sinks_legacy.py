@@ -63,15 +63,13 @@ def test_report_sink_and_json_text(spark, tmp_root):
                  "action_required": True, "is_truncated": False}
 
 
-def test_partition_sink_retries_then_fails(spark):
-    def always_down(rows):
-        raise RuntimeError("endpoint down")
+def test_partition_sink_names_the_accounts_that_fail(spark):
+    def down_for_one(rows):
+        assert len(rows) <= 1 and {"run_id", "account_id", "uid", "result_json"} <= set(rows[0])
+        if rows[0]["account_id"] == "acc2":
+            raise RuntimeError("endpoint down")
 
-    try:
-        partition_sink(always_down, retries=3, backoff_s=0.0)(results(spark).coalesce(1), 0)
-        raise AssertionError("expected failure")
-    except Exception as e:  # noqa: BLE001
-        assert "endpoint down" in str(e)
+    assert partition_sink(down_for_one, retries=3, backoff_s=0.0, chunk=1)(results(spark).coalesce(1), 0) == ["acc2"]
 
     def flaky_factory():
         state = {"n": 0}
@@ -82,7 +80,7 @@ def test_partition_sink_retries_then_fails(spark):
                 raise RuntimeError("429")
         return flaky
 
-    partition_sink(flaky_factory(), retries=3, backoff_s=0.0)(results(spark).coalesce(1), 0)
+    assert partition_sink(flaky_factory(), retries=3, backoff_s=0.0)(results(spark).coalesce(1), 0) == []
 
 
 def test_legacy_decode_roundtrip(spark):

@@ -34,23 +34,28 @@ ERR_ACTION = "action_required: input should be a valid boolean"
 _INT_TYPES = ["TINYINT", "SMALLINT", "INT", "BIGINT"]
 
 
-def validate_answer(raw="raw_json") -> Column:
+def validate_answer(raw="raw_json", normalize_case: bool = False) -> Column:
     """STRUCT<ok, priority, summary, key_entities, action_required, error>.
 
+    With ``normalize_case`` a priority counts in any letter case (C21: a model
+    may echo a prompt's ``HIGH``) and is returned as the enum spells it.
+
     The answer is parsed once and every per-field value is extracted once
     (one-element ``transform`` bindings), however often the rules use it.
     """
-    return let(F.try_parse_json(_c(raw)), _fields)
+    return let(F.try_parse_json(_c(raw)), lambda v: _fields(v, normalize_case))
 
 
-def _fields(v: Column) -> Column:
+def _fields(v: Column, normalize_case: bool) -> Column:
     def get(key):
         return F.try_variant_get(v, f"$.{key}", "variant")
 
     p, s, e, a = get("priority"), get("summary"), get("key_entities"), get("action_required")
+    priority = F.try_variant_get(p, "$", "string")
+    priority = F.initcap(F.lower(priority)) if normalize_case else priority
     return let(F.struct(
         (v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT<")).alias("is_obj"),
-        p.isNotNull().alias("p_has"), F.schema_of_variant(p).alias("pt"), F.try_variant_get(p, "$", "string").alias("p_str"),
+        p.isNotNull().alias("p_has"), F.schema_of_variant(p).alias("pt"), priority.alias("p_str"),
         s.isNotNull().alias("s_has"), F.schema_of_variant(s).alias("st"), F.try_variant_get(s, "$", "string").alias("s_str"),
         e.isNotNull().alias("e_has"), F.schema_of_variant(e).alias("et"), F.try_variant_get(e, "$", "array<string>").alias("e_arr"),
         a.isNotNull().alias("a_has"), F.schema_of_variant(a).alias("at"),

@@ -70,7 +70,7 @@ def one_answer(responses: DataFrame, model: str | None) -> DataFrame:
 
 
 def decide(batch: DataFrame, cache: DataFrame | CacheTable | None, responses: DataFrame | None,
-           model: str | None, force: bool = False) -> DataFrame:
+           model: str | None, force: bool = False, normalize_case: bool = False) -> DataFrame:
     """Per-fingerprint decision table for the normal (calling) mode."""
     keys = per_fingerprint(batch)
     if force or cache is None:
@@ -84,7 +84,7 @@ def decide(batch: DataFrame, cache: DataFrame | CacheTable | None, responses: Da
         keys = keys.withColumns({"raw_json": null, "call_error": null})
     failed = F.col("call_error").isNotNull()
     keys = keys.withColumn("raw_json", F.when(failed, F.lit("")).otherwise(F.col("raw_json")))
-    answer = F.when(F.col("cached").isNull() & F.col("raw_json").isNotNull(), R.validate_answer("raw_json"))
+    answer = F.when(F.col("cached").isNull() & F.col("raw_json").isNotNull(), R.validate_answer("raw_json", normalize_case))
     answer = answer.withField("ok", answer["ok"] & ~failed).withField("error", F.coalesce("call_error", answer["error"]))
     return keys.withColumn("answer", answer).drop("raw_json", "call_error")
 

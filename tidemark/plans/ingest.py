@@ -42,6 +42,7 @@ class IngestOptions:
     target_account: str | None = None
     created_at: str | None = None      # fixed timestamp text; None -> current_timestamp()
     hold_pending: bool = True
+    normalize_case: bool = False       # take a priority in any letter case (C21)
     hot_rows: int | None = None        # copies that make a fingerprint "hot" (skew split)
 
     def __post_init__(self):
@@ -169,7 +170,7 @@ def outcomes(batch: DataFrame, cache: DataFrame | None, responses: DataFrame | N
         return out, None
     if staged:
         batch = stage(batch, "batch")
-    dec = E.decide(batch, cache, responses, opts.model, opts.force_reprocess)
+    dec = E.decide(batch, cache, responses, opts.model, opts.force_reprocess, opts.normalize_case)
     if staged:
         dec = stage(dec, "decisions")   # read by the hot-key check, the fan-out and the cache writes
     out = E.attach(batch, dec, opts.force_reprocess, opts.hot_rows)

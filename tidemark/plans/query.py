@@ -64,6 +64,19 @@ def page_meta(page: DataFrame, after_id: int = 0, limit: int = K.DEFAULT_QUERY_L
     )
 
 
+def response_document(store: DataFrame, after_id: int = 0, limit: int = K.DEFAULT_QUERY_LIMIT, **filters) -> DataFrame:
+    """O3: a page and its meta as one JSON text ``{"results": [..], "meta":
+    {count, max_id, has_more}}``, rows by id, nulls written out. The document
+    holds the page, so it needs a limit."""
+    if limit is None or limit < 0:
+        raise ValueError("a document needs a limit; export_pages has no end")
+    page = query_page(store, after_id, limit, **filters)
+    count, last = F.count(F.lit(1)), F.coalesce(F.max("id"), F.lit(int(after_id or 0)).cast("bigint"))
+    doc = page.agg(F.sort_array(F.collect_list(F.struct("id", *[c for c in page.columns if c != "id"]))).alias("results"),
+                   F.struct(count.alias("count"), last.alias("max_id"), (count == F.lit(int(limit))).alias("has_more")).alias("meta"))
+    return doc.select(F.to_json(F.struct("results", "meta"), {"ignoreNullFields": "false"}).alias("document"))
+
+
 def iterate_pages(store: DataFrame, limit: int = K.DEFAULT_QUERY_LIMIT, after_id: int = 0, **filters):
     """L3 consumer protocol: yield (page, meta_row) while has_more. Only the
     meta row (three numbers) reaches the driver; pages stay DataFrames."""

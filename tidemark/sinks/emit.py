@@ -11,13 +11,15 @@ empty batch is delivered trivially.
 from __future__ import annotations
 
 import time
-from itertools import islice
-from typing import Callable, Iterable
+from itertools import groupby, islice
+from typing import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.render import json_text, report_text
+from ..session import stage_table
 
 Sink = Callable[[DataFrame, int], Iterable[str] | None]
 
@@ -54,22 +56,34 @@ def report_sink(path: str) -> Sink:
     return sink
 
 
-def partition_sink(deliver: Callable[[Iterable], None], retries: int = 3, backoff_s: float = 1.0, chunk: int = 1000) -> Sink:
+def partition_sink(deliver: Callable[[list], None], retries: int = 3, backoff_s: float = 1.0, chunk: int = 1000) -> Sink:
     """Run a user delivery function on the executors (e.g. an HTTP post),
-    on ``chunk`` rows at a time. Each chunk is tried up to ``retries`` times;
-    one that still fails fails the batch."""
-    def sink(results: DataFrame, batch_id: int) -> None:
-        rows = results.select("account_id", "uid", F.to_json("result").alias("result_json"))
-
-        def run(it):
-            while batch := list(islice(it, chunk)):
-                for attempt in range(retries):
-                    try:
-                        deliver(batch)
-                        break
-                    except Exception:
-                        if attempt == retries - 1:
-                            raise
-                        time.sleep(backoff_s * (attempt + 1))
-        rows.foreachPartition(run)
+    on at most ``chunk`` rows of one account at a time. Each chunk is tried up
+    to ``retries`` times. An account with a chunk that still fails is reported
+    as not delivered, so that its cursor alone stays; the others go on. A lost
+    task runs again, so ``deliver`` may see rows twice: they carry run, account
+    and uid for it to tell."""
+    def attempt(rows: list) -> str | None:
+        for n in range(retries):
+            try:
+                return deliver(rows)
+            except Exception as exc:  # noqa: BLE001 - whatever the user's function raises
+                error = f"{type(exc).__name__}: {exc}"
+                time.sleep(backoff_s * (n + 1) if n + 1 < retries else 0)
+        return error
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in batch.to_pylist())
+        for account, group in groupby(rows, lambda r: r["account_id"]):
+            failed = None
+            while part := list(islice(group, chunk)):
+                failed = failed or attempt(part)
+            if failed:
+                yield pa.record_batch([pa.array([account]), pa.array([failed])], ["account_id", "error"])
+
+    def sink(results: DataFrame, batch_id: int) -> list[str]:
+        rows = results.select("run_id", "account_id", "uid", F.to_json("result").alias("result_json"))
+        dealt = rows.repartition("account_id", F.pmod(F.xxhash64("uid"), F.lit(SPREAD))).sortWithinPartitions("account_id", "uid")
+        failed = stage_table(dealt.mapInArrow(run, "account_id string, error string"), "undelivered")
+        return [r[0] for r in failed.select("account_id").distinct().collect()]  # at most the accounts
     return sink

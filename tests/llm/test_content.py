@@ -1,6 +1,7 @@
 """Fingerprints, surrogates, extraction, quality, chat formatting, pipeline."""
 import collections
 import re
+import time
 
 import numpy as np
 import pytest
@@ -47,6 +48,30 @@ SECRETS = [
     (4, "Clean: 3 items, 2.0 of 1999, room 12-34."), (5, None), (6, "")]
 
 
+@pytest.fixture(autouse=True)
+def key(spark):
+    spark.conf.set(pii.KEY_CONF, "a key of the tests")
+    yield
+    spark.conf.unset(pii.KEY_CONF)
+
+
+def test_without_a_key_each_run_has_its_own(spark, docs):
+    spark.conf.unset(pii.KEY_CONF)
+    one, two = ([r.text for r in pii.pseudonymise(docs(SECRETS[:2])).orderBy("doc_id").collect()] for _ in range(2))
+    assert one != two and "Smith" not in one[1] + two[1]
+    mail = re.search(r"\S+@\S+\.example", one[0]).group()
+    assert mail in one[1]
+
+
+def test_dotted_cards_spaced_numbers_and_capital_titles(docs):
+    texts = ["pay 4111.1111.1111.1111 now", "ssn 123 45 6789 and 5 321-54-9876", "MR JOHN SMITH met DR Mary Jones", "rows 10 123 45 6789 1 stay"]
+    out = [r.text for r in pii.pseudonymise(docs(list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert re.fullmatch(r"pay \d{4}\.\d{4}\.\d{4}\.\d{4} now", out[0]) and "1111.1111" not in out[0]
+    assert re.fullmatch(r"ssn 9\d\d \d\d \d{4} and 5 9\d\d-\d\d-\d{4}", out[1])
+    assert re.fullmatch(r"MR [\w-]+ [\w-]+ met DR [\w-]+ [\w-]+", out[2]) and "JOHN" not in out[2] and "Jones" not in out[2]
+    assert out[3] == texts[3]
+
+
 def test_surrogates_keep_type_form_and_coreference(docs):
     out = {r.doc_id: r.text for r in pii.pseudonymise(docs(SECRETS)).collect()}
     a, b, c = out[1], out[2], out[3]
@@ -73,7 +98,7 @@ def test_surrogates_stay_distinct(docs):
     out = {r.doc_id: r.text for r in pii.pseudonymise(docs(rows)).collect()}
     given = [re.match(r"Mr (\S+) ", out[i]).group(1) for i in range(len(names))]
     assert len(set(given)) == len(names) and pii.exceptions(
-        docs(rows).withColumn("__found", pii.entities(F.col("text")))).count() > 300
+        docs(rows).withColumn("__found", pii.entities(F.col("text"))), "a key of the tests").count() > 300
     assert len({re.search(r"Mr \S+ (\S+)", t).group(1) for t in out.values()}) == 1
 
 
@@ -168,7 +193,38 @@ def test_copies_do_not_empty_a_host(spark):
     out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(out[i] == "Welcome Story 0" for i in (0, 59, 200, 204)) and out[101] == "Welcome Story 1"
     assert out[300] == "Story 0" and out[399] == "Story 9" and out[400] == "Welcome" and out[401] == "One Two"
-    assert html_extract.main_text(same, ["html", "html/body", "html/body/div.b", "html/body/div.a"]) == "One"
+    low = [html_extract.path_key(x) for x in ("html", "html/body", "html/body/div.b", "html/body/div.a")]
+    assert html_extract.main_text(same, low) == "One"
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<main><article>Body</article><div class='comments'><article>reader one</article><article>reader two</article></div></main>", "Body"),
+    ("<article>Body</article><div class='related'><article>Teaser</article></div><div class=sidebar><article>More</article></div>", "Body"),
+    ("<article><div class='search'>Search for truth</div><p class='notice'>b</p></article>", "Search for truth b"),
+    ("<article><p>Body</p><p class='notice'>We use cookies</p></article>", "Body"),
+    ("<article>Alert the <span class='alert'>press</span> now <b class='ad'>Buy</b></article>", "Alert the press now"),
+    ("<div class='comment-list'>c</div><div id='ad-slot'>a</div><div class='share-bar'>s</div><div class='cookie-banner'>k</div>"
+     "<p>t</p><div class='site-footer'>f</div>", "t"),
+    ("<div class='search-results'><p>r</p></div><div class='main-content'>m</div><div class='post-comments'>c</div>", "r m")])
+def test_marks_and_articles_weigh_each_other(page, text):
+    assert html_extract.main_text(page, []) == text
+
+
+def test_thousands_of_open_tags_cost_little():
+    began = time.process_time()
+    page = "".join(f"<div class=c{i % 7}>w{i} " for i in range(10_000))
+    text = " ".join(f"w{i}" for i in range(10_000))
+    assert html_extract.main_text(page, [html_extract.path_key("div.c0/div.c1")]) == "w0"
+    assert html_extract.main_text(page, []) == text and len(list(html_extract._nodes(page))) == html_extract.DEEPEST
+    assert time.process_time() - began < 60
+
+
+def test_page_rows_with_clashing_columns_and_repeats(spark):
+    page = "<body><div class=top>Hi</div><article>Body</article></body>"
+    rows = [(1, "https://a.example/", page, "h", 1), (1, "https://a.example/", page, "h", 1), (None, "::", None, None, None), (2, None, "", "x", 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, low int")
+    got = sorted((str(r.page_id), r.text) for r in html_extract.extract(df).collect())
+    assert got == [("1", "Body"), ("1", "Body"), ("2", ""), ("None", "")]
 
 
 def corpus(n=400):

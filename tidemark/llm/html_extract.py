@@ -11,17 +11,22 @@ each page, the least important first, but never ``html``, ``body``, what leads
 to an article, or a branch that holds all the text that is left of a page.
 
 Landmarks speak before statistics, for a menu may well differ on every page:
-elements that are furniture by tag, role or class have importance 0 (a class,
-id or role counts as a whole, so that ``has-sidebar`` says nothing; one that is
-or holds an article does not count, unless within another article), and where a
-page marks its article (``article``, ``main``) that branch has
-importance 1 and is the main text, whatever its paragraphs share with others.
-
-A page is parsed within its row's task, in one pass over its tags. Its nodes
-are one row, made distinct with map-side combine; the tree is an aggregation
-of their (host, path, hash), also with map-side combine; it sends back, per
-host, the paths to remove, a small table that the planner broadcasts if its
-measured size allows, and otherwise joins with its skewed hosts split.
+elements that are furniture by tag, role or class have importance 0. A class,
+id or role counts as a whole (``has-sidebar`` says nothing) or as one of a few
+compounds (``comment-list``, ``site-footer``); within a line only marks of
+adverts and sharing count. Where a page marks its article (``article``,
+``main``) that branch has importance 1 and is the main text, whatever its
+paragraphs share with others; articles within marked elements (comments,
+teasers) are it only where there is no other. Marks within an article remove
+their elements, unless nothing would be left of it.
+
+A page is parsed within its row's task, in one pass over its tags; as in
+browsers, elements more than ``DEEPEST`` deep do not nest further. Paths are
+64-bit hashes. A page's nodes are one row, made distinct with map-side combine;
+the tree is an aggregation of their (host, path, hash), also with map-side
+combine; it sends back, per host, the paths to remove: a staged table that is
+broadcast when it is counted to be small, and else joins with its skewed hosts
+split.
 
 Defined results: null html gives the empty text; white space is Unicode white
 space; an unclosed comment, script or tag runs to the end of the page; pages
@@ -42,11 +47,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_of
+from tidemark.operators.joins import broadcast_if_small
 from tidemark.session import stage_table
 
 #: Distinct pages a node must have before it can be judged; importance under which it
 #: goes; weight of presentation against content.
 MIN_PAGES, LOW, PRESENTATION = 5, 0.2, 0.1
+#: Elements around a block, at most.
+DEEPEST = 512
 
 #: Elements that never hold main text, and those that mark it.
 FURNITURE = frozenset("head nav footer aside form script style noscript template iframe button select textarea svg canvas object menu dialog".split())
@@ -56,6 +64,11 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice alert popup modal menu nav navbar "
     "navigation breadcrumb breadcrumbs sidebar footer comment comments reply replies disqus share sharing social related newsletter "
     "subscribe widget pager pagination contentinfo complementary search dialog hidden".split())
+#: Marks that count on elements within a line.
+INLINE_MARKS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo share sharing social hidden".split())
+#: Second parts of compounds that begin with a mark, and first parts of those that end with one.
+PARTS = frozenset("area bar block box container list panel section slot unit wrap wrapper".split())
+PLACES = frozenset("article bottom entry global left main page post primary right secondary site top".split())
 #: Further marks that count only outside an article.
 OUTER = frozenset(("header", "masthead"))
 #: Elements inside a line; all others begin and end a block.
@@ -75,26 +88,38 @@ _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?
 
 
 class Block(NamedTuple):
-    """A block of text, the labels of the elements around it, and how many of
-    them lead to its article (0 without one)."""
+    """A block of text, the labels of the elements around it, how many of them
+    lead to its article (0 without one), and whether that article stands in a
+    marked element."""
     path: tuple[str, ...]
     text: str
     article: int
+    doubtful: bool
 
 
 class _Element(NamedTuple):
     tag: str
     label: str
     furniture: bool
-    marks: tuple[int, ...]  # the marked elements around it and itself, by number
+    outer: bool  # is or is in a marked element outside all articles
+    inner: bool  # is or is in a marked element of an article
     article: bool
     nested: bool  # is or is in an ``article``
 
 
-def _element(tag: str, attributes: str, parent: _Element | None, number: int) -> _Element:
+def _marked(word: str, inside: bool) -> bool:
+    """Whether a class, id or role marks furniture."""
+    if word in MARKS or word in OUTER and not inside:
+        return True
+    first, _, second = word.replace("_", "-").partition("-")
+    return first in MARKS and (second in PARTS or second in MARKS) or first in PLACES and second in MARKS
+
+
+def _element(tag: str, attributes: str, parent: _Element | None) -> _Element:
     inside, nested = bool(parent and parent.article), bool(parent and parent.nested)
     furniture = bool(parent and parent.furniture) or tag in FURNITURE or (tag in OUTER and not inside)
-    label, marks = tag, parent.marks if parent else ()
+    outer, inner = bool(parent and parent.outer), bool(parent and parent.inner)
+    label = tag
     if attributes and not furniture:
         words: set[str] = set()
         for name, value in _ATTRIBUTE.findall(attributes):
@@ -105,24 +130,26 @@ def _element(tag: str, attributes: str, parent: _Element | None, number: int) ->
                 words.update(value.split())
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                 furniture = furniture or tag not in ("html", "body")
-        if (words & MARKS or words & OUTER and not inside) and tag not in ("html", "body") and (nested or tag not in ARTICLE):
-            marks += (number,)
-    return _Element(tag, label, furniture, marks, inside or tag in ARTICLE, nested or tag == "article")
+        if tag not in ("html", "body") and (nested or tag not in ARTICLE) and any(
+                w in INLINE_MARKS if tag in INLINE else _marked(w, inside) for w in words):
+            outer, inner = outer or not inside, inner or inside
+    return _Element(tag, label, furniture, outer, inner, inside or tag in ARTICLE, nested or tag == "article")
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, without furniture."""
     stack: list[_Element] = []
-    out: list[tuple[tuple[str, ...], int, list[tuple[str, tuple[int, ...]]]]] = []
-    line: list[tuple[str, tuple[int, ...]]] = []  # pieces of text and the marked elements around them
-    holds: set[int] = set()  # marked elements that hold an article
+    out: list[tuple[tuple[str, ...], int, bool, list[tuple[str, bool]]]] = []
+    line: list[tuple[str, bool]] = []  # pieces of text, and whether an article's mark removes them
 
     def close_block() -> None:
         if line:
             around = [e for e in stack if e.tag not in INLINE]
             # the outermost <article>, or else the innermost <main>
             article = max((i for i, e in enumerate(around, 1) if e.tag in ARTICLE and not (i > 1 and around[i - 2].nested)), default=0)
-            out.append((tuple(e.label for e in around), article, line.copy()))
+            doubtful = any(e.outer for e in around)
+            if article or not (doubtful or any(e.outer for e in stack)):
+                out.append((tuple(e.label for e in around), article, doubtful, line.copy()))
             line.clear()
 
     def pop_to(at: int) -> None:
@@ -135,7 +162,9 @@ def blocks(page: str) -> list[Block]:
         mark = _OPEN.search(page, at)
         end = mark.start() if mark else size
         if end > at and not (stack and stack[-1].furniture):
-            line.append((entities.unescape(page[at:end]), stack[-1].marks if stack else ()))
+            top = stack[-1] if stack else None
+            if not (top and top.outer and top.tag in INLINE and not top.article):
+                line.append((entities.unescape(page[at:end]), bool(top and top.inner)))
         if not mark:
             break
         at = end
@@ -156,7 +185,7 @@ def blocks(page: str) -> list[Block]:
                     break
             continue
         if tag == "br":
-            line.append(("\n", ()))
+            line.append(("\n", False))
             continue
         if tag not in INLINE:
             for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
@@ -181,17 +210,21 @@ def blocks(page: str) -> list[Block]:
             stop = page.find(">", at)
             at = size if stop < 0 else stop + 1
             continue
-        around = stack[-1] if stack else None
-        stack.append(_element(tag, found[2], around, at))
-        if tag in ARTICLE and around and not around.nested and not stack[-1].furniture:
-            holds.update(around.marks)
+        if len(stack) < DEEPEST:
+            stack.append(_element(tag, found[2], stack[-1] if stack else None))
     close_block()
-    spoken = ((path, " ".join("".join(piece for piece, marks in pieces if holds.issuperset(marks)).split()), article) for path, article, pieces in out)
-    return [Block(*block) for block in spoken if block[1]]
-
-
-def main_text(page: str, low: Collection[str]) -> str:
-    """The main text of a page, given its host's low paths, the lowest first."""
+    say = lambda pieces: " ".join("".join(pieces).split())
+    kept = [Block(path, say(t for t, removed in pieces if not removed), article, doubtful) for path, article, doubtful, pieces in out]
+    if not any(b.text for b in kept if b.article):  # marks never empty an article
+        kept = [Block(path, say(t for t, _ in pieces), article, doubtful) if article else b
+                for b, (path, article, doubtful, pieces) in zip(kept, out, strict=True)]
+    sure = any(b.text and b.article and not b.doubtful for b in kept)
+    return [b for b in kept if b.text and not (sure and b.doubtful)]
+
+
+def main_text(page: str, low: Collection[int]) -> str:
+    """The main text of a page, given the keys of its host's low paths, the
+    lowest first."""
     found = blocks(page)
     if any(b.article for b in found):
         found = [b for b in found if b.article]
@@ -200,33 +233,67 @@ def main_text(page: str, low: Collection[str]) -> str:
     return " ".join(b.text for b in found)
 
 
-def _without(found: list[Block], low: Collection[str]) -> list[Block]:
+class _Paths:
+    """Numbers of the paths of a page, with 64-bit keys that agree between pages."""
+
+    def __init__(self):
+        self.keys: list[int] = []
+        self.number: dict[tuple[int, str], int] = {}
+
+    def walk(self, path: tuple[str, ...]) -> list[int]:
+        """The numbers of a path and its beginnings."""
+        at, out = -1, []
+        for label in path:
+            child = self.number.get((at, label))
+            if child is None:
+                child = self.number[at, label] = len(self.keys)
+                self.keys.append(_hash(self.keys[at] if at >= 0 else 0, label))
+            at = child
+            out.append(at)
+        return out
+
+
+def _hash(seed: int, text: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(text, seed & ((1 << 64) - 1)) - (1 << 63)
+
+
+def path_key(path: str) -> int:
+    """The key of a path whose labels are joined by slashes."""
+    paths = _Paths()
+    return paths.keys[paths.walk(tuple(path.split("/")))[-1]]
+
+
+def _without(found: list[Block], low: Collection[int]) -> list[Block]:
     """The blocks that are left when the low branches go, one by one."""
-    branches: dict[str, set[int]] = {}
+    paths, wanted, branches = _Paths(), set(low), {}
     for at, block in enumerate(found):
-        for i, label in enumerate(block.path):
-            if i >= block.article and label.split(".")[0] not in ("html", "body"):
-                branches.setdefault("/".join(block.path[:i + 1]), set()).add(at)
+        for i, n in enumerate(paths.walk(block.path)):
+            if paths.keys[n] in wanted and i >= block.article and block.path[i].split(".")[0] not in ("html", "body"):
+                branches.setdefault(paths.keys[n], set()).add(at)
     left = set(range(len(found)))
-    for path in low:
-        if not left <= branches.get(path, set()):
-            left -= branches.get(path, set())
+    for key in low:
+        if not left <= branches.get(key, set()):
+            left -= branches.get(key, set())
     return [b for at, b in enumerate(found) if at in left]
 
 
-def _nodes(page: str) -> Iterator[tuple[str, int, int]]:
-    """(path, presentation, content) of a page's nodes without furniture."""
-    from xxhash import xxh64_intdigest
-
-    content: dict[tuple[str, ...], list[str]] = {}
-    children: dict[tuple[str, ...], list[str]] = {}
+def _nodes(page: str) -> Iterator[tuple[int, int, int]]:
+    """(path, presentation, content) of a page's nodes without furniture;
+    running hashes, so that a block costs one step for each element around it."""
+    paths, content, children = _Paths(), [], []
     for block in blocks(page):
-        for i in range(1, len(block.path) + 1):
-            content.setdefault(block.path[:i], []).append(block.text)
-            children.setdefault(block.path[:i - 1], []).append(block.path[i - 1])
-    signed = lambda parts: xxh64_intdigest("\n".join(parts)) - (1 << 63)
-    for path, texts in content.items():
-        yield "/".join(path), signed(children.get(path, [])), signed(texts)
+        text = _hash(0, block.text)
+        walked = paths.walk(block.path)
+        grow = len(paths.keys) - len(content)
+        content += [0] * grow
+        children += [0] * grow
+        for n, child in zip(walked, [*walked[1:], -1], strict=True):
+            content[n] = hash((content[n], text))
+            if child >= 0:
+                children[n] = hash((children[n], paths.keys[child]))
+    yield from zip(paths.keys, children, content, strict=True)
 
 
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +303,7 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pages = [list(_nodes(page)) for page in part.column("html").to_pylist()]
             columns = list(zip(*(node for nodes in pages for node in nodes), strict=True)) or [[]] * 3
             nodes = pa.StructArray.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "presentation", "content"])
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3, strict=True)], ["path", "presentation", "content"])
             ends = pa.array([0, *accumulate(map(len, pages))], pa.int32())
             yield pa.record_batch([part.column("host"), pa.ListArray.from_arrays(ends, nodes)], ["host", "nodes"])
 
@@ -259,7 +326,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     """``pages`` (host, html) as (host, path, pages, importance), over the
     distinct contents of a host's pages."""
     once = stage_table(pages.where("host is not null").select("host", "html")
-                       .mapInArrow(_tree_rows, "host string, nodes array<struct<path: string, presentation: long, content: long>>")
+                       .mapInArrow(_tree_rows, "host string, nodes array<struct<path: long, presentation: long, content: long>>")
                        .distinct(), "nodes")
     rows = once.select("host", F.inline("nodes"))
     both = _entropy(rows, "content").join(_entropy(rows, "presentation").drop("pages"), ["host", "path"])
@@ -281,5 +348,5 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", text_of("html").alias("html"), host_of(F.col("url")).alias("host"))
     low = (style_tree(rows).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW))
            .groupBy("host").agg(F.sort_array(F.collect_list(F.struct("importance", "path")))["path"].alias("low")))
-    return rows.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(
+    return rows.join(broadcast_if_small(stage_table(low, "low")), "host", "left").select("page_id", "url", "html", "low").mapInArrow(
         _extract, "page_id long, url string, text string")

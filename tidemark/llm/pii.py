@@ -27,20 +27,21 @@ column ``n_chars`` follows the new text.
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import stage_table
 
-#: Key of the surrogates unless the caller gives one.
-KEY = "surrogates-1"
+#: The setting that holds the key of the surrogates.
+KEY_CONF = "tidemark.pii.key"
 
 #: Titles by gender, and those of any.
-MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir", "г-н", "господин"]
-FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Lady", "г-жа", "госпожа"]
-NEUTRAL = ["Dr", "Dra", "Prof", "Profa", "Doctor", "Professor", "Doktor", "Docteur", "Professeur", "Rev", "Mx", "д-р", "доктор", "профессор", "Δρ"]
+MALE = ["Mr", "MR", "Herr", "Monsieur", "Señor", "Sr", "Sir", "г-н", "господин"]
+FEMALE = ["Mrs", "Ms", "MRS", "MS", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Lady", "г-жа", "госпожа"]
+NEUTRAL = ["Dr", "DR", "Dra", "Prof", "Profa", "Doctor", "Professor", "Doktor", "Docteur", "Professeur", "Rev", "Mx", "д-р", "доктор", "профессор", "Δρ"]
 _TITLE = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 #: A part of a name: a word without the possessive, or an initial.
 _NAME = (rf"(?!(?:{_TITLE})\.? )(?:\p{{Lu}}(?:\p{{L}}|['’-](?=\p{{L}})(?!s(?!\p{{L}})))+"
@@ -56,8 +57,8 @@ DETECTORS = {
     "ip6": rf"(?<![\p{{L}}\d:.])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?=[A-Fa-f:]*\d)(?:(?:{_GROUP}:){{1,7}}:(?:{_GROUP}(?::{_GROUP}){{0,5}})?"
            rf"|::{_GROUP}(?::{_GROUP}){{0,6}}))(?![\p{{L}}\d:]|\.\d)",
     "ip": r"(?<![\p{L}\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "ssn": r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\p{L}\d-])",
-    "card": r"(?<![\p{L}\d.+-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\p{L}\d])",
+    "ssn": r"(?<![\p{L}\d-])(?:\d{3}-\d{2}-\d{4}(?![\p{L}\d-])|(?<!\d[ .])\d{3} \d{2} \d{4}(?![\p{L}\d-]|[ .]\d))",
+    "card": r"(?<![\p{L}\d.+-])(?:\d{13,19}|\d{4}[ .-]\d{4}[ .-]\d{4}[ .-]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\p{L}\d])",
     "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
              r"|\+\d{1,3}(?=(?:[ .()-]{0,2}\d){8,12}(?!\d))(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,8}){1,6}|0\d(?:[ .-]\d{2}){4})(?!\d)",
     "person": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? )+{_NAME}(?:(?: |(?<=\.)){_NAME})*",
@@ -92,8 +93,8 @@ def _kind(e: Column) -> Column:
     """The kind of one entity, by its form."""
     return (F.when(e.contains("@"), "email").when(e.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ip6").when(e.rlike(rf"^(?:{_TITLE})\.? "), "person")
             .when(e.rlike(r"^A[KS]IA[A-Z0-9]{16}$"), "access_key").when(e.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
-            .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(e.rlike(r"^\+|^\(|^\d{3}[ .-]\d{3}[ .-]\d{4}$|^0\d(?:[ .-]\d{2}){4}$"), "phone")
-            .when(e.rlike(r"^\d{13,19}$|^\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}$|^\d{4}[ -]\d{6}[ -]\d{4,5}$"), "card")
+            .when(e.rlike(r"^\d{3}[ -]\d{2}[ -]\d{4}$"), "ssn").when(e.rlike(r"^\+|^\(|^\d{3}[ .-]\d{3}[ .-]\d{4}$|^0\d(?:[ .-]\d{2}){4}$"), "phone")
+            .when(e.rlike(r"^\d{13,19}$|^\d{4}[ .-]\d{4}[ .-]\d{4}[ .-]\d{1,7}$|^\d{4}[ -]\d{6}[ -]\d{4,5}$"), "card")
             .when(e.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]{12,}$"), "iban").otherwise("secret"))
 
 
@@ -270,7 +271,13 @@ def _mentions(key: str, pieces: Column, found: Column, bumps: Column) -> Column:
                   F.flatten(F.transform(once, lambda x: F.transform(pieces, lambda piece: said(piece, x))))).otherwise(pieces)
 
 
-def exceptions(found: DataFrame, key: str = KEY) -> DataFrame:
+def secret_key(spark: SparkSession) -> str:
+    """The key that the session names (``tidemark.pii.key``); where it names
+    none, a new one for this run, which nobody can guess or repeat."""
+    return spark.conf.get(KEY_CONF, None) or secrets.token_hex(32)
+
+
+def exceptions(found: DataFrame, key: str) -> DataFrame:
     """(mark, attempt) of the units whose first surrogate is not distinct;
     ``found``: rows with ``__found``, the entities of a text."""
     once = found.select(F.explode("__found").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
@@ -290,9 +297,11 @@ def exceptions(found: DataFrame, key: str = KEY) -> DataFrame:
         now = after.select("kind", "norm", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, count: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None, count: str | None = None) -> DataFrame:
     """``docs`` with ``text`` replaced; ``count`` names a further column with
-    the number of entities."""
+    the number of entities. Whoever has ``key`` can try out numbers and names,
+    so there is none to fall back on: see ``secret_key``."""
+    key = key or secret_key(docs.sparkSession)
     hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     # texts that may hold entities (a small share) are searched once and staged; all others never move
     found = stage_table(docs.where(hinted).withColumns({"__row": F.xxhash64("doc_id", "text"), "__found": entities(F.col("text"))}), "found")

@@ -284,7 +284,8 @@ def exceptions(found: DataFrame, key: str) -> DataFrame:
     each = once.select(F.explode(units(F.col("e"))).alias("u")).select("u.*").distinct()
     now = stage_table(each.withColumn("attempt", F.lit(0)), "units")
     while True:
-        drawn = now.withColumn("s", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt")))
+        # staged, so that the plans that read it twice stay small
+        drawn = stage_table(now.withColumn("s", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt"))), "drawn")
         # a first draw keeps its place before later draws; then the smaller value does
         first = drawn.groupBy("kind", "s").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count(F.lit(1)).alias("n"))
         real = now.select("kind", F.col("norm").alias("low"), F.lit(True).alias("real"))
@@ -310,7 +311,9 @@ def pseudonymise(docs: DataFrame, key: str | None = None, count: str | None = No
     bumps = (found.select("__row", F.explode(F.array_distinct(marks)).alias("mark")).distinct().join(odd, "mark")
              .groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("mark", "attempt"))).alias("__bumps")))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
-    marked = found.join(bumps, "__row", "left").withColumn("__bumps", F.coalesce("__bumps", none))
+    # most corpora have no exception; texts that have one are staged with them, so that the search and replacement are planned once
+    marked = found.withColumn("__bumps", none) if odd.isEmpty() else stage_table(
+        found.join(bumps, "__row", "left").withColumn("__bumps", F.coalesce("__bumps", none)), "marked")
     drawn = F.transform("__found", lambda e: _render(key, e, F.col("__bumps")))
     between = _mentions(key, F.split("text", PATTERN), F.col("__found"), F.col("__bumps"))
     # split() and regexp_extract_all() see the same matches, so piece i stands before surrogate i

@@ -41,7 +41,7 @@ from tidemark.llm.common import runs, slices, text_of
 #: Most ids in a sequence, the id that ends a document, and the id that pads.
 LIMIT, SEPARATOR = 4096, 2
 #: Bytes of words and ids that a worker remembers, about, and of one word besides its text.
-CACHE_BYTES, WORD_BYTES = 200_000_000, 160
+CACHE_BYTES, WORD_BYTES = 100_000_000, 160
 #: Characters of text that are tokenised together.
 SLICE = 2_000_000
 

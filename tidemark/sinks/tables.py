@@ -17,16 +17,17 @@ there is nothing to roll forward or back.
 Ids (L4) come from the commits: a batch's ids follow those of all batches
 committed before it, by (number, run, batch). They are dense, never given
 twice, and need no reservation. Runs that commit at the same moment share a
-number and are told apart by name. Commits hold a row per batch, so offsets
-are a small window that is broadcast to the store's partitions.
+number and are told apart by name. Commits hold a row per batch; the offsets
+that follow are broadcast to the store's partitions.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,10 +86,13 @@ def next_batch_id(spark: SparkSession, layout: Layout, run_id: str) -> int:
     return 0 if last is None else int(last) + 1
 
 
-def offsets(spark: SparkSession, layout: Layout) -> DataFrame:
-    """run_id, batch_id, and the id before the batch's first."""
-    before = Window.orderBy("seq", *KEY).rowsBetween(Window.unboundedPreceding, -1)
-    return commits(spark, layout).select(*KEY, "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+def offsets(spark: SparkSession, layout: Layout, after_id: int = 0) -> DataFrame:
+    """run_id, batch_id, and the id before the batch's first, of the batches
+    with ids above ``after_id``; the driver adds up a number per batch."""
+    done = commits(spark, layout).orderBy("seq", *KEY).collect()
+    ends = accumulate(r["rows"] for r in done)
+    rows = [(r["run_id"], r["batch_id"], end - r["rows"]) for r, end in zip(done, ends, strict=True) if end > after_id]
+    return spark.createDataFrame(rows, "run_id string, batch_id long, before long")
 
 
 # --- the store (K1, S4) ------------------------------------------------------
@@ -102,10 +106,9 @@ def append_store(numbered: DataFrame, layout: Layout, run_id: str, batch_id: int
 
 def read_store(spark: SparkSession, layout: Layout, after_id: int = 0) -> DataFrame:
     """The rows of committed batches, with their ids. Batches whose ids all
-    lie at or below ``after_id`` are not read: the join prunes partitions."""
+    lie at or below ``after_id`` drop out in a join on the partition columns."""
     rows = read_parquet(spark, layout.emails, POSITIONED)
-    known = offsets(spark, layout).filter(F.col("before") + F.col("rows") > after_id).select(*KEY, "before")
-    joined = rows.join(broadcast_if_small(known), KEY)
+    joined = rows.join(broadcast_if_small(offsets(spark, layout, after_id)), KEY)
     out = joined.withColumn("id", F.col("before") + F.col("position")).select(*S.EMAILS.fieldNames())
     return out.filter(F.col("id") > after_id) if after_id else out
 

@@ -192,3 +192,36 @@ def test_slices_of_long_texts_meet(monkeypatch):
     data = np.frombuffer("".join(random.Random(1).choice("abc") for _ in range(2000)).encode(), np.uint8)
     parts = substring_dedup.anchors(data)
     assert sorted(sum(([int(a) + i for i in range(int(n) - 199)] for a, n in zip(parts[2], parts[3])), [])) == list(range(1801))
+
+
+def test_factors_equal_brute_force():
+    """Lengths of the longest previous and next factors, group by group."""
+    rng = np.random.default_rng(4)
+    for case in range(12):
+        base, texts = rng.integers(97, 99, 400).astype(np.uint8), []
+        for _ in range(int(rng.integers(1, 6))):
+            n, at, m = int(rng.integers(200, 300)), int(rng.integers(0, 100)), int(rng.integers(0, 200))
+            text = rng.integers(97, 97 + rng.integers(1, 4), n).astype(np.uint8)
+            text[:m] = base[at:at + m]
+            texts.append(text)
+        sizes, groups = [len(t) for t in texts], [i // 2 if case % 2 else 7 for i in range(len(texts))]
+        data = np.concatenate(texts)
+        previous, following = substring_dedup.factors_within(data, sizes, groups)
+        begin = np.cumsum([0, *sizes])
+        places = [(int(begin[i]) + j, g) for i, g in enumerate(groups) for j in range(sizes[i] - 199)]
+        for p, g in places[::7]:
+            likeness = {q: next((k for k in range(200) if data[p + k] != data[q + k]), 200) for q, h in places if h == g and q != p}
+            assert previous[p] == max((n for q, n in likeness.items() if q < p), default=0)
+            assert following[p] == max((n for q, n in likeness.items() if q > p), default=0)
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_repeats_with_hot_anchors_and_null_ids(docs, keep, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 3)
+    rows = repeat_rows()
+    out = {r.doc_id: bytes(r.kept) for r in substring_dedup.remove_repeats(docs(rows), keep).collect()}
+    assert out == brute_repeats(rows, keep)
+    same = [(None, rows[12][1]), (None, rows[12][1][:300]), (5, "unique " * 5)]
+    got = sorted((r.n_bytes, len(r.kept)) for r in substring_dedup.remove_repeats(docs(same)).collect())
+    sizes = [len(t.encode()) for _, t in same]
+    assert got == sorted([(sizes[0], sizes[0] - sizes[1]), (sizes[1], 0), (sizes[2], sizes[2])])

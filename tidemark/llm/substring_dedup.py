@@ -13,11 +13,11 @@ built in one place. It is split by content, so that equal strings meet:
 3. Zones that occur twice or more as a whole are repeated as a whole: one
    aggregation per (anchor, zone), so copied passages cost a row per copy.
 4. What is left are zones that share an anchor and differ, at the ends of
-   copied passages. Their texts meet by anchor, and a suffix order of the
-   zones of each task gives, cut off at ``LENGTH``, the longest previous
-   factor of each position (and, read backwards, the longest next factor).
-   Within a run of suffixes that agree in ``LENGTH`` bytes, ordered by
-   position, the previous smaller position is the neighbour before.
+   copied passages. Their texts meet by anchor, and the suffix order of an
+   anchor's zones gives the longest previous factor of each position: the
+   longer of its common prefixes with the previous and the next smaller
+   position in that order (and, with greater positions, the longest next
+   factor). Lengths are exact up to ``LENGTH``, where suffixes are cut off.
 5. An anchor with more than ``CROWD`` differing zones is not gathered: its
    windows are counted by hash in an ordinary aggregation instead.
 
@@ -43,12 +43,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.byte_hash import join, sliding_min, windows
 from tidemark.llm.common import text_of
+from tidemark.operators.joins import join_hot_split
 from tidemark.session import stage_table
 
 #: Bytes of a repeat, and of the grams that anchors are chosen from.
 LENGTH, GRAM = 200, 40
 #: Differing zones of one anchor that one task compares by suffix order.
 CROWD = 10_000
+#: Zones that make an anchor "hot": it is then joined without a shuffle.
+HOT = 50_000
 #: Bytes of zones ordered at once, and of text hashed at once.
 ORDER_BYTES, SLICE = 3_000_000, 1_500_000
 
@@ -99,27 +102,80 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                               ["doc_id", "row", "anchor", "zone", "at", "size"])
 
 
-def suffix_ranks(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each position, the rank of its suffix cut off at ``length`` bytes
-    (equal ranks: equal strings); positions past the end count as zero."""
-    rank, n = np.unique(data, return_inverse=True)[1].astype(np.uint64) + np.uint64(1), 1
-    while n < length:
-        step = min(n, length - n)
-        behind = np.concatenate((rank[step:], np.zeros(step, np.uint64)))
-        rank = np.unique((rank << np.uint64(32)) | behind, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
-        n += step
+def _rank(keys: np.ndarray) -> np.ndarray:
+    """Dense ranks from 1 on (equal ranks: equal keys)."""
+    order = np.argsort(keys)
+    listed = keys[order]
+    rank = np.empty(len(keys), np.uint32)
+    rank[order] = np.cumsum(np.concatenate(([1], listed[1:] != listed[:-1])))
     return rank
 
 
-def factors(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each position's longest previous (next) factor reaches the
-    length that ``ranks`` are cut off at."""
-    order = np.argsort(ranks, kind="stable")
-    same = ranks[order][1:] == ranks[order][:-1]
-    before, after = np.zeros(len(ranks), bool), np.zeros(len(ranks), bool)
-    before[order[1:]] = same
-    after[order[:-1]] = same
-    return before, after
+def suffix_ranks(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The first eight bytes of each suffix as a number, and its ranks when cut
+    off at 8, 16, ... bytes, the last time at ``length`` (8 or more).
+    Positions past the end count as zero."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    words = np.zeros(len(data), np.uint64)
+    for i in range(8):
+        words = (words << np.uint64(8)) | padded[i:i + len(data)]
+    n, ranks = 8, {8: _rank(words)}
+    while n < length:
+        step = min(n, length - n)
+        rank = ranks[n].astype(np.uint64)
+        behind = np.concatenate((rank[step:], np.zeros(min(step, len(rank)), np.uint64)))[:len(rank)]
+        n += step
+        ranks[n] = _rank((rank << np.uint64(32)) | behind)
+    return words, ranks
+
+
+def common_prefixes(a: np.ndarray, b: np.ndarray, words: np.ndarray, ranks: dict[int, np.ndarray], length: int = LENGTH) -> np.ndarray:
+    """The common prefix of each pair of suffixes, up to ``length`` bytes."""
+    size, last = np.zeros(len(a), np.int64), len(words) - 1
+    for n in sorted(ranks, reverse=True):
+        if n < length:
+            rank = ranks[n]
+            at, bt = np.minimum(a + size, last), np.minimum(b + size, last)
+            size += n * ((rank[at] == rank[bt]) & (size + n <= length))
+    differ = words[np.minimum(a + size, last)] ^ words[np.minimum(b + size, last)]
+    for i in range(1, 9):
+        size += (differ >> np.uint64(64 - 8 * i)) == 0
+    whole = ranks[max(ranks)]
+    return np.where(whole[a] == whole[b], length, np.minimum(size, length - 1))
+
+
+def nearest_smaller(at: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """For each entry of a suffix order, its common prefix with the nearest
+    entry before it whose position is smaller; none: 0. ``at`` holds the
+    positions, ``prefix`` the common prefix of each entry with the one before.
+
+    An entry points at the one before and, while that lies at a greater
+    position, follows its pointer: all that is jumped over is greater too."""
+    before, size = np.arange(-1, len(at) - 1), prefix.copy()
+    open_ = np.flatnonzero(size > 0)
+    open_ = open_[at[before[open_]] > at[open_]]
+    while len(open_):
+        via = before[open_]
+        size[open_], before[open_] = np.minimum(size[open_], size[via]), before[via]
+        open_ = open_[size[open_] > 0]
+        open_ = open_[at[before[open_]] > at[open_]]
+    return size
+
+
+def factors(at: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each entry of a suffix order: the longer
+    of its common prefixes with the previous and the next smaller position.
+    Entries alike in ``LENGTH`` bytes follow the least position of their run,
+    which alone has to look beyond it."""
+    if not len(at):
+        return prefix
+    first = prefix < LENGTH
+    start = np.flatnonzero(first)
+    least, prefix = np.minimum.reduceat(at, start), prefix[start]
+    back = np.concatenate(([0], prefix[:0:-1]))
+    found = np.maximum(nearest_smaller(least, prefix), nearest_smaller(least[::-1], back)[::-1])
+    run = np.cumsum(first) - 1
+    return np.where(at == least[run], found[run], LENGTH)
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +191,8 @@ def _compare(first: bool):
     def solve(rows: list[tuple]) -> Iterator[tuple]:
         texts = [r[2] for r in rows]
         data = np.frombuffer(b"".join(texts), np.uint8)
-        before, after = factors_within(data, [len(t) for t in texts], [r[0] for r in rows])
-        flags, at = before if first else before | after, 0
+        previous, following = factors_within(data, [len(t) for t in texts], [r[0] for r in rows], both=not first)
+        flags, at = np.maximum(previous, following) >= LENGTH, 0
         for (anchor, zone, text) in rows:
             start, size = _runs(flags[at:at + len(text) - LENGTH + 1])
             at += len(text)
@@ -166,17 +222,24 @@ def _compare(first: bool):
     return run
 
 
-def factors_within(data: np.ndarray, sizes: list[int], groups: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """``factors`` of texts laid end to end; a string that runs over a text's
-    end, or whose equal lies in another group, does not count."""
-    ranks = suffix_ranks(data)
+def factors_within(data: np.ndarray, sizes: list[int], groups: list[int], both: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The longest previous (and, with ``both``, next) factor of each position
+    of texts laid end to end, up to ``LENGTH``; a string that runs over a
+    text's end, or whose equal lies in another group, does not count. The
+    texts of a group are neighbours."""
+    words, ranks = suffix_ranks(data)
     ends = np.repeat(np.cumsum(sizes), sizes)
-    whole = np.arange(len(data)) + LENGTH <= ends
-    group = np.repeat(np.unique(np.array(groups), return_inverse=True)[1].astype(np.uint64), sizes)
-    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
-    keyed = (ranks[whole] << np.uint64(32)) | group[whole]
-    before[whole], after[whole] = factors(keyed)
-    return before, after
+    whole = np.flatnonzero(np.arange(len(data)) + LENGTH <= ends)
+    group = np.repeat(np.cumsum(np.concatenate(([0], np.diff(np.array(groups)) != 0))), sizes)[whole]
+    order = np.argsort((group.astype(np.uint64) << np.uint64(32)) | ranks[LENGTH][whole])
+    at, group = whole[order], group[order]
+    prefix = np.zeros(len(at), np.int64)
+    prefix[1:] = np.where(group[1:] == group[:-1], common_prefixes(at[:-1], at[1:], words, ranks), 0)
+    previous, following = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+    previous[at] = factors(at, prefix)
+    if both:
+        following[at] = factors(-at, prefix)
+    return previous, following
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,18 +260,19 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def repeated_spans(docs: DataFrame, keep: str = "none") -> DataFrame:
-    """(row, spans) of the documents that hold repeated windows; ``spans``
-    lists (at, n): ``n`` neighbouring windows from byte ``at`` are repeated.
-    ``row`` is ``xxhash64(doc_id, text)``."""
+    """(doc_id, row, spans) of the documents that hold repeated windows;
+    ``spans`` lists (at, n): ``n`` neighbouring windows from byte ``at`` are
+    repeated. ``row`` is ``xxhash64(doc_id, text)``."""
     if keep not in ("none", "first"):
         raise ValueError("keep must be 'none' or 'first'")
     first, rows = keep == "first", _rows(docs)
     listed = stage_table(rows.mapInArrow(_find_anchors, _ANCHORS), "anchors")
-    again = (listed.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("c"))
-             .where("c > 1").select("anchor"))
+    again = stage_table(listed.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("c"))
+                        .where("c > 1"), "again")
     each = listed.select("doc_id", "row", F.explode(F.arrays_zip("anchor", "zone", "at", "size")).alias("z")) \
         .select("doc_id", "row", "z.*")
-    shared = stage_table(each.join(again, "anchor"), "shared")
+    # an anchor may hold a third of all zones: the few of that kind are told where they are
+    shared = stage_table(join_hot_split(each, again, "anchor", "c", HOT).drop("c"), "shared")
     place = F.struct("doc_id", "row", "at", "size")
     zones = stage_table(shared.groupBy("anchor", "zone").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("rep")),
                         "zones")
@@ -216,7 +280,8 @@ def repeated_spans(docs: DataFrame, keep: str = "none") -> DataFrame:
     differing = zones.join(crowds, "anchor").select("anchor", "zone", "crowd", "rep.*")
     # doc_id is asked for so that this scan and shuffle of the texts is the one that ``remove`` reuses
     text = F.substring(F.col("text").cast("binary"), F.col("at") + 1, F.col("size"))
-    lettered = (rows.join(differing.withColumnRenamed("doc_id", "rep_id"), "row")
+    reps = differing.withColumnsRenamed({"doc_id": "rep_id", "row": "rep_row"})
+    lettered = (rows.join(reps, (F.col("row") == F.col("rep_row")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
                 .select("anchor", "zone", "crowd", "at", F.col("doc_id"), text.alias("text")))
     compared = (lettered.where(F.col("crowd") <= CROWD).repartition("anchor")
                 .sortWithinPartitions("anchor", "doc_id", "at").select("doc_id", "anchor", "zone", "text")
@@ -230,14 +295,14 @@ def repeated_spans(docs: DataFrame, keep: str = "none") -> DataFrame:
     if first:
         is_rep = F.struct("doc_id", "row", "at", "size") == F.col("rep")
         found = (shared.join(zones.where("copies > 1").select("anchor", "zone", "rep"), ["anchor", "zone"])
-                 .where(~is_rep).select("row", "at", F.array(F.struct(F.lit(0).alias("at"), (F.col("size") - LENGTH + 1).alias("n"))).alias("runs")))
-        reps = zones.join(partly, ["anchor", "zone"]).select("rep.row", "rep.at", "runs")
+                 .where(~is_rep).select("doc_id", "row", "at", F.array(F.struct(F.lit(0).alias("at"), (F.col("size") - LENGTH + 1).alias("n"))).alias("runs")))
+        reps = zones.join(partly, ["anchor", "zone"]).select("rep.doc_id", "rep.row", "rep.at", "runs")
         found = found.unionByName(reps)
     else:
         marked = whole.unionByName(partly.join(zones.where("copies = 1").select("anchor", "zone"), ["anchor", "zone"]))
-        found = shared.join(marked, ["anchor", "zone"]).select("row", "at", "runs")
-    moved = found.select("row", F.expr("transform(runs, r -> struct(r.at + at as at, r.n as n))").alias("runs"))
-    return moved.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("spans"))
+        found = shared.join(marked, ["anchor", "zone"]).select("doc_id", "row", "at", "runs")
+    moved = found.select("doc_id", "row", F.expr("transform(runs, r -> struct(r.at + at as at, r.n as n))").alias("runs"))
+    return moved.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("runs")).alias("spans"))
 
 
 def _crowd_runs(hashed: DataFrame, zones: DataFrame, first: bool) -> DataFrame:
@@ -275,7 +340,9 @@ def remove_repeats(docs: DataFrame, keep: str = "none") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, kept (the remaining
     bytes), removed (the maximal removed runs, at and n in bytes)."""
     rows = _rows(docs)
-    return (rows.join(repeated_spans(docs, keep), "row", "left").select("doc_id", "text", "spans")
+    spans = repeated_spans(docs, keep).withColumnsRenamed({"doc_id": "of_id", "row": "of_row"})
+    return (rows.join(spans, (F.col("row") == F.col("of_row")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left")
+            .select("doc_id", "text", "spans")
             .mapInArrow(_cut, "doc_id long, n_bytes long, kept binary, removed array<struct<at:long,n:long>>"))
 
 

@@ -654,6 +654,7 @@ def oracle_sql() -> dict[str, str]:
         "CASE WHEN account_id = 'acct_src0' THEN 0 ELSE coalesce(n, 0) END AS stored "
         "FROM plan LEFT JOIN n USING (account_id) LEFT JOIN f USING (account_id) WHERE guard_ok AND (f IS NULL OR n > 0)")
     out["delivery_partial"] = out["delivery_failure"]
+    out["delivery_two_step"] = f"{w} SELECT account_id, uid, r_priority AS priority, r_summary AS summary FROM emitted WHERE account_id <> 'acct_src0'"
     out["query_document"] = (
         f"{w}, page AS (SELECT * FROM store WHERE id > 10 AND priority = 'Medium' ORDER BY id LIMIT 500) "
         "SELECT count(*) OVER () AS count, max(id) OVER () AS max_id, count(*) OVER () = 500 AS has_more, id, account_id, uid, "

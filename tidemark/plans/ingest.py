@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -256,23 +256,39 @@ def cursor_moves(stats: DataFrame, opts: IngestOptions) -> DataFrame:
         opts.created_at_col().alias("updated_at"), "landed_date")
 
 
+def batch_counters() -> dict[str, Column]:
+    """A3: what a batch's rows (with outcome and held) are counted for."""
+    live = ~F.col("held")
+    return {
+        "fetched": F.count(F.lit(1)),
+        "llm_calls": F.count_if((F.col("outcome") == "fresh") & live),
+        "cache_hits": F.count_if((F.col("outcome") == "hit") & live),
+        "errors": F.count_if((F.col("outcome") == "quarantined") & live),
+        "pending": F.count_if(F.col("outcome") == "pending"),
+        "held_back": F.count_if(F.col("held")),
+        "emitted": F.count_if(live & (F.col("outcome") != "pending")),
+    }
+
+
+def observed(out: DataFrame) -> tuple[DataFrame, Observation]:
+    """``out`` and its counters, which are there once it has been written: the
+    write itself counts, so that no pass over the rows is spent on them."""
+    seen = Observation()
+    return out.observe(seen, *[c.alias(name) for name, c in batch_counters().items()]), seen
+
+
+def account_counts(plan: DataFrame) -> dict[str, int]:
+    """The accounts of the plan, and those that the first-run guard rejected."""
+    return plan.agg(F.count(F.lit(1)).alias("accounts"), F.count_if(~F.col("guard_ok")).alias("rejected")).first().asDict()
+
+
 def run_summary(plan: DataFrame, out: DataFrame) -> DataFrame:
     """A3: one row of run counters (accounts counts every selected account,
     including ones the first-run guard rejected). Counted per account first,
     then folded over the plan with an equi-join."""
-    live = ~F.col("held")
-    per = out.groupBy("account_id").agg(
-        F.count(F.lit(1)).alias("fetched"),
-        F.count_if((F.col("outcome") == "fresh") & live).alias("llm_calls"),
-        F.count_if((F.col("outcome") == "hit") & live).alias("cache_hits"),
-        F.count_if((F.col("outcome") == "quarantined") & live).alias("errors"),
-        F.count_if(F.col("outcome") == "pending").alias("pending"),
-        F.count_if(F.col("held")).alias("held_back"),
-        F.count_if(live & (F.col("outcome") != "pending")).alias("emitted"),
-    )
+    per = out.groupBy("account_id").agg(*[c.alias(name) for name, c in batch_counters().items()])
     j = plan.select("account_id", "guard_ok").join(per, "account_id", "left")
-    counters = ["fetched", "llm_calls", "cache_hits", "errors", "pending", "held_back", "emitted"]
     return j.agg(
         F.count(F.lit(1)).alias("accounts"), F.count_if(~F.col("guard_ok")).alias("rejected"),
-        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counters],
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in batch_counters()],
     )

@@ -124,7 +124,9 @@ def _run(spark, layout, messages, accounts, opts, responses, enricher, sink, kee
         responses = _stage(enricher(req))
 
     out, writes = I.outcomes(batch, cache, responses, opts)
+    out, seen = I.observed(out)
     out = _stage(out)
+    counted = seen.get                         # counted by the write
     if not dry and writes is not None:
         T.upsert_cache(spark, layout, writes)
 
@@ -132,7 +134,7 @@ def _run(spark, layout, messages, accounts, opts, responses, enricher, sink, kee
     results = emitted_results(out, opts.run_id)
     if not dry:                                # a dry run delivers nothing
         try:
-            if not results.isEmpty():          # K6: an empty batch is delivered trivially
+            if counted["emitted"]:             # K6: an empty batch is delivered trivially
                 failed = sorted(sink(results, opts.batch_id) or [])
         except Exception as exc:  # noqa: BLE001 - any sink failure holds the cursors
             emit_error = f"{type(exc).__name__}: {exc}"
@@ -148,10 +150,10 @@ def _run(spark, layout, messages, accounts, opts, responses, enricher, sink, kee
             if keep_backlog:
                 T.write_backlog(_unplaced(messages, plan, out, failed), layout, *key)
             T.write_moves(I.cursor_moves(stats.filter(~bad), opts), layout, *key)
-            rows = stats.filter(~bad).agg(F.coalesce(F.sum("emitted"), F.lit(0))).first()[0]
-            T.commit(spark, layout, *key, rows=rows, backlog=keep_backlog)
+            lost = stats.filter(bad).agg(F.coalesce(F.sum("emitted"), F.lit(0))).first()[0] if failed else 0
+            T.commit(spark, layout, *key, rows=counted["emitted"] - lost, backlog=keep_backlog)
 
-    summary = I.run_summary(plan, out).first().asDict()
+    summary = I.account_counts(plan) | counted
     summary.update(emit_ok=emit_ok, emit_error=emit_error, failed_accounts=failed, run_id=opts.run_id, batch_id=opts.batch_id,
                    elapsed_sec=round(time.monotonic() - t0, 3))
     return summary

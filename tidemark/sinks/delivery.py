@@ -28,7 +28,6 @@ from collections import defaultdict
 from dataclasses import dataclass
 from itertools import groupby, islice
 from typing import Iterable, Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -37,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from .emit import SPREAD, Sink
+from .files import arrow_path
 
 #: (run id, batch id)
 Key = tuple[str, int]
@@ -175,12 +175,7 @@ class FolderReceiver(Receiver):
             system.create_dir(folder, recursive=True)
 
     def _at(self, *names: str) -> tuple[fs.FileSystem, str]:
-        scheme = urlsplit(self.root).scheme
-        if scheme in ("", "file"):
-            system, path = fs.LocalFileSystem(), self.root.removeprefix("file:")
-        else:
-            system, path = fs.FileSystem.from_uri(self.root)
-        return system, posixpath.join(path, *names)
+        return arrow_path(self.root, *names)
 
     def _put(self, text: str, *names: str) -> None:
         system, path = self._at(*names)

@@ -160,6 +160,20 @@ def test_runs_on_different_accounts_at_once(spark, tmp_root):
     assert {r.account_id: r.last_uid for r in T.read_cursors(spark, lay).collect()} == {"a": 5, "b": 5}
 
 
+def test_a_commit_leaves_the_files_of_other_writers(spark, tmp_root):
+    """Of two runs that end at once, one took the other's files from under it."""
+    from tidemark.sinks.cache import open_cache, upsert_cache
+    lay = T.Layout(tmp_root, 4)
+    other = os.path.join(lay.commits, "_temporary", "0", "task")
+    os.makedirs(other)
+    T.commit(spark, lay, "a", 0, 2)
+    T.commit(spark, lay, "b", 0, 3)
+    assert os.path.isdir(other)
+    assert [(r.run_id, r.seq, r.rows) for r in T.commits(spark, lay).orderBy("seq").collect()] == [("a", 1, 2), ("b", 2, 3)]
+    upsert_cache(spark, lay, spark.createDataFrame([], S.CACHE))
+    assert open_cache(spark, lay).latest().count() == 0 and os.listdir(os.path.join(lay.cache, "deltas")) == ["delta=0"]
+
+
 def test_files_hold_disjoint_id_ranges(spark, tmp_root):
     lay, m = T.Layout(tmp_root, 4), mail(spark, [("a", u) for u in range(1, 1001)])
     rows = I.store_rows(I.outcomes(I.fetch(m, I.run_plan(accounts(spark, "a"), spark.createDataFrame([], S.CURSORS), opts("r")), opts("r")),

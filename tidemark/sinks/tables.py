@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..operators.joins import broadcast_if_small
 from .cache import CacheTable, invalidate_cache, merge_cache, open_cache, read_cache, remaining_after_invalidate, upsert_cache  # noqa: F401
-from .files import delete, exists, make_folder, read_parquet
+from .files import append_parquet, delete, exists, make_folder, read_parquet
 
 CACHE_BUCKETS = 64
 KEY = ["run_id", "batch_id"]
@@ -72,7 +72,7 @@ def commit(spark: SparkSession, layout: Layout, run_id: str, batch_id: int, rows
     """The last step of a batch; ``rows`` positions of the store are its own."""
     seq = commits(spark, layout).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
     row = spark.createDataFrame([(run_id, int(batch_id), seq, int(rows), backlog)], COMMITS)
-    row.coalesce(1).write.mode("append").parquet(layout.commits)
+    append_parquet(row.coalesce(1), layout.commits)
 
 
 def is_committed(spark: SparkSession, layout: Layout, run_id: str, batch_id: int) -> bool:
@@ -183,7 +183,7 @@ def stream_floors(spark: SparkSession, layout: Layout, plan: DataFrame) -> DataF
     new = (plan.filter("guard_ok").select("account_id", F.col("before_uid").alias("floor_uid"))
            .join(known, "account_id", "left_anti"))
     if not new.isEmpty():
-        new.write.mode("append").parquet(layout.floors)
+        append_parquet(new, layout.floors)
     return read_parquet(spark, layout.floors, FLOORS).groupBy("account_id").agg(F.min("floor_uid").alias("floor_uid"))
 
 
